@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.operators import dashboard, growth, profitability, risk
+from ledgerlens.operators import dashboard, growth, profile, profitability, quality, risk
 from ledgerlens.plans.model import Ledger
 
 Mart = Callable[[Ledger], DataFrame]
@@ -56,6 +56,41 @@ MARTS: dict[str, Mart] = {
     "dashboard_kpi": dashboard.dashboard_kpi,
     "dashboard_daily": dashboard.dashboard_daily,
     "dashboard_fraud_waterfall": dashboard.dashboard_fraud_waterfall,
+    # staging profile
+    "profile_row_count": lambda L: profile.profile_row_count(L.stg),
+    "profile_type_distribution": lambda L: profile.profile_type_distribution(L.stg),
+    "profile_fraud_rate": lambda L: profile.profile_fraud_rate(L.stg),
+    "profile_step_range": lambda L: profile.profile_step_range(L.stg),
+    "profile_orig_recurrence": lambda L: profile.profile_orig_recurrence(L.stg),
+    "profile_orig_distribution": lambda L: profile.profile_orig_distribution(L.stg),
+    "profile_orig_multi_day": lambda L: profile.profile_orig_multi_day(L.stg),
+    "profile_dest_recurrence": lambda L: profile.profile_dest_recurrence(L.stg),
+    "profile_dest_prefix": lambda L: profile.profile_dest_prefix(L.stg),
+    # star
+    "dim_date": lambda L: L.dim_date,
+    "dim_accounts": lambda L: L.accounts,
+    "fact_transactions": lambda L: L.fact,
+    "balance_deltas": lambda L: L.fact.select("transaction_key", "orig_balance_delta", "dest_balance_delta"),
+    "ledger_residuals": lambda L: L.fact.select("transaction_key", "orig_balance_error", "dest_balance_error"),
+    "duplicate_cashout_legs": lambda L: L.duplicate_legs,
+    # quality
+    "assert_payment_dest_untracked": lambda L: quality.assert_payment_dest_untracked(L.stg),
+    "assert_fraud_bearing": lambda L: quality.assert_fraud_bearing(L.stg, L.dim_type),
+    "assert_merchant_rule": lambda L: quality.assert_merchant_rule(L.stg),
+    "check_row_count": lambda L: quality.check_row_count(L.stg, L.fact),
+    "check_measures": lambda L: quality.check_measures(L.stg, L.fact),
+    "check_grain": lambda L: quality.check_grain(L.fact),
+    "check_orphans": lambda L: quality.check_orphans(L.fact, L.dim_date, L.dim_type, L.accounts),
+    "dimension_row_counts": lambda L: quality.dimension_row_counts(L.dim_date, L.dim_type, L.accounts, L.fact),
+    "check_date_dense": lambda L: quality.check_date_dense(L.dim_date, L.stg),
+    "account_coverage": lambda L: quality.account_coverage(L.fact, L.accounts),
+    "party_type_split": lambda L: quality.party_type_split(L.accounts),
+    "balance_error_by_fraud": lambda L: quality.balance_error_by_fraud(L.facts),
+    "balance_error_by_type": lambda L: quality.balance_error_by_type(L.facts, L.dim_type),
+    "fraud_by_type_star": lambda L: quality.fraud_by_type_star(L.fact, L.dim_type),
+    "constraint_violations": lambda L: quality.constraint_violations(
+        L.stg, L.dim_date, L.dim_type, L.accounts, L.fee_model
+    ),
 }
 
 
