@@ -4,7 +4,7 @@ Money stays DECIMAL through every sum. A published ratio or rounded figure is
 computed from *integer units* (cents for money, 1e-7 for fees) by integer
 half-away-from-zero division and only then turned into a DOUBLE:
 
-    round(n / d, s) = sign(n) * floor((2*|n|*10^s + d) / (2*d)) / 10^s      (d > 0)
+    round(n / d, s) = sign(n*d) * floor((2*|n|*10^s + |d|) / (2*|d|)) / 10^s
 
 Decimal ÷ decimal in Spark keeps at most 6 fractional digits at wide
 precision and a second ROUND would round twice; the integer form is exact in
@@ -35,14 +35,14 @@ def as_units(value: Column, scale: int) -> Column:
 def ratio_half_up(num: Column | int, den: Column | int, scale: int) -> Column:
     """round(num / den, scale) half away from zero, exact, as DOUBLE.
 
-    ``num`` and ``den`` must be integer valued (counts or unit sums);
-    ``den`` must be >= 0. den = 0 or NULL gives NULL."""
+    ``num`` and ``den`` must be integer valued (counts or unit sums); either
+    may be negative. den = 0 or NULL gives NULL."""
     n = _wide(num)
     d = F.nullif(_wide(den), _wide(0))
-    two_d = d * _wide(2)
-    a = F.abs(n) * _wide(2 * 10**scale) + d
+    two_d = F.abs(d) * _wide(2)
+    a = F.abs(n) * _wide(2 * 10**scale) + F.abs(d)
     q = ((a - a % two_d) / two_d).cast(WIDE_INT)
-    signed = F.when(n < 0, -q).otherwise(q)
+    signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
     return signed.cast("double") / F.lit(float(10**scale))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.operators import dashboard, growth, profile, profitability, quality, risk
+from ledgerlens.operators import dashboard, evidence, growth, profile, profitability, quality, risk
 from ledgerlens.plans.model import Ledger
 
 Mart = Callable[[Ledger], DataFrame]
@@ -91,6 +91,18 @@ MARTS: dict[str, Mart] = {
     "constraint_violations": lambda L: quality.constraint_violations(
         L.stg, L.dim_date, L.dim_type, L.accounts, L.fee_model
     ),
+    # evidence
+    "evidence_leg_pairs": evidence.evidence_leg_pairs,
+    "evidence_full_drain": evidence.evidence_full_drain,
+    "evidence_chain_trace": evidence.evidence_chain_trace,
+    "what_if_uncapped_fee": evidence.what_if_uncapped_fee,
+    "evidence_round_amount_cluster": evidence.evidence_round_amount_cluster,
+    "evidence_zero_amount": evidence.evidence_zero_amount,
+    "evidence_naive_residual": evidence.evidence_naive_residual,
+    "evidence_amount_stats": evidence.evidence_amount_stats,
+    "type_share": evidence.type_share,
+    "evidence_fraud_size_ratio": evidence.evidence_fraud_size_ratio,
+    "evidence_merchant_payment": evidence.evidence_merchant_payment,
 }
 
 
