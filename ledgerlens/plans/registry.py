@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.operators import dashboard, evidence, growth, profile, profitability, quality, risk
+from ledgerlens.operators import dashboard, evidence, growth, measures, profile, profitability, quality, risk
 from ledgerlens.plans.model import Ledger
 
 Mart = Callable[[Ledger], DataFrame]
@@ -103,6 +103,17 @@ MARTS: dict[str, Mart] = {
     "type_share": evidence.type_share,
     "evidence_fraud_size_ratio": evidence.evidence_fraud_size_ratio,
     "evidence_merchant_payment": evidence.evidence_merchant_payment,
+    # BI measures
+    "measure_cards": measures.measure_cards,
+    "measure_fraud_pct_gross_profit": measures.measure_fraud_pct_gross_profit,
+    "measure_daily_value_complete": measures.measure_daily_value_complete,
+    "measure_value_7d_avg": measures.measure_value_7d_avg,
+    "measure_fraud_rate": measures.measure_fraud_rate,
+    "measure_rule_recall": measures.measure_rule_recall,
+    "measure_take_rate": measures.measure_take_rate,
+    "measure_is_loss_making": measures.measure_is_loss_making,
+    "profit_heatmap": measures.profit_heatmap,
+    "product_mix": measures.product_mix,
 }
 
 
