@@ -101,3 +101,98 @@ def dashboard_fraud_waterfall(ledger) -> DataFrame:
         bar(3, "True fraud loss", millions(F.col("true")), "total"),
     )
     return t.select(F.inline(bars)).orderBy("sort_order")
+
+
+def _dec(c, scale: int = 2):
+    """A published figure as fixed-point text (e.g. '7492.72')."""
+    return c.cast(f"decimal(24,{scale})").cast("string")
+
+
+def _n(c):
+    return c.cast("long").cast("string")
+
+
+def dashboard_data_caveats(ledger) -> DataFrame:
+    """The caveats that must travel with the marts, as data. Every figure in
+    the texts is computed from the tables (one aggregate row per source)."""
+    from ledgerlens.operators.growth import account_activity
+    from ledgerlens.operators.profitability import profitability_summary
+
+    f = ledger.facts
+    s = profitability_summary(ledger).select(
+        "deduplicated_fraud_loss_millions", "gross_fraud_loss_millions", "total_value_billions"
+    )
+    steps = ledger.dim_date.agg(
+        F.min("date_key").alias("min_step"), F.max("date_key").alias("max_step"),
+        F.max("day_number").alias("last_day"),
+    )
+    last_day_hours = ledger.dim_date.groupBy("day_number").agg(F.count(F.lit(1)).alias("h")).join(
+        steps.select(F.col("last_day").alias("day_number")), "day_number"
+    ).select(F.col("h").alias("last_day_hours"))
+    orig = account_activity(f, "name_orig").agg(
+        pct(F.count_if(F.col("txn_count") == 1), F.count(F.lit(1)), 2).alias("pct_single"),
+        pct(F.count_if(F.col("active_days") > 1), F.count(F.lit(1)), 2).alias("pct_multi"),
+    )
+    bad = F.abs(F.col("orig_balance_error")) > F.lit(0.01).cast("decimal(3,2)")
+    tenm = F.col("amount") == F.lit(10_000_000)
+    facts_row = f.agg(
+        pct(F.count_if(F.col("is_fraud") & bad), F.count_if(F.col("is_fraud")), 2).alias("fraud_bad"),
+        pct(F.count_if(~F.col("is_fraud") & bad), F.count_if(~F.col("is_fraud")), 2).alias("legit_bad"),
+        F.count_if(tenm & (F.col("type_name") == "CASH_OUT")).alias("cashout_10m"),
+        F.count_if(tenm & (F.col("type_name") == "CASH_OUT") & F.col("is_fraud")).alias("cashout_10m_fraud"),
+        F.count_if(tenm & (F.col("type_name") == "TRANSFER") & ~F.col("is_fraud")).alias("transfer_10m_legit"),
+    )
+    zero = ledger.priced.where(
+        (F.col("amount") == 0) & F.col("is_fraud") & (F.col("type_name") == "CASH_OUT")
+    ).agg(
+        F.count(F.lit(1)).alias("zero_rows"),
+        F.coalesce(F.sum("fee_u"), F.lit(0)).alias("zero_fee_u"),
+    )
+    row = s.crossJoin(steps).crossJoin(last_day_hours).crossJoin(orig).crossJoin(facts_row).crossJoin(zero)
+    c = F.col
+    texts = [
+        ("Fraud loss", F.concat(
+            F.lit("Reported fraud loss is DEDUPLICATED ("), _dec(c("deduplicated_fraud_loss_millions")),
+            F.lit("M). The naive SUM(amount) WHERE is_fraud gives "), _dec(c("gross_fraud_loss_millions")),
+            F.lit("M and double-counts each two-step theft (a TRANSFER draining the victim, then a CASH_OUT of the "
+                  "same money)."))),
+        ("Dates", F.concat(
+            F.lit("All dates are SYNTHETIC. The data provides an hour counter (step "), _n(c("min_step")), F.lit("-"),
+            _n(c("max_step")), F.lit(", "), _n(c("last_day") + 1),
+            F.lit(" days) and no calendar. Day 0 is anchored to 2024-01-01 arbitrarily so date hierarchies work."))),
+        ("Final day", F.concat(
+            F.lit("Day "), _n(c("last_day")), F.lit(" has "), _n(c("last_day_hours")), F.lit(" of 24 hours. "),
+            F.when(c("last_day_hours") < 24,
+                   F.lit("Its lower totals are not a decline in activity. Filter on is_complete_day to exclude it."))
+            .otherwise(F.lit("It is a complete day.")))),
+        ("Retention", F.concat(
+            F.lit("No MAU or cohort retention is reported. "), _dec(c("pct_single")),
+            F.lit("% of originating accounts transact exactly once; "), _dec(c("pct_multi")),
+            F.lit("% are active on more than one day."))),
+        ("Balance signature", F.concat(
+            F.lit("Fraudulent rows are ledger-inconsistent on the originator side in "), _dec(c("fraud_bad")),
+            F.lit("% of cases vs "), _dec(c("legit_bad")),
+            F.lit("% for legitimate rows. This describes the data generator; it is not a real-world fraud "
+                  "detection rule."))),
+        ("The 10M cash-outs", F.concat(
+            _n(c("cashout_10m_fraud")), F.lit(" of "), _n(c("cashout_10m")),
+            F.lit(" CASH_OUTs of exactly 10,000,000.00 are fraudulent; "), _n(c("transfer_10m_legit")),
+            F.lit(" legitimate TRANSFERs also sit at exactly 10M."))),
+        ("Fee model", F.lit(
+            "All revenue and cost figures rest on an INVENTED fee model (see fee_model). The data contains no fee "
+            "data. The ranking of segments is the finding; absolute currency values are illustrative.")),
+        ("Total value", F.concat(
+            F.lit("Total value processed ("), _dec(c("total_value_billions")),
+            F.lit("bn) is THROUGHPUT, not distinct money. A transfer followed by a cash-out counts the same value "
+                  "twice, for legitimate transactions as well as fraudulent ones."))),
+        ("Zero-amount rows", F.concat(
+            _n(c("zero_rows")),
+            F.lit(" fraudulent CASH_OUT rows have amount = 0. They are retained as-is; the fee floor charges "),
+            _dec(c("zero_fee_u").cast("decimal(38,0)") / F.lit(10**7)),
+            F.lit(" units on them in total."))),
+    ]
+    items = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("caveat_id"), F.lit(topic).alias("applies_to"), text.alias("caveat_text"))
+        for i, (topic, text) in enumerate(texts, start=1)
+    ])
+    return row.select(F.inline(items)).orderBy("caveat_id")

@@ -56,6 +56,7 @@ MARTS: dict[str, Mart] = {
     "dashboard_kpi": dashboard.dashboard_kpi,
     "dashboard_daily": dashboard.dashboard_daily,
     "dashboard_fraud_waterfall": dashboard.dashboard_fraud_waterfall,
+    "dashboard_data_caveats": dashboard.dashboard_data_caveats,
     # staging profile
     "profile_row_count": lambda L: profile.profile_row_count(L.stg),
     "profile_type_distribution": lambda L: profile.profile_type_distribution(L.stg),
