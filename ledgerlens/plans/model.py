@@ -81,7 +81,10 @@ class Ledger:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Transaction grain without surrogate keys (what the marts read)."""
+        """Transaction grain without surrogate keys (what the marts read).
+
+        One DataFrame object per ledger, so persisting it (the pipeline does
+        while it builds the marts) serves every mart."""
         return star.ledger_facts(self.stg, self.dim_type)
 
     @cached_property
