@@ -28,9 +28,15 @@ def band_label(amount: Column) -> Column:
     return _banded(amount, [label for _, label in BAND_LABELS])
 
 
+def band_label_by_id(bid: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in BAND_LABELS for x in kv])[bid]
+
+
 def band_labels_df(spark: SparkSession) -> DataFrame:
     schema = T.StructType(
         [T.StructField("band_id", T.IntegerType(), False),
          T.StructField("amount_band", T.StringType(), False)]
     )
-    return spark.createDataFrame(BAND_LABELS, schema)
+    from ledgerlens.functions.literals import literal_frame
+
+    return literal_frame(spark, BAND_LABELS, schema)

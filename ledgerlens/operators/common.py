@@ -44,6 +44,13 @@ def count_if(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def with_type_names(agg: DataFrame, dim_type: DataFrame, *extra: str) -> DataFrame:
-    """Attach labels to aggregated rows (5-row broadcast), not to raw rows."""
-    return agg.join(F.broadcast(dim_type.select("transaction_type_key", "type_name", *extra)), "transaction_type_key")
+def with_type_names(agg: DataFrame, dim_type: DataFrame | None = None, *extra: str) -> DataFrame:
+    """Attach type labels to aggregated rows (after the aggregate, so the
+    shuffle carries the small integer key, not the text)."""
+    from ledgerlens.operators.star import type_attr_by_key
+
+    key = F.col("transaction_type_key")
+    out = agg.withColumn("type_name", type_attr_by_key(key, "type_name"))
+    for attr in extra:
+        out = out.withColumn(attr, type_attr_by_key(key, attr))
+    return out.where(F.col("type_name").isNotNull())

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.bands import band_id
 from ledgerlens.functions.numeric import ratio_half_up
 from ledgerlens.operators import dashboard, growth, profitability, risk
 from ledgerlens.operators.common import money
@@ -127,8 +126,9 @@ def measure_is_loss_making(ledger) -> DataFrame:
 def profit_heatmap(ledger) -> DataFrame:
     """Type x band matrix of net profit (M); the band list is fixed, so the
     pivot needs no extra pass to discover its values."""
-    b = profitability.profitability_by_type_and_band(ledger).join(
-        ledger.spark.createDataFrame(BAND_LABELS, "band_id int, amount_band string"), "amount_band"
+    label_to_id = F.create_map(*[F.lit(x) for i, label in BAND_LABELS for x in (label, i)])
+    b = profitability.profitability_by_type_and_band(ledger).withColumn(
+        "band_id", label_to_id[F.col("amount_band")]
     )
     keys = [f"band_{i}" for i, _ in BAND_LABELS]
     p = (

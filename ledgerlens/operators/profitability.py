@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.bands import band_id, band_labels_df
+from ledgerlens.functions.bands import band_id, band_label_by_id
 from ledgerlens.functions.fees import FEE_SCALE
 from ledgerlens.functions.numeric import ratio_half_up
 from ledgerlens.operators.common import cents_to_fee_units, millions, pct, sum_cents, with_type_names
@@ -83,7 +83,7 @@ def profitability_by_type_and_band(ledger) -> DataFrame:
     agg = ledger.priced.groupBy(*keys).agg(*_revenue_aggs(with_fraud=True))
     dup_cols = ["transaction_type_key", band_id(F.col("amount")).alias("band_id"), "amount"]
     agg = _dedup_loss(agg, ledger, keys, dup_cols)
-    named = with_type_names(agg, ledger.dim_type).join(F.broadcast(band_labels_df(ledger.spark)), "band_id")
+    named = with_type_names(agg).withColumn("amount_band", band_label_by_id(F.col("band_id")))
     return named.select(
         "type_name",
         "amount_band",
@@ -131,7 +131,8 @@ def summary_units(ledger) -> DataFrame:
     return totals.crossJoin(true_loss)  # 1 x 1 rows
 
 
-def profitability_summary(ledger) -> DataFrame:
+def profitability_summary(ledger, extra: list | None = None) -> DataFrame:
+    """One row; ``extra`` columns are computed from the same aggregate row."""
     s = summary_units(ledger)
     return s.select(
         F.col("txn_count").alias("total_txns"),
@@ -144,4 +145,5 @@ def profitability_summary(ledger) -> DataFrame:
         millions(F.col("fraud_cents") - F.col("true_cents")).alias("double_counted_millions"),
         millions(_net_u("true_cents"), FEE_SCALE).alias("net_profit_millions"),
         pct(F.col("true_cents"), F.col("value_cents"), 4).alias("fraud_pct_of_total_value"),
+        *(extra or []),
     )

@@ -22,28 +22,34 @@ def _tol():
 
 
 def attribution_totals(ledger) -> DataFrame:
-    """(attributed_to, fraud_txns, loss_cents) for the three buckets, every
-    bucket present even when empty (count 0, loss NULL)."""
+    """(attributed_to, basis, bucket_order, fraud_txns, loss_cents) for the
+    three buckets. One global aggregate over the fraud rows (partial sums per
+    partition) exploded into the three rows, so every bucket is present even
+    when empty (count 0, loss NULL) without a join."""
     bucket = (
-        F.when(F.col("type_name") == "TRANSFER", F.lit("TRANSFER"))
-        .when((F.col("type_name") == "CASH_OUT") & F.col("is_duplicate_leg"), F.lit(NOT_COUNTED))
-        .when(F.col("type_name") == "CASH_OUT", F.lit("CASH_OUT"))
-    )
-    agg = (
-        ledger.fraud.select(bucket.alias("attributed_to"), "amount")
-        .where(F.col("attributed_to").isNotNull())
-        .groupBy("attributed_to")
-        .agg(F.count(F.lit(1)).alias("fraud_txns"), sum_cents("amount").alias("loss_cents"))
-    )
-    buckets = ledger.spark.createDataFrame(
-        [(name, basis, i) for i, (name, basis) in enumerate(ATTRIBUTION_BUCKETS)],
-        "attributed_to string, basis string, bucket_order int",
-    )
-    return F.broadcast(buckets).join(agg, "attributed_to", "left").select(
-        "attributed_to", "basis", "bucket_order",
-        F.coalesce(F.col("fraud_txns"), F.lit(0).cast("long")).alias("fraud_txns"),
-        "loss_cents",
+        F.when(F.col("type_name") == "TRANSFER", F.lit(0))
+        .when((F.col("type_name") == "CASH_OUT") & F.col("is_duplicate_leg"), F.lit(2))
+        .when(F.col("type_name") == "CASH_OUT", F.lit(1))
     )
+    b = ledger.fraud.select(bucket.alias("b"), "amount")
+    aggs = []
+    for i, _ in enumerate(ATTRIBUTION_BUCKETS):
+        aggs += [
+            F.count_if(F.col("b") == i).alias(f"n{i}"),
+            sum_cents(F.when(F.col("b") == i, F.col("amount"))).alias(f"c{i}"),
+        ]
+    one = b.agg(*aggs)
+    rows = F.array(*[
+        F.struct(
+            F.lit(name).alias("attributed_to"),
+            F.lit(basis).alias("basis"),
+            F.lit(i).alias("bucket_order"),
+            F.col(f"n{i}").alias("fraud_txns"),
+            F.col(f"c{i}").alias("loss_cents"),
+        )
+        for i, (name, basis) in enumerate(ATTRIBUTION_BUCKETS)
+    ])
+    return one.select(F.inline(rows))
 
 
 def fraud_loss_attribution(ledger) -> DataFrame:

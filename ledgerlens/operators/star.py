@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.literals import literal_frame
 from ledgerlens.operators.keys import assign_key
 from ledgerlens.schemas import (
     CALENDAR_ANCHOR,
@@ -50,6 +51,37 @@ FEE_SCHEMA = T.StructType(
 )
 
 
+_TYPE_FIELDS = [f.name for f in TYPE_SCHEMA.fields]
+
+
+def _lookup(pairs: list[tuple], key: Column, value_type: T.DataType | None = None) -> Column:
+    """Value of ``key`` in a fixed mapping, as a map-literal expression (NULL
+    when absent). Resolving the fixed 5-row dimensions this way costs no join
+    and no broadcast job at any scale; results equal the inner join."""
+    m = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    v = m[key]
+    return v.cast(value_type) if value_type is not None else v
+
+
+def type_attr(type_name: Column, attr: str) -> Column:
+    i = _TYPE_FIELDS.index(attr)
+    pairs = [(t[1], t[i]) for t in TRANSACTION_TYPES if t[i] is not None]
+    return _lookup(pairs, type_name, TYPE_SCHEMA.fields[i].dataType)
+
+
+def type_attr_by_key(type_key: Column, attr: str) -> Column:
+    i = _TYPE_FIELDS.index(attr)
+    pairs = [(t[0], t[i]) for t in TRANSACTION_TYPES if t[i] is not None]
+    return _lookup(pairs, type_key, TYPE_SCHEMA.fields[i].dataType)
+
+
+def fee_attr_by_key(type_key: Column, attr: str) -> Column:
+    i = [f.name for f in FEE_SCHEMA.fields].index(attr)
+    keys = {t[1]: t[0] for t in TRANSACTION_TYPES}
+    pairs = [(keys[f[0]], f[i]) for f in FEE_ASSUMPTIONS]
+    return _lookup(pairs, type_key, FEE_SCHEMA.fields[i].dataType)
+
+
 def day_of(step: Column) -> Column:
     """Model day: step 1 is day 0 hour 0 -> (step - 1) div 24."""
     return F.floor((step - F.lit(1)) / F.lit(24)).cast("int")
@@ -60,14 +92,14 @@ def hour_of(step: Column) -> Column:
 
 
 def dim_transaction_type(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TRANSACTION_TYPES, TYPE_SCHEMA)
+    return literal_frame(spark, TRANSACTION_TYPES, TYPE_SCHEMA)
 
 
 def fee_model(spark: SparkSession, dim_type: DataFrame | None = None) -> DataFrame:
     """Fee assumptions resolved to the type key (inner join on the natural key)."""
     dim_type = dim_type if dim_type is not None else dim_transaction_type(spark)
-    fees = spark.createDataFrame(FEE_ASSUMPTIONS, FEE_SCHEMA)
-    return fees.join(dim_type.select("type_name", "transaction_type_key"), "type_name").select(
+    fees = literal_frame(spark, FEE_ASSUMPTIONS, FEE_SCHEMA)
+    return fees.join(F.broadcast(dim_type.select("type_name", "transaction_type_key")), "type_name").select(
         "transaction_type_key", "type_name", "fee_rate", "fee_min", "fee_max", "cost_per_txn", "rationale"
     )
 
@@ -126,18 +158,26 @@ def _signed_residuals(df: DataFrame) -> DataFrame:
     )
 
 
-def ledger_facts(stg: DataFrame, dim_type: DataFrame) -> DataFrame:
-    """Transaction-grain fact without surrogate keys, for the marts.
-
-    Broadcast join to the 5-row type dimension (inner: an unknown type is
-    dropped exactly as the keyed fact drops it; ``check_unknown_types``
-    reports it). Day and hour are arithmetic on the step, equal to the
-    dim_date join since dim_date is a dense series over the same steps."""
-    joined = stg.join(
-        F.broadcast(dim_type.select("type_name", "transaction_type_key", "orig_balance_sign", "dest_balance_sign")),
-        stg["type"] == F.col("type_name"),
+def with_type(stg: DataFrame) -> DataFrame:
+    """Staging rows resolved against the type dimension (key and balance
+    signs). Inner-join semantics: a row whose type is not in the dimension is
+    dropped (``assert_fraud_bearing`` reports such types as a failure)."""
+    key = type_attr(F.col("type"), "transaction_type_key")
+    return (
+        stg.withColumn("transaction_type_key", key)
+        .where(F.col("transaction_type_key").isNotNull())
+        .withColumn("type_name", F.col("type"))
+        .withColumn("orig_balance_sign", type_attr(F.col("type"), "orig_balance_sign"))
+        .withColumn("dest_balance_sign", type_attr(F.col("type"), "dest_balance_sign"))
     )
-    facts = _signed_residuals(joined)
+
+
+def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame:
+    """Transaction grain without surrogate keys, for the marts.
+
+    Day and hour are arithmetic on the step, equal to the dim_date join since
+    dim_date is a dense series over the same steps."""
+    facts = _signed_residuals(with_type(stg))
     return facts.select(
         F.col("step").alias("date_key"),
         day_of(F.col("step")).alias("day_number"),
@@ -167,10 +207,7 @@ def fact_transactions(stg: DataFrame, dim_type: DataFrame, accounts: DataFrame)
     staging columns>) via ``assign_key``; account keys by two shuffle joins
     to the conformed account dimension (role-playing)."""
     keyed = assign_key(stg, FACT_KEY_ORDER, "transaction_key")
-    joined = keyed.join(
-        F.broadcast(dim_type.select("type_name", "transaction_type_key", "orig_balance_sign", "dest_balance_sign")),
-        keyed["type"] == F.col("type_name"),
-    )
+    joined = with_type(keyed)
     orig = accounts.select(F.col("account_id").alias("name_orig"), F.col("account_key").alias("orig_account_key"))
     dest = accounts.select(F.col("account_id").alias("name_dest"), F.col("account_key").alias("dest_account_key"))
     joined = joined.join(orig, "name_orig").join(dest, "name_dest")
@@ -224,8 +261,8 @@ def duplicate_cashout_legs(fact: DataFrame, dim_type: DataFrame) -> DataFrame:
 
     Reads only fraud rows (a pushed-down filter), then a left-semi join on the
     signature."""
-    fraud = fact.where(F.col("is_fraud")).join(
-        F.broadcast(dim_type.select("transaction_type_key", "type_name")), "transaction_type_key"
+    fraud = fact.where(F.col("is_fraud")).withColumn(
+        "type_name", type_attr_by_key(F.col("transaction_type_key"), "type_name")
     )
     sigs = leg_signatures(fraud, ["amount", "oldbalance_org"])
     return (

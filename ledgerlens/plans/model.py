@@ -85,7 +85,7 @@ class Ledger:
 
         One DataFrame object per ledger, so persisting it (the pipeline does
         while it builds the marts) serves every mart."""
-        return star.ledger_facts(self.stg, self.dim_type)
+        return star.ledger_facts(self.stg)
 
     @cached_property
     def fraud(self) -> DataFrame:
@@ -98,9 +98,12 @@ class Ledger:
 
     @cached_property
     def priced(self) -> DataFrame:
-        """Facts with the fee rule applied (broadcast join to 5 fee rows)."""
-        fees = self.fee_model.select("transaction_type_key", "fee_rate", "fee_min", "fee_max", "cost_per_txn")
-        f = self.facts.join(F.broadcast(fees), "transaction_type_key")
+        """Facts with the fee rule applied (fee assumptions resolved by key)."""
+        key = F.col("transaction_type_key")
+        f = self.facts
+        for attr in ("fee_rate", "fee_min", "fee_max", "cost_per_txn"):
+            f = f.withColumn(attr, star.fee_attr_by_key(key, attr))
+        f = f.where(F.col("fee_rate").isNotNull())  # inner-join semantics
         fee = transaction_fee(F.col("amount"), F.col("fee_rate"), F.col("fee_min"), F.col("fee_max"))
         return (
             f.withColumn("fee", fee)
