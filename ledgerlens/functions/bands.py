@@ -18,6 +18,13 @@ def _banded(amount: Column, values: list) -> Column:
     return expr.otherwise(F.lit(values[-1]))
 
 
+def band_id_sql(amount: str) -> str:
+    """The band id as SQL text (same edges as ``band_id``)."""
+    uppers = BAND_LOWER_EDGES[1:]
+    whens = " ".join(f"WHEN {amount} < {u} THEN {i}" for (i, _), u in zip(BAND_LABELS, uppers))
+    return f"CAST(CASE {whens} ELSE {BAND_LABELS[-1][0]} END AS INT)"
+
+
 def band_id(amount: Column) -> Column:
     """1..6 as an integer: grouping on a small integer keeps the aggregate a
     cheap hash aggregate; labels are attached to the aggregated rows."""

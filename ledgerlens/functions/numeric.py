@@ -32,13 +32,26 @@ def as_units(value: Column, scale: int) -> Column:
     return (value * F.lit(10**scale)).cast(WIDE_INT)
 
 
-def ratio_half_up(num: Column | int, den: Column | int, scale: int) -> Column:
+def ratio_sql(num: str, den: str, scale: int) -> str:
+    """The same rule as Spark SQL text over integer-valued expressions."""
+    n = f"CAST(({num}) AS DECIMAL(38,0))"
+    d = f"NULLIF(CAST(({den}) AS DECIMAL(38,0)), 0)"
+    p = 10**scale
+    q = f"((abs({n}) * {2 * p} + abs({d})) div (2 * abs({d})))"
+    return f"(CAST(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END AS DOUBLE) / {p}D)"
+
+
+def ratio_half_up(num: Column | str | int, den: Column | str | int, scale: int) -> Column:
     """round(num / den, scale) half away from zero, exact, as DOUBLE.
 
     ``num`` and ``den`` must be integer valued (counts or unit sums); either
-    may be negative. den = 0 or NULL gives NULL."""
-    n = _wide(num)
-    d = F.nullif(_wide(den), _wide(0))
+    may be negative. den = 0 or NULL gives NULL. Given SQL text (column names
+    or expressions over them) the whole rule is built in one call; Column
+    arguments compose the same rule from Column operations."""
+    if not isinstance(num, Column) and not isinstance(den, Column):
+        return F.expr(ratio_sql(str(num), str(den), scale))
+    n = _wide(num if not isinstance(num, str) else F.expr(num))
+    d = F.nullif(_wide(den if not isinstance(den, str) else F.expr(den)), _wide(0))
     two_d = F.abs(d) * _wide(2)
     a = F.abs(n) * _wide(2 * 10**scale) + F.abs(d)
     q = ((a - a % two_d) / two_d).cast(WIDE_INT)

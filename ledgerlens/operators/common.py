@@ -22,21 +22,28 @@ def cents_to_fee_units(cents: Column) -> Column:
     return cents * F.lit(10 ** (FEE_SCALE - CENT_SCALE))
 
 
-def millions(units: Column, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
-    """round(value / 1e6, dp) from exact units."""
+def millions(units: Column | str, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
+    """round(value / 1e6, dp) from exact units (a Column or SQL text)."""
     return ratio_half_up(units, 10 ** (6 + unit_scale), dp)
 
 
-def billions(units: Column, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
+def billions(units: Column | str, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
     return ratio_half_up(units, 10 ** (9 + unit_scale), dp)
 
 
+def fee_units_of_cents(name: str) -> str:
+    """SQL text: a cents column expressed in fee units."""
+    return f"({name}) * {10 ** (FEE_SCALE - CENT_SCALE)}"
+
+
 def money(units: Column, unit_scale: int = CENT_SCALE) -> Column:
     return money_from_units(units, unit_scale)
 
 
-def pct(num: Column, den: Column, dp: int) -> Column:
-    """round(100 * num / den, dp) from integer-valued columns."""
+def pct(num: Column | str, den: Column | str, dp: int) -> Column:
+    """round(100 * num / den, dp) from integer-valued columns or SQL text."""
+    if isinstance(num, str):
+        return ratio_half_up(f"({num}) * 100", den, dp)
     return ratio_half_up(num * F.lit(100), den, dp)
 
 

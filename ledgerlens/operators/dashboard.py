@@ -37,7 +37,7 @@ def dashboard_date(ledger) -> DataFrame:
 
 def dashboard_kpi(ledger) -> DataFrame:
     s = profitability_summary(ledger, extra=[
-        pct(F.col("fraud_txns"), F.col("txn_count"), 4).alias("fraud_pct_of_txn_count")
+        pct("fraud_txns", "txn_count", 4).alias("fraud_pct_of_txn_count")
     ])
     return s.select(
         "total_txns",
@@ -80,10 +80,10 @@ def dashboard_daily(ledger) -> DataFrame:
 
 def dashboard_fraud_waterfall(ledger) -> DataFrame:
     """Three signed bars from one aggregate row (explode, no re-scan)."""
-    naive = ledger.fraud.agg(sum_cents("amount").alias("naive"))
+    naive = ledger.fraud.agg(sum_cents("amount").alias("naive_cents"))
     parts = attribution_totals(ledger).agg(
-        F.sum(F.when(F.col("attributed_to") == NOT_COUNTED, F.col("loss_cents"))).alias("dup"),
-        F.sum(F.when(F.col("attributed_to") != NOT_COUNTED, F.col("loss_cents"))).alias("true"),
+        F.sum(F.when(F.col("attributed_to") == NOT_COUNTED, F.col("loss_cents"))).alias("dup_cents"),
+        F.sum(F.when(F.col("attributed_to") != NOT_COUNTED, F.col("loss_cents"))).alias("true_cents"),
     )
     t = naive.crossJoin(parts)  # 1 x 1 rows
     def bar(order: int, step: str, value, kind: str):
@@ -95,9 +95,9 @@ def dashboard_fraud_waterfall(ledger) -> DataFrame:
         )
 
     bars = F.array(
-        bar(1, "Naive SUM(amount) WHERE is_fraud", millions(F.col("naive")), "total"),
-        bar(2, "Less: duplicate CASH_OUT leg of the same theft", F.lit(0.0) - millions(F.col("dup")), "decrease"),
-        bar(3, "True fraud loss", millions(F.col("true")), "total"),
+        bar(1, "Naive SUM(amount) WHERE is_fraud", millions("naive_cents"), "total"),
+        bar(2, "Less: duplicate CASH_OUT leg of the same theft", F.lit(0.0) - millions("dup_cents"), "decrease"),
+        bar(3, "True fraud loss", millions("true_cents"), "total"),
     )
     return t.select(F.inline(bars)).orderBy("sort_order")
 

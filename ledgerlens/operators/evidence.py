@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.fees import FEE_SCALE, uncapped_fee
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import cents_to_fee_units, millions, money, pct, sum_cents, with_type_names
+from ledgerlens.operators.common import fee_units_of_cents, millions, pct, sum_cents, with_type_names
 from ledgerlens.operators.keys import assign_key
 from ledgerlens.operators.profitability import _revenue_aggs
 from ledgerlens.operators.risk import true_loss_by_type
@@ -53,7 +53,7 @@ def evidence_full_drain(ledger) -> DataFrame:
     return t.select(
         "fraud_transfers",
         "full_drain_transfers",
-        pct(F.col("full_drain_transfers"), F.col("fraud_transfers"), 2).alias("pct_full_drain"),
+        pct("full_drain_transfers", "fraud_transfers", 2).alias("pct_full_drain"),
     )
 
 
@@ -75,15 +75,15 @@ def what_if_uncapped_fee(ledger) -> DataFrame:
     )
     agg = p.groupBy("transaction_type_key").agg(*_revenue_aggs(), F.sum("fee_nocap_u").alias("nocap_u"))
     named = with_type_names(agg, ledger.dim_type).join(true_loss_by_type(ledger), "type_name", "left")
-    loss = cents_to_fee_units(F.coalesce(F.col("loss_cents"), F.lit(0)))
-    cost = cents_to_fee_units(F.col("cost_cents"))
+    loss = fee_units_of_cents("coalesce(loss_cents, 0)")
+    cost = fee_units_of_cents("cost_cents")
     return named.select(
         "type_name",
         "txn_count",
-        millions(F.col("fee_u"), FEE_SCALE).alias("fee_revenue_millions"),
-        millions(F.col("nocap_u"), FEE_SCALE).alias("uncapped_fee_revenue_millions"),
-        millions(F.col("fee_u") - cost - loss, FEE_SCALE).alias("net_profit_millions"),
-        millions(F.col("nocap_u") - cost - loss, FEE_SCALE).alias("uncapped_net_profit_millions"),
+        millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
+        millions("nocap_u", FEE_SCALE).alias("uncapped_fee_revenue_millions"),
+        millions(f"fee_u - {cost} - {loss}", FEE_SCALE).alias("net_profit_millions"),
+        millions(f"nocap_u - {cost} - {loss}", FEE_SCALE).alias("uncapped_net_profit_millions"),
     ).orderBy("type_name")
 
 
@@ -112,7 +112,7 @@ def evidence_zero_amount(ledger) -> DataFrame:
         "type_name",
         "is_fraud",
         "zero_amount_txns",
-        ratio_half_up(F.col("fee_u"), F.lit(10 ** (FEE_SCALE - 2)), 2).alias("fee_charged"),
+        ratio_half_up("fee_u", 10 ** (FEE_SCALE - 2), 2).alias("fee_charged"),
     ).orderBy("type_name", "is_fraud")
 
 
@@ -168,8 +168,8 @@ def evidence_amount_stats(ledger) -> DataFrame:
     return named.select(
         "type_name",
         "txns",
-        ratio_half_up(F.col("value_cents"), F.col("txns") * 100, 2).alias("mean_amount"),
-        ratio_half_up((F.col("mid2") * 100).cast("decimal(38,0)"), F.lit(200), 2).alias("median_amount"),
+        ratio_half_up("value_cents", "txns * 100", 2).alias("mean_amount"),
+        ratio_half_up("mid2 * 100", 200, 2).alias("median_amount"),
         F.col("max_amount").cast("double").alias("max_amount"),
     ).orderBy("type_name")
 
@@ -178,12 +178,11 @@ def type_share(ledger) -> DataFrame:
     agg = ledger.facts.groupBy("transaction_type_key").agg(
         F.count(F.lit(1)).alias("txn_count"), sum_cents("amount").alias("value_cents")
     )
-    everything = Window.partitionBy()  # five rows
     return with_type_names(agg, ledger.dim_type).select(
         "type_name",
         "txn_count",
-        pct(F.col("txn_count"), F.sum("txn_count").over(everything), 2).alias("pct_of_txns"),
-        pct(F.col("value_cents"), F.sum("value_cents").over(everything), 2).alias("pct_of_value"),
+        pct("txn_count", "sum(txn_count) OVER ()", 2).alias("pct_of_txns"),  # five rows
+        pct("value_cents", "sum(value_cents) OVER ()", 2).alias("pct_of_value"),
     ).orderBy("type_name")
 
 
@@ -195,9 +194,9 @@ def evidence_fraud_size_ratio(ledger) -> DataFrame:
         sum_cents(F.when(F.col("is_fraud"), F.col("amount"))).alias("fc"),
     )
     return s.select(
-        ratio_half_up(F.col("fc"), F.col("fn") * 100, 2).alias("mean_fraud_amount"),
-        ratio_half_up(F.col("c"), F.col("n") * 100, 2).alias("mean_amount"),
-        ratio_half_up(F.col("fc") * F.col("n"), F.col("fn") * F.col("c"), 2).alias("fraud_size_ratio"),
+        ratio_half_up("fc", "fn * 100", 2).alias("mean_fraud_amount"),
+        ratio_half_up("c", "n * 100", 2).alias("mean_amount"),
+        ratio_half_up("fc * n", "fn * c", 2).alias("fraud_size_ratio"),
     )
 
 

@@ -36,10 +36,10 @@ def growth_daily_activity(ledger) -> DataFrame:
         F.col("day_number").cast("long").alias("day_number"),
         "txn_count",
         money(F.col("value_cents")).alias("total_value"),
-        millions(F.col("value_cents")).alias("total_value_millions"),
+        millions("value_cents").alias("total_value_millions"),
         "active_originators",
         "active_destinations",
-        ratio_half_up(F.col("value_cents"), F.col("txn_count") * 100, 2).alias("avg_txn_value"),
+        ratio_half_up("value_cents", "txn_count * 100", 2).alias("avg_txn_value"),
         "hours_observed",
         (F.col("hours_observed") == 24).alias("is_complete_day"),
         money(F.col("value_cents") - F.lag("value_cents").over(by_day)).alias("value_change_vs_prior_day"),
@@ -51,14 +51,13 @@ def growth_daily_by_type(ledger) -> DataFrame:
         F.count(F.lit(1)).alias("txn_count"), sum_cents("amount").alias("value_cents")
     )
     named = with_type_names(agg, ledger.dim_type)
-    day = Window.partitionBy("day_number")
     return named.select(
         F.col("day_number").cast("long").alias("day_number"),
         "type_name",
         "txn_count",
-        millions(F.col("value_cents")).alias("total_value_millions"),
-        pct(F.col("txn_count"), F.sum("txn_count").over(day), 2).alias("pct_of_day_txns"),
-        pct(F.col("value_cents"), F.sum("value_cents").over(day), 2).alias("pct_of_day_value"),
+        millions("value_cents").alias("total_value_millions"),
+        pct("txn_count", "sum(txn_count) OVER (PARTITION BY day_number)", 2).alias("pct_of_day_txns"),
+        pct("value_cents", "sum(value_cents) OVER (PARTITION BY day_number)", 2).alias("pct_of_day_value"),
     ).orderBy("day_number", F.col("txn_count").desc())
 
 
@@ -71,17 +70,16 @@ def growth_hourly_profile(ledger) -> DataFrame:
         F.sum("txn_count").alias("total_txns"),
         F.sum("value_cents").alias("value_cents"),
     )
-    everything = Window.partitionBy()  # 24 rows
     busiest = Window.orderBy(F.col("total_txns").desc())
     return hours.select(
         F.col("hour_of_day").cast("long").alias("hour_of_day"),
         "days_observed",
-        ratio_half_up(F.col("total_txns"), F.col("days_observed"), 1).alias("avg_txns_per_hour"),
-        ratio_half_up(F.col("value_cents"), F.col("days_observed") * F.lit(10**8), 2).alias(
+        ratio_half_up("total_txns", "days_observed", 1).alias("avg_txns_per_hour"),
+        ratio_half_up("value_cents", f"days_observed * {10**8}", 2).alias(
             "avg_value_millions_per_hour"
         ),
         "total_txns",
-        pct(F.col("total_txns"), F.sum("total_txns").over(everything), 2).alias("pct_of_all_txns"),
+        pct("total_txns", "sum(total_txns) OVER ()", 2).alias("pct_of_all_txns"),  # 24 rows
         F.rank().over(busiest).cast("long").alias("busiest_hour_rank"),
     ).orderBy("hour_of_day")
 
@@ -108,10 +106,10 @@ def growth_top_destinations(ledger, top: int = TOP_DESTINATIONS) -> DataFrame:
         F.col("name_dest").alias("account_id"),
         party_type(F.col("name_dest")).alias("party_type"),
         F.col("txn_count").alias("txns_received"),
-        millions(F.col("value_cents")).alias("value_received_millions"),
+        millions("value_cents").alias("value_received_millions"),
         "active_days",
         F.col("fraud_txns").alias("fraud_txns_received"),
-        ratio_half_up(F.col("value_cents"), F.col("txn_count") * 100, 2).alias("avg_value_per_txn"),
+        ratio_half_up("value_cents", "txn_count * 100", 2).alias("avg_value_per_txn"),
     )
 
 
@@ -130,11 +128,11 @@ def _recurrence(acts: DataFrame, role: str) -> DataFrame:
         F.lit(role).alias("account_role"),
         "distinct_accounts",
         "single_txn_accounts",
-        pct(F.col("single_txn_accounts"), n, 2).alias("pct_single_txn"),
+        pct("single_txn_accounts", "distinct_accounts", 2).alias("pct_single_txn"),
         "multi_day_accounts",
-        pct(F.col("multi_day_accounts"), n, 2).alias("pct_multi_day"),
+        pct("multi_day_accounts", "distinct_accounts", 2).alias("pct_multi_day"),
         "max_txns",
-        ratio_half_up(F.col("_txns"), n, 3).alias("avg_txns"),
+        ratio_half_up("_txns", "distinct_accounts", 3).alias("avg_txns"),
     )
 
 

@@ -93,14 +93,16 @@ def measure_value_7d_avg(ledger) -> DataFrame:
 
 def measure_fraud_rate(ledger) -> DataFrame:
     t = risk.risk_fraud_by_type(ledger).agg(F.sum("fraud_txns").alias("f"), F.sum("total_txns").alias("n"))
-    return t.select(ratio_half_up(F.col("f") * 100, F.col("n"), 4).alias("fraud_rate_pct"))
+    return t.select(ratio_half_up("f * 100", "n", 4).alias("fraud_rate_pct"))
 
 
 def measure_rule_recall(ledger) -> DataFrame:
     r = risk.risk_flagged_vs_actual(ledger)
     tp, fn = F.col("true_positives"), F.col("false_negatives")
     return r.select(
-        ratio_half_up(tp * 100, tp + fn, 4).alias("incumbent_rule_recall_pct"),
+        ratio_half_up("true_positives * 100", "true_positives + false_negatives", 4).alias(
+            "incumbent_rule_recall_pct"
+        ),
         F.col("false_negatives").alias("frauds_missed"),
         F.col("gross_value_missed_millions").alias("value_missed_millions"),
     )
@@ -111,7 +113,7 @@ def measure_take_rate(ledger) -> DataFrame:
     t = profitability.profitability_by_type(ledger).agg(
         F.sum(hundredths("fee_revenue_millions")).alias("fee"), F.sum(hundredths("total_value_millions")).alias("value")
     )
-    return t.select(ratio_half_up(F.col("fee") * 100, F.col("value"), 4).alias("effective_take_rate_pct"))
+    return t.select(ratio_half_up("fee * 100", "value", 4).alias("effective_take_rate_pct"))
 
 
 def measure_is_loss_making(ledger) -> DataFrame:

@@ -23,7 +23,7 @@ def profile_type_distribution(stg: DataFrame) -> DataFrame:
     return g.select(
         "type",
         "txn_count",
-        pct(F.col("txn_count"), F.sum("txn_count").over(Window.partitionBy()), 2).alias("pct_of_rows"),
+        pct("txn_count", "sum(txn_count) OVER ()", 2).alias("pct_of_rows"),
         money(F.col("value_cents")).alias("total_value"),
     ).orderBy(F.col("txn_count").desc())
 
@@ -45,7 +45,7 @@ def profile_fraud_rate(stg: DataFrame) -> DataFrame:
         "type",
         "txn_count",
         "fraud_count",
-        pct(F.col("fraud_count"), F.col("txn_count"), 4).alias("fraud_pct"),
+        pct("fraud_count", "txn_count", 4).alias("fraud_pct"),
         "flagged_count",
     ).orderBy(F.col("fraud_count").desc())
 
@@ -79,9 +79,9 @@ def _recurrence_summary(acts: DataFrame, label: str) -> DataFrame:
     return s.select(
         label,
         "one_txn_only",
-        pct(F.col("one_txn_only"), F.col(label), 2).alias("pct_one_txn_only"),
+        pct("one_txn_only", label, 2).alias("pct_one_txn_only"),
         "max_txns_per_account",
-        ratio_half_up(F.col("_txns"), F.col(label), 3).alias("avg_txns_per_account"),
+        ratio_half_up("_txns", label, 3).alias("avg_txns_per_account"),
     )
 
 
@@ -110,7 +110,7 @@ def profile_orig_multi_day(stg: DataFrame) -> DataFrame:
     return s.select(
         "distinct_originators",
         "active_on_multiple_days",
-        pct(F.col("active_on_multiple_days"), F.col("distinct_originators"), 2).alias("pct_multi_day"),
+        pct("active_on_multiple_days", "distinct_originators", 2).alias("pct_multi_day"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.bands import band_id, band_label_by_id
 from ledgerlens.functions.fees import FEE_SCALE
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import cents_to_fee_units, millions, pct, sum_cents, with_type_names
+from ledgerlens.operators.common import fee_units_of_cents, millions, pct, sum_cents, with_type_names
 from ledgerlens.operators.risk import attribution_totals, true_loss_by_type
 
 
@@ -33,12 +33,13 @@ def _revenue_aggs(with_fraud: bool = False) -> list:
     return aggs
 
 
-def _net_u(loss_col: str = "loss_cents"):
-    return F.col("fee_u") - cents_to_fee_units(F.col("cost_cents")) - cents_to_fee_units(F.col(loss_col))
+def _net_u(loss_col: str = "loss_cents") -> str:
+    """SQL text: net profit in fee units (fee - cost - loss)."""
+    return f"fee_u - {fee_units_of_cents('cost_cents')} - {fee_units_of_cents(loss_col)}"
 
 
-def _gross_u():
-    return F.col("fee_u") - cents_to_fee_units(F.col("cost_cents"))
+def _gross_u() -> str:
+    return f"fee_u - {fee_units_of_cents('cost_cents')}"
 
 
 def _dedup_loss(agg: DataFrame, ledger, keys: list[str], dup_keys) -> DataFrame:
@@ -63,18 +64,18 @@ def profitability_by_type(ledger) -> DataFrame:
     return combined.select(
         "type_name",
         "txn_count",
-        millions(F.col("value_cents")).alias("total_value_millions"),
-        millions(F.col("fee_u"), FEE_SCALE).alias("fee_revenue_millions"),
-        millions(F.col("cost_cents")).alias("processing_cost_millions"),
+        millions("value_cents").alias("total_value_millions"),
+        millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
+        millions("cost_cents").alias("processing_cost_millions"),
         millions(_gross_u(), FEE_SCALE).alias("gross_profit_millions"),
-        millions(F.col("loss_cents")).alias("fraud_loss_millions"),
+        millions("loss_cents").alias("fraud_loss_millions"),
         millions(_net_u(), FEE_SCALE).alias("net_profit_millions"),
-        ratio_half_up(F.col("fee_u"), F.col("txn_count") * F.lit(fee_den), 4).alias("avg_fee_per_txn"),
-        pct(F.col("fee_u"), cents_to_fee_units(F.col("value_cents")), 4).alias("effective_take_rate_pct"),
+        ratio_half_up("fee_u", f"txn_count * {fee_den}", 4).alias("avg_fee_per_txn"),
+        pct("fee_u", fee_units_of_cents("value_cents"), 4).alias("effective_take_rate_pct"),
         "txns_hitting_cap",
         "txns_hitting_floor",
-        pct(F.col("txns_hitting_cap"), F.col("txn_count"), 2).alias("pct_hitting_cap"),
-        (_net_u() < 0).alias("is_loss_making"),
+        pct("txns_hitting_cap", "txn_count", 2).alias("pct_hitting_cap"),
+        F.expr(f"({_net_u()}) < 0").alias("is_loss_making"),
     ).orderBy(F.col("net_profit_millions").desc())
 
 
@@ -88,13 +89,13 @@ def profitability_by_type_and_band(ledger) -> DataFrame:
         "type_name",
         "amount_band",
         "txn_count",
-        millions(F.col("value_cents")).alias("total_value_millions"),
-        millions(F.col("fee_u"), FEE_SCALE).alias("fee_revenue_millions"),
-        millions(F.col("cost_cents")).alias("processing_cost_millions"),
-        millions(F.col("loss_cents")).alias("fraud_loss_millions"),
+        millions("value_cents").alias("total_value_millions"),
+        millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
+        millions("cost_cents").alias("processing_cost_millions"),
+        millions("loss_cents").alias("fraud_loss_millions"),
         millions(_net_u(), FEE_SCALE).alias("net_profit_millions"),
-        pct(F.col("fee_u"), cents_to_fee_units(F.col("value_cents")), 4).alias("effective_take_rate_pct"),
-        (_net_u() < 0).alias("is_loss_making"),
+        pct("fee_u", fee_units_of_cents("value_cents"), 4).alias("effective_take_rate_pct"),
+        F.expr(f"({_net_u()}) < 0").alias("is_loss_making"),
     ).orderBy("type_name", "amount_band")
 
 
@@ -110,17 +111,17 @@ def profitability_daily_units(ledger) -> DataFrame:
 def profitability_daily(ledger) -> DataFrame:
     d = profitability_daily_units(ledger)
     # running total over at most one row per simulated day
-    running = Window.orderBy("day_number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = f"sum({_net_u()}) OVER (ORDER BY day_number RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return d.select(
         F.col("day_number").cast("long").alias("day_number"),
         "txn_count",
-        millions(F.col("fee_u"), FEE_SCALE).alias("fee_revenue_millions"),
-        millions(F.col("cost_cents")).alias("processing_cost_millions"),
+        millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
+        millions("cost_cents").alias("processing_cost_millions"),
         millions(_gross_u(), FEE_SCALE).alias("gross_profit_millions"),
-        millions(F.col("loss_cents")).alias("fraud_loss_millions"),
+        millions("loss_cents").alias("fraud_loss_millions"),
         millions(_net_u(), FEE_SCALE).alias("net_profit_millions"),
         (F.col("hours_observed") == 24).alias("is_complete_day"),
-        millions(F.sum(_net_u()).over(running), FEE_SCALE).alias("cumulative_net_profit_millions"),
+        millions(running, FEE_SCALE).alias("cumulative_net_profit_millions"),
     ).orderBy("day_number")
 
 
@@ -136,14 +137,14 @@ def profitability_summary(ledger, extra: list | None = None) -> DataFrame:
     s = summary_units(ledger)
     return s.select(
         F.col("txn_count").alias("total_txns"),
-        ratio_half_up(F.col("value_cents"), F.lit(10**11), 2).alias("total_value_billions"),
-        millions(F.col("fee_u"), FEE_SCALE).alias("fee_revenue_millions"),
-        millions(F.col("cost_cents")).alias("processing_cost_millions"),
+        ratio_half_up("value_cents", 10**11, 2).alias("total_value_billions"),
+        millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
+        millions("cost_cents").alias("processing_cost_millions"),
         millions(_gross_u(), FEE_SCALE).alias("gross_profit_millions"),
-        millions(F.col("fraud_cents")).alias("gross_fraud_loss_millions"),
-        millions(F.col("true_cents")).alias("deduplicated_fraud_loss_millions"),
-        millions(F.col("fraud_cents") - F.col("true_cents")).alias("double_counted_millions"),
+        millions("fraud_cents").alias("gross_fraud_loss_millions"),
+        millions("true_cents").alias("deduplicated_fraud_loss_millions"),
+        millions("fraud_cents - true_cents").alias("double_counted_millions"),
         millions(_net_u("true_cents"), FEE_SCALE).alias("net_profit_millions"),
-        pct(F.col("true_cents"), F.col("value_cents"), 4).alias("fraud_pct_of_total_value"),
+        pct("true_cents", "value_cents", 4).alias("fraud_pct_of_total_value"),
         *(extra or []),
     )

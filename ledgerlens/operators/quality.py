@@ -208,10 +208,10 @@ def balance_error_by_fraud(facts: DataFrame) -> DataFrame:
         "is_fraud",
         "rows",
         "orig_inconsistent",
-        pct(F.col("orig_inconsistent"), F.col("rows"), 2).alias("pct_orig_inconsistent"),
+        pct("orig_inconsistent", "rows", 2).alias("pct_orig_inconsistent"),
         "dest_checkable_rows",
         "dest_inconsistent",
-        pct(F.col("dest_inconsistent"), F.col("dest_checkable_rows"), 2).alias("pct_dest_inconsistent"),
+        pct("dest_inconsistent", "dest_checkable_rows", 2).alias("pct_dest_inconsistent"),
     ).orderBy("is_fraud")
 
 
@@ -225,8 +225,8 @@ def balance_error_by_type(facts: DataFrame, dim_type: DataFrame) -> DataFrame:
     return with_type_names(g, dim_type).select(
         "type_name",
         "rows",
-        pct(F.col("o"), F.col("rows"), 2).alias("pct_orig_inconsistent"),
-        pct(F.col("d"), F.col("dc"), 2).alias("pct_dest_inconsistent"),
+        pct("o", "rows", 2).alias("pct_orig_inconsistent"),
+        pct("d", "dc", 2).alias("pct_dest_inconsistent"),
     ).orderBy(F.col("rows").desc())
 
 
@@ -239,7 +239,7 @@ def fraud_by_type_star(fact: DataFrame, dim_type: DataFrame) -> DataFrame:
         "is_fraud_bearing",
         "txn_count",
         "fraud_count",
-        pct(F.col("fraud_count"), F.col("txn_count"), 4).alias("fraud_pct"),
+        pct("fraud_count", "txn_count", 4).alias("fraud_pct"),
     ).orderBy(F.col("fraud_count").desc())
 
 

@@ -59,7 +59,7 @@ def fraud_loss_attribution(ledger) -> DataFrame:
         "basis",
         "fraud_txns",
         money(F.col("loss_cents")).alias("attributed_loss"),
-        millions(F.col("loss_cents")).alias("attributed_loss_millions"),
+        millions("loss_cents").alias("attributed_loss_millions"),
         (F.col("attributed_to") != F.lit(NOT_COUNTED)).alias("counts_toward_true_loss"),
     ).orderBy(F.col("loss_cents").desc_nulls_first())
 
@@ -87,13 +87,13 @@ def risk_fraud_by_type(ledger) -> DataFrame:
         "is_fraud_bearing",
         "total_txns",
         "fraud_txns",
-        pct(F.col("fraud_txns"), F.col("total_txns"), 4).alias("fraud_rate_pct"),
-        millions(F.col("fraud_cents")).alias("gross_fraud_value_millions"),
-        pct(F.col("fraud_cents"), F.col("total_cents"), 4).alias("fraud_pct_of_type_value"),
-        ratio_half_up(F.col("fraud_cents"), F.col("fraud_txns") * 100, 2).alias("avg_fraud_amount"),
+        pct("fraud_txns", "total_txns", 4).alias("fraud_rate_pct"),
+        millions("fraud_cents").alias("gross_fraud_value_millions"),
+        pct("fraud_cents", "total_cents", 4).alias("fraud_pct_of_type_value"),
+        ratio_half_up("fraud_cents", "fraud_txns * 100", 2).alias("avg_fraud_amount"),
         "flagged_txns",
         "flagged_and_fraud",
-        pct(F.col("flagged_and_fraud"), F.col("fraud_txns"), 4).alias("incumbent_rule_recall_pct"),
+        pct("flagged_and_fraud", "fraud_txns", 4).alias("incumbent_rule_recall_pct"),
     ).orderBy(F.col("fraud_txns").desc())
 
 
@@ -108,18 +108,15 @@ def risk_fraud_by_amount_band(ledger) -> DataFrame:
         )
     )
     # share of all fraud value: a window over at most six aggregated rows
-    everything = Window.partitionBy()
     return agg.select(
         "amount_band",
         "total_txns",
         "fraud_txns",
-        pct(F.col("fraud_txns"), F.col("total_txns"), 4).alias("fraud_rate_pct"),
-        millions(F.coalesce(F.col("fraud_cents_or_null"), F.lit(0))).alias("gross_fraud_value_millions"),
-        pct(
-            F.coalesce(F.col("fraud_cents_or_null"), F.lit(0)),
-            F.sum("fraud_cents_or_null").over(everything),
-            2,
-        ).alias("pct_of_all_fraud_value"),
+        pct("fraud_txns", "total_txns", 4).alias("fraud_rate_pct"),
+        millions("coalesce(fraud_cents_or_null, 0)").alias("gross_fraud_value_millions"),
+        pct("coalesce(fraud_cents_or_null, 0)", "sum(fraud_cents_or_null) OVER ()", 2).alias(
+            "pct_of_all_fraud_value"
+        ),
     ).orderBy("amount_band")
 
 
@@ -138,9 +135,9 @@ def risk_flagged_vs_actual(ledger) -> DataFrame:
         "false_positives",
         "false_negatives",
         "true_negatives",
-        pct(tp, tp + fp, 2).alias("precision_pct"),
-        pct(tp, tp + fn, 4).alias("recall_pct"),
-        millions(F.col("missed_cents")).alias("gross_value_missed_millions"),
+        pct("true_positives", "true_positives + false_positives", 2).alias("precision_pct"),
+        pct("true_positives", "true_positives + false_negatives", 4).alias("recall_pct"),
+        millions("missed_cents").alias("gross_value_missed_millions"),
     )
 
 
@@ -159,8 +156,8 @@ def risk_balance_signature(ledger) -> DataFrame:
         "is_fraud",
         "txns",
         "orig_inconsistent",
-        pct(F.col("orig_inconsistent"), F.col("txns"), 2).alias("pct_orig_inconsistent"),
+        pct("orig_inconsistent", "txns", 2).alias("pct_orig_inconsistent"),
         "dest_checkable_txns",
         "dest_inconsistent",
-        pct(F.col("dest_inconsistent"), F.col("dest_checkable_txns"), 2).alias("pct_dest_inconsistent"),
+        pct("dest_inconsistent", "dest_checkable_txns", 2).alias("pct_dest_inconsistent"),
     ).orderBy("type_name", "is_fraud")

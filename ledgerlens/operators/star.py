@@ -136,67 +136,65 @@ def dim_accounts(stg: DataFrame) -> DataFrame:
     return keyed.select("account_key", "account_id", party_type(F.col("account_id")).alias("party_type"))
 
 
-def _signed_residuals(df: DataFrame) -> DataFrame:
-    """Balance deltas and direction-aware ledger residuals.
+def _sql_lookup(expr: str, pairs: list[tuple], sql_type: str) -> str:
+    """CASE lookup in a fixed mapping as SQL text (NULL when absent)."""
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    whens = " ".join(f"WHEN {lit(k)} THEN CAST({lit(v)} AS {sql_type})" for k, v in pairs)
+    return f"CASE {expr} {whens} END"
 
-    residual = new - (old + sign * amount); the destination residual is NULL
-    where the type does not track the destination balance (sign NULL)."""
-    return (
-        df.withColumn("orig_balance_delta", F.col("newbalance_orig") - F.col("oldbalance_org"))
-        .withColumn("dest_balance_delta", F.col("newbalance_dest") - F.col("oldbalance_dest"))
-        .withColumn(
-            "orig_balance_error",
-            F.col("newbalance_orig") - (F.col("oldbalance_org") + F.col("orig_balance_sign") * F.col("amount")),
-        )
-        .withColumn(
-            "dest_balance_error",
-            F.when(
-                F.col("dest_balance_sign").isNotNull(),
-                F.col("newbalance_dest") - (F.col("oldbalance_dest") + F.col("dest_balance_sign") * F.col("amount")),
-            ),
-        )
-    )
+
+def type_attr_sql(expr: str, attr: str, by_key: bool = False) -> str:
+    i = _TYPE_FIELDS.index(attr)
+    pairs = [(t[0] if by_key else t[1], t[i]) for t in TRANSACTION_TYPES if t[i] is not None]
+    return _sql_lookup(expr, pairs, TYPE_SCHEMA.fields[i].dataType.simpleString())
 
 
-def with_type(stg: DataFrame) -> DataFrame:
-    """Staging rows resolved against the type dimension (key and balance
-    signs). Inner-join semantics: a row whose type is not in the dimension is
-    dropped (``assert_fraud_bearing`` reports such types as a failure)."""
-    key = type_attr(F.col("type"), "transaction_type_key")
-    return (
-        stg.withColumn("transaction_type_key", key)
-        .where(F.col("transaction_type_key").isNotNull())
-        .withColumn("type_name", F.col("type"))
-        .withColumn("orig_balance_sign", type_attr(F.col("type"), "orig_balance_sign"))
-        .withColumn("dest_balance_sign", type_attr(F.col("type"), "dest_balance_sign"))
-    )
+def fee_attr_sql(key_expr: str, attr: str) -> str:
+    i = [f.name for f in FEE_SCHEMA.fields].index(attr)
+    keys = {t[1]: t[0] for t in TRANSACTION_TYPES}
+    pairs = [(keys[f[0]], str(f[i])) for f in FEE_ASSUMPTIONS]
+    return _sql_lookup(key_expr, pairs, FEE_SCHEMA.fields[i].dataType.simpleString())
+
+
+def _typed_exprs() -> tuple[str, list[str]]:
+    """(type key, [deltas and direction-aware residuals]) as SQL text over
+    staging columns: residual = new - (old + sign * amount); the destination
+    residual is NULL where the type does not track the destination balance."""
+    key = type_attr_sql("type", "transaction_type_key")
+    o_sign = type_attr_sql("type", "orig_balance_sign")
+    d_sign = type_attr_sql("type", "dest_balance_sign")
+    return key, [
+        "newbalance_orig - oldbalance_org AS orig_balance_delta",
+        "newbalance_dest - oldbalance_dest AS dest_balance_delta",
+        f"newbalance_orig - (oldbalance_org + ({o_sign}) * amount) AS orig_balance_error",
+        f"CASE WHEN ({d_sign}) IS NOT NULL THEN newbalance_dest - (oldbalance_dest + ({d_sign}) * amount) END"
+        " AS dest_balance_error",
+    ]
+
+
+_MONEY_COLUMNS = ["amount", "oldbalance_org", "newbalance_orig", "oldbalance_dest", "newbalance_dest"]
 
 
 def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame:
     """Transaction grain without surrogate keys, for the marts.
 
-    Day and hour are arithmetic on the step, equal to the dim_date join since
-    dim_date is a dense series over the same steps."""
-    facts = _signed_residuals(with_type(stg))
-    return facts.select(
-        F.col("step").alias("date_key"),
-        day_of(F.col("step")).alias("day_number"),
-        hour_of(F.col("step")).alias("hour_of_day"),
-        "transaction_type_key",
-        "type_name",
+    The type dimension is resolved by key lookup with inner-join semantics (a
+    row whose type is not in the dimension is dropped; ``assert_fraud_bearing``
+    reports such types). Day and hour are arithmetic on the step, equal to the
+    dim_date join since dim_date is a dense series over the same steps."""
+    key, residuals = _typed_exprs()
+    return stg.where(f"({key}) IS NOT NULL").selectExpr(
+        "step AS date_key",
+        "CAST(floor((step - 1) / 24) AS INT) AS day_number",
+        "CAST(pmod(step - 1, 24) AS INT) AS hour_of_day",
+        f"{key} AS transaction_type_key",
+        "type AS type_name",
         "name_orig",
         "name_dest",
-        "amount",
-        "oldbalance_org",
-        "newbalance_orig",
-        "oldbalance_dest",
-        "newbalance_dest",
-        "orig_balance_delta",
-        "dest_balance_delta",
-        "orig_balance_error",
-        "dest_balance_error",
-        (F.col("is_fraud") == 1).alias("is_fraud"),
-        (F.col("is_flagged_fraud") == 1).alias("is_flagged_fraud"),
+        *_MONEY_COLUMNS,
+        *residuals,
+        "is_fraud = 1 AS is_fraud",
+        "is_flagged_fraud = 1 AS is_flagged_fraud",
     )
 
 
@@ -206,29 +204,21 @@ def fact_transactions(stg: DataFrame, dim_type: DataFrame, accounts: DataFrame)
     transaction_key = ROW_NUMBER over (step, name_orig, amount, <all other
     staging columns>) via ``assign_key``; account keys by two shuffle joins
     to the conformed account dimension (role-playing)."""
-    keyed = assign_key(stg, FACT_KEY_ORDER, "transaction_key")
-    joined = with_type(keyed)
-    orig = accounts.select(F.col("account_id").alias("name_orig"), F.col("account_key").alias("orig_account_key"))
-    dest = accounts.select(F.col("account_id").alias("name_dest"), F.col("account_key").alias("dest_account_key"))
-    joined = joined.join(orig, "name_orig").join(dest, "name_dest")
-    facts = _signed_residuals(joined)
-    return facts.select(
+    key, residuals = _typed_exprs()
+    keyed = assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key")
+    orig = accounts.selectExpr("account_id AS name_orig", "account_key AS orig_account_key")
+    dest = accounts.selectExpr("account_id AS name_dest", "account_key AS dest_account_key")
+    joined = keyed.join(orig, "name_orig").join(dest, "name_dest")
+    return joined.selectExpr(
         "transaction_key",
-        F.col("step").alias("date_key"),
-        "transaction_type_key",
+        "step AS date_key",
+        f"{key} AS transaction_type_key",
         "orig_account_key",
         "dest_account_key",
-        "amount",
-        "oldbalance_org",
-        "newbalance_orig",
-        "oldbalance_dest",
-        "newbalance_dest",
-        "orig_balance_delta",
-        "dest_balance_delta",
-        "orig_balance_error",
-        "dest_balance_error",
-        (F.col("is_fraud") == 1).alias("is_fraud"),
-        (F.col("is_flagged_fraud") == 1).alias("is_flagged_fraud"),
+        *_MONEY_COLUMNS,
+        *residuals,
+        "is_fraud = 1 AS is_fraud",
+        "is_flagged_fraud = 1 AS is_flagged_fraud",
     )
 
 

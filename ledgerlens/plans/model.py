@@ -17,8 +17,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.bands import band_id
-from ledgerlens.functions.fees import fee_hits_cap, fee_hits_floor, fee_units, transaction_fee
+from ledgerlens.functions.bands import band_id_sql
+from ledgerlens.functions.fees import FEE_SCALE
 from ledgerlens.operators import star
 from ledgerlens.sources.staging import staging_from_sf_dir
 
@@ -99,16 +99,20 @@ class Ledger:
     @cached_property
     def priced(self) -> DataFrame:
         """Facts with the fee rule applied (fee assumptions resolved by key)."""
-        key = F.col("transaction_type_key")
-        f = self.facts
-        for attr in ("fee_rate", "fee_min", "fee_max", "cost_per_txn"):
-            f = f.withColumn(attr, star.fee_attr_by_key(key, attr))
-        f = f.where(F.col("fee_rate").isNotNull())  # inner-join semantics
-        fee = transaction_fee(F.col("amount"), F.col("fee_rate"), F.col("fee_min"), F.col("fee_max"))
-        return (
-            f.withColumn("fee", fee)
-            .withColumn("fee_u", fee_units(F.col("fee")))
-            .withColumn("hits_cap", fee_hits_cap(F.col("amount"), F.col("fee_rate"), F.col("fee_max")))
-            .withColumn("hits_floor", fee_hits_floor(F.col("amount"), F.col("fee_rate"), F.col("fee_min")))
-            .withColumn("band_id", band_id(F.col("amount")))
+        rate, fmin, fmax, cost = (
+            star.fee_attr_sql("transaction_type_key", attr) for attr in ("fee_rate", "fee_min", "fee_max", "cost_per_txn")
+        )
+        fee = f"least(greatest(amount * ({rate}), {fmin}), {fmax})"
+        # inner-join semantics: a type without fee assumptions is dropped
+        return self.facts.where(f"({rate}) IS NOT NULL").selectExpr(
+            "*",
+            f"{rate} AS fee_rate",
+            f"{fmin} AS fee_min",
+            f"{fmax} AS fee_max",
+            f"{cost} AS cost_per_txn",
+            f"{fee} AS fee",
+            f"CAST(({fee}) * {10 ** FEE_SCALE} AS DECIMAL(20,0)) AS fee_u",
+            f"amount * ({rate}) > {fmax} AS hits_cap",
+            f"amount * ({rate}) < {fmin} AS hits_floor",
+            f"{band_id_sql('amount')} AS band_id",
         )

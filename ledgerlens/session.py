@@ -20,6 +20,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # call-site capture costs several JVM round trips per Column call
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # HotSpot never JIT-compiles methods over 8000 bytes of bytecode; larger
+        # whole-stage methods would run interpreted (Spark's documented advice)
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

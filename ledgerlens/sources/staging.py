@@ -15,11 +15,10 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ledgerlens.schemas import CSV_HEADER, MONEY, STAGING_COLUMNS, STAGING_SCHEMA
+from ledgerlens.schemas import CSV_HEADER, STAGING_COLUMNS, STAGING_SCHEMA
 
 # ---------------------------------------------------------------------------
 # Fixed values of the events -> staging mapping.
@@ -48,6 +47,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-partitioned input over the available cores.
+
+    A single large Parquet row group is one split, so all per-row work would
+    run in one task. Only inputs with fewer splits than the cluster's default
+    parallelism are spread; a large input already has thousands of splits
+    and is returned untouched (no extra shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_staging_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV -> staging DataFrame under the declared schema.
 
@@ -69,74 +81,69 @@ def read_staging_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*STAGING_COLUMNS)
 
 
-def _money(cents: Column) -> Column:
-    return (cents.cast("decimal(20,0)") * F.lit(0.01).cast("decimal(3,2)")).cast(MONEY)
+def _sql_case(expr: str, mapping: dict, quote: bool = True) -> str:
+    q = (lambda v: f"'{v}'") if quote else str
+    return "CASE " + expr + " " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in mapping.items()) + " END"
+
+
+def _sql_money(cents: str) -> str:
+    return f"CAST(CAST(({cents}) AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
 
 
 def staging_from_events(events: DataFrame) -> DataFrame:
-    eid = F.col("event_id")
-    type_map = F.create_map(*[F.lit(x) for kv in EVENT_TYPE_TO_TXN_TYPE.items() for x in kv])
-    base = events.select(
-        eid.alias("event_id"),
-        F.col("user_id"),
-        (F.timestamp_diff("HOUR", F.lit(STEP_ORIGIN).cast("timestamp_ntz"),
-                          F.col("ts").cast("timestamp_ntz")) + 1).cast("int").alias("step"),
-        type_map[F.col("event_type")].alias("type0"),
-        (F.round(F.col("value") * 100).cast("long") * AMOUNT_MULTIPLIER + eid % 100).alias("cents"),
-    )
-    first_fraud = ((F.col("type0") == "TRANSFER") & (eid % TRANSFER_FRAUD_MODULUS == 0)) | (
-        (F.col("type0") == "CASH_OUT") & (eid % CASH_OUT_FRAUD_MODULUS == 0)
+    """Three projections and one generator, written as SQL text over the raw
+    columns (a single codegen stage; one JVM call per projection)."""
+    type0 = _sql_case("event_type", EVENT_TYPE_TO_TXN_TYPE)
+    fraud0 = (
+        f"(({type0}) = 'TRANSFER' AND event_id % {TRANSFER_FRAUD_MODULUS} = 0)"
+        f" OR (({type0}) = 'CASH_OUT' AND event_id % {CASH_OUT_FRAUD_MODULUS} = 0)"
     )
-    has_second_leg = (F.col("type0") == "TRANSFER") & first_fraud & (
-        eid % SECOND_LEG_SKIP_MODULUS != 0
+    second_leg = f"({type0}) = 'TRANSFER' AND ({fraud0}) AND event_id % {SECOND_LEG_SKIP_MODULUS} <> 0"
+    legs = events.selectExpr(
+        "event_id",
+        "user_id",
+        f"CAST(timestampdiff(HOUR, TIMESTAMP_NTZ '{STEP_ORIGIN}', CAST(ts AS TIMESTAMP_NTZ)) + 1 AS INT) AS step",
+        f"{type0} AS type0",
+        f"CAST(round(value * 100) AS BIGINT) * {AMOUNT_MULTIPLIER} + event_id % 100 AS cents",
+        f"{fraud0} AS fraud0",
+        f"explode(CASE WHEN {second_leg} THEN array(0, 1) ELSE array(0) END) AS leg",
     )
-    legs = base.withColumn("fraud0", first_fraud).withColumn(
-        "leg", F.explode(F.when(has_second_leg, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    typed = legs.selectExpr(
+        "event_id",
+        "user_id",
+        "step",
+        "cents",
+        "leg",
+        "CASE WHEN leg = 1 THEN 'CASH_OUT' ELSE type0 END AS type",
+        "leg = 1 OR fraud0 AS fraud",
     )
-    second = F.col("leg") == 1
-    typ = F.when(second, F.lit("CASH_OUT")).otherwise(F.col("type0"))
-    fraud = second | F.col("fraud0")
-    cents = F.col("cents")
-    old_o = F.when(F.col("is_fraud_b"), cents).otherwise(eid * ORIG_BALANCE_MULT % ORIG_BALANCE_MOD)
-    old_d = F.when(F.col("type") == "PAYMENT", F.lit(0).cast("long")).otherwise(
-        eid * DEST_BALANCE_MULT % DEST_BALANCE_MOD
+    old_o = f"CASE WHEN fraud THEN cents ELSE event_id * {ORIG_BALANCE_MULT} % {ORIG_BALANCE_MOD} END"
+    old_d = f"CASE WHEN type = 'PAYMENT' THEN 0L ELSE event_id * {DEST_BALANCE_MULT} % {DEST_BALANCE_MOD} END"
+    orig_sign = "CASE WHEN type = 'CASH_IN' THEN 1 ELSE -1 END"
+    dest_sign = "CASE WHEN type = 'CASH_IN' THEN -1 WHEN type = 'PAYMENT' THEN 0 ELSE 1 END"
+    orig_id = (
+        f"CASE WHEN leg = 1 THEN {SECOND_LEG_ID_OFFSET} + event_id"
+        f" ELSE event_id - CASE WHEN event_id % {REPEAT_ORIGINATOR_MODULUS} = 1 THEN 1 ELSE 0 END END"
     )
-    orig_sign = F.when(F.col("type") == "CASH_IN", F.lit(1)).otherwise(F.lit(-1))
-    dest_sign = (
-        F.when(F.col("type") == "CASH_IN", F.lit(-1))
-        .when(F.col("type") == "PAYMENT", F.lit(0))
-        .otherwise(F.lit(1))
+    new_d = (
+        f"CASE WHEN event_id % {UNTRACKED_DEST_MODULUS} = 0 THEN {old_d}"
+        f" ELSE greatest(0, {old_d} + ({dest_sign}) * cents) END"
     )
-    orig_id = F.when(second, F.lit(SECOND_LEG_ID_OFFSET) + eid).otherwise(
-        eid - F.when(eid % REPEAT_ORIGINATOR_MODULUS == 1, F.lit(1)).otherwise(F.lit(0))
-    )
-    staged = (
-        legs.withColumn("type", typ)
-        .withColumn("is_fraud_b", fraud)
-        .withColumn("old_o", old_o)
-        .withColumn("old_d", old_d)
-        .select(
-            F.col("step"),
-            F.col("type"),
-            _money(cents).alias("amount"),
-            F.concat(F.lit("C"), orig_id.cast("string")).alias("name_orig"),
-            _money(F.col("old_o")).alias("oldbalance_org"),
-            _money(F.greatest(F.lit(0), F.col("old_o") + orig_sign * cents)).alias("newbalance_orig"),
-            F.concat(F.when(F.col("type") == "PAYMENT", F.lit("M")).otherwise(F.lit("C")),
-                     F.col("user_id").cast("string")).alias("name_dest"),
-            _money(F.col("old_d")).alias("oldbalance_dest"),
-            _money(
-                F.when(eid % UNTRACKED_DEST_MODULUS == 0, F.col("old_d")).otherwise(
-                    F.greatest(F.lit(0), F.col("old_d") + dest_sign * cents)
-                )
-            ).alias("newbalance_dest"),
-            F.col("is_fraud_b").cast("short").alias("is_fraud"),
-            (F.col("is_fraud_b") & (F.col("type") == "TRANSFER") & (cents > FLAG_THRESHOLD_CENTS))
-            .cast("short").alias("is_flagged_fraud"),
-        )
+    return typed.selectExpr(
+        "step",
+        "type",
+        f"{_sql_money('cents')} AS amount",
+        f"concat('C', CAST({orig_id} AS STRING)) AS name_orig",
+        f"{_sql_money(old_o)} AS oldbalance_org",
+        f"{_sql_money(f'greatest(0, {old_o} + ({orig_sign}) * cents)')} AS newbalance_orig",
+        "concat(CASE WHEN type = 'PAYMENT' THEN 'M' ELSE 'C' END, CAST(user_id AS STRING)) AS name_dest",
+        f"{_sql_money(old_d)} AS oldbalance_dest",
+        f"{_sql_money(new_d)} AS newbalance_dest",
+        "CAST(fraud AS SMALLINT) AS is_fraud",
+        f"CAST(fraud AND type = 'TRANSFER' AND cents > {FLAG_THRESHOLD_CENTS} AS SMALLINT) AS is_flagged_fraud",
     )
-    return staged
 
 
 def staging_from_sf_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staging_from_events(read_table(spark, sf_dir, "events"))
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return staging_from_events(spread(events))
