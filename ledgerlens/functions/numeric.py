@@ -35,10 +35,13 @@ def as_units(value: Column, scale: int) -> Column:
 def ratio_sql(num: str, den: str, scale: int) -> str:
     """The same rule as Spark SQL text over integer-valued expressions."""
     n = f"CAST(({num}) AS DECIMAL(38,0))"
-    d = f"NULLIF(CAST(({den}) AS DECIMAL(38,0)), 0)"
+    d = f"CAST(({den}) AS DECIMAL(38,0))"
     p = 10**scale
     q = f"((abs({n}) * {2 * p} + abs({d})) div (2 * abs({d})))"
-    return f"(CAST(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END AS DOUBLE) / {p}D)"
+    # a plain CASE rather than NULLIF: NULLIF becomes a common-expression
+    # projection that hides a Sort from the top-k (TakeOrderedAndProject) rule
+    return (f"(CAST(CASE WHEN {d} = 0 THEN NULL WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END AS DOUBLE)"
+            f" / {p}D)")
 
 
 def ratio_half_up(num: Column | str | int, den: Column | str | int, scale: int) -> Column:
@@ -51,7 +54,8 @@ def ratio_half_up(num: Column | str | int, den: Column | str | int, scale: int)
     if not isinstance(num, Column) and not isinstance(den, Column):
         return F.expr(ratio_sql(str(num), str(den), scale))
     n = _wide(num if not isinstance(num, str) else F.expr(num))
-    d = F.nullif(_wide(den if not isinstance(den, str) else F.expr(den)), _wide(0))
+    d0 = _wide(den if not isinstance(den, str) else F.expr(den))
+    d = F.when(d0 != 0, d0)
     two_d = F.abs(d) * _wide(2)
     a = F.abs(n) * _wide(2 * 10**scale) + F.abs(d)
     q = ((a - a % two_d) / two_d).cast(WIDE_INT)

@@ -40,7 +40,7 @@ DEST_BALANCE_MULT, DEST_BALANCE_MOD = 104729, 1000000000
 REPEAT_ORIGINATOR_MODULUS = 50     # event_id % 50 = 1 reuses the previous originator id
 UNTRACKED_DEST_MODULUS = 4         # event_id % 4 = 0 leaves the destination balance unchanged
 FLAG_THRESHOLD_CENTS = 300000000   # incumbent rule fires on fraud TRANSFER above 3M
-STEP_ORIGIN = "2024-01-01 00:00:00"
+STEP_ORIGIN_DATE = "2024-01-01"  # step 1 = the first hour of this day
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +102,8 @@ def staging_from_events(events: DataFrame) -> DataFrame:
     legs = events.selectExpr(
         "event_id",
         "user_id",
-        f"CAST(timestampdiff(HOUR, TIMESTAMP_NTZ '{STEP_ORIGIN}', CAST(ts AS TIMESTAMP_NTZ)) + 1 AS INT) AS step",
+        # whole hours since the origin, zone-free on the wall-clock timestamp
+        f"CAST(datediff(to_date(ts), DATE '{STEP_ORIGIN_DATE}') * 24 + hour(ts) + 1 AS INT) AS step",
         f"{type0} AS type0",
         f"CAST(round(value * 100) AS BIGINT) * {AMOUNT_MULTIPLIER} + event_id % 100 AS cents",
         f"{fraud0} AS fraud0",
