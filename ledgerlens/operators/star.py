@@ -198,14 +198,22 @@ def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame
     )
 
 
-def fact_transactions(stg: DataFrame, dim_type: DataFrame, accounts: DataFrame) -> DataFrame:
+def keyed_transactions(stg: DataFrame) -> DataFrame:
+    """Staging rows of known types with their ``transaction_key``."""
+    key, _ = _typed_exprs()
+    return assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key")
+
+
+def fact_transactions(
+    stg: DataFrame, dim_type: DataFrame, accounts: DataFrame, keyed: DataFrame | None = None
+) -> DataFrame:
     """The keyed fact: one row per staging row.
 
     transaction_key = ROW_NUMBER over (step, name_orig, amount, <all other
     staging columns>) via ``assign_key``; account keys by two shuffle joins
     to the conformed account dimension (role-playing)."""
     key, residuals = _typed_exprs()
-    keyed = assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key")
+    keyed = keyed if keyed is not None else keyed_transactions(stg)
     orig = accounts.selectExpr("account_id AS name_orig", "account_key AS orig_account_key")
     dest = accounts.selectExpr("account_id AS name_dest", "account_key AS dest_account_key")
     joined = keyed.join(orig, "name_orig").join(dest, "name_dest")
@@ -246,14 +254,18 @@ def flag_duplicate_legs(
     ).drop("_sig")
 
 
-def duplicate_cashout_legs(fact: DataFrame, dim_type: DataFrame) -> DataFrame:
-    """Keys of the duplicate legs on the keyed fact (the materialized set).
+def duplicate_cashout_legs(fact: DataFrame, dim_type: DataFrame | None = None) -> DataFrame:
+    """Keys of the duplicate legs (the materialized set), from the keyed fact
+    or from keyed staging rows (``type``, ``is_fraud`` as 0/1).
 
     Reads only fraud rows (a pushed-down filter), then a left-semi join on the
     signature."""
-    fraud = fact.where(F.col("is_fraud")).withColumn(
-        "type_name", type_attr_by_key(F.col("transaction_type_key"), "type_name")
-    )
+    if "type" in fact.columns:  # keyed staging rows
+        fraud = fact.where(F.col("is_fraud") == 1).withColumnRenamed("type", "type_name")
+    else:
+        fraud = fact.where(F.col("is_fraud")).withColumn(
+            "type_name", type_attr_by_key(F.col("transaction_type_key"), "type_name")
+        )
     sigs = leg_signatures(fraud, ["amount", "oldbalance_org"])
     return (
         fraud.where(F.col("type_name") == SECOND_LEG_TYPE)

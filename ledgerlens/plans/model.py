@@ -70,14 +70,28 @@ class Ledger:
         return self._prebuilt.get("accounts") or star.dim_accounts(self.stg)
 
     # -- facts ---------------------------------------------------------------
+    @cached_property
+    def keyed(self) -> DataFrame:
+        """Staging rows with their transaction_key (checkpointed)."""
+        return star.keyed_transactions(self.stg)
+
     @cached_property
     def fact(self) -> DataFrame:
         """The keyed fact (surrogate transaction and account keys)."""
-        return self._prebuilt.get("fact") or star.fact_transactions(self.stg, self.dim_type, self.accounts)
+        return self._prebuilt.get("fact") or star.fact_transactions(
+            self.stg, self.dim_type, self.accounts, self.keyed
+        )
 
     @cached_property
     def duplicate_legs(self) -> DataFrame:
-        return self._prebuilt.get("duplicate_legs") or star.duplicate_cashout_legs(self.fact, self.dim_type)
+        """Duplicate-leg keys; they need the transaction key only, so without a
+        written fact they come from the keyed staging rows (the account joins
+        cannot drop a row: the account dimension is built from both columns)."""
+        if "duplicate_legs" in self._prebuilt:
+            return self._prebuilt["duplicate_legs"]
+        if "fact" in self._prebuilt:
+            return star.duplicate_cashout_legs(self._prebuilt["fact"])
+        return star.duplicate_cashout_legs(self.keyed)
 
     @cached_property
     def facts(self) -> DataFrame:
