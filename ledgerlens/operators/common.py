@@ -61,3 +61,13 @@ def with_type_names(agg: DataFrame, dim_type: DataFrame | None = None, *extra: s
     for attr in extra:
         out = out.withColumn(attr, type_attr_by_key(key, attr))
     return out.where(F.col("type_name").isNotNull())
+
+
+def beside(base: DataFrame, *others: DataFrame) -> DataFrame:
+    """The columns of one-row aggregates next to a one-row ``base``, as scalar
+    subqueries (no join of any kind; Spark merges subqueries that read the
+    same aggregate into one)."""
+    cols = [F.col(f"`{c}`") for c in base.columns]
+    for other in others:
+        cols += [other.select(f"`{c}`").scalar().alias(c) for c in other.columns]
+    return base.select(*cols)

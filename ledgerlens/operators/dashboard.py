@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.fees import FEE_SCALE
-from ledgerlens.operators.common import millions, pct, sum_cents
+from ledgerlens.operators.common import beside, millions, pct, sum_cents
 from ledgerlens.operators.growth import growth_daily_activity
 from ledgerlens.operators.profitability import profitability_daily, profitability_summary
 from ledgerlens.operators.risk import attribution_totals
@@ -85,7 +85,7 @@ def dashboard_fraud_waterfall(ledger) -> DataFrame:
         F.sum(F.when(F.col("attributed_to") == NOT_COUNTED, F.col("loss_cents"))).alias("dup_cents"),
         F.sum(F.when(F.col("attributed_to") != NOT_COUNTED, F.col("loss_cents"))).alias("true_cents"),
     )
-    t = naive.crossJoin(parts)  # 1 x 1 rows
+    t = beside(naive, parts)
     def bar(order: int, step: str, value, kind: str):
         return F.struct(
             F.lit(order).cast("long").alias("sort_order"),
@@ -147,7 +147,7 @@ def dashboard_data_caveats(ledger) -> DataFrame:
         F.count(F.lit(1)).alias("zero_rows"),
         F.coalesce(F.sum("fee_u"), F.lit(0)).alias("zero_fee_u"),
     )
-    row = s.crossJoin(steps).crossJoin(last_day_hours).crossJoin(orig).crossJoin(facts_row).crossJoin(zero)
+    row = beside(s, steps, last_day_hours, orig, facts_row, zero)
     c = F.col
     texts = [
         ("Fraud loss", F.concat(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.fees import FEE_SCALE, uncapped_fee
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import fee_units_of_cents, millions, pct, sum_cents, with_type_names
+from ledgerlens.operators.common import beside, fee_units_of_cents, millions, pct, sum_cents, with_type_names
 from ledgerlens.operators.keys import assign_key
 from ledgerlens.operators.profitability import _revenue_aggs
 from ledgerlens.operators.risk import true_loss_by_type
@@ -42,7 +42,7 @@ def evidence_leg_pairs(ledger) -> DataFrame:
     same = t_h.join(c_h, SIGNATURE + ["date_key"]).agg(
         F.coalesce(F.sum(F.col("nt") * F.col("nc")), F.lit(0)).alias("same_hour_pairs")
     )
-    return sig.crossJoin(same).select("leg_pairs", "distinct_signatures", "same_hour_pairs", "duplicate_legs")
+    return beside(sig, same).select("leg_pairs", "distinct_signatures", "same_hour_pairs", "duplicate_legs")
 
 
 def evidence_full_drain(ledger) -> DataFrame:
@@ -63,7 +63,7 @@ def evidence_chain_trace(ledger) -> DataFrame:
     landed = fr.where(F.col("type_name") == FIRST_LEG_TYPE).select(F.col("name_dest").alias("name_orig")).distinct()
     cash = fr.where(F.col("type_name") == SECOND_LEG_TYPE)
     chained = cash.join(landed, "name_orig", "left_semi").agg(F.count(F.lit(1)).alias("chained_cashouts"))
-    return cash.agg(F.count(F.lit(1)).alias("fraud_cashouts")).crossJoin(chained)
+    return beside(cash.agg(F.count(F.lit(1)).alias("fraud_cashouts")), chained)
 
 
 def what_if_uncapped_fee(ledger) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import ratio_half_up
 from ledgerlens.operators import dashboard, growth, profitability, risk
-from ledgerlens.operators.common import money
+from ledgerlens.operators.common import beside, money
 from ledgerlens.schemas import BAND_LABELS, TRANSACTION_TYPES
 
 
@@ -58,8 +58,8 @@ def measure_cards(ledger) -> DataFrame:
         F.col("fraud_pct_of_total_value").alias("fraud_pct_of_value"),
         F.col("fraud_pct_of_txn_count").alias("fraud_pct_of_count"),
     )
-    # every input is a single aggregated row: these cross joins are 1 x 1
-    return cards.crossJoin(daily).crossJoin(by_type).crossJoin(rule).crossJoin(profit).crossJoin(band)
+    # every input is a single aggregated row
+    return beside(cards, daily, by_type, rule, profit, band)
 
 
 def measure_fraud_pct_gross_profit(ledger) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.bands import band_id, band_label_by_id
 from ledgerlens.functions.fees import FEE_SCALE
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import fee_units_of_cents, millions, pct, sum_cents, with_type_names
+from ledgerlens.operators.common import beside, fee_units_of_cents, millions, pct, sum_cents, with_type_names
 from ledgerlens.operators.risk import attribution_totals, true_loss_by_type
 
 
@@ -129,7 +129,7 @@ def summary_units(ledger) -> DataFrame:
     """One row of exact totals: txns, value, fee, cost, gross fraud, true fraud."""
     totals = ledger.priced.agg(*_revenue_aggs(with_fraud=True), F.count_if(F.col("is_fraud")).alias("fraud_txns"))
     true_loss = true_loss_by_type(ledger).agg(F.sum("loss_cents").alias("true_cents"))
-    return totals.crossJoin(true_loss)  # 1 x 1 rows
+    return beside(totals, true_loss)
 
 
 def profitability_summary(ledger, extra: list | None = None) -> DataFrame:

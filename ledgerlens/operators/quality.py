@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.common import money, pct, sum_cents, with_type_names
+from ledgerlens.operators.common import beside, money, pct, sum_cents, with_type_names
 from ledgerlens.schemas import RESIDUAL_TOLERANCE, STAGING_COLUMNS
 
 
@@ -102,7 +102,7 @@ def fee_clamp_cases(spark) -> DataFrame:
 def check_row_count(stg: DataFrame, fact: DataFrame) -> DataFrame:
     s = stg.agg(F.count(F.lit(1)).alias("staging_rows"))
     f = fact.agg(F.count(F.lit(1)).alias("fact_rows"))
-    return s.crossJoin(f).select(
+    return beside(s, f).select(
         "staging_rows", "fact_rows", _verdict(F.col("staging_rows") == F.col("fact_rows")).alias("result")
     )
 
@@ -110,7 +110,7 @@ def check_row_count(stg: DataFrame, fact: DataFrame) -> DataFrame:
 def check_measures(stg: DataFrame, fact: DataFrame) -> DataFrame:
     s = stg.agg(sum_cents("amount").alias("s_c"), F.sum(F.col("is_fraud").cast("long")).alias("staging_fraud_rows"))
     f = fact.agg(sum_cents("amount").alias("f_c"), F.count_if(F.col("is_fraud")).alias("fact_fraud_rows"))
-    j = s.crossJoin(f)
+    j = beside(s, f)
     ok = (F.col("s_c") == F.col("f_c")) & (F.col("staging_fraud_rows") == F.col("fact_fraud_rows"))
     return j.select(
         money(F.col("s_c")).alias("staging_total_amount"),
@@ -135,11 +135,11 @@ def check_orphans(fact: DataFrame, dim_date: DataFrame, dim_type: DataFrame, acc
         d = F.broadcast(d) if small else d
         return fact.select(key).join(d, key, "left_anti").agg(F.count(F.lit(1)).alias(name))
 
-    return (
-        orphans("date_key", dim_date, "date_key", "orphaned_date_keys", True)
-        .crossJoin(orphans("transaction_type_key", dim_type, "transaction_type_key", "orphaned_type_keys", True))
-        .crossJoin(orphans("orig_account_key", accounts, "account_key", "orphaned_orig_keys", False))
-        .crossJoin(orphans("dest_account_key", accounts, "account_key", "orphaned_dest_keys", False))
+    return beside(
+        orphans("date_key", dim_date, "date_key", "orphaned_date_keys", True),
+        orphans("transaction_type_key", dim_type, "transaction_type_key", "orphaned_type_keys", True),
+        orphans("orig_account_key", accounts, "account_key", "orphaned_orig_keys", False),
+        orphans("dest_account_key", accounts, "account_key", "orphaned_dest_keys", False),
     )
 
 
@@ -168,7 +168,7 @@ def check_date_dense(dim_date: DataFrame, stg: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("steps_missing_from_dim"))
     )
     expected = F.col("max_step") - F.col("min_step") + 1
-    return d.crossJoin(missing).select(
+    return beside(d, missing).select(
         "min_step",
         "max_step",
         "dim_date_rows",
@@ -181,11 +181,11 @@ def check_date_dense(dim_date: DataFrame, stg: DataFrame) -> DataFrame:
 def account_coverage(fact: DataFrame, accounts: DataFrame) -> DataFrame:
     origs = fact.select(F.col("orig_account_key").alias("k")).distinct()
     dests = fact.select(F.col("dest_account_key").alias("k")).distinct()
-    return (
-        accounts.agg(F.count(F.lit(1)).alias("dim_account_rows"))
-        .crossJoin(origs.agg(F.count(F.lit(1)).alias("distinct_originators")))
-        .crossJoin(dests.agg(F.count(F.lit(1)).alias("distinct_destinations")))
-        .crossJoin(origs.join(dests, "k").agg(F.count(F.lit(1)).alias("accounts_in_both_roles")))
+    return beside(
+        accounts.agg(F.count(F.lit(1)).alias("dim_account_rows")),
+        origs.agg(F.count(F.lit(1)).alias("distinct_originators")),
+        dests.agg(F.count(F.lit(1)).alias("distinct_destinations")),
+        origs.join(dests, "k").agg(F.count(F.lit(1)).alias("accounts_in_both_roles")),
     )
 
 
