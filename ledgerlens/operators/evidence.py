@@ -147,7 +147,7 @@ def evidence_amount_stats(ledger) -> DataFrame:
     stats = base.groupBy("transaction_type_key").agg(
         F.count(F.lit(1)).alias("txns"), sum_cents("amount").alias("value_cents"), F.max("amount").alias("max_amount")
     )
-    ranked = assign_key(base, ["transaction_type_key", "amount"], "rank")
+    ranked = assign_key(base, ["transaction_type_key", "amount"], "rank", split_ties=True)
     first = ranked.groupBy("transaction_type_key").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n"))
     mids = first.select(
         "transaction_type_key",

@@ -22,13 +22,32 @@ from ledgerlens.session import ensure_checkpoint_dir
 _POSITION_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
 
 
-def assign_key(df: DataFrame, order_cols: list[str], key_col: str, num_partitions: int | None = None) -> DataFrame:
+def assign_key(
+    df: DataFrame,
+    order_cols: list[str],
+    key_col: str,
+    num_partitions: int | None = None,
+    split_ties: bool = False,
+) -> DataFrame:
+    """Keys 1..n in ``order_cols`` order.
+
+    The range partition count defaults to the larger of the shuffle
+    partition setting and the input's split count, so each sorted partition
+    stays about one input split in size at any scale. ``split_ties`` appends
+    the input position as a last order column: rows tied on every order
+    column (interchangeable for the caller) can then be spread over several
+    partitions instead of piling into one; the checkpoint freezes the
+    numbering."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    order = list(order_cols)
+    if split_ties:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        order.append("_tie")
     tagged = (
-        df.repartitionByRange(n, *order_cols)
-        .sortWithinPartitions(*order_cols)
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint(eager=True)
@@ -43,4 +62,4 @@ def assign_key(df: DataFrame, order_cols: list[str], key_col: str, num_partition
     keyed = tagged.join(F.broadcast(offsets), "_pid").withColumn(
         key_col, F.col("_offset") + position + F.lit(1)
     )
-    return keyed.drop("_pid", "_mid", "_offset")
+    return keyed.drop("_pid", "_mid", "_offset", "_tie")

@@ -201,7 +201,9 @@ def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame
 def keyed_transactions(stg: DataFrame) -> DataFrame:
     """Staging rows of known types with their ``transaction_key``."""
     key, _ = _typed_exprs()
-    return assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key")
+    # rows tied on all eleven columns are identical: any numbering among them
+    # gives the same table, so they may be split across partitions
+    return assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key", split_ties=True)
 
 
 def fact_transactions(
