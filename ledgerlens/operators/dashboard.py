@@ -55,26 +55,44 @@ def dashboard_kpi(ledger) -> DataFrame:
 
 
 def dashboard_daily(ledger) -> DataFrame:
-    g = growth_daily_activity(ledger)
-    p = profitability_daily(ledger).drop("txn_count", "is_complete_day")
-    d = dashboard_date(ledger).select("day_number", "simulated_date", "is_complete_day")
-    return g.select(
-        "day_number", "txn_count", "total_value_millions", "active_originators", "active_destinations", "avg_txn_value"
-    ).join(p, "day_number").join(d, "day_number").select(
-        "day_number",
+    """Growth and profitability on one daily grain, with the calendar flag.
+
+    Equal to joining the daily activity, daily profitability and calendar
+    marts on the day, but computed from one per-day aggregate over the priced
+    facts (one scan instead of two) plus the small duplicate-leg and calendar
+    aggregates."""
+    from ledgerlens.functions.fees import FEE_SCALE
+    from ledgerlens.functions.numeric import ratio_half_up
+    from ledgerlens.operators.profitability import _dedup_loss, _gross_u, _net_u
+
+    daily = ledger.priced.groupBy("day_number").agg(
+        F.count(F.lit(1)).alias("txn_count"),
+        sum_cents("amount").alias("value_cents"),
+        F.count_distinct("name_orig").alias("active_originators"),
+        F.count_distinct("name_dest").alias("active_destinations"),
+        F.sum("fee_u").alias("fee_u"),
+        sum_cents("cost_per_txn").alias("cost_cents"),
+        F.coalesce(sum_cents(F.when(F.col("is_fraud"), F.col("amount"))), F.lit(0)).alias("fraud_cents"),
+    )
+    daily = _dedup_loss(daily, ledger, ["day_number"], ["day_number", "amount"])
+    cal = dashboard_date(ledger).select(F.col("day_number").cast("int").alias("day_number"), "simulated_date",
+                                        "is_complete_day")
+    running = f"sum({_net_u()}) OVER (ORDER BY day_number RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return daily.join(cal, "day_number").select(
+        F.col("day_number").cast("long").alias("day_number"),
         "simulated_date",
         "is_complete_day",
         "txn_count",
-        "total_value_millions",
+        millions("value_cents").alias("total_value_millions"),
         "active_originators",
         "active_destinations",
-        "avg_txn_value",
-        "fee_revenue_millions",
-        "processing_cost_millions",
-        "gross_profit_millions",
-        "fraud_loss_millions",
-        "net_profit_millions",
-        "cumulative_net_profit_millions",
+        ratio_half_up("value_cents", "txn_count * 100", 2).alias("avg_txn_value"),
+        millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
+        millions("cost_cents").alias("processing_cost_millions"),
+        millions(_gross_u(), FEE_SCALE).alias("gross_profit_millions"),
+        millions("loss_cents").alias("fraud_loss_millions"),
+        millions(_net_u(), FEE_SCALE).alias("net_profit_millions"),
+        millions(running, FEE_SCALE).alias("cumulative_net_profit_millions"),
     ).orderBy("day_number")
 
 

@@ -56,10 +56,14 @@ def build_star(spark: SparkSession, stg: DataFrame, out_dir: str, timings: dict
     ledger = Ledger.from_staging(spark, spark.read.parquet(os.path.join(out_dir, "stg_transactions")))
 
     t = time.time()
-    _write(ledger.dim_date, os.path.join(out_dir, "dim_date"), single_file=True)
-    _write(ledger.dim_type, os.path.join(out_dir, "dim_transaction_type"), single_file=True)
-    _write(ledger.fee_model, os.path.join(out_dir, "fee_model"), single_file=True)
-    _write(ledger.accounts, os.path.join(out_dir, "dim_accounts"))
+    dims = [
+        (ledger.dim_date, "dim_date", True),
+        (ledger.dim_type, "dim_transaction_type", True),
+        (ledger.fee_model, "fee_model", True),
+        (ledger.accounts, "dim_accounts", False),
+    ]
+    with ThreadPoolExecutor(max_workers=len(dims)) as pool:  # independent jobs
+        list(pool.map(lambda d: _write(d[0], os.path.join(out_dir, d[1]), single_file=d[2]), dims))
     timings["dimensions"] = time.time() - t
 
     t = time.time()
