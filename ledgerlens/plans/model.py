@@ -41,16 +41,14 @@ class Ledger:
     @classmethod
     def from_warehouse(cls, spark: SparkSession, path: str) -> "Ledger":
         read = lambda name: spark.read.parquet(os.path.join(path, name))
-        return cls(
-            spark,
-            read("stg_transactions"),
-            {
-                "dim_date": read("dim_date"),
-                "accounts": read("dim_accounts"),
-                "fact": read("fact_transactions"),
-                "duplicate_legs": read("duplicate_cashout_legs"),
-            },
-        )
+        prebuilt = {
+            "dim_date": read("dim_date"),
+            "accounts": read("dim_accounts"),
+            "fact": read("fact_transactions"),
+            "duplicate_legs": read("duplicate_cashout_legs"),
+            "fraud": read("fraud_transactions"),
+        }
+        return cls(spark, read("stg_transactions"), prebuilt)
 
     # -- dimensions --------------------------------------------------------
     @cached_property
@@ -103,7 +101,10 @@ class Ledger:
 
     @cached_property
     def fraud(self) -> DataFrame:
-        """Fraud rows only, each flagged ``is_duplicate_leg``."""
+        """Fraud rows only, each flagged ``is_duplicate_leg`` (the written
+        fraud subset when the ledger reads a warehouse)."""
+        if "fraud" in self._prebuilt:
+            return self._prebuilt["fraud"]
         return star.flag_duplicate_legs(self.facts.where(F.col("is_fraud")))
 
     @cached_property

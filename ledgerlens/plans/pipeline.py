@@ -1,8 +1,8 @@
 """The build: staging -> star -> validation -> marts, in a fixed stage order.
 
 * Every target is written with ``mode("overwrite")``, so a rebuild is
-  idempotent and the duplicate-leg table is always rebuilt with the fact it
-  is derived from (it cannot go stale).
+  idempotent and the duplicate-leg and fraud-subset tables are always rebuilt
+  with the fact they are derived from (they cannot go stale).
 * The keyed fact is clustered by hour (``sortWithinPartitions``) so Parquet
   min/max statistics prune row groups for time filters.
 * Marts read back the written staging table; the narrow transaction-grain
@@ -73,6 +73,9 @@ def build_star(spark: SparkSession, stg: DataFrame, out_dir: str, timings: dict
     t = time.time()
     written = Ledger(spark, ledger.stg, {"fact": spark.read.parquet(os.path.join(out_dir, "fact_transactions"))})
     _write(written.duplicate_legs, os.path.join(out_dir, "duplicate_cashout_legs"))
+    # the fraud subset (a fraction of a percent of rows) with its duplicate-leg
+    # flag: every fraud-only mart reads this instead of the fact
+    _write(ledger.fraud, os.path.join(out_dir, "fraud_transactions"))
     timings["duplicate_legs"] = time.time() - t
     return Ledger.from_warehouse(spark, out_dir)
 
