@@ -24,9 +24,6 @@ def uncapped_fee(amount: Column, rate: Column, fee_min: Column) -> Column:
     return F.greatest(amount * rate, fee_min)
 
 
-def fee_units(fee: Column) -> Column:
-    """Exact per-row fee in 1e-7 units, DECIMAL(20,0) so sums stay exact."""
-    return (fee * F.lit(10**FEE_SCALE)).cast("decimal(20,0)")
 
 
 def fee_hits_cap(amount: Column, rate: Column, fee_max: Column) -> Column:

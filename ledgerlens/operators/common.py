@@ -17,9 +17,6 @@ def sum_cents(col: Column | str) -> Column:
     return as_units(F.sum(c), CENT_SCALE)
 
 
-def cents_to_fee_units(cents: Column) -> Column:
-    """Cents expressed in fee units (1e-7) so money of both scales can be combined."""
-    return cents * F.lit(10 ** (FEE_SCALE - CENT_SCALE))
 
 
 def millions(units: Column | str, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
@@ -27,8 +24,6 @@ def millions(units: Column | str, unit_scale: int = CENT_SCALE, dp: int = 2) ->
     return ratio_half_up(units, 10 ** (6 + unit_scale), dp)
 
 
-def billions(units: Column | str, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
-    return ratio_half_up(units, 10 ** (9 + unit_scale), dp)
 
 
 def fee_units_of_cents(name: str) -> str:

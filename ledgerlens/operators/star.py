@@ -63,10 +63,6 @@ def _lookup(pairs: list[tuple], key: Column, value_type: T.DataType | None = Non
     return v.cast(value_type) if value_type is not None else v
 
 
-def type_attr(type_name: Column, attr: str) -> Column:
-    i = _TYPE_FIELDS.index(attr)
-    pairs = [(t[1], t[i]) for t in TRANSACTION_TYPES if t[i] is not None]
-    return _lookup(pairs, type_name, TYPE_SCHEMA.fields[i].dataType)
 
 
 def type_attr_by_key(type_key: Column, attr: str) -> Column:
@@ -75,11 +71,6 @@ def type_attr_by_key(type_key: Column, attr: str) -> Column:
     return _lookup(pairs, type_key, TYPE_SCHEMA.fields[i].dataType)
 
 
-def fee_attr_by_key(type_key: Column, attr: str) -> Column:
-    i = [f.name for f in FEE_SCHEMA.fields].index(attr)
-    keys = {t[1]: t[0] for t in TRANSACTION_TYPES}
-    pairs = [(keys[f[0]], f[i]) for f in FEE_ASSUMPTIONS]
-    return _lookup(pairs, type_key, FEE_SCHEMA.fields[i].dataType)
 
 
 def day_of(step: Column) -> Column:
