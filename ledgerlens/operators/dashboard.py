@@ -3,6 +3,8 @@ waterfall and caveats computed from the data."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from ledgerlens.operators.growth import growth_daily_activity
 from ledgerlens.operators.profitability import profitability_daily, profitability_summary
 from ledgerlens.operators.risk import attribution_totals
 from ledgerlens.operators.star import calendar_date
-from ledgerlens.schemas import NOT_COUNTED
+from ledgerlens.schemas import CAVEATS, FINAL_DAY_COMPLETE, FINAL_DAY_PARTIAL, NOT_COUNTED, WATERFALL_STEPS
 
 
 def dashboard_date(ledger) -> DataFrame:
@@ -112,11 +114,8 @@ def dashboard_fraud_waterfall(ledger) -> DataFrame:
             F.lit(kind).alias("bar_type"),
         )
 
-    bars = F.array(
-        bar(1, "Naive SUM(amount) WHERE is_fraud", millions("naive_cents"), "total"),
-        bar(2, "Less: duplicate CASH_OUT leg of the same theft", F.lit(0.0) - millions("dup_cents"), "decrease"),
-        bar(3, "True fraud loss", millions("true_cents"), "total"),
-    )
+    values = {1: millions("naive_cents"), 2: F.lit(0.0) - millions("dup_cents"), 3: millions("true_cents")}
+    bars = F.array(*[bar(order, step, values[order], kind) for order, step, kind in WATERFALL_STEPS])
     return t.select(F.inline(bars)).orderBy("sort_order")
 
 
@@ -167,49 +166,35 @@ def dashboard_data_caveats(ledger) -> DataFrame:
     )
     row = beside(s, steps, last_day_hours, orig, facts_row, zero)
     c = F.col
-    texts = [
-        ("Fraud loss", F.concat(
-            F.lit("Reported fraud loss is DEDUPLICATED ("), _dec(c("deduplicated_fraud_loss_millions")),
-            F.lit("M). The naive SUM(amount) WHERE is_fraud gives "), _dec(c("gross_fraud_loss_millions")),
-            F.lit("M and double-counts each two-step theft (a TRANSFER draining the victim, then a CASH_OUT of the "
-                  "same money)."))),
-        ("Dates", F.concat(
-            F.lit("All dates are SYNTHETIC. The data provides an hour counter (step "), _n(c("min_step")), F.lit("-"),
-            _n(c("max_step")), F.lit(", "), _n(c("last_day") + 1),
-            F.lit(" days) and no calendar. Day 0 is anchored to 2024-01-01 arbitrarily so date hierarchies work."))),
-        ("Final day", F.concat(
-            F.lit("Day "), _n(c("last_day")), F.lit(" has "), _n(c("last_day_hours")), F.lit(" of 24 hours. "),
-            F.when(c("last_day_hours") < 24,
-                   F.lit("Its lower totals are not a decline in activity. Filter on is_complete_day to exclude it."))
-            .otherwise(F.lit("It is a complete day.")))),
-        ("Retention", F.concat(
-            F.lit("No MAU or cohort retention is reported. "), _dec(c("pct_single")),
-            F.lit("% of originating accounts transact exactly once; "), _dec(c("pct_multi")),
-            F.lit("% are active on more than one day."))),
-        ("Balance signature", F.concat(
-            F.lit("Fraudulent rows are ledger-inconsistent on the originator side in "), _dec(c("fraud_bad")),
-            F.lit("% of cases vs "), _dec(c("legit_bad")),
-            F.lit("% for legitimate rows. This describes the data generator; it is not a real-world fraud "
-                  "detection rule."))),
-        ("The 10M cash-outs", F.concat(
-            _n(c("cashout_10m_fraud")), F.lit(" of "), _n(c("cashout_10m")),
-            F.lit(" CASH_OUTs of exactly 10,000,000.00 are fraudulent; "), _n(c("transfer_10m_legit")),
-            F.lit(" legitimate TRANSFERs also sit at exactly 10M."))),
-        ("Fee model", F.lit(
-            "All revenue and cost figures rest on an INVENTED fee model (see fee_model). The data contains no fee "
-            "data. The ranking of segments is the finding; absolute currency values are illustrative.")),
-        ("Total value", F.concat(
-            F.lit("Total value processed ("), _dec(c("total_value_billions")),
-            F.lit("bn) is THROUGHPUT, not distinct money. A transfer followed by a cash-out counts the same value "
-                  "twice, for legitimate transactions as well as fraudulent ones."))),
-        ("Zero-amount rows", F.concat(
-            _n(c("zero_rows")),
-            F.lit(" fraudulent CASH_OUT rows have amount = 0. They are retained as-is; the fee floor charges "),
-            _dec(c("zero_fee_u").cast("decimal(38,0)") / F.lit(10**7)),
-            F.lit(" units on them in total."))),
-    ]
+    figures = {
+        "true_loss_m": _dec(c("deduplicated_fraud_loss_millions")),
+        "naive_loss_m": _dec(c("gross_fraud_loss_millions")),
+        "min_step": _n(c("min_step")),
+        "max_step": _n(c("max_step")),
+        "days": _n(c("last_day") + 1),
+        "last_day": _n(c("last_day")),
+        "last_day_hours": _n(c("last_day_hours")),
+        "final_day_note": F.when(c("last_day_hours") < 24, F.lit(FINAL_DAY_PARTIAL)).otherwise(F.lit(FINAL_DAY_COMPLETE)),
+        "pct_single": _dec(c("pct_single")),
+        "pct_multi": _dec(c("pct_multi")),
+        "fraud_bad": _dec(c("fraud_bad")),
+        "legit_bad": _dec(c("legit_bad")),
+        "cashout_10m_fraud": _n(c("cashout_10m_fraud")),
+        "cashout_10m": _n(c("cashout_10m")),
+        "transfer_10m_legit": _n(c("transfer_10m_legit")),
+        "total_bn": _dec(c("total_value_billions")),
+        "zero_rows": _n(c("zero_rows")),
+        "zero_fee": _dec(c("zero_fee_u").cast("decimal(38,0)") / F.lit(10**7)),
+    }
+
+    def render(template: str):
+        parts = re.split(r"\{(\w+)\}", template)  # literal, name, literal, name, ...
+        cols = [figures[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p or i % 2]
+        return F.concat(*cols) if len(cols) > 1 else cols[0]
+
     items = F.array(*[
-        F.struct(F.lit(i).cast("long").alias("caveat_id"), F.lit(topic).alias("applies_to"), text.alias("caveat_text"))
-        for i, (topic, text) in enumerate(texts, start=1)
+        F.struct(F.lit(i).cast("long").alias("caveat_id"), F.lit(topic).alias("applies_to"),
+                 render(template).alias("caveat_text"))
+        for i, topic, template in CAVEATS
     ])
     return row.select(F.inline(items)).orderBy("caveat_id")
