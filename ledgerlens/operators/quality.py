@@ -33,15 +33,50 @@ def _check_rows(df: DataFrame, check: str) -> DataFrame:
     )
 
 
+# -------------------------------------------------- shared check expressions
+# Each check is an aggregate expression, so ``validation_report`` can compute
+# every staging-level check in one pass over staging and every fact-level
+# check in one pass over the fact.
+
+def _is_m(col: str) -> Column:
+    return F.left(F.col(col), F.lit(1)) == "M"
+
+
+def staging_check_exprs() -> dict[str, Column]:
+    return {
+        "payment_dest_untracked": F.count_if(
+            (F.col("type") == "PAYMENT") & ((F.col("oldbalance_dest") != 0) | (F.col("newbalance_dest") != 0))
+        ),
+        "merchant_never_originates": F.count_if(_is_m("name_orig")),
+        "merchant_receives_only_payment": F.count_if(_is_m("name_dest") & (F.col("type") != "PAYMENT")),
+        "constraint:staging_not_null": sum([F.count_if(F.col(c).isNull()) for c in STAGING_COLUMNS], F.lit(0)),
+        "constraint:staging_flags_zero_one": F.count_if(
+            ~F.col("is_fraud").isin(0, 1) | ~F.col("is_flagged_fraud").isin(0, 1)
+        ),
+    }
+
+
+def _staging_totals() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("staging_rows"),
+        sum_cents("amount").alias("s_c"),
+        F.sum(F.col("is_fraud").cast("long")).alias("staging_fraud_rows"),
+    ]
+
+
+def _fact_totals() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("fact_rows"),
+        sum_cents("amount").alias("f_c"),
+        F.count_if(F.col("is_fraud")).alias("fact_fraud_rows"),
+    ]
+
+
 # ----------------------------------------------------------------- assertions
 
 def assert_payment_dest_untracked(stg: DataFrame) -> DataFrame:
     """A1: PAYMENT destination balances are untracked (all zero)."""
-    v = stg.agg(
-        F.count_if(
-            (F.col("type") == "PAYMENT") & ((F.col("oldbalance_dest") != 0) | (F.col("newbalance_dest") != 0))
-        ).alias("violations")
-    )
+    v = stg.agg(staging_check_exprs()["payment_dest_untracked"].alias("violations"))
     return _check_rows(v, "payment_dest_untracked")
 
 
@@ -65,10 +100,10 @@ def assert_fraud_bearing(stg: DataFrame, dim_type: DataFrame) -> DataFrame:
 
 def assert_merchant_rule(stg: DataFrame) -> DataFrame:
     """A3: merchants never originate and only receive PAYMENT (one scan)."""
-    is_m = lambda c: F.left(F.col(c), F.lit(1)) == "M"
+    e = staging_check_exprs()
     v = stg.agg(
-        F.count_if(is_m("name_orig")).alias("m_as_originator"),
-        F.count_if(is_m("name_dest") & (F.col("type") != "PAYMENT")).alias("m_as_non_payment_dest"),
+        e["merchant_never_originates"].alias("m_as_originator"),
+        e["merchant_receives_only_payment"].alias("m_as_non_payment_dest"),
     )
     return _check_rows(v.select(F.col("m_as_originator").alias("violations")), "merchant_never_originates").unionByName(
         _check_rows(v.select(F.col("m_as_non_payment_dest").alias("violations")), "merchant_receives_only_payment")
@@ -100,17 +135,15 @@ def fee_clamp_cases(spark) -> DataFrame:
 # --------------------------------------------------------- reconciliation V1-V9
 
 def check_row_count(stg: DataFrame, fact: DataFrame) -> DataFrame:
-    s = stg.agg(F.count(F.lit(1)).alias("staging_rows"))
-    f = fact.agg(F.count(F.lit(1)).alias("fact_rows"))
+    s = stg.agg(*_staging_totals())
+    f = fact.agg(*_fact_totals())
     return beside(s, f).select(
         "staging_rows", "fact_rows", _verdict(F.col("staging_rows") == F.col("fact_rows")).alias("result")
     )
 
 
 def check_measures(stg: DataFrame, fact: DataFrame) -> DataFrame:
-    s = stg.agg(sum_cents("amount").alias("s_c"), F.sum(F.col("is_fraud").cast("long")).alias("staging_fraud_rows"))
-    f = fact.agg(sum_cents("amount").alias("f_c"), F.count_if(F.col("is_fraud")).alias("fact_fraud_rows"))
-    j = beside(s, f)
+    j = beside(stg.agg(*_staging_totals()), fact.agg(*_fact_totals()))
     ok = (F.col("s_c") == F.col("f_c")) & (F.col("staging_fraud_rows") == F.col("fact_fraud_rows"))
     return j.select(
         money(F.col("s_c")).alias("staging_total_amount"),
@@ -248,12 +281,21 @@ def fraud_by_type_star(fact: DataFrame, dim_type: DataFrame) -> DataFrame:
 def constraint_violations(stg: DataFrame, dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame,
                           fee_model: DataFrame) -> DataFrame:
     """C1: the declared constraints of the model as counted violations."""
-    stg_nulls = stg.agg(
-        sum([F.count_if(F.col(c).isNull()) for c in STAGING_COLUMNS], F.lit(0)).alias("v")
-    ).select(F.lit("staging_not_null").alias("constraint"), "v")
-    stg_flags = stg.agg(
-        F.count_if(~F.col("is_fraud").isin(0, 1) | ~F.col("is_flagged_fraud").isin(0, 1)).alias("v")
-    ).select(F.lit("staging_flags_zero_one").alias("constraint"), "v")
+    e = staging_check_exprs()
+    stg_checks = stg.agg(
+        e["constraint:staging_not_null"].alias("staging_not_null"),
+        e["constraint:staging_flags_zero_one"].alias("staging_flags_zero_one"),
+    )
+    stg_nulls = stg_checks.select(F.lit("staging_not_null").alias("constraint"), F.col("staging_not_null").alias("v"))
+    stg_flags = stg_checks.select(
+        F.lit("staging_flags_zero_one").alias("constraint"), F.col("staging_flags_zero_one").alias("v")
+    )
+    return _union_constraints(stg_nulls, stg_flags, dim_date, dim_type, accounts, fee_model)
+
+
+def dimension_constraints(dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame,
+                          fee_model: DataFrame) -> list[DataFrame]:
+    """(constraint, v) frames for the declared constraints of the dimensions."""
     hours = dim_date.agg(
         F.count_if((F.col("hour_of_day") < 0) | (F.col("hour_of_day") > 23)).alias("v")
     ).select(F.lit("dim_date_hour_0_23").alias("constraint"), "v")
@@ -278,7 +320,11 @@ def constraint_violations(stg: DataFrame, dim_date: DataFrame, dim_type: DataFra
     fee_bounds = fee_model.agg(F.count_if(F.col("fee_max") < F.col("fee_min")).alias("v")).select(
         F.lit("fee_cap_at_least_floor").alias("constraint"), "v"
     )
-    parts = [stg_nulls, stg_flags, hours, days, signs, party, acct_unique, fee_rate, fee_bounds]
+    return [hours, days, signs, party, acct_unique, fee_rate, fee_bounds]
+
+
+def _union_constraints(stg_nulls, stg_flags, dim_date, dim_type, accounts, fee_model) -> DataFrame:
+    parts = [stg_nulls, stg_flags, *dimension_constraints(dim_date, dim_type, accounts, fee_model)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -288,40 +334,47 @@ def constraint_violations(stg: DataFrame, dim_date: DataFrame, dim_type: DataFra
 # -------------------------------------------------------------------- validate
 
 def validation_report(ledger) -> DataFrame:
-    """Every verdict-bearing check as (check, violations, result)."""
+    """Every verdict-bearing check as (check, violations, result).
+
+    One aggregate pass over staging computes all staging-level checks (and
+    its totals), one pass over the fact computes the fact totals and the key
+    count; the remaining checks read the small dimensions or join the fact
+    to them (anti joins)."""
     stg, fact = ledger.stg, ledger.fact
-    rc = check_row_count(stg, fact).select(
-        F.lit("row_count").alias("check"), F.abs(F.col("staging_rows") - F.col("fact_rows")).alias("violations"), "result"
-    )
-    ms = check_measures(stg, fact).select(
-        F.lit("measures").alias("check"), F.when(F.col("result") == "PASS", 0).otherwise(1).cast("long").alias("violations"),
-        "result",
-    )
-    gr = check_grain(fact).select(
-        F.lit("grain").alias("check"), (F.col("total_rows") - F.col("distinct_keys")).alias("violations"), "result"
+    exprs = staging_check_exprs()
+    stg_row = stg.agg(*_staging_totals(), *[e.alias(f"c{i}") for i, e in enumerate(exprs.values())])
+    fact_row = fact.agg(*_fact_totals(), F.count_distinct("transaction_key").alias("distinct_keys"))
+    both = beside(stg_row, fact_row)
+    verdicts = [(name, F.col(f"c{i}")) for i, name in enumerate(exprs)] + [
+        ("row_count", F.abs(F.col("staging_rows") - F.col("fact_rows"))),
+        ("measures", F.when((F.col("s_c") == F.col("f_c"))
+                            & (F.col("staging_fraud_rows") == F.col("fact_fraud_rows")), 0).otherwise(1)),
+        ("grain", F.col("fact_rows") - F.col("distinct_keys")),
+    ]
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("check"), v.cast("long").alias("violations")) for name, v in verdicts
+    ])
+    shared = both.select(F.inline(rows))
+    orph = check_orphans(fact, ledger.dim_date, ledger.dim_type, ledger.accounts).select(
+        F.lit("orphans").alias("check"),
+        (F.col("orphaned_date_keys") + F.col("orphaned_type_keys") + F.col("orphaned_orig_keys")
+         + F.col("orphaned_dest_keys")).alias("violations"),
     )
-    orph = check_orphans(fact, ledger.dim_date, ledger.dim_type, ledger.accounts)
-    orph = _check_rows(
-        orph.select((F.col("orphaned_date_keys") + F.col("orphaned_type_keys") + F.col("orphaned_orig_keys")
-                     + F.col("orphaned_dest_keys")).alias("violations")), "orphans")
-    dense = check_date_dense(ledger.dim_date, stg)
-    dense = _check_rows(dense.select(
-        ((F.col("expected_rows_if_dense") - F.col("dim_date_rows")) + F.col("steps_missing_from_dim")).alias("violations")
-    ), "date_dense_and_covering")
-    cons = constraint_violations(stg, ledger.dim_date, ledger.dim_type, ledger.accounts, ledger.fee_model).select(
-        F.concat(F.lit("constraint:"), F.col("constraint")).alias("check"), "violations",
-        _verdict(F.col("violations") == 0).alias("result"),
+    dense = check_date_dense(ledger.dim_date, stg).select(
+        F.lit("date_dense_and_covering").alias("check"),
+        ((F.col("expected_rows_if_dense") - F.col("dim_date_rows")) + F.col("steps_missing_from_dim")).alias(
+            "violations"
+        ),
     )
-    parts = [
-        assert_payment_dest_untracked(stg),
-        assert_fraud_bearing(stg, ledger.dim_type),
-        assert_merchant_rule(stg),
-        rc, ms, gr, orph, dense, cons,
+    dims = dimension_constraints(ledger.dim_date, ledger.dim_type, ledger.accounts, ledger.fee_model)
+    parts = [shared, assert_fraud_bearing(stg, ledger.dim_type).select("check", "violations"), orph, dense] + [
+        d.select(F.concat(F.lit("constraint:"), F.col("constraint")).alias("check"), F.col("v").alias("violations"))
+        for d in dims
     ]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p.select("check", F.col("violations").cast("long").alias("violations"), "result"))
-    return out
+        out = out.unionByName(p.select("check", F.col("violations").cast("long").alias("violations")))
+    return out.select("check", "violations", _verdict(F.col("violations") == 0).alias("result"))
 
 
 def validate(ledger) -> DataFrame:
