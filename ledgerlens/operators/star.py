@@ -2,7 +2,9 @@
 dimension, transaction fact, fee assumptions and duplicate legs.
 
 Scale notes
-* The type and fee tables are 5-row literals: broadcasting them is safe.
+* The type and fee tables are fixed 5-row values. The fact resolves them as
+  CASE lookups inside its projection (no join, no broadcast); the tables
+  themselves exist for output and for the checks.
 * ``dim_date`` is derived from two aggregates (min/max step) and a sequence;
   its size is the number of simulated hours, not the number of rows.
 * ``dim_accounts`` is as large as the fact. It is joined by shuffle (never
