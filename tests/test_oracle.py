@@ -47,3 +47,18 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 1 and rows[0]["total_txns"] > 0
+
+
+@pytest.mark.parametrize("name", ["dashboard_date", "growth_daily_activity", "growth_hourly_profile"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        s = entry.queries()[name](spark, SMOKE_DIR).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    d = con.execute(entry.oracle_sql()[name]).df()
+    cols = sorted(s.columns)
+    assert sorted(tuple(canon(x) for x in r) for r in s[cols].astype(object).itertuples(index=False)) == sorted(
+        tuple(canon(x) for x in r) for r in d[cols].astype(object).itertuples(index=False)
+    )

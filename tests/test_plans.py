@@ -44,3 +44,18 @@ def test_fraud_subset_pushdown(spark):
 
     pushed = re.findall(r"PushedFilters: \[[^\]]*", p)
     assert pushed and all("EqualTo(is_fraud,true)" in f for f in pushed)
+
+
+def test_no_cartesian_or_python_in_any_query(spark):
+    """No registered query plans a cartesian product, a nested-loop join or
+    a Python UDF."""
+    import __spark_entry__ as entry
+
+    bad = {}
+    for name, q in entry.queries().items():
+        p = plan(q(spark, SMOKE_DIR))
+        hits = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+                if op in p]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
