@@ -114,3 +114,13 @@ def test_properties(micro):
     acc = quality.account_coverage(micro.fact, micro.accounts).collect()[0]
     assert acc["dim_account_rows"] == acc["distinct_originators"] + acc["distinct_destinations"] - acc[
         "accounts_in_both_roles"]
+
+
+def test_caveats_partial_final_day(micro):
+    from ledgerlens.operators import dashboard
+
+    c = {r["caveat_id"]: r["caveat_text"] for r in dashboard.dashboard_data_caveats(micro).collect()}
+    assert c[3] == ("Day 1 has 2 of 24 hours. Its lower totals are not a decline in activity. "
+                    "Filter on is_complete_day to exclude it.")
+    assert c[1].startswith("Reported fraud loss is DEDUPLICATED (10.30M). The naive SUM(amount) WHERE is_fraud gives 10.30M")
+    assert c[9].startswith("1 fraudulent CASH_OUT rows have amount = 0.") and "charges 10.00 units" in c[9]
