@@ -4,8 +4,8 @@
 ``Ledger.from_staging`` wraps any staging DataFrame (e.g. the CSV reader);
 ``Ledger.from_warehouse`` reads a star written by ``plans.pipeline``.
 
-Nothing here triggers a job except the keyed tables (``accounts`` and
-``fact``), whose surrogate keys are fixed by a reliable checkpoint.
+Nothing here triggers a job except the keyed tables (``keyed``, ``accounts``
+and ``fact``), whose surrogate keys are fixed by a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -61,11 +61,11 @@ class Ledger:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return self._prebuilt.get("dim_date") or star.dim_date(self.stg)
+        return self._prebuilt["dim_date"] if "dim_date" in self._prebuilt else star.dim_date(self.stg)
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return self._prebuilt.get("accounts") or star.dim_accounts(self.stg)
+        return self._prebuilt["accounts"] if "accounts" in self._prebuilt else star.dim_accounts(self.stg)
 
     # -- facts ---------------------------------------------------------------
     @cached_property
@@ -76,9 +76,9 @@ class Ledger:
     @cached_property
     def fact(self) -> DataFrame:
         """The keyed fact (surrogate transaction and account keys)."""
-        return self._prebuilt.get("fact") or star.fact_transactions(
-            self.stg, self.dim_type, self.accounts, self.keyed
-        )
+        if "fact" in self._prebuilt:
+            return self._prebuilt["fact"]
+        return star.fact_transactions(self.stg, self.dim_type, self.accounts, self.keyed)
 
     @cached_property
     def duplicate_legs(self) -> DataFrame:
