@@ -4,9 +4,11 @@ without a single-partition window.
 Plan: one range shuffle on the full order (sampled boundaries, so a hot
 leading value such as one busy hour is split across partitions by the
 following columns), a sort within each partition, then the position of each
-row inside its partition. The tagged rows are checkpointed to the cluster's
-reliable checkpoint folder, which fixes partition ids and positions (a lost
-executor cannot renumber anything) and cuts lineage. Per-partition row counts
+row inside its partition. The tagged rows are written once as a table in the
+cluster's shared checkpoint folder (``spark.checkpoint.dir``), which fixes
+partition ids and positions (a lost executor cannot renumber anything) and
+cuts lineage; unlike an eager RDD checkpoint, the sort is not run a second
+time to write the files. Per-partition row counts
 (one row per partition: a proven size bound) become running offsets that are
 broadcast back. Keys are 1..n in order; rows tied on *every* order column
 are identical, so any numbering among them yields the same table.
@@ -14,12 +16,34 @@ are identical, so any numbering among them yields the same table.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import ensure_checkpoint_dir
 
 _POSITION_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
+_KEY_TABLES: list[str] = []  # tagged tables written by this process
+
+
+def key_tables_mark() -> int:
+    return len(_KEY_TABLES)
+
+
+def release_key_tables(spark, since: int = 0) -> int:
+    """Delete the tagged tables written since ``key_tables_mark()`` returned
+    ``since``, once every DataFrame that reads them has been written out (the
+    pipeline calls this after the star is on disk). Returns the number of
+    tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while len(_KEY_TABLES) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_KEY_TABLES.pop())
+        removed += int(bool(path.getFileSystem(conf).delete(path, True)))
+    return removed
 
 
 def assign_key(
@@ -36,22 +60,24 @@ def assign_key(
     stays about one input split in size at any scale. ``split_ties`` appends
     the input position as a last order column: rows tied on every order
     column (interchangeable for the caller) can then be spread over several
-    partitions instead of piling into one; the checkpoint freezes the
+    partitions instead of piling into one; the written table freezes the
     numbering."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     order = list(order_cols)
     if split_ties:
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         order.append("_tie")
-    tagged = (
+    tagged_path = os.path.join(ensure_checkpoint_dir(spark), f"keys-{uuid.uuid4().hex}")
+    (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .write.parquet(tagged_path)
     )
+    _KEY_TABLES.append(tagged_path)
+    tagged = spark.read.parquet(tagged_path)
     position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _POSITION_BITS)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

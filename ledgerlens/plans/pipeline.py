@@ -23,6 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators import quality
+from ledgerlens.operators.keys import key_tables_mark, release_key_tables
 from ledgerlens.plans.model import Ledger
 from ledgerlens.plans.registry import MARTS, normalise
 
@@ -50,6 +51,7 @@ def _write(df: DataFrame, path: str, single_file: bool = False) -> None:
 def build_star(spark: SparkSession, stg: DataFrame, out_dir: str, timings: dict | None = None) -> Ledger:
     """Write staging, dimensions, the keyed fact and the duplicate legs."""
     timings = timings if timings is not None else {}
+    mark = key_tables_mark()
     t = time.time()
     _write(stg, os.path.join(out_dir, "stg_transactions"))
     timings["staging"] = time.time() - t
@@ -77,6 +79,7 @@ def build_star(spark: SparkSession, stg: DataFrame, out_dir: str, timings: dict
     # flag: every fraud-only mart reads this instead of the fact
     _write(ledger.fraud, os.path.join(out_dir, "fraud_transactions"))
     timings["duplicate_legs"] = time.time() - t
+    release_key_tables(spark, mark)  # the keyed rows now live in the written fact
     return Ledger.from_warehouse(spark, out_dir)
 
 

@@ -18,6 +18,11 @@ def test_rebuild_is_idempotent(spark):
         assert os.path.isdir(os.path.join(out, "marts", name))
     dup = spark.read.parquet(os.path.join(out, "duplicate_cashout_legs")).collect()
     assert [r["transaction_key"] for r in dup] == [2]
+    from ledgerlens.operators import keys
+
+    before = keys.key_tables_mark()
+    pipeline.build_star(spark, staging_df(spark, MICRO_ROWS), tempfile.mkdtemp(prefix="ll-pipe-"))
+    assert keys.key_tables_mark() == before  # tagged key tables released once the star is written
 
 
 def test_warehouse_marts_equal_direct_marts(spark):
