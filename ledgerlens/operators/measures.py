@@ -1,5 +1,9 @@
 """BI measures re-aimed as DataFrame operators over the marts.
 
+Each measure takes either a ``Ledger`` (the marts are computed, as a
+registered query must) or ``WrittenMarts`` (the pipeline evaluates them over
+the marts it has just written, like a BI layer over imported tables).
+
 Ratios are always recomputed from summed numerators and denominators, never
 averaged. Sums over published (rounded) columns are exact: each rounded value
 is turned back into integer hundredths before summing.
@@ -16,6 +20,38 @@ from ledgerlens.operators.common import beside, money
 from ledgerlens.schemas import BAND_LABELS, TRANSACTION_TYPES
 
 
+class WrittenMarts:
+    """Marts already written by the pipeline (one folder per mart): measures
+    evaluated over them read a few hundred rows instead of the fact."""
+
+    def __init__(self, spark, marts_dir: str):
+        self.spark, self.marts_dir = spark, marts_dir
+
+    def read(self, name: str) -> DataFrame:
+        import os
+
+        return self.spark.read.parquet(os.path.join(self.marts_dir, name))
+
+
+_MART_FUNCS = {
+    "dashboard_kpi": lambda L: dashboard.dashboard_kpi(L),
+    "dashboard_daily": lambda L: dashboard.dashboard_daily(L),
+    "dashboard_date": lambda L: dashboard.dashboard_date(L),
+    "risk_fraud_by_type": lambda L: risk.risk_fraud_by_type(L),
+    "risk_flagged_vs_actual": lambda L: risk.risk_flagged_vs_actual(L),
+    "profitability_by_type": lambda L: profitability.profitability_by_type(L),
+    "profitability_by_type_and_band": lambda L: profitability.profitability_by_type_and_band(L),
+    "growth_daily_by_type": lambda L: growth.growth_daily_by_type(L),
+}
+
+
+def _mart(source, name: str) -> DataFrame:
+    """A mart from written files, or computed from a ledger."""
+    if isinstance(source, WrittenMarts):
+        return source.read(name)
+    return _MART_FUNCS[name](source)
+
+
 def hundredths(col: str | Column) -> Column:
     """A published 2-dp figure back to exact integer hundredths."""
     c = F.col(col) if isinstance(col, str) else col
@@ -28,23 +64,23 @@ def _sum2(df: DataFrame, col: str, alias: str) -> Column:
 
 def measure_cards(ledger) -> DataFrame:
     """The plain SUM cards of the report, on one row."""
-    kpi = dashboard.dashboard_kpi(ledger)
-    daily = dashboard.dashboard_daily(ledger).agg(
+    kpi = _mart(ledger, "dashboard_kpi")
+    daily = _mart(ledger, "dashboard_daily").agg(
         F.sum("txn_count").alias("daily_transactions"),
         money(F.sum(hundredths("total_value_millions"))).alias("daily_value_millions"),
         F.sum("active_originators").alias("active_originators"),
         money(F.sum(hundredths("cumulative_net_profit_millions"))).alias("cumulative_net_profit_millions"),
     )
-    by_type = risk.risk_fraud_by_type(ledger).agg(F.sum("fraud_txns").alias("fraud_transactions"))
-    rule = risk.risk_flagged_vs_actual(ledger).select(
+    by_type = _mart(ledger, "risk_fraud_by_type").agg(F.sum("fraud_txns").alias("fraud_transactions"))
+    rule = _mart(ledger, "risk_flagged_vs_actual").select(
         F.col("false_negatives").alias("frauds_missed"), F.col("gross_value_missed_millions").alias("value_missed_millions")
     )
-    profit = profitability.profitability_by_type(ledger).agg(
+    profit = _mart(ledger, "profitability_by_type").agg(
         money(F.sum(hundredths("net_profit_millions"))).alias("net_profit_by_type_millions"),
         money(F.sum(hundredths("fee_revenue_millions"))).alias("fee_revenue_by_type_millions"),
         money(F.sum(hundredths("fraud_loss_millions"))).alias("fraud_loss_by_type_millions"),
     )
-    band = profitability.profitability_by_type_and_band(ledger).agg(
+    band = _mart(ledger, "profitability_by_type_and_band").agg(
         money(F.sum(hundredths("net_profit_millions"))).alias("net_profit_band_millions")
     )
     cards = kpi.select(
@@ -64,7 +100,7 @@ def measure_cards(ledger) -> DataFrame:
 
 def measure_fraud_pct_gross_profit(ledger) -> DataFrame:
     """Fraud loss as a share of gross profit; blank (NULL) when gross is 0."""
-    k = dashboard.dashboard_kpi(ledger)
+    k = _mart(ledger, "dashboard_kpi")
     return k.select(
         ratio_half_up(hundredths("fraud_loss_millions"), hundredths("gross_profit_millions"), 4).alias(
             "fraud_as_share_of_gross_profit"
@@ -73,15 +109,15 @@ def measure_fraud_pct_gross_profit(ledger) -> DataFrame:
 
 
 def measure_daily_value_complete(ledger) -> DataFrame:
-    d = dashboard.dashboard_daily(ledger).where(F.col("is_complete_day"))
+    d = _mart(ledger, "dashboard_daily").where(F.col("is_complete_day"))
     return d.agg(money(F.sum(hundredths("total_value_millions"))).alias("daily_value_complete_days_millions"))
 
 
 def measure_value_7d_avg(ledger) -> DataFrame:
     """Trailing 7-calendar-day mean of daily value per calendar day; days
     without a daily row are skipped (not counted as zero)."""
-    dates = dashboard.dashboard_date(ledger).select("day_number", "simulated_date")
-    daily = dashboard.dashboard_daily(ledger).select("day_number", hundredths("total_value_millions").alias("v"))
+    dates = _mart(ledger, "dashboard_date").select("day_number", "simulated_date")
+    daily = _mart(ledger, "dashboard_daily").select("day_number", hundredths("total_value_millions").alias("v"))
     week = Window.orderBy("day_number").rangeBetween(-6, 0)  # one row per simulated day
     j = dates.join(daily, "day_number", "left")
     return j.select(
@@ -92,12 +128,12 @@ def measure_value_7d_avg(ledger) -> DataFrame:
 
 
 def measure_fraud_rate(ledger) -> DataFrame:
-    t = risk.risk_fraud_by_type(ledger).agg(F.sum("fraud_txns").alias("f"), F.sum("total_txns").alias("n"))
+    t = _mart(ledger, "risk_fraud_by_type").agg(F.sum("fraud_txns").alias("f"), F.sum("total_txns").alias("n"))
     return t.select(ratio_half_up("f * 100", "n", 4).alias("fraud_rate_pct"))
 
 
 def measure_rule_recall(ledger) -> DataFrame:
-    r = risk.risk_flagged_vs_actual(ledger)
+    r = _mart(ledger, "risk_flagged_vs_actual")
     tp, fn = F.col("true_positives"), F.col("false_negatives")
     return r.select(
         ratio_half_up("true_positives * 100", "true_positives + false_negatives", 4).alias(
@@ -110,14 +146,14 @@ def measure_rule_recall(ledger) -> DataFrame:
 
 def measure_take_rate(ledger) -> DataFrame:
     """Sum of fee revenue / sum of value over the per-type mart (value-weighted)."""
-    t = profitability.profitability_by_type(ledger).agg(
+    t = _mart(ledger, "profitability_by_type").agg(
         F.sum(hundredths("fee_revenue_millions")).alias("fee"), F.sum(hundredths("total_value_millions")).alias("value")
     )
     return t.select(ratio_half_up("fee * 100", "value", 4).alias("effective_take_rate_pct"))
 
 
 def measure_is_loss_making(ledger) -> DataFrame:
-    t = profitability.profitability_by_type(ledger)
+    t = _mart(ledger, "profitability_by_type")
     return t.select(
         "type_name",
         "net_profit_millions",
@@ -129,7 +165,7 @@ def profit_heatmap(ledger) -> DataFrame:
     """Type x band matrix of net profit (M); the band list is fixed, so the
     pivot needs no extra pass to discover its values."""
     label_to_id = F.create_map(*[F.lit(x) for i, label in BAND_LABELS for x in (label, i)])
-    b = profitability.profitability_by_type_and_band(ledger).withColumn(
+    b = _mart(ledger, "profitability_by_type_and_band").withColumn(
         "band_id", label_to_id[F.col("amount_band")]
     )
     keys = [f"band_{i}" for i, _ in BAND_LABELS]
@@ -146,5 +182,5 @@ def profit_heatmap(ledger) -> DataFrame:
 def product_mix(ledger) -> DataFrame:
     """Daily transaction count per type, one column per type (stacked chart)."""
     names = [t[1] for t in TRANSACTION_TYPES]
-    d = growth.growth_daily_by_type(ledger)
+    d = _mart(ledger, "growth_daily_by_type")
     return d.groupBy("day_number").pivot("type_name", names).agg(F.sum("txn_count")).orderBy("day_number")

@@ -110,6 +110,25 @@ def build_marts(
             df.unpersist()
 
 
+MEASURES = [
+    "measure_cards", "measure_fraud_pct_gross_profit", "measure_daily_value_complete", "measure_value_7d_avg",
+    "measure_fraud_rate", "measure_rule_recall", "measure_take_rate", "measure_is_loss_making",
+    "profit_heatmap", "product_mix",
+]
+
+
+def build_measures(spark: SparkSession, out_dir: str, timings: dict | None = None) -> None:
+    """BI measures over the written marts (a few hundred rows each)."""
+    from ledgerlens.operators import measures
+
+    timings = timings if timings is not None else {}
+    source = measures.WrittenMarts(spark, os.path.join(out_dir, "marts"))
+    t = time.time()
+    for name in MEASURES:
+        _write(normalise(getattr(measures, name)(source)), os.path.join(out_dir, "measures", name), single_file=True)
+    timings["measures"] = time.time() - t
+
+
 def run(spark: SparkSession, stg: DataFrame, out_dir: str, marts: list[str] | None = None) -> BuildResult:
     """Full rebuild. Raises ``quality.ValidationError`` (before any mart is
     written) when a check fails."""
@@ -119,6 +138,8 @@ def run(spark: SparkSession, stg: DataFrame, out_dir: str, marts: list[str] | No
     quality.validate(ledger)
     result.stage_seconds["validate"] = time.time() - t
     build_marts(ledger, out_dir, marts, result.stage_seconds)
+    if marts is None:
+        build_measures(spark, out_dir, result.stage_seconds)
     kpi = spark.read.parquet(os.path.join(out_dir, "marts", "dashboard_kpi")).collect()
     result.headline = kpi[0].asDict() if kpi else {}
     return result
