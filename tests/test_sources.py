@@ -25,3 +25,14 @@ def test_csv_round_trip(spark):
 def test_missing_source_fails_fast(spark):
     with pytest.raises(FileNotFoundError):
         read_staging_csv(spark, "/nonexistent/ledger.csv")
+
+
+def test_malformed_row_fails_the_load(spark):
+    d = tempfile.mkdtemp(prefix="ll-csv-bad-")
+    path = os.path.join(d, "ledger.csv")
+    with open(path, "w") as fh:
+        fh.write(",".join(CSV_HEADER) + "\n")
+        fh.write(",".join(str(x) for x in MICRO_ROWS[0]) + "\n")
+        fh.write("1,TRANSFER,not-a-number,C1,0,0,C2,0,0,0,0\n")
+    with pytest.raises(Exception):
+        read_staging_csv(spark, path).collect()
