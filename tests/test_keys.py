@@ -23,3 +23,21 @@ def test_keys_equal_row_number_and_are_stable(spark):
         assert got == reference
     n = len(reference)
     assert sorted(reference.values()) == list(range(1, n + 1))
+
+
+def test_range_partitions_follow_input_splits(spark):
+    """At least as many sorted partitions as input splits (the key table is
+    written once per partition, so the count is visible in its files)."""
+    import glob
+    import os
+
+    from ledgerlens.operators import keys
+
+    df = spark.range(0, 2000, numPartitions=13).withColumnRenamed("id", "v")
+    mark = keys.key_tables_mark()
+    out = assign_key(df, ["v"], "k")
+    assert sorted(r["k"] for r in out.collect()) == list(range(1, 2001))
+    path = keys._KEY_TABLES[mark].replace("file:", "")
+    assert len(glob.glob(os.path.join(path, "part-*"))) >= 13
+    keys.release_key_tables(spark, mark)
+    assert not os.path.exists(path)
