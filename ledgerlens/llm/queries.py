@@ -7,12 +7,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import packing, shard_tree, token_counts
+from ledgerlens.llm import decontaminate, hd_language, host_rules, packing, shard_tree, token_counts
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(read_table(spark, sf_dir, "documents"))
+
+
+def op7_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hd_language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op8_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_tree.shard(read_table(spark, sf_dir, "documents"))
 
@@ -26,9 +38,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op8_shard_tree, op9_packing, op10_token_counts]
+    found = [op1_decontaminate, op3_host_rules, op7_hd_language, op8_shard_tree, op9_packing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerlens.llm.oracle import ORACLE
+
+    return dict(ORACLE)
