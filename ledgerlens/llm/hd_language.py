@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import id_bucket
@@ -132,16 +132,17 @@ def prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
     return {r["lang"]: np.array([x["amount"] for x in r["v"]], np.float64) for r in found}
 
 
-def classify(rows: DataFrame, learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> DataFrame:
-    """Adds lang_pred and score to rows (doc_id, held_out, t)."""
+def language_column(text: Column, learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS) -> Column:
+    """struct(lang_pred, score) of a text."""
     names = sorted(learned)
     unit = np.array([learned[n] / max(np.linalg.norm(learned[n]), 1e-12) for n in names]).reshape(len(names), dimensions)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = Grams(dimensions)
         for batch in batches:
             langs, scores = [], []
-            for text in batch["t"].to_pylist():
+            for text in batch.to_pylist():
                 found = grams.count(text) if text and names else None
                 if found is None:
                     langs.append(UNKNOWN)
@@ -152,18 +153,24 @@ def classify(rows: DataFrame, learned: dict[str, np.ndarray], dimensions: int =
                 best = int(np.argmax(cosine))
                 langs.append(names[best])
                 scores.append(float(min(max(cosine[best], 0.0), 1.0)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return predict(text)
+
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def held_out_fold(doc_id: Column) -> Column:
+    return F.coalesce(id_bucket(doc_id, FOLDS) == HELD_OUT, F.lit(False))
+
+
+def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes from the rows whose id is outside the held-out fold."""
+    usable = ~held_out_fold(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    return prototypes(documents.where(usable).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")))
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred and score for every row; learns from the
-    rows whose id is outside the held-out fold."""
+    """doc_id, held_out, lang_pred and score for every row."""
+    learned = learn(documents, id_col, text_col, lang_col)
     doc_id = F.col(id_col).cast("long")
-    held_out = F.coalesce(id_bucket(doc_id, FOLDS) == HELD_OUT, F.lit(False))
-    training = documents.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")
-    )
-    rows = documents.select(doc_id.alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("t"))
-    return classify(rows, prototypes(training))
+    rows = documents.select(doc_id.alias("doc_id"), held_out_fold(doc_id).alias("held_out"), language_column(F.col(text_col), learned).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")

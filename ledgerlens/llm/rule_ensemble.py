@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.common import chunks, frozen, id_bucket
 
@@ -83,15 +84,26 @@ def statistics(text: bytes) -> tuple[float, ...]:
     )
 
 
-def with_statistics(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+STATISTICS_TYPE = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
+
+
+def statistics_column(text: Column) -> Column:
+    """The statistics as a struct. Only the text goes to Python; the row's other
+    columns stay where they are."""
+
+    @F.arrow_udf(STATISTICS_TYPE)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [statistics(t) for some in chunks(batch["t"].to_pylist()) for t in some]
+            rows = [statistics(t) for some in chunks(batch.to_pylist()) for t in some]
             table = np.array(rows, np.float64).reshape(len(rows), len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in table.T)], ["doc_id", *STATISTICS])
+            yield pa.StructArray.from_arrays([pa.array(c) for c in table.T], list(STATISTICS))
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return measure(text.cast("binary"))
+
+
+def with_statistics(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    stats = documents.select(F.col(id_col).cast("long").alias("doc_id"), statistics_column(F.col(text_col)).alias("s"))
+    return stats.select("doc_id", "s.*")
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, is above, threshold), ...
