@@ -20,6 +20,7 @@ read, and the language only to learn.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +33,26 @@ DIMENSIONS = 1024
 GRAM = 3
 SEED = 20_24
 FOLDS, HELD_OUT = 4, 2
-KEPT_GRAMS = 30_000  # n-gram vectors that a worker keeps (DIMENSIONS bytes each)
+KEPT_GRAMS = 16_000  # n-gram vectors that a worker keeps (4 * DIMENSIONS bytes each)
 MAX_LANGUAGES = 10_000  # prototypes go to every task; more than this is an error
 UNKNOWN = "und"
 
 
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
 class Grams:
     """n-gram vectors, made when first met."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions = dimensions
-        self.letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+        self.letter = letters()
         self.letters: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
-        self.vectors = np.empty((KEPT_GRAMS, dimensions), np.int8)
+        self.vectors = np.empty((KEPT_GRAMS, dimensions), np.float32)
 
     def letter_vector(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -86,8 +93,7 @@ class Grams:
         out = np.zeros(self.dimensions, np.float64)
         step = 4096
         for i in range(0, len(grams), step):
-            some = self.matrix(grams[i : i + step].tolist())
-            out += counts[i : i + step].astype(np.float32) @ some.astype(np.float32)
+            out += counts[i : i + step].astype(np.float32) @ self.matrix(grams[i : i + step].tolist())
         return out
 
 
