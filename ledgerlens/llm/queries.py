@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import decontaminate, gated_lm, hd_language, host_rules, packing, rule_ensemble, shard_tree, token_counts
+from ledgerlens.llm import bag_minhash, decontaminate, gated_lm, hd_language, host_rules, packing, rule_ensemble, shard_tree, token_counts
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated_lm.score(read_table(spark, sf_dir, "documents"))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op7_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd_language.identify(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontaminate, op3_host_rules, op4_rule_ensemble, op5_gated_lm, op7_hd_language, op8_shard_tree, op9_packing, op10_token_counts]
+    found = [op1_decontaminate, op3_host_rules, op4_rule_ensemble, op5_gated_lm, op6_bag_minhash, op7_hd_language, op8_shard_tree, op9_packing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
