@@ -305,10 +305,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def distinct_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with the columns of ``documents``."""
-    kept = near_duplicates(documents, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    rows = documents.withColumn("_key", text_key(F.col(text_col))).withColumn("_id", F.col(id_col).cast("long"))
-    same = F.expr("d._key = k._key and d._id <=> k._id")
-    # repeated rows with one id: one of them; texts without shingles all stay
-    once = rows.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["_id", "_key"])
-    blank = rows.where(~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return once.unionByName(blank).drop("_id", "_key")
+
+    def row_key(doc_id: Column, key: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), F.hex(key)))
+
+    kept = near_duplicates(documents, id_col, text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_key")).alias("__llm_key"))
+    rows = documents.withColumn("__llm_key", row_key(F.col(id_col), text_key(F.col(text_col))))
+    has_words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # rows that repeat an id and a text: one of them; texts without shingles all stay
+    once = rows.where(has_words).join(kept, "__llm_key", "left_semi").dropDuplicates(["__llm_key"])
+    return once.unionByName(rows.where(~has_words)).drop("__llm_key").select(documents.columns)

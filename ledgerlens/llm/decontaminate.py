@@ -144,3 +144,11 @@ def decontaminate(
             "text_key",
         )
     )
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that are not contaminated."""
+    hit = decontaminate(documents, benchmark, id_col=id_col, text_col=text_col).where("contaminated")
+    keys = hit.select(F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__llm_id")) & (F.xxhash64(F.col(text_col)) == F.col("__llm_key"))
+    return documents.join(keys, same, "left_anti")

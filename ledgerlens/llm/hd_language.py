@@ -180,3 +180,10 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc_id = F.col(id_col).cast("long")
     rows = documents.select(doc_id.alias("doc_id"), held_out_fold(doc_id).alias("held_out"), language_column(F.col(text_col), learned).alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def keep_identified(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that take a language."""
+    learned = learn(documents, text_col=text_col)
+    rows = documents.withColumn("__llm_p", language_column(F.col(text_col), learned))
+    return rows.where(F.col("__llm_p.lang_pred") != UNKNOWN).drop("__llm_p")

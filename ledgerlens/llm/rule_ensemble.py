@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import chunks, frozen, id_bucket
+from ledgerlens.llm.common import chunks, id_bucket
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -101,11 +101,6 @@ def statistics_column(text: Column) -> Column:
     return measure(text.cast("binary"))
 
 
-def with_statistics(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    stats = documents.select(F.col(id_col).cast("long").alias("doc_id"), statistics_column(F.col(text_col)).alias("s"))
-    return stats.select("doc_id", "s.*")
-
-
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, is above, threshold), ...
 
 
@@ -115,13 +110,14 @@ class Ensemble:
     weights: tuple[float, ...]
     bias: float
 
-    def score_sql(self) -> str:
-        """The whole model as SQL text over the statistics."""
+    def score_column(self, stats: str) -> Column:
+        """The whole model as an expression over the statistics in the struct
+        column ``stats``."""
         terms = [
-            f"if({' and '.join(f'{STATISTICS[s]} {">" if above else "<="} {t!r}D' for s, above, t in rule)}, {w!r}D, 0D)"
+            f"if({' and '.join(f'{stats}.{STATISTICS[s]} {">" if above else "<="} {t!r}D' for s, above, t in rule)}, {w!r}D, 0D)"
             for rule, w in zip(self.rules, self.weights)
         ]
-        return f"1D / (1D + exp(-({' + '.join([f'{self.bias!r}D', *terms])})))"
+        return F.expr(f"1D / (1D + exp(-({' + '.join([f'{self.bias!r}D', *terms])})))")
 
 
 def grow_paths(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> list[Rule]:
@@ -207,7 +203,9 @@ def held_out_fold(doc_id: Column) -> Column:
     return F.coalesce(id_bucket(doc_id, FOLDS) == HELD_OUT, F.lit(False))
 
 
-def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ensemble:
+def learn(
+    documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> Ensemble:
     """Fit on the ``sample_rows`` labelled training rows with the lowest id hash."""
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -215,10 +213,12 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(sample_rows)
     )
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")
     # repeated ids can give more rows than labels: the same bound again
-    rows = stats.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATISTICS).limit(sample_rows).toPandas()
-    x = rows[list(STATISTICS)].to_numpy(np.float64).reshape(len(rows), len(STATISTICS))
-    return fit(x, (rows["label"].to_numpy() > 0).astype(np.float64))
+    measured = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", statistics_column(F.col("t")).alias("s"))
+    found = measured.orderBy("h", "doc_id", "label", "s").limit(sample_rows).select("label", "s.*").toPandas()
+    x = found[list(STATISTICS)].to_numpy(np.float64).reshape(len(found), len(STATISTICS))
+    return fit(x, (found["label"].to_numpy() > 0).astype(np.float64))
 
 
 def classify(
@@ -231,13 +231,15 @@ def classify(
     label_col: str = "quality",
 ) -> DataFrame:
     """doc_id, held_out, score, predicted and the statistics for every row."""
-    stats = frozen(with_statistics(documents, id_col, text_col), "statistics")
-    model = learn(stats, labels, label_col=label_col, sample_rows=sample_rows)
-    scored = stats.withColumn("score", F.expr(model.score_sql()))
-    return scored.select(
-        "doc_id",
-        held_out_fold(F.col("doc_id")).alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-        *STATISTICS,
-    )
+    model = learn(documents, labels, sample_rows, id_col, text_col, label_col)
+    doc_id = F.col(id_col).cast("long")
+    rows = documents.select(doc_id.alias("doc_id"), held_out_fold(doc_id).alias("held_out"), statistics_column(F.col(text_col)).alias("s"))
+    scored = rows.withColumn("score", model.score_column("s"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "s.*")
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that are predicted to have label 1."""
+    model = learn(documents, labels, text_col=text_col)
+    rows = documents.withColumn("__llm_s", statistics_column(F.col(text_col)))
+    return rows.where(model.score_column("__llm_s") >= threshold).drop("__llm_s")
