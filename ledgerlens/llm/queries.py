@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bag_minhash, decontaminate, gated_lm, hd_language, host_rules, packing, rule_ensemble, shard_tree, token_counts
+from ledgerlens.llm import bag_minhash, decontaminate, gated_lm, hd_language, host_rules, license_scan, packing, rule_ensemble, shard_tree, token_counts
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_decontaminate, op3_host_rules, op4_rule_ensemble, op5_gated_lm, op6_bag_minhash, op7_hd_language, op8_shard_tree, op9_packing, op10_token_counts]
+    found = [op1_decontaminate, op2_license_scan, op3_host_rules, op4_rule_ensemble, op5_gated_lm, op6_bag_minhash, op7_hd_language, op8_shard_tree, op9_packing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
