@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--csv", help="ledger CSV file(s) with the 11-column header")
     src.add_argument("--events-dir", help="folder with events.parquet (test data mapped to staging)")
-    ap.add_argument("--out", required=True, help="warehouse folder (overwritten)")
+    ap.add_argument("--out", required=True, help="warehouse folder (a new build is published in it)")
     args = ap.parse_args(argv)
 
     if os.environ.get("PYSPARK_GATEWAY_PORT"):  # launched by spark-submit: use its configuration

@@ -1,16 +1,11 @@
-"""Column-level helpers. Everything here returns a ``Column`` so it inlines
-into the surrounding plan and stays inside whole-stage codegen."""
+"""Column-level helpers. Everything here inlines into the surrounding plan and
+stays inside whole-stage codegen."""
 
-from ledgerlens.functions.bands import band_id, band_label, band_labels_df
-from ledgerlens.functions.fees import fee_hits_cap, fee_hits_floor, transaction_fee, uncapped_fee
-from ledgerlens.functions.numeric import (
-    as_units,
-    money_from_units,
-    ratio_half_up,
-    round_half_up_units,
-)
+from ledgerlens.functions.bands import band_id_sql, band_label_by_id
+from ledgerlens.functions.fees import fee_sql, hits_cap_sql, hits_floor_sql, uncapped_fee_sql
+from ledgerlens.functions.numeric import as_units, money_from_units, ratio_half_up
 
 __all__ = [
-    "as_units", "band_id", "band_label", "band_labels_df", "fee_hits_cap", "fee_hits_floor",
-    "money_from_units", "ratio_half_up", "round_half_up_units", "transaction_fee", "uncapped_fee",
+    "as_units", "band_id_sql", "band_label_by_id", "fee_sql", "hits_cap_sql", "hits_floor_sql",
+    "money_from_units", "ratio_half_up", "uncapped_fee_sql",
 ]

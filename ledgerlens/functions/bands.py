@@ -1,49 +1,20 @@
-"""Fixed amount bands (half-open; the top band includes its lower edge)."""
+"""Fixed amount bands (half-open; the top band includes its lower edge).
+
+Rows carry the small integer id; labels are attached to aggregated rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.schemas import BAND_LABELS, BAND_LOWER_EDGES
 
 
-def _banded(amount: Column, values: list) -> Column:
-    """CASE WHEN amount < edge2 THEN v1 WHEN amount < edge3 THEN v2 ... ELSE v_last."""
-    uppers = BAND_LOWER_EDGES[1:]
-    expr = F.when(amount < F.lit(uppers[0]), F.lit(values[0]))
-    for upper, value in zip(uppers[1:], values[1:-1]):
-        expr = expr.when(amount < F.lit(upper), F.lit(value))
-    return expr.otherwise(F.lit(values[-1]))
-
-
 def band_id_sql(amount: str) -> str:
-    """The band id as SQL text (same edges as ``band_id``)."""
     uppers = BAND_LOWER_EDGES[1:]
     whens = " ".join(f"WHEN {amount} < {u} THEN {i}" for (i, _), u in zip(BAND_LABELS, uppers))
     return f"CAST(CASE {whens} ELSE {BAND_LABELS[-1][0]} END AS INT)"
 
 
-def band_id(amount: Column) -> Column:
-    """1..6 as an integer: grouping on a small integer keeps the aggregate a
-    cheap hash aggregate; labels are attached to the aggregated rows."""
-    return _banded(amount, [i for i, _ in BAND_LABELS]).cast("int")
-
-
-def band_label(amount: Column) -> Column:
-    return _banded(amount, [label for _, label in BAND_LABELS])
-
-
 def band_label_by_id(bid: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in BAND_LABELS for x in kv])[bid]
-
-
-def band_labels_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType(
-        [T.StructField("band_id", T.IntegerType(), False),
-         T.StructField("amount_band", T.StringType(), False)]
-    )
-    from ledgerlens.functions.literals import literal_frame
-
-    return literal_frame(spark, BAND_LABELS, schema)

@@ -1,35 +1,28 @@
-"""The hybrid fee rule: a percentage of the amount, clamped to [floor, cap].
-
-A plain Column expression, so Catalyst inlines it into the aggregate that
-sums it (the SQL-function-inlining win comes for free); never a Python UDF.
-"""
+"""The hybrid fee rule as SQL text: a percentage of the amount, clamped to
+[floor, cap]. The marts and the clamp test use these same texts, which inline
+into the aggregate that sums them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Per-row fee precision: DECIMAL(18,2) amount x DECIMAL(6,5) rate has 7
 # fractional digits; fee units are 1e-7 of the currency unit.
 FEE_SCALE = 7
 
 
-def transaction_fee(amount: Column, rate: Column, fee_min: Column, fee_max: Column) -> Column:
-    """least(greatest(amount * rate, floor), cap). A zero rate/floor/cap gives 0."""
-    return F.least(F.greatest(amount * rate, fee_min), fee_max)
-
-
-def uncapped_fee(amount: Column, rate: Column, fee_min: Column) -> Column:
-    """What-if fee with the cap removed (floor kept)."""
-    return F.greatest(amount * rate, fee_min)
+def fee_sql(amount: str, rate: str, fee_min: str, fee_max: str) -> str:
+    """A zero rate, floor and cap give 0."""
+    return f"least({uncapped_fee_sql(amount, rate, fee_min)}, {fee_max})"
 
 
+def uncapped_fee_sql(amount: str, rate: str, fee_min: str) -> str:
+    """The fee without its cap (the floor stays)."""
+    return f"greatest({amount} * ({rate}), {fee_min})"
 
 
-def fee_hits_cap(amount: Column, rate: Column, fee_max: Column) -> Column:
-    return amount * rate > fee_max
+def hits_cap_sql(amount: str, rate: str, fee_max: str) -> str:
+    return f"{amount} * ({rate}) > {fee_max}"
 
 
-def fee_hits_floor(amount: Column, rate: Column, fee_min: Column) -> Column:
+def hits_floor_sql(amount: str, rate: str, fee_min: str) -> str:
     """Strictly below the floor; a fee equal to the floor is not a hit."""
-    return amount * rate < fee_min
+    return f"{amount} * ({rate}) < {fee_min}"

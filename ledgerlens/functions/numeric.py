@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 WIDE_INT = "decimal(38,0)"
 
 
-def _wide(c: Column | int) -> Column:
-    return (c if isinstance(c, Column) else F.lit(c)).cast(WIDE_INT)
-
-
 def as_units(value: Column, scale: int) -> Column:
     """Exact integer count of 10^-scale units in a decimal value.
 
@@ -44,30 +40,14 @@ def ratio_sql(num: str, den: str, scale: int) -> str:
             f" / {p}D)")
 
 
-def ratio_half_up(num: Column | str | int, den: Column | str | int, scale: int) -> Column:
+def ratio_half_up(num: str | int, den: str | int, scale: int) -> Column:
     """round(num / den, scale) half away from zero, exact, as DOUBLE.
 
-    ``num`` and ``den`` must be integer valued (counts or unit sums); either
-    may be negative. den = 0 or NULL gives NULL. Given SQL text (column names
-    or expressions over them) the whole rule is built in one call; Column
-    arguments compose the same rule from Column operations."""
-    if not isinstance(num, Column) and not isinstance(den, Column):
-        return F.expr(ratio_sql(str(num), str(den), scale))
-    n = _wide(num if not isinstance(num, str) else F.expr(num))
-    d0 = _wide(den if not isinstance(den, str) else F.expr(den))
-    d = F.when(d0 != 0, d0)
-    two_d = F.abs(d) * _wide(2)
-    a = F.abs(n) * _wide(2 * 10**scale) + F.abs(d)
-    q = ((a - a % two_d) / two_d).cast(WIDE_INT)
-    signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
-    return signed.cast("double") / F.lit(float(10**scale))
-
-
-def round_half_up_units(units: Column, unit_scale: int, scale: int) -> Column:
-    """round(units / 10^unit_scale, scale) as DOUBLE, e.g. cents to 2 dp."""
-    return ratio_half_up(units, 10**unit_scale, scale)
+    ``num`` and ``den`` are SQL text of integer-valued expressions (counts or
+    unit sums); either may be negative. den = 0 or NULL gives NULL."""
+    return F.expr(ratio_sql(str(num), str(den), scale))
 
 
 def money_from_units(units: Column, unit_scale: int = 2) -> Column:
     """Exact unit count back to a DOUBLE money figure (cents / 100)."""
-    return _wide(units).cast("double") / F.lit(float(10**unit_scale))
+    return units.cast(WIDE_INT).cast("double") / F.lit(float(10**unit_scale))

@@ -19,13 +19,11 @@ def sum_cents(col: Column | str) -> Column:
 
 
 
-def millions(units: Column | str, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
-    """round(value / 1e6, dp) from exact units (a Column or SQL text)."""
+def millions(units: str, unit_scale: int = CENT_SCALE, dp: int = 2) -> Column:
+    """round(value / 1e6, dp) from exact units given as SQL text."""
     return ratio_half_up(units, 10 ** (6 + unit_scale), dp)
 
 
-
-
 def fee_units_of_cents(name: str) -> str:
     """SQL text: a cents column expressed in fee units."""
     return f"({name}) * {10 ** (FEE_SCALE - CENT_SCALE)}"
@@ -35,11 +33,26 @@ def money(units: Column, unit_scale: int = CENT_SCALE) -> Column:
     return money_from_units(units, unit_scale)
 
 
-def pct(num: Column | str, den: Column | str, dp: int) -> Column:
-    """round(100 * num / den, dp) from integer-valued columns or SQL text."""
-    if isinstance(num, str):
-        return ratio_half_up(f"({num}) * 100", den, dp)
-    return ratio_half_up(num * F.lit(100), den, dp)
+def pct(num: str, den: str, dp: int) -> Column:
+    """round(100 * num / den, dp) from integer-valued SQL text."""
+    return ratio_half_up(f"({num}) * 100", den, dp)
+
+
+# Sums that every aggregate over cells (Ledger.cells, Ledger.net_cells) keeps.
+CELL_COUNTS = ["txn_count", "fraud_txns", "flagged_txns", "flagged_fraud_txns", "txns_hitting_cap", "txns_hitting_floor"]
+CELL_UNITS = ["value_cents", "fee_u", "cost_cents", "fraud_cents", "missed_cents"]
+LOSS_UNITS = ["loss_cents", "true_cents"]  # of net_cells
+
+
+def cell_sums(loss: bool = True) -> list[Column]:
+    """Aggregates that add up cells; ``hours`` is a bit for each hour seen."""
+    counts = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in CELL_COUNTS]
+    units = [F.sum(c).alias(c) for c in CELL_UNITS + (LOSS_UNITS if loss else [])]
+    return [*counts, *units, F.bit_or("hours").alias("hours")]
+
+
+def hours_seen() -> Column:
+    return F.bit_count(F.col("hours")).cast("long")
 
 
 def count_if(cond: Column) -> Column:
@@ -59,10 +72,10 @@ def with_type_names(agg: DataFrame, dim_type: DataFrame | None = None, *extra: s
 
 
 def beside(base: DataFrame, *others: DataFrame) -> DataFrame:
-    """The columns of one-row aggregates next to a one-row ``base``, as scalar
-    subqueries (no join of any kind; Spark merges subqueries that read the
-    same aggregate into one)."""
+    """The columns of one-row aggregates next to a one-row ``base``: each other
+    row is one scalar subquery of a struct (no join of any kind), so its source
+    is read once however many columns it has."""
+    packed = [other.select(F.struct(*[F.col(f"`{c}`") for c in other.columns])).scalar().alias(f"_row{i}") for i, other in enumerate(others)]
     cols = [F.col(f"`{c}`") for c in base.columns]
-    for other in others:
-        cols += [other.select(f"`{c}`").scalar().alias(c) for c in other.columns]
-    return base.select(*cols)
+    cols += [F.col(f"_row{i}.`{c}`").alias(c) for i, other in enumerate(others) for c in other.columns]
+    return base.select("*", *packed).select(*cols)

@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.fees import FEE_SCALE
-from ledgerlens.operators.common import beside, millions, pct, sum_cents
-from ledgerlens.operators.growth import growth_daily_activity
-from ledgerlens.operators.profitability import profitability_daily, profitability_summary
+from ledgerlens.functions.numeric import ratio_half_up
+from ledgerlens.operators.common import beside, cell_sums, millions, pct, sum_cents
+from ledgerlens.operators.growth import account_activity, with_accounts
+from ledgerlens.operators.profitability import _gross_u, _net_u, profitability_summary
 from ledgerlens.operators.risk import attribution_totals
 from ledgerlens.operators.star import calendar_date
-from ledgerlens.schemas import CAVEATS, FINAL_DAY_COMPLETE, FINAL_DAY_PARTIAL, NOT_COUNTED, WATERFALL_STEPS
+from ledgerlens.schemas import (
+    CAVEATS,
+    FINAL_DAY_COMPLETE,
+    FINAL_DAY_PARTIAL,
+    FIRST_LEG_TYPE,
+    NOT_COUNTED,
+    SECOND_LEG_TYPE,
+    WATERFALL_STEPS,
+)
 
 
 def dashboard_date(ledger) -> DataFrame:
@@ -57,26 +66,9 @@ def dashboard_kpi(ledger) -> DataFrame:
 
 
 def dashboard_daily(ledger) -> DataFrame:
-    """Growth and profitability on one daily grain, with the calendar flag.
-
-    Equal to joining the daily activity, daily profitability and calendar
-    marts on the day, but computed from one per-day aggregate over the priced
-    facts (one scan instead of two) plus the small duplicate-leg and calendar
-    aggregates."""
-    from ledgerlens.functions.fees import FEE_SCALE
-    from ledgerlens.functions.numeric import ratio_half_up
-    from ledgerlens.operators.profitability import _dedup_loss, _gross_u, _net_u
-
-    daily = ledger.priced.groupBy("day_number").agg(
-        F.count(F.lit(1)).alias("txn_count"),
-        sum_cents("amount").alias("value_cents"),
-        F.count_distinct("name_orig").alias("active_originators"),
-        F.count_distinct("name_dest").alias("active_destinations"),
-        F.sum("fee_u").alias("fee_u"),
-        sum_cents("cost_per_txn").alias("cost_cents"),
-        F.coalesce(sum_cents(F.when(F.col("is_fraud"), F.col("amount"))), F.lit(0)).alias("fraud_cents"),
-    )
-    daily = _dedup_loss(daily, ledger, ["day_number"], ["day_number", "amount"])
+    """Growth and profitability on one daily grain, with the calendar flag: the
+    daily sums of ``net_cells``, the accounts of both roles and the calendar."""
+    daily = with_accounts(ledger.net_cells.groupBy("day_number").agg(*cell_sums()), ledger)
     cal = dashboard_date(ledger).select(F.col("day_number").cast("int").alias("day_number"), "simulated_date",
                                         "is_complete_day")
     running = f"sum({_net_u()}) OVER (ORDER BY day_number RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -100,7 +92,7 @@ def dashboard_daily(ledger) -> DataFrame:
 
 def dashboard_fraud_waterfall(ledger) -> DataFrame:
     """Three signed bars from one aggregate row (explode, no re-scan)."""
-    naive = ledger.fraud.agg(sum_cents("amount").alias("naive_cents"))
+    naive = ledger.fraud_cells.agg(sum_cents("value").alias("naive_cents"))
     parts = attribution_totals(ledger).agg(
         F.sum(F.when(F.col("attributed_to") == NOT_COUNTED, F.col("loss_cents"))).alias("dup_cents"),
         F.sum(F.when(F.col("attributed_to") != NOT_COUNTED, F.col("loss_cents"))).alias("true_cents"),
@@ -131,40 +123,35 @@ def _n(c):
 def dashboard_data_caveats(ledger) -> DataFrame:
     """The caveats that must travel with the marts, as data. Every figure in
     the texts is computed from the tables (one aggregate row per source)."""
-    from ledgerlens.operators.growth import account_activity
-    from ledgerlens.operators.profitability import profitability_summary
-
-    f = ledger.facts
     s = profitability_summary(ledger).select(
         "deduplicated_fraud_loss_millions", "gross_fraud_loss_millions", "total_value_billions"
     )
-    steps = ledger.dim_date.agg(
-        F.min("date_key").alias("min_step"), F.max("date_key").alias("max_step"),
-        F.max("day_number").alias("last_day"),
-    )
-    last_day_hours = ledger.dim_date.groupBy("day_number").agg(F.count(F.lit(1)).alias("h")).join(
-        steps.select(F.col("last_day").alias("day_number")), "day_number"
-    ).select(F.col("h").alias("last_day_hours"))
-    orig = account_activity(f, "name_orig").agg(
-        pct(F.count_if(F.col("txn_count") == 1), F.count(F.lit(1)), 2).alias("pct_single"),
-        pct(F.count_if(F.col("active_days") > 1), F.count(F.lit(1)), 2).alias("pct_multi"),
+    # dim_date is dense, so the last day's hours follow from its bounds
+    steps = ledger.dim_date.agg(F.min("date_key").alias("min_step"), F.max("date_key").alias("max_step")).selectExpr(
+        "min_step",
+        "max_step",
+        "CAST(floor((max_step - 1) / 24) AS INT) AS last_day",
+        "max_step - greatest(min_step, max_step - pmod(max_step - 1, 24)) + 1 AS last_day_hours",
     )
-    bad = F.abs(F.col("orig_balance_error")) > F.lit(0.01).cast("decimal(3,2)")
+    orig = account_activity(ledger.facts, "name_orig").agg(
+        F.count(F.lit(1)).alias("accounts"), F.count_if(F.col("txn_count") == 1).alias("single"), F.count_if(F.col("active_days") > 1).alias("multi")
+    ).select(pct("single", "accounts", 2).alias("pct_single"), pct("multi", "accounts", 2).alias("pct_multi"))
+    fraud, bad = F.col("is_fraud"), F.abs(F.col("orig_balance_error")) > F.lit(0.01).cast("decimal(3,2)")
     tenm = F.col("amount") == F.lit(10_000_000)
-    facts_row = f.agg(
-        pct(F.count_if(F.col("is_fraud") & bad), F.count_if(F.col("is_fraud")), 2).alias("fraud_bad"),
-        pct(F.count_if(~F.col("is_fraud") & bad), F.count_if(~F.col("is_fraud")), 2).alias("legit_bad"),
-        F.count_if(tenm & (F.col("type_name") == "CASH_OUT")).alias("cashout_10m"),
-        F.count_if(tenm & (F.col("type_name") == "CASH_OUT") & F.col("is_fraud")).alias("cashout_10m_fraud"),
-        F.count_if(tenm & (F.col("type_name") == "TRANSFER") & ~F.col("is_fraud")).alias("transfer_10m_legit"),
-    )
-    zero = ledger.priced.where(
-        (F.col("amount") == 0) & F.col("is_fraud") & (F.col("type_name") == "CASH_OUT")
-    ).agg(
-        F.count(F.lit(1)).alias("zero_rows"),
-        F.coalesce(F.sum("fee_u"), F.lit(0)).alias("zero_fee_u"),
-    )
-    row = beside(s, steps, last_day_hours, orig, facts_row, zero)
+    cash_out = F.col("type_name") == SECOND_LEG_TYPE
+    zero = (F.col("amount") == 0) & fraud & cash_out
+    rows = ledger.priced.agg(
+        F.count_if(fraud).alias("fraud"),
+        F.count_if(~fraud).alias("legit"),
+        F.count_if(fraud & bad).alias("fraud_bad_rows"),
+        F.count_if(~fraud & bad).alias("legit_bad_rows"),
+        F.count_if(tenm & cash_out).alias("cashout_10m"),
+        F.count_if(tenm & cash_out & fraud).alias("cashout_10m_fraud"),
+        F.count_if(tenm & (F.col("type_name") == FIRST_LEG_TYPE) & ~fraud).alias("transfer_10m_legit"),
+        F.count_if(zero).alias("zero_rows"),
+        F.coalesce(F.sum(F.when(zero, F.col("fee_u"))), F.lit(0)).alias("zero_fee_u"),
+    ).select("*", pct("fraud_bad_rows", "fraud", 2).alias("fraud_bad"), pct("legit_bad_rows", "legit", 2).alias("legit_bad"))
+    row = beside(s, steps, orig, rows)
     c = F.col
     figures = {
         "true_loss_m": _dec(c("deduplicated_fraud_loss_millions")),

@@ -10,24 +10,21 @@ aggregate row, not millions squared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.fees import FEE_SCALE, uncapped_fee
+from ledgerlens.functions.fees import FEE_SCALE, uncapped_fee_sql
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import beside, fee_units_of_cents, millions, pct, sum_cents, with_type_names
-from ledgerlens.operators.keys import assign_key
-from ledgerlens.operators.profitability import _revenue_aggs
-from ledgerlens.operators.risk import true_loss_by_type
+from ledgerlens.operators.common import beside, cell_sums, fee_units_of_cents, millions, pct, sum_cents, with_type_names
+from ledgerlens.operators.star import SIGNATURE
 from ledgerlens.schemas import FIRST_LEG_TYPE, RESIDUAL_TOLERANCE, SECOND_LEG_TYPE
 
-SIGNATURE = ["amount", "oldbalance_org"]
 TEN_MILLION = 10_000_000
 NEAR_CEILING = 9_900_000
 
 
 def evidence_leg_pairs(ledger) -> DataFrame:
-    fr = ledger.fraud
+    fr = ledger.fraud_rows
     per_hour = lambda t, n: (
         fr.where(F.col("type_name") == t).groupBy(*SIGNATURE, "date_key").agg(F.count(F.lit(1)).alias(n))
     )
@@ -46,7 +43,7 @@ def evidence_leg_pairs(ledger) -> DataFrame:
 
 
 def evidence_full_drain(ledger) -> DataFrame:
-    t = ledger.fraud.where(F.col("type_name") == FIRST_LEG_TYPE).agg(
+    t = ledger.fraud_rows.where(F.col("type_name") == FIRST_LEG_TYPE).agg(
         F.count(F.lit(1)).alias("fraud_transfers"),
         F.count_if(F.col("amount") == F.col("oldbalance_org")).alias("full_drain_transfers"),
     )
@@ -59,7 +56,7 @@ def evidence_full_drain(ledger) -> DataFrame:
 
 def evidence_chain_trace(ledger) -> DataFrame:
     """Fraud cash-outs that originate from an account a fraud transfer paid into."""
-    fr = ledger.fraud
+    fr = ledger.fraud_rows
     landed = fr.where(F.col("type_name") == FIRST_LEG_TYPE).select(F.col("name_dest").alias("name_orig")).distinct()
     cash = fr.where(F.col("type_name") == SECOND_LEG_TYPE)
     chained = cash.join(landed, "name_orig", "left_semi").agg(F.count(F.lit(1)).alias("chained_cashouts"))
@@ -67,23 +64,17 @@ def evidence_chain_trace(ledger) -> DataFrame:
 
 
 def what_if_uncapped_fee(ledger) -> DataFrame:
-    p = ledger.priced.withColumn(
-        "fee_nocap_u",
-        (uncapped_fee(F.col("amount"), F.col("fee_rate"), F.col("fee_min")) * F.lit(10**FEE_SCALE)).cast(
-            "decimal(30,0)"
-        ),
-    )
-    agg = p.groupBy("transaction_type_key").agg(*_revenue_aggs(), F.sum("fee_nocap_u").alias("nocap_u"))
-    named = with_type_names(agg, ledger.dim_type).join(true_loss_by_type(ledger), "type_name", "left")
-    loss = fee_units_of_cents("coalesce(loss_cents, 0)")
-    cost = fee_units_of_cents("cost_cents")
-    return named.select(
+    nocap = f"CAST(({uncapped_fee_sql('amount', 'fee_rate', 'fee_min')}) * {10**FEE_SCALE} AS DECIMAL(30,0))"
+    uncapped = ledger.priced.groupBy("transaction_type_key").agg(F.sum(F.expr(nocap)).alias("nocap_u"))
+    agg = ledger.net_cells.groupBy("transaction_type_key").agg(*cell_sums()).join(uncapped, "transaction_type_key")
+    rest = f"{fee_units_of_cents('cost_cents')} - {fee_units_of_cents('true_cents')}"
+    return with_type_names(agg, ledger.dim_type).select(
         "type_name",
         "txn_count",
         millions("fee_u", FEE_SCALE).alias("fee_revenue_millions"),
         millions("nocap_u", FEE_SCALE).alias("uncapped_fee_revenue_millions"),
-        millions(f"fee_u - {cost} - {loss}", FEE_SCALE).alias("net_profit_millions"),
-        millions(f"nocap_u - {cost} - {loss}", FEE_SCALE).alias("uncapped_net_profit_millions"),
+        millions(f"fee_u - {rest}", FEE_SCALE).alias("net_profit_millions"),
+        millions(f"nocap_u - {rest}", FEE_SCALE).alias("uncapped_net_profit_millions"),
     ).orderBy("type_name")
 
 
@@ -135,41 +126,52 @@ def evidence_naive_residual(ledger) -> DataFrame:
     ).orderBy("type_name")
 
 
+MEDIAN_BUCKETS = 4096
+
+
+def middle_values(rows: DataFrame, key: str, value: str) -> dict:
+    """key -> (lower, upper) middle value of integer ``value``, exact.
+
+    Selection by counting: each pass counts rows by bucket inside the interval
+    that holds a wanted rank, and the interval shrinks to that bucket, until it
+    holds one value. A pass is one aggregate with at most two intervals a key;
+    nothing is sorted or written. ``key`` has few values (it is a dimension)."""
+    spark = rows.sparkSession
+    bounds = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+    # (key, rank among the interval's rows, interval [lo, hi))
+    wanted = [[r[key], rank, r["lo"], r["hi"] + 1] for r in bounds for rank in ((r["n"] - 1) // 2, r["n"] // 2)]
+    while any(hi - lo > 1 for _, _, lo, hi in wanted):
+        open_ = [(i, k, lo, max(1, -(-(hi - lo) // MEDIAN_BUCKETS)), hi) for i, (k, _, lo, hi) in enumerate(wanted) if hi - lo > 1]
+        intervals = F.broadcast(spark.createDataFrame(open_, f"i int, {key} {dict(rows.dtypes)[key]}, lo long, width long, hi long"))
+        counted = (
+            rows.join(intervals, key)
+            .where(f"{value} >= lo AND {value} < hi")
+            .groupBy("i", F.expr(f"({value} - lo) div width").alias("bucket"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .collect()
+        )
+        for i, _, lo, width, hi in open_:
+            for bucket, n in sorted((r["bucket"], r["n"]) for r in counted if r["i"] == i):
+                if wanted[i][1] < n:
+                    wanted[i][2:] = [lo + bucket * width, min(hi, lo + (bucket + 1) * width)]
+                    break
+                wanted[i][1] -= n
+    return {k: (wanted[i][2], wanted[i + 1][2]) for i, (k, *_) in enumerate(wanted) if i % 2 == 0}
+
+
 def evidence_amount_stats(ledger) -> DataFrame:
-    """Mean, exact median and max amount per type.
-
-    The median never gathers a type into one task: rows get their global
-    rank in (type, amount) order from ``assign_key`` (range shuffle), each
-    type's first rank and count come from a plain aggregate, and the one or
-    two middle rows are picked by a join to that per-type table (one row per
-    type of the 5-row dimension, so broadcasting it is bounded)."""
-    base = ledger.facts.select("transaction_type_key", "amount")
+    """Mean, exact median and max amount per type."""
+    base = ledger.facts.select("transaction_type_key", "amount", F.expr("CAST(amount * 100 AS BIGINT)").alias("cents"))
     stats = base.groupBy("transaction_type_key").agg(
         F.count(F.lit(1)).alias("txns"), sum_cents("amount").alias("value_cents"), F.max("amount").alias("max_amount")
     )
-    ranked = assign_key(base, ["transaction_type_key", "amount"], "rank", split_ties=True)
-    first = ranked.groupBy("transaction_type_key").agg(F.min("rank").alias("first_rank"), F.count(F.lit(1)).alias("n"))
-    mids = first.select(
-        "transaction_type_key",
-        (F.col("first_rank") + F.floor((F.col("n") - 1) / 2)).alias("lo"),
-        (F.col("first_rank") + F.floor(F.col("n") / 2)).alias("hi"),
-    )
-    middle = (
-        ranked.join(F.broadcast(mids), "transaction_type_key")
-        .where((F.col("rank") == F.col("lo")) | (F.col("rank") == F.col("hi")))
-        .groupBy("transaction_type_key", "lo", "hi")
-        .agg(
-            F.sum(F.when(F.col("rank") == F.col("lo"), F.col("amount"))).alias("lo_amt"),
-            F.sum(F.when(F.col("rank") == F.col("hi"), F.col("amount"))).alias("hi_amt"),
-        )
-        .select("transaction_type_key", (F.col("lo_amt") + F.col("hi_amt")).alias("mid2"))
-    )
-    named = with_type_names(stats.join(middle, "transaction_type_key"), ledger.dim_type)
-    return named.select(
+    middle = {k: a + b for k, (a, b) in middle_values(base, "transaction_type_key", "cents").items()}
+    mid2 = F.create_map(*[F.lit(x) for kv in middle.items() for x in kv])[F.col("transaction_type_key")] if middle else F.lit(None).cast("long")
+    return with_type_names(stats.withColumn("mid2", mid2), ledger.dim_type).select(
         "type_name",
         "txns",
         ratio_half_up("value_cents", "txns * 100", 2).alias("mean_amount"),
-        ratio_half_up("mid2 * 100", 200, 2).alias("median_amount"),
+        ratio_half_up("mid2", 200, 2).alias("median_amount"),
         F.col("max_amount").cast("double").alias("max_amount"),
     ).orderBy("type_name")
 
@@ -203,7 +205,7 @@ def evidence_fraud_size_ratio(ledger) -> DataFrame:
 def evidence_merchant_payment(ledger) -> DataFrame:
     m = F.left(F.col("name_dest"), F.lit(1)) == "M"
     pay = F.col("type_name") == "PAYMENT"
-    s = ledger.facts.agg(
+    s = ledger.named_accounts(ledger.facts.select("type_name", "name_dest"), "name_dest").agg(
         F.count_if(pay).alias("payment_txns"),
         F.count_if(m).alias("merchant_dest_txns"),
         F.count_if(pay & m).alias("payment_to_merchant_txns"),

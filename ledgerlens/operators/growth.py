@@ -1,10 +1,11 @@
 """Growth marts: daily activity, daily mix by type, the hour-of-day profile,
 top destinations and account recurrence.
 
-Distinct counts per account are written as two plain aggregations
-(account x day, then account) instead of COUNT(DISTINCT): each level is a hash
-aggregate with map-side combining, so a hot account or a hot day is collapsed
-before any shuffle.
+Distinct accounts are counted by two plain aggregations (account x day, then
+day or account), one scan for each role, never by several COUNT(DISTINCT) in
+one aggregate, which would multiply every row. Hours seen are the bits of one
+OR. Each level is a hash aggregate with map-side combining, so a hot account or
+a hot day is collapsed before any shuffle.
 """
 
 from __future__ import annotations
@@ -13,20 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import millions, money, pct, sum_cents, with_type_names
+from ledgerlens.operators.common import cell_sums, hours_seen, millions, money, pct, sum_cents, with_type_names
 from ledgerlens.operators.star import party_type
 
 TOP_DESTINATIONS = 500
 
 
+def accounts_by_day(ledger, role: str, name: str) -> DataFrame:
+    """Distinct accounts of a role by day."""
+    return ledger.facts.select("day_number", role).distinct().groupBy("day_number").agg(F.count(F.lit(1)).alias(name))
+
+
+def with_accounts(daily: DataFrame, ledger) -> DataFrame:
+    """Daily rows with the accounts active in each role."""
+    origins = accounts_by_day(ledger, "name_orig", "active_originators")
+    return daily.join(origins, "day_number").join(accounts_by_day(ledger, "name_dest", "active_destinations"), "day_number")
+
+
 def daily_activity_units(ledger) -> DataFrame:
-    return ledger.facts.groupBy("day_number").agg(
-        F.count(F.lit(1)).alias("txn_count"),
-        sum_cents("amount").alias("value_cents"),
-        F.count_distinct("name_orig").alias("active_originators"),
-        F.count_distinct("name_dest").alias("active_destinations"),
-        F.count_distinct("date_key").alias("hours_observed"),
-    )
+    daily = ledger.cells.groupBy("day_number").agg(*cell_sums(loss=False)).withColumn("hours_observed", hours_seen())
+    return with_accounts(daily, ledger)
 
 
 def growth_daily_activity(ledger) -> DataFrame:
@@ -47,9 +54,7 @@ def growth_daily_activity(ledger) -> DataFrame:
 
 
 def growth_daily_by_type(ledger) -> DataFrame:
-    agg = ledger.facts.groupBy("day_number", "transaction_type_key").agg(
-        F.count(F.lit(1)).alias("txn_count"), sum_cents("amount").alias("value_cents")
-    )
+    agg = ledger.cells.groupBy("day_number", "transaction_type_key").agg(*cell_sums(loss=False))
     named = with_type_names(agg, ledger.dim_type)
     return named.select(
         F.col("day_number").cast("long").alias("day_number"),
@@ -101,7 +106,7 @@ def growth_top_destinations(ledger, top: int = TOP_DESTINATIONS) -> DataFrame:
     account id (a total order); ``limit`` after ``orderBy`` plans a
     TakeOrderedAndProject: each partition keeps its own top-k."""
     acts = account_activity(ledger.facts, "name_dest", with_values=True)
-    top_rows = acts.orderBy(F.col("value_cents").desc(), F.col("name_dest").asc()).limit(top)
+    top_rows = ledger.named_accounts(acts.orderBy(F.col("value_cents").desc(), F.col("name_dest").asc()).limit(top), "name_dest")
     return top_rows.select(
         F.col("name_dest").alias("account_id"),
         party_type(F.col("name_dest")).alias("party_type"),

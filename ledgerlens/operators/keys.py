@@ -19,56 +19,57 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import delete_path, ensure_checkpoint_dir
 
 _POSITION_BITS = 33  # monotonically_increasing_id = (partition << 33) + position
-_KEY_TABLES: list[str] = []  # tagged tables written by this process
 
 
-def key_tables_mark() -> int:
-    return len(_KEY_TABLES)
+class KeyTables:
+    """Owns the tagged tables behind one caller's keyed DataFrames. ``release``
+    deletes these tables and no others, once everything that reads them has
+    been written out."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
 
-def release_key_tables(spark, since: int = 0) -> int:
-    """Delete the tagged tables written since ``key_tables_mark()`` returned
-    ``since``, once every DataFrame that reads them has been written out (the
-    pipeline calls this after the star is on disk). Returns the number of
-    tables removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    removed = 0
-    while len(_KEY_TABLES) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_KEY_TABLES.pop())
-        removed += int(bool(path.getFileSystem(conf).delete(path, True)))
-    return removed
+    def new_path(self) -> str:
+        self.paths.append(os.path.join(ensure_checkpoint_dir(self.spark), f"keys-{uuid.uuid4().hex}"))
+        return self.paths[-1]
+
+    def release(self) -> int:
+        """Number of tables removed."""
+        removed = sum(delete_path(self.spark, path) for path in self.paths)
+        self.paths.clear()
+        return removed
 
 
 def assign_key(
     df: DataFrame,
     order_cols: list[str],
     key_col: str,
+    tables: KeyTables,
     num_partitions: int | None = None,
     split_ties: bool = False,
 ) -> DataFrame:
-    """Keys 1..n in ``order_cols`` order.
+    """Keys 1..n in ``order_cols`` order; the tagged table belongs to ``tables``.
 
-    The range partition count defaults to the larger of the shuffle
-    partition setting and the input's split count, so each sorted partition
-    stays about one input split in size at any scale. ``split_ties`` appends
-    the input position as a last order column: rows tied on every order
-    column (interchangeable for the caller) can then be spread over several
-    partitions instead of piling into one; the written table freezes the
-    numbering."""
+    The range partition count defaults to the session's shuffle partition
+    setting (asking the DataFrame for its own would run its shuffles).
+    ``split_ties`` appends the input position as a last order column: rows tied
+    on every order column (interchangeable for the caller) can then be spread
+    over several partitions instead of piling into one; the written table
+    freezes the numbering."""
     spark = df.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = list(order_cols)
     if split_ties:
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         order.append("_tie")
-    tagged_path = os.path.join(ensure_checkpoint_dir(spark), f"keys-{uuid.uuid4().hex}")
+    tagged_path = tables.new_path()
     (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -76,7 +77,6 @@ def assign_key(
         .withColumn("_mid", F.monotonically_increasing_id())
         .write.parquet(tagged_path)
     )
-    _KEY_TABLES.append(tagged_path)
     tagged = spark.read.parquet(tagged_path)
     position = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), _POSITION_BITS)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,36 +1,20 @@
 """Profitability marts: fee revenue - processing cost = gross profit;
 gross - deduplicated fraud loss = net profit.
 
-Money is summed exactly: amounts and costs in cents, fees in 1e-7 units.
-
-Duplicate legs are removed without joining the whole fact to the duplicate
-key set: the loss of a group is (fraud value of the group) - (value of the
-duplicate legs in the group). Both terms are plain aggregates; only the
-duplicate-leg aggregate (fraud rows only) is joined to the grouped rows.
+Money is summed exactly: amounts and costs in cents, fees in 1e-7 units. Every
+mart adds up ``ledger.net_cells``: one scan for the sums by (day, type, band)
+and one over fraud rows for the duplicate legs to take off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.bands import band_id, band_label_by_id
+from ledgerlens.functions.bands import band_label_by_id
 from ledgerlens.functions.fees import FEE_SCALE
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.operators.common import beside, fee_units_of_cents, millions, pct, sum_cents, with_type_names
-from ledgerlens.operators.risk import attribution_totals, true_loss_by_type
-
-
-def _revenue_aggs(with_fraud: bool = False) -> list:
-    aggs = [
-        F.count(F.lit(1)).alias("txn_count"),
-        sum_cents("amount").alias("value_cents"),
-        F.sum("fee_u").alias("fee_u"),
-        sum_cents("cost_per_txn").alias("cost_cents"),
-    ]
-    if with_fraud:
-        aggs.append(F.coalesce(sum_cents(F.when(F.col("is_fraud"), F.col("amount"))), F.lit(0)).alias("fraud_cents"))
-    return aggs
+from ledgerlens.operators.common import cell_sums, fee_units_of_cents, hours_seen, millions, pct, with_type_names
 
 
 def _net_u(loss_col: str = "loss_cents") -> str:
@@ -42,24 +26,9 @@ def _gross_u() -> str:
     return f"fee_u - {fee_units_of_cents('cost_cents')}"
 
 
-def _dedup_loss(agg: DataFrame, ledger, keys: list[str], dup_keys) -> DataFrame:
-    """fraud_cents - duplicate-leg cents per group (left join of small aggregates)."""
-    dups = ledger.duplicates.select(*dup_keys).groupBy(*keys).agg(sum_cents("amount").alias("dup_cents"))
-    return agg.join(dups, keys, "left").withColumn(
-        "loss_cents", F.col("fraud_cents") - F.coalesce(F.col("dup_cents"), F.lit(0))
-    )
-
-
 def profitability_by_type(ledger) -> DataFrame:
-    agg = ledger.priced.groupBy("transaction_type_key").agg(
-        *_revenue_aggs(),
-        F.count_if(F.col("hits_cap")).alias("txns_hitting_cap"),
-        F.count_if(F.col("hits_floor")).alias("txns_hitting_floor"),
-    )
-    named = with_type_names(agg, ledger.dim_type)
-    combined = named.join(true_loss_by_type(ledger), "type_name", "left").withColumn(
-        "loss_cents", F.coalesce(F.col("loss_cents"), F.lit(0))
-    )
+    agg = ledger.net_cells.groupBy("transaction_type_key").agg(*cell_sums())
+    combined = with_type_names(agg, ledger.dim_type).withColumn("loss_cents", F.col("true_cents"))
     fee_den = 10 ** FEE_SCALE
     return combined.select(
         "type_name",
@@ -80,10 +49,7 @@ def profitability_by_type(ledger) -> DataFrame:
 
 
 def profitability_by_type_and_band(ledger) -> DataFrame:
-    keys = ["transaction_type_key", "band_id"]
-    agg = ledger.priced.groupBy(*keys).agg(*_revenue_aggs(with_fraud=True))
-    dup_cols = ["transaction_type_key", band_id(F.col("amount")).alias("band_id"), "amount"]
-    agg = _dedup_loss(agg, ledger, keys, dup_cols)
+    agg = ledger.net_cells.groupBy("transaction_type_key", "band_id").agg(*cell_sums())
     named = with_type_names(agg).withColumn("amount_band", band_label_by_id(F.col("band_id")))
     return named.select(
         "type_name",
@@ -99,17 +65,8 @@ def profitability_by_type_and_band(ledger) -> DataFrame:
     ).orderBy("type_name", "amount_band")
 
 
-def profitability_daily_units(ledger) -> DataFrame:
-    """Per day: txn_count, fee_u, cost_cents, loss_cents, hours_observed."""
-    agg = ledger.priced.groupBy("day_number").agg(
-        *_revenue_aggs(with_fraud=True),
-        F.count_distinct("date_key").alias("hours_observed"),
-    )
-    return _dedup_loss(agg, ledger, ["day_number"], ["day_number", "amount"])
-
-
 def profitability_daily(ledger) -> DataFrame:
-    d = profitability_daily_units(ledger)
+    d = ledger.net_cells.groupBy("day_number").agg(*cell_sums())
     # running total over at most one row per simulated day
     running = f"sum({_net_u()}) OVER (ORDER BY day_number RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return d.select(
@@ -120,21 +77,14 @@ def profitability_daily(ledger) -> DataFrame:
         millions(_gross_u(), FEE_SCALE).alias("gross_profit_millions"),
         millions("loss_cents").alias("fraud_loss_millions"),
         millions(_net_u(), FEE_SCALE).alias("net_profit_millions"),
-        (F.col("hours_observed") == 24).alias("is_complete_day"),
+        (hours_seen() == 24).alias("is_complete_day"),
         millions(running, FEE_SCALE).alias("cumulative_net_profit_millions"),
     ).orderBy("day_number")
 
 
-def summary_units(ledger) -> DataFrame:
-    """One row of exact totals: txns, value, fee, cost, gross fraud, true fraud."""
-    totals = ledger.priced.agg(*_revenue_aggs(with_fraud=True), F.count_if(F.col("is_fraud")).alias("fraud_txns"))
-    true_loss = true_loss_by_type(ledger).agg(F.sum("loss_cents").alias("true_cents"))
-    return beside(totals, true_loss)
-
-
 def profitability_summary(ledger, extra: list | None = None) -> DataFrame:
     """One row; ``extra`` columns are computed from the same aggregate row."""
-    s = summary_units(ledger)
+    s = ledger.net_cells.agg(*cell_sums()).withColumn("fraud_cents", F.coalesce(F.col("fraud_cents"), F.lit(0)))
     return s.select(
         F.col("txn_count").alias("total_txns"),
         ratio_half_up("value_cents", 10**11, 2).alias("total_value_billions"),

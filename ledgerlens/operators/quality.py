@@ -33,6 +33,12 @@ def _check_rows(df: DataFrame, check: str) -> DataFrame:
     )
 
 
+def _as_rows(one: DataFrame, label: str) -> DataFrame:
+    """(label, violations) rows from the columns of a one-row aggregate."""
+    rows = [F.struct(F.lit(c).alias(label), F.col(f"`{c}`").cast("long").alias("violations")) for c in one.columns]
+    return one.select(F.inline(F.array(*rows)))
+
+
 # -------------------------------------------------- shared check expressions
 # Each check is an aggregate expression, so ``validation_report`` can compute
 # every staging-level check in one pass over staging and every fact-level
@@ -87,49 +93,43 @@ def assert_fraud_bearing(stg: DataFrame, dim_type: DataFrame) -> DataFrame:
     joined = observed.join(
         F.broadcast(dim_type.select(F.col("type_name").alias("type"), "is_fraud_bearing")), "type", "left"
     )
+    known = F.col("is_fraud_bearing").isNotNull()
     v = joined.agg(
-        F.count_if(F.col("is_fraud_bearing").isNotNull() & (F.col("has_fraud") != F.col("is_fraud_bearing"))).alias(
-            "flag_mismatches"
-        ),
-        F.count_if(F.col("is_fraud_bearing").isNull()).alias("unknown_types"),
-    )
-    return _check_rows(v.select(F.col("flag_mismatches").alias("violations")), "fraud_bearing_flags").unionByName(
-        _check_rows(v.select(F.col("unknown_types").alias("violations")), "known_types")
+        F.count_if(known & (F.col("has_fraud") != F.col("is_fraud_bearing"))).alias("fraud_bearing_flags"),
+        F.count_if(~known).alias("known_types"),
     )
+    return _as_rows(v, "check").withColumn("result", _verdict(F.col("violations") == 0))
 
 
 def assert_merchant_rule(stg: DataFrame) -> DataFrame:
     """A3: merchants never originate and only receive PAYMENT (one scan)."""
     e = staging_check_exprs()
     v = stg.agg(
-        e["merchant_never_originates"].alias("m_as_originator"),
-        e["merchant_receives_only_payment"].alias("m_as_non_payment_dest"),
-    )
-    return _check_rows(v.select(F.col("m_as_originator").alias("violations")), "merchant_never_originates").unionByName(
-        _check_rows(v.select(F.col("m_as_non_payment_dest").alias("violations")), "merchant_receives_only_payment")
+        *[e[name].alias(name) for name in ("merchant_never_originates", "merchant_receives_only_payment")]
     )
+    return _as_rows(v, "check").withColumn("result", _verdict(F.col("violations") == 0))
 
 
 def fee_clamp_cases(spark) -> DataFrame:
-    """A4: the clamp on fixed cases (floor, rate, cap, zero rate). Unit-test
-    input, not a data query."""
-    from decimal import Decimal
-
-    from ledgerlens.functions.fees import transaction_fee
-
-    rows = [
-        ("floor", Decimal("100"), Decimal("0.01"), Decimal("10"), Decimal("5000"), Decimal("10")),
-        ("rate", Decimal("100000"), Decimal("0.01"), Decimal("10"), Decimal("5000"), Decimal("1000")),
-        ("cap", Decimal("90000000"), Decimal("0.01"), Decimal("10"), Decimal("5000"), Decimal("5000")),
-        ("zero", Decimal("90000000"), Decimal("0.00"), Decimal("0"), Decimal("0"), Decimal("0")),
+    """A4: the fee text that the marts use, on one amount in each of its ranges
+    and on both edges. Unit-test input, not a data query."""
+    from ledgerlens.functions.fees import fee_sql
+
+    cases = [  # amount, rate, floor, cap, fee
+        ("below the floor", 40, 0.02, 2, 75, 2),
+        ("on the floor", 100, 0.02, 2, 75, 2),
+        ("between", 1250, 0.02, 2, 75, 25),
+        ("on the cap", 3750, 0.02, 2, 75, 75),
+        ("above the cap", 8_000_000, 0.02, 2, 75, 75),
+        ("nothing charged", 8_000_000, 0.0, 0, 0, 0),
     ]
-    df = spark.createDataFrame(
-        rows,
-        "case string, amount decimal(18,2), rate decimal(6,5), fee_min decimal(12,2), fee_max decimal(12,2), "
-        "expected decimal(12,2)",
+    df = spark.createDataFrame(cases, "case string, amount int, rate double, fee_min int, fee_max int, expected int")
+    money = df.selectExpr(
+        "case", "CAST(amount AS DECIMAL(18,2)) AS amount", "CAST(rate AS DECIMAL(6,5)) AS rate",
+        "CAST(fee_min AS DECIMAL(12,2)) AS fee_min", "CAST(fee_max AS DECIMAL(12,2)) AS fee_max", "expected",
     )
-    fee = transaction_fee(F.col("amount"), F.col("rate"), F.col("fee_min"), F.col("fee_max"))
-    return df.select("case", fee.alias("fee"), "expected", (fee == F.col("expected")).alias("ok"))
+    fee = F.expr(fee_sql("amount", "rate", "fee_min", "fee_max"))
+    return money.select("case", fee.alias("fee"), "expected", (fee == F.col("expected")).alias("ok"))
 
 
 # --------------------------------------------------------- reconciliation V1-V9
@@ -160,20 +160,18 @@ def check_grain(fact: DataFrame) -> DataFrame:
 
 
 def check_orphans(fact: DataFrame, dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Fact keys with no dimension row (left anti joins; small dims broadcast,
-    the account dimension shuffled)."""
-
-    def orphans(key: str, dim: DataFrame, dim_key: str, name: str, small: bool) -> DataFrame:
-        d = dim.select(F.col(dim_key).alias(key))
-        d = F.broadcast(d) if small else d
-        return fact.select(key).join(d, key, "left_anti").agg(F.count(F.lit(1)).alias(name))
-
-    return beside(
-        orphans("date_key", dim_date, "date_key", "orphaned_date_keys", True),
-        orphans("transaction_type_key", dim_type, "transaction_type_key", "orphaned_type_keys", True),
-        orphans("orig_account_key", accounts, "account_key", "orphaned_orig_keys", False),
-        orphans("dest_account_key", accounts, "account_key", "orphaned_dest_keys", False),
-    )
+    """Fact keys with no dimension row: one scan of the fact, left joins to the
+    dimensions (the account dimension shuffled once for each role)."""
+    links = [
+        ("date_key", dim_date, "date_key", "orphaned_date_keys"),
+        ("transaction_type_key", dim_type, "transaction_type_key", "orphaned_type_keys"),
+        ("orig_account_key", accounts, "account_key", "orphaned_orig_keys"),
+        ("dest_account_key", accounts, "account_key", "orphaned_dest_keys"),
+    ]
+    rows = fact.select(*[key for key, *_ in links])
+    for key, dim, dim_key, name in links:
+        rows = rows.join(dim.select(F.col(dim_key).alias(key), F.lit(True).alias(name)), key, "left")
+    return rows.agg(*[F.count_if(F.col(name).isNull()).alias(name) for *_, name in links])
 
 
 def dimension_row_counts(dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame, fact: DataFrame) -> DataFrame:
@@ -212,13 +210,16 @@ def check_date_dense(dim_date: DataFrame, stg: DataFrame) -> DataFrame:
 
 
 def account_coverage(fact: DataFrame, accounts: DataFrame) -> DataFrame:
-    origs = fact.select(F.col("orig_account_key").alias("k")).distinct()
-    dests = fact.select(F.col("dest_account_key").alias("k")).distinct()
+    """Accounts by the roles they appear in: one scan, one row an account."""
+    roles = fact.select(F.inline(F.expr("array(struct(orig_account_key AS k, 1 AS role), struct(dest_account_key AS k, 2 AS role))")))
+    seen = roles.groupBy("k").agg(F.bit_or("role").alias("roles"))
     return beside(
         accounts.agg(F.count(F.lit(1)).alias("dim_account_rows")),
-        origs.agg(F.count(F.lit(1)).alias("distinct_originators")),
-        dests.agg(F.count(F.lit(1)).alias("distinct_destinations")),
-        origs.join(dests, "k").agg(F.count(F.lit(1)).alias("accounts_in_both_roles")),
+        seen.agg(
+            F.count_if(F.col("roles").bitwiseAND(1) > 0).alias("distinct_originators"),
+            F.count_if(F.col("roles").bitwiseAND(2) > 0).alias("distinct_destinations"),
+            F.count_if(F.col("roles") == 3).alias("accounts_in_both_roles"),
+        ),
     )
 
 
@@ -278,57 +279,63 @@ def fraud_by_type_star(fact: DataFrame, dim_type: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ constraints
 
-def constraint_violations(stg: DataFrame, dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame,
-                          fee_model: DataFrame) -> DataFrame:
-    """C1: the declared constraints of the model as counted violations."""
-    e = staging_check_exprs()
-    stg_checks = stg.agg(
-        e["constraint:staging_not_null"].alias("staging_not_null"),
-        e["constraint:staging_flags_zero_one"].alias("staging_flags_zero_one"),
-    )
-    stg_nulls = stg_checks.select(F.lit("staging_not_null").alias("constraint"), F.col("staging_not_null").alias("v"))
-    stg_flags = stg_checks.select(
-        F.lit("staging_flags_zero_one").alias("constraint"), F.col("staging_flags_zero_one").alias("v")
-    )
-    return _union_constraints(stg_nulls, stg_flags, dim_date, dim_type, accounts, fee_model)
+def repeats(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows beyond the first of each key, as a one-row aggregate."""
+    return df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias(name))
 
 
-def dimension_constraints(dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame,
-                          fee_model: DataFrame) -> list[DataFrame]:
-    """(constraint, v) frames for the declared constraints of the dimensions."""
-    hours = dim_date.agg(
-        F.count_if((F.col("hour_of_day") < 0) | (F.col("hour_of_day") > 23)).alias("v")
-    ).select(F.lit("dim_date_hour_0_23").alias("constraint"), "v")
-    days = dim_date.agg(F.count_if(F.col("day_number") < 0).alias("v")).select(
-        F.lit("dim_date_day_non_negative").alias("constraint"), "v"
-    )
-    signs = dim_type.agg(
-        F.count_if(
-            ~F.col("orig_balance_sign").isin(-1, 1)
-            | (F.col("dest_balance_sign").isNotNull() & ~F.col("dest_balance_sign").isin(-1, 1))
-        ).alias("v")
-    ).select(F.lit("type_signs_plus_minus_one").alias("constraint"), "v")
-    party = accounts.agg(F.count_if(~F.col("party_type").isin("CUSTOMER", "MERCHANT")).alias("v")).select(
-        F.lit("account_party_type").alias("constraint"), "v"
-    )
-    acct_unique = accounts.agg((F.count(F.lit(1)) - F.count_distinct("account_id")).alias("v")).select(
-        F.lit("account_id_unique").alias("constraint"), "v"
-    )
-    fee_rate = fee_model.agg(
-        F.count_if((F.col("fee_rate") < 0) | (F.col("fee_rate") > F.lit(0.10).cast("decimal(6,5)"))).alias("v")
-    ).select(F.lit("fee_rate_0_to_10pct").alias("constraint"), "v")
-    fee_bounds = fee_model.agg(F.count_if(F.col("fee_max") < F.col("fee_min")).alias("v")).select(
-        F.lit("fee_cap_at_least_floor").alias("constraint"), "v"
-    )
-    return [hours, days, signs, party, acct_unique, fee_rate, fee_bounds]
+def nulls(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    return df.agg(F.coalesce(F.sum(missing), F.lit(0)).alias(name))
 
 
-def _union_constraints(stg_nulls, stg_flags, dim_date, dim_type, accounts, fee_model) -> DataFrame:
-    parts = [stg_nulls, stg_flags, *dimension_constraints(dim_date, dim_type, accounts, fee_model)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("constraint", F.col("v").cast("long").alias("violations"))
+# Columns of the fact that must be present (dest_balance_error may be missing).
+FACT_REQUIRED = [
+    "transaction_key", "date_key", "transaction_type_key", "orig_account_key", "dest_account_key", "amount",
+    "oldbalance_org", "newbalance_orig", "oldbalance_dest", "newbalance_dest", "orig_balance_error", "is_fraud",
+    "is_flagged_fraud",
+]
+
+
+def dimension_constraints(dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame, fee_model: DataFrame,
+                          duplicate_legs: DataFrame) -> list[DataFrame]:
+    """One-row aggregates whose columns are the constraints of the dimensions."""
+    sign = lambda c: ~F.col(c).isin(-1, 1)
+    return [
+        dim_date.agg(
+            F.count_if(~F.col("hour_of_day").between(0, 23)).alias("dim_date_hour_0_23"),
+            F.count_if(F.col("day_number") < 0).alias("dim_date_day_non_negative"),
+            (F.count(F.lit(1)) - F.count_distinct("date_key")).alias("date_key_unique"),
+        ),
+        dim_type.agg(
+            F.count_if(sign("orig_balance_sign") | F.coalesce(sign("dest_balance_sign"), F.lit(False))).alias("type_signs_plus_minus_one"),
+            (F.count(F.lit(1)) - F.count_distinct("type_name")).alias("type_name_unique"),
+        ),
+        accounts.agg(F.count_if(~F.col("party_type").isin("CUSTOMER", "MERCHANT")).alias("account_party_type")),
+        repeats(accounts, "account_id", "account_id_unique"),
+        repeats(accounts, "account_key", "account_key_unique"),
+        fee_model.agg(
+            F.count_if(~F.col("fee_rate").between(F.lit(0), F.lit(0.10).cast("decimal(6,5)"))).alias("fee_rate_0_to_10pct"),
+            F.count_if(F.col("fee_max") < F.col("fee_min")).alias("fee_cap_at_least_floor"),
+            (F.count(F.lit(1)) - F.count_distinct("transaction_type_key")).alias("fee_model_key_unique"),
+        ),
+        repeats(duplicate_legs, "transaction_key", "duplicate_leg_key_unique"),
+    ]
+
+
+def constraint_violations(stg: DataFrame, dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame,
+                          fee_model: DataFrame, fact: DataFrame, duplicate_legs: DataFrame) -> DataFrame:
+    """C1: the declared constraints of the model as counted violations."""
+    e = staging_check_exprs()
+    parts = [
+        stg.agg(*[e[f"constraint:{n}"].alias(n) for n in ("staging_not_null", "staging_flags_zero_one")]),
+        *dimension_constraints(dim_date, dim_type, accounts, fee_model, duplicate_legs),
+        nulls(fact, FACT_REQUIRED, "fact_not_null"),
+    ]
+    out = _as_rows(parts[0], "constraint")
+    for part in parts[1:]:
+        out = out.unionByName(_as_rows(part, "constraint"))
+    return out
 
 
 # -------------------------------------------------------------------- validate
@@ -343,13 +350,17 @@ def validation_report(ledger) -> DataFrame:
     stg, fact = ledger.stg, ledger.fact
     exprs = staging_check_exprs()
     stg_row = stg.agg(*_staging_totals(), *[e.alias(f"c{i}") for i, e in enumerate(exprs.values())])
-    fact_row = fact.agg(*_fact_totals(), F.count_distinct("transaction_key").alias("distinct_keys"))
+    missing = sum((F.col(c).isNull().cast("int") for c in FACT_REQUIRED), F.lit(0))
+    fact_row = fact.agg(
+        *_fact_totals(), F.count_distinct("transaction_key").alias("distinct_keys"), F.coalesce(F.sum(missing), F.lit(0)).alias("fact_nulls")
+    )
     both = beside(stg_row, fact_row)
     verdicts = [(name, F.col(f"c{i}")) for i, name in enumerate(exprs)] + [
         ("row_count", F.abs(F.col("staging_rows") - F.col("fact_rows"))),
         ("measures", F.when((F.col("s_c") == F.col("f_c"))
                             & (F.col("staging_fraud_rows") == F.col("fact_fraud_rows")), 0).otherwise(1)),
         ("grain", F.col("fact_rows") - F.col("distinct_keys")),
+        ("constraint:fact_not_null", F.col("fact_nulls")),
     ]
     rows = F.array(*[
         F.struct(F.lit(name).alias("check"), v.cast("long").alias("violations")) for name, v in verdicts
@@ -366,10 +377,9 @@ def validation_report(ledger) -> DataFrame:
             "violations"
         ),
     )
-    dims = dimension_constraints(ledger.dim_date, ledger.dim_type, ledger.accounts, ledger.fee_model)
+    dims = dimension_constraints(ledger.dim_date, ledger.dim_type, ledger.accounts, ledger.fee_model, ledger.duplicate_legs)
     parts = [shared, assert_fraud_bearing(stg, ledger.dim_type).select("check", "violations"), orph, dense] + [
-        d.select(F.concat(F.lit("constraint:"), F.col("constraint")).alias("check"), F.col("v").alias("violations"))
-        for d in dims
+        _as_rows(d.toDF(*[f"constraint:{c}" for c in d.columns]), "check") for d in dims
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -377,10 +387,27 @@ def validation_report(ledger) -> DataFrame:
     return out.select("check", "violations", _verdict(F.col("violations") == 0).alias("result"))
 
 
-def validate(ledger) -> DataFrame:
+def staging_report(ledger) -> DataFrame:
+    """The checks that staging alone decides: A1 to A3 and its constraints."""
+    exprs = staging_check_exprs()
+    rows = _as_rows(ledger.stg.agg(*[e.alias(n) for n, e in exprs.items()]), "check")
+    rows = rows.unionByName(assert_fraud_bearing(ledger.stg, ledger.dim_type).select("check", "violations"))
+    return rows.withColumn("result", _verdict(F.col("violations") == 0))
+
+
+def _raise_failures(report: DataFrame) -> DataFrame:
     """Collect the (small, fixed-size) report and raise on any FAIL."""
-    report = validation_report(ledger)
     failed = [r for r in report.collect() if r["result"] != "PASS"]
     if failed:
         raise ValidationError("; ".join(f"{r['check']}: {r['violations']} violation(s)" for r in failed))
     return report
+
+
+def validate_staging(ledger) -> DataFrame:
+    """Before any star table is built."""
+    return _raise_failures(staging_report(ledger))
+
+
+def validate(ledger) -> DataFrame:
+    """All checks, on the written star."""
+    return _raise_failures(validation_report(ledger))

@@ -1,21 +1,21 @@
 """Risk marts: fraud attribution, fraud by type / amount band, the incumbent
 rule's confusion matrix and the ledger balance signature.
 
-All fraud-only work reads ``ledger.fraud`` (a filtered subset); whole-fact
-aggregates are single hash aggregates over a small key (type, band, flag) with
-map-side partial aggregation, so a hot key never reaches one reducer whole.
+Fraud-only work adds up ``ledger.fraud_cells`` (one filtered scan); marts by
+type or band add up ``ledger.cells``. Both are hash aggregates over small keys
+with map-side partial sums, so a hot key never reaches one reducer whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerlens.functions.bands import band_label
-from ledgerlens.operators.common import millions, money, pct, sum_cents, with_type_names
+from ledgerlens.functions.bands import band_label_by_id
 from ledgerlens.functions.numeric import ratio_half_up
-from ledgerlens.schemas import ATTRIBUTION_BUCKETS, NOT_COUNTED, RESIDUAL_TOLERANCE
+from ledgerlens.operators.common import cell_sums, millions, money, pct, sum_cents, with_type_names
+from ledgerlens.schemas import ATTRIBUTION_BUCKETS, FIRST_LEG_TYPE, NOT_COUNTED, RESIDUAL_TOLERANCE, SECOND_LEG_TYPE
+
 
 def _tol():
     return F.lit(RESIDUAL_TOLERANCE)
@@ -27,16 +27,16 @@ def attribution_totals(ledger) -> DataFrame:
     partition) exploded into the three rows, so every bucket is present even
     when empty (count 0, loss NULL) without a join."""
     bucket = (
-        F.when(F.col("type_name") == "TRANSFER", F.lit(0))
-        .when((F.col("type_name") == "CASH_OUT") & F.col("is_duplicate_leg"), F.lit(2))
-        .when(F.col("type_name") == "CASH_OUT", F.lit(1))
+        F.when(F.col("is_duplicate_leg"), F.lit(2))
+        .when(F.col("type_name") == FIRST_LEG_TYPE, F.lit(0))
+        .when(F.col("type_name") == SECOND_LEG_TYPE, F.lit(1))
     )
-    b = ledger.fraud.select(bucket.alias("b"), "amount")
+    b = ledger.fraud_cells.select(bucket.alias("b"), "fraud_txns", "value")
     aggs = []
     for i, _ in enumerate(ATTRIBUTION_BUCKETS):
         aggs += [
-            F.count_if(F.col("b") == i).alias(f"n{i}"),
-            sum_cents(F.when(F.col("b") == i, F.col("amount"))).alias(f"c{i}"),
+            F.coalesce(F.sum(F.when(F.col("b") == i, F.col("fraud_txns"))), F.lit(0)).alias(f"n{i}"),
+            sum_cents(F.when(F.col("b") == i, F.col("value"))).alias(f"c{i}"),
         ]
     one = b.agg(*aggs)
     rows = F.array(*[
@@ -64,72 +64,46 @@ def fraud_loss_attribution(ledger) -> DataFrame:
     ).orderBy(F.col("loss_cents").desc_nulls_first())
 
 
-def true_loss_by_type(ledger) -> DataFrame:
-    """(type_name, loss_cents) of the buckets that count toward the true loss."""
-    return attribution_totals(ledger).where(F.col("attributed_to") != F.lit(NOT_COUNTED)).select(
-        F.col("attributed_to").alias("type_name"), "loss_cents"
-    )
-
-
 def risk_fraud_by_type(ledger) -> DataFrame:
-    f = ledger.facts
-    agg = f.groupBy("transaction_type_key").agg(
-        F.count(F.lit(1)).alias("total_txns"),
-        sum_cents("amount").alias("total_cents"),
-        F.count_if(F.col("is_fraud")).alias("fraud_txns"),
-        F.coalesce(sum_cents(F.when(F.col("is_fraud"), F.col("amount"))), F.lit(0)).alias("fraud_cents"),
-        F.count_if(F.col("is_flagged_fraud")).alias("flagged_txns"),
-        F.count_if(F.col("is_flagged_fraud") & F.col("is_fraud")).alias("flagged_and_fraud"),
-    )
+    agg = ledger.cells.groupBy("transaction_type_key").agg(*cell_sums(loss=False))
     named = with_type_names(agg, ledger.dim_type, "is_fraud_bearing")
+    fraud = "coalesce(fraud_cents, 0)"
     return named.select(
         "type_name",
         "is_fraud_bearing",
-        "total_txns",
+        F.col("txn_count").alias("total_txns"),
         "fraud_txns",
-        pct("fraud_txns", "total_txns", 4).alias("fraud_rate_pct"),
-        millions("fraud_cents").alias("gross_fraud_value_millions"),
-        pct("fraud_cents", "total_cents", 4).alias("fraud_pct_of_type_value"),
-        ratio_half_up("fraud_cents", "fraud_txns * 100", 2).alias("avg_fraud_amount"),
+        pct("fraud_txns", "txn_count", 4).alias("fraud_rate_pct"),
+        millions(fraud).alias("gross_fraud_value_millions"),
+        pct(fraud, "value_cents", 4).alias("fraud_pct_of_type_value"),
+        ratio_half_up(fraud, "fraud_txns * 100", 2).alias("avg_fraud_amount"),
         "flagged_txns",
-        "flagged_and_fraud",
-        pct("flagged_and_fraud", "fraud_txns", 4).alias("incumbent_rule_recall_pct"),
+        F.col("flagged_fraud_txns").alias("flagged_and_fraud"),
+        pct("flagged_fraud_txns", "fraud_txns", 4).alias("incumbent_rule_recall_pct"),
     ).orderBy(F.col("fraud_txns").desc())
 
 
 def risk_fraud_by_amount_band(ledger) -> DataFrame:
-    agg = (
-        ledger.facts.select(band_label(F.col("amount")).alias("amount_band"), "amount", "is_fraud")
-        .groupBy("amount_band")
-        .agg(
-            F.count(F.lit(1)).alias("total_txns"),
-            F.count_if(F.col("is_fraud")).alias("fraud_txns"),
-            sum_cents(F.when(F.col("is_fraud"), F.col("amount"))).alias("fraud_cents_or_null"),
-        )
-    )
+    agg = ledger.cells.groupBy("band_id").agg(*cell_sums(loss=False))
     # share of all fraud value: a window over at most six aggregated rows
     return agg.select(
-        "amount_band",
-        "total_txns",
+        band_label_by_id(F.col("band_id")).alias("amount_band"),
+        F.col("txn_count").alias("total_txns"),
         "fraud_txns",
-        pct("fraud_txns", "total_txns", 4).alias("fraud_rate_pct"),
-        millions("coalesce(fraud_cents_or_null, 0)").alias("gross_fraud_value_millions"),
-        pct("coalesce(fraud_cents_or_null, 0)", "sum(fraud_cents_or_null) OVER ()", 2).alias(
-            "pct_of_all_fraud_value"
-        ),
+        pct("fraud_txns", "txn_count", 4).alias("fraud_rate_pct"),
+        millions("coalesce(fraud_cents, 0)").alias("gross_fraud_value_millions"),
+        pct("coalesce(fraud_cents, 0)", "sum(fraud_cents) OVER ()", 2).alias("pct_of_all_fraud_value"),
     ).orderBy("amount_band")
 
 
 def risk_flagged_vs_actual(ledger) -> DataFrame:
-    fr, fl = F.col("is_fraud"), F.col("is_flagged_fraud")
-    c = ledger.facts.agg(
-        F.count_if(fr & fl).alias("true_positives"),
-        F.count_if(~fr & fl).alias("false_positives"),
-        F.count_if(fr & ~fl).alias("false_negatives"),
-        F.count_if(~fr & ~fl).alias("true_negatives"),
-        F.coalesce(sum_cents(F.when(fr & ~fl, F.col("amount"))), F.lit(0)).alias("missed_cents"),
+    c = ledger.cells.agg(*cell_sums(loss=False)).selectExpr(
+        "flagged_fraud_txns AS true_positives",
+        "flagged_txns - flagged_fraud_txns AS false_positives",
+        "fraud_txns - flagged_fraud_txns AS false_negatives",
+        "txn_count - fraud_txns - flagged_txns + flagged_fraud_txns AS true_negatives",
+        "coalesce(missed_cents, 0) AS missed_cents",
     )
-    tp, fp, fn = F.col("true_positives"), F.col("false_positives"), F.col("false_negatives")
     return c.select(
         "true_positives",
         "false_positives",

@@ -15,12 +15,12 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.literals import literal_frame
-from ledgerlens.operators.keys import assign_key
+from ledgerlens.operators.keys import KeyTables, assign_key
 from ledgerlens.schemas import (
     CALENDAR_ANCHOR,
     FACT_KEY_ORDER,
@@ -115,7 +115,7 @@ def party_type(account_id: Column) -> Column:
     return F.when(F.left(account_id, F.lit(1)) == "M", F.lit("MERCHANT")).otherwise(F.lit("CUSTOMER"))
 
 
-def dim_accounts(stg: DataFrame) -> DataFrame:
+def dim_accounts(stg: DataFrame, tables: KeyTables) -> DataFrame:
     """One row per distinct id from either role; key = rank of the id.
 
     ``distinct`` runs first so a hot id collapses map-side (partial
@@ -125,7 +125,7 @@ def dim_accounts(stg: DataFrame) -> DataFrame:
         .union(stg.select(F.col("name_dest").alias("account_id")))
         .distinct()
     )
-    keyed = assign_key(ids, ["account_id"], "account_key")
+    keyed = assign_key(ids, ["account_id"], "account_key", tables)
     return keyed.select("account_key", "account_id", party_type(F.col("account_id")).alias("party_type"))
 
 
@@ -191,24 +191,48 @@ def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame
     )
 
 
-def keyed_transactions(stg: DataFrame) -> DataFrame:
+def facts_of(fact: DataFrame) -> DataFrame:
+    """The same grain from a written fact: account keys stand for accounts."""
+    key = "transaction_type_key"
+    return fact.selectExpr(
+        "date_key",
+        "CAST(floor((date_key - 1) / 24) AS INT) AS day_number",
+        "CAST(pmod(date_key - 1, 24) AS INT) AS hour_of_day",
+        key,
+        f"{type_attr_sql(key, 'type_name', by_key=True)} AS type_name",
+        "orig_account_key AS name_orig",
+        "dest_account_key AS name_dest",
+        *_MONEY_COLUMNS,
+        "orig_balance_delta",
+        "dest_balance_delta",
+        "orig_balance_error",
+        "dest_balance_error",
+        "is_fraud",
+        "is_flagged_fraud",
+    )
+
+
+def keyed_transactions(stg: DataFrame, tables: KeyTables) -> DataFrame:
     """Staging rows of known types with their ``transaction_key``."""
     key, _ = _typed_exprs()
     # rows tied on all eleven columns are identical: any numbering among them
     # gives the same table, so they may be split across partitions
-    return assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key", split_ties=True)
+    return assign_key(stg.where(f"({key}) IS NOT NULL"), FACT_KEY_ORDER, "transaction_key", tables, split_ties=True)
 
 
-def fact_transactions(
-    stg: DataFrame, dim_type: DataFrame, accounts: DataFrame, keyed: DataFrame | None = None
-) -> DataFrame:
+def balance_residuals(keyed: DataFrame) -> DataFrame:
+    """Deltas and residuals by transaction key; no account is needed."""
+    _, residuals = _typed_exprs()
+    return keyed.selectExpr("transaction_key", *residuals)
+
+
+def fact_transactions(accounts: DataFrame, keyed: DataFrame) -> DataFrame:
     """The keyed fact: one row per staging row.
 
     transaction_key = ROW_NUMBER over (step, name_orig, amount, <all other
     staging columns>) via ``assign_key``; account keys by two shuffle joins
     to the conformed account dimension (role-playing)."""
     key, residuals = _typed_exprs()
-    keyed = keyed if keyed is not None else keyed_transactions(stg)
     orig = accounts.selectExpr("account_id AS name_orig", "account_key AS orig_account_key")
     dest = accounts.selectExpr("account_id AS name_dest", "account_key AS dest_account_key")
     joined = keyed.join(orig, "name_orig").join(dest, "name_dest")
@@ -225,28 +249,21 @@ def fact_transactions(
     )
 
 
-def leg_signatures(fraud_rows: DataFrame, match_cols: list[str], first_leg: str = FIRST_LEG_TYPE) -> DataFrame:
-    """Distinct (amount, opening balance) signatures of first-leg fraud.
+SIGNATURE = ["amount", "oldbalance_org"]
 
-    Deduplicated so the join side has one row per signature: a hot
-    signature then skews only the probe side, which AQE splits."""
-    return fraud_rows.where(F.col("type_name") == first_leg).select(*match_cols).distinct()
 
+def fraud_cells(fraud_rows: DataFrame) -> DataFrame:
+    """Fraud rows summed by (signature, type, day), each cell with
+    ``is_duplicate_leg``: second legs whose signature some first leg has.
 
-def flag_duplicate_legs(
-    fraud_rows: DataFrame,
-    match_cols: tuple[str, ...] = ("amount", "oldbalance_org"),
-    first_leg: str = FIRST_LEG_TYPE,
-    second_leg: str = SECOND_LEG_TYPE,
-) -> DataFrame:
-    """Fraud rows with ``is_duplicate_leg``: a second-leg fraud row whose
-    signature equals some first-leg fraud row's (EXISTS semantics: every
-    matching second leg is flagged, however many first legs share it)."""
-    sigs = leg_signatures(fraud_rows, list(match_cols), first_leg).withColumn("_sig", F.lit(True))
-    flagged = fraud_rows.join(sigs, list(match_cols), "left")
-    return flagged.withColumn(
-        "is_duplicate_leg", (F.col("type_name") == second_leg) & F.col("_sig").isNotNull()
-    ).drop("_sig")
+    One scan and no self-join: the aggregate collapses a hot signature to at
+    most one row for each type and day before the window over the signature
+    looks for a first leg."""
+    cells = fraud_rows.groupBy(*SIGNATURE, "transaction_type_key", "type_name", "day_number").agg(
+        F.count(F.lit(1)).alias("fraud_txns"), F.sum("amount").alias("value")
+    )
+    has_first = F.max(F.col("type_name") == FIRST_LEG_TYPE).over(Window.partitionBy(*SIGNATURE))
+    return cells.withColumn("is_duplicate_leg", (F.col("type_name") == SECOND_LEG_TYPE) & has_first)
 
 
 def duplicate_cashout_legs(fact: DataFrame, dim_type: DataFrame | None = None) -> DataFrame:
@@ -261,10 +278,11 @@ def duplicate_cashout_legs(fact: DataFrame, dim_type: DataFrame | None = None) -
         fraud = fact.where(F.col("is_fraud")).withColumn(
             "type_name", type_attr_by_key(F.col("transaction_type_key"), "type_name")
         )
-    sigs = leg_signatures(fraud, ["amount", "oldbalance_org"])
+    # one row for each signature: a hot one skews only the probe side, which AQE splits
+    first_legs = fraud.where(F.col("type_name") == FIRST_LEG_TYPE).select(*SIGNATURE).distinct()
     return (
         fraud.where(F.col("type_name") == SECOND_LEG_TYPE)
-        .join(sigs, ["amount", "oldbalance_org"], "left_semi")
+        .join(first_legs, SIGNATURE, "left_semi")
         .select("transaction_key")
     )
 

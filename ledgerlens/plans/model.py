@@ -2,10 +2,11 @@
 
 ``Ledger.from_sf_dir`` derives staging from the driver's ``events`` table;
 ``Ledger.from_staging`` wraps any staging DataFrame (e.g. the CSV reader);
-``Ledger.from_warehouse`` reads a star written by ``plans.pipeline``.
+``Ledger.from_warehouse`` reads a star written by ``plans.pipeline``: its marts
+read the written fact, grouped on account keys, and label accounts last.
 
 Nothing here triggers a job except the keyed tables (``keyed``, ``accounts``
-and ``fact``), whose surrogate keys are fixed by a reliable checkpoint.
+and ``fact``), which are written once; ``release`` deletes them.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.bands import band_id_sql
-from ledgerlens.functions.fees import FEE_SCALE
+from ledgerlens.functions.fees import FEE_SCALE, fee_sql, hits_cap_sql, hits_floor_sql
 from ledgerlens.operators import star
+from ledgerlens.operators.common import sum_cents
+from ledgerlens.operators.keys import KeyTables
+from ledgerlens.schemas import FIRST_LEG_TYPE, SECOND_LEG_TYPE, TRANSACTION_TYPES
 from ledgerlens.sources.staging import staging_from_sf_dir
 
 
@@ -29,6 +33,14 @@ class Ledger:
     stg: DataFrame
     _prebuilt: dict = field(default_factory=dict)
 
+    @cached_property
+    def key_tables(self) -> KeyTables:
+        return KeyTables(self.spark)
+
+    def release(self) -> int:
+        """Delete the key tables of this ledger (after its outputs are written)."""
+        return self.key_tables.release()
+
     # -- constructors ------------------------------------------------------
     @classmethod
     def from_sf_dir(cls, spark: SparkSession, sf_dir: str) -> "Ledger":
@@ -46,7 +58,6 @@ class Ledger:
             "accounts": read("dim_accounts"),
             "fact": read("fact_transactions"),
             "duplicate_legs": read("duplicate_cashout_legs"),
-            "fraud": read("fraud_transactions"),
         }
         return cls(spark, read("stg_transactions"), prebuilt)
 
@@ -65,20 +76,20 @@ class Ledger:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return self._prebuilt["accounts"] if "accounts" in self._prebuilt else star.dim_accounts(self.stg)
+        return self._prebuilt["accounts"] if "accounts" in self._prebuilt else star.dim_accounts(self.stg, self.key_tables)
 
     # -- facts ---------------------------------------------------------------
     @cached_property
     def keyed(self) -> DataFrame:
-        """Staging rows with their transaction_key (checkpointed)."""
-        return star.keyed_transactions(self.stg)
+        """Staging rows with their transaction_key (a written table)."""
+        return star.keyed_transactions(self.stg, self.key_tables)
 
     @cached_property
     def fact(self) -> DataFrame:
         """The keyed fact (surrogate transaction and account keys)."""
         if "fact" in self._prebuilt:
             return self._prebuilt["fact"]
-        return star.fact_transactions(self.stg, self.dim_type, self.accounts, self.keyed)
+        return star.fact_transactions(self.accounts, self.keyed)
 
     @cached_property
     def duplicate_legs(self) -> DataFrame:
@@ -92,24 +103,37 @@ class Ledger:
         return star.duplicate_cashout_legs(self.keyed)
 
     @cached_property
-    def facts(self) -> DataFrame:
-        """Transaction grain without surrogate keys (what the marts read).
+    def residuals(self) -> DataFrame:
+        """Deltas and residuals by transaction key."""
+        if "fact" in self._prebuilt:
+            return self._prebuilt["fact"]
+        return star.balance_residuals(self.keyed)
 
-        One DataFrame object per ledger, so persisting it (the pipeline does
-        while it builds the marts) serves every mart."""
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Transaction grain that the marts read. ``name_orig`` and ``name_dest``
+        stand for accounts: ids from staging, account keys from a written fact
+        (keys follow the ids' order, so both sort alike)."""
+        if "fact" in self._prebuilt:
+            return star.facts_of(self._prebuilt["fact"])
         return star.ledger_facts(self.stg)
 
+    def named_accounts(self, df: DataFrame, column: str) -> DataFrame:
+        """Replace account references in ``column`` by account ids. Callers pass
+        aggregated or filtered rows."""
+        if "fact" not in self._prebuilt:
+            return df
+        names = self.accounts.select(F.col("account_key").alias(column), "account_id")
+        return df.join(names, column).drop(column).withColumnRenamed("account_id", column)
+
     @cached_property
-    def fraud(self) -> DataFrame:
-        """Fraud rows only, each flagged ``is_duplicate_leg`` (the written
-        fraud subset when the ledger reads a warehouse)."""
-        if "fraud" in self._prebuilt:
-            return self._prebuilt["fraud"]
-        return star.flag_duplicate_legs(self.facts.where(F.col("is_fraud")))
+    def fraud_rows(self) -> DataFrame:
+        return self.facts.where(F.col("is_fraud"))
 
     @cached_property
-    def duplicates(self) -> DataFrame:
-        return self.fraud.where(F.col("is_duplicate_leg"))
+    def fraud_cells(self) -> DataFrame:
+        """Fraud sums by (signature, type, day) with ``is_duplicate_leg``."""
+        return star.fraud_cells(self.fraud_rows)
 
     @cached_property
     def priced(self) -> DataFrame:
@@ -117,7 +141,7 @@ class Ledger:
         rate, fmin, fmax, cost = (
             star.fee_attr_sql("transaction_type_key", attr) for attr in ("fee_rate", "fee_min", "fee_max", "cost_per_txn")
         )
-        fee = f"least(greatest(amount * ({rate}), {fmin}), {fmax})"
+        fee = fee_sql("amount", rate, fmin, fmax)
         # inner-join semantics: a type without fee assumptions is dropped
         return self.facts.where(f"({rate}) IS NOT NULL").selectExpr(
             "*",
@@ -127,7 +151,41 @@ class Ledger:
             f"{cost} AS cost_per_txn",
             f"{fee} AS fee",
             f"CAST(({fee}) * {10 ** FEE_SCALE} AS DECIMAL(20,0)) AS fee_u",
-            f"amount * ({rate}) > {fmax} AS hits_cap",
-            f"amount * ({rate}) < {fmin} AS hits_floor",
+            f"{hits_cap_sql('amount', rate, fmax)} AS hits_cap",
+            f"{hits_floor_sql('amount', rate, fmin)} AS hits_floor",
             f"{band_id_sql('amount')} AS band_id",
         )
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Exact sums by (day, type, band), from one scan: the grain that every
+        mart on these keys adds up."""
+        fraud, flagged = F.col("is_fraud"), F.col("is_flagged_fraud")
+        return self.priced.groupBy("day_number", "transaction_type_key", "band_id").agg(
+            F.count(F.lit(1)).alias("txn_count"),
+            F.count_if(fraud).alias("fraud_txns"),
+            F.count_if(flagged).alias("flagged_txns"),
+            F.count_if(flagged & fraud).alias("flagged_fraud_txns"),
+            F.count_if(F.col("hits_cap")).alias("txns_hitting_cap"),
+            F.count_if(F.col("hits_floor")).alias("txns_hitting_floor"),
+            sum_cents("amount").alias("value_cents"),
+            F.sum("fee_u").alias("fee_u"),
+            sum_cents("cost_per_txn").alias("cost_cents"),
+            sum_cents(F.when(fraud, F.col("amount"))).alias("fraud_cents"),
+            sum_cents(F.when(fraud & ~flagged, F.col("amount"))).alias("missed_cents"),
+            F.expr("bit_or(shiftleft(1, hour_of_day)) AS hours"),
+        )
+
+    @cached_property
+    def net_cells(self) -> DataFrame:
+        """Cells with ``loss_cents`` (fraud value without duplicate legs) and
+        ``true_cents`` (that of the types that attribution counts)."""
+        keys = ["day_number", "transaction_type_key", "band_id"]
+        dups = (
+            self.fraud_cells.where(F.col("is_duplicate_leg"))
+            .groupBy("day_number", "transaction_type_key", F.expr(band_id_sql("amount")).alias("band_id"))
+            .agg(sum_cents("value").alias("dup_cents"))
+        )
+        loss = F.coalesce(F.col("fraud_cents"), F.lit(0)) - F.coalesce(F.col("dup_cents"), F.lit(0))
+        counted = F.col("transaction_type_key").isin([t[0] for t in TRANSACTION_TYPES if t[1] in (FIRST_LEG_TYPE, SECOND_LEG_TYPE)])
+        return self.cells.join(dups, keys, "left").withColumn("loss_cents", loss).withColumn("true_cents", F.when(counted, F.col("loss_cents")).otherwise(F.lit(0)))

@@ -1,13 +1,13 @@
 """The build: staging -> star -> validation -> marts, in a fixed stage order.
 
-* Every target is written with ``mode("overwrite")``, so a rebuild is
-  idempotent and the duplicate-leg and fraud-subset tables are always rebuilt
-  with the fact they are derived from (they cannot go stale).
+* Every build goes to a new folder and is published only when it is complete
+  and valid (``sources.warehouse``): a failed build leaves the good one as it
+  was, and the duplicate legs always belong to the fact beside them.
+* The assertions that need staging alone run before any star table is built.
 * The keyed fact is clustered by hour (``sortWithinPartitions``) so Parquet
   min/max statistics prune row groups for time filters.
-* Marts read back the written staging table; the narrow transaction-grain
-  projection they all share is persisted (memory and disk) for the duration
-  of the mart stage, then released.
+* Marts read the written fact (pruned to their columns, grouped on account
+  keys); account ids are joined to the few result rows.
 * Marts are tiny (at most a few hundred rows): each is written as one file
   for BI import. The fact and the account dimension are never exported.
 """
@@ -19,27 +19,18 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators import quality
-from ledgerlens.operators.keys import key_tables_mark, release_key_tables
 from ledgerlens.plans.model import Ledger
-from ledgerlens.plans.registry import MARTS, normalise
-
-# The BI layer: the marts a report imports.
-BI_MARTS = [
-    "fraud_loss_attribution", "risk_fraud_by_type", "risk_fraud_by_amount_band", "risk_flagged_vs_actual",
-    "risk_balance_signature", "growth_daily_activity", "growth_daily_by_type", "growth_hourly_profile",
-    "growth_top_destinations", "growth_account_recurrence", "profitability_by_type",
-    "profitability_by_type_and_band", "profitability_daily", "profitability_summary", "dashboard_date",
-    "dashboard_kpi", "dashboard_daily", "dashboard_fraud_waterfall", "dashboard_data_caveats",
-]
-
+from ledgerlens.plans.registry import BI_MARTS, MARTS, normalise
+from ledgerlens.session import delete_path
+from ledgerlens.sources import warehouse
 
 @dataclass
 class BuildResult:
     out_dir: str
+    build: str
     stage_seconds: dict = field(default_factory=dict)
     headline: dict = field(default_factory=dict)
 
@@ -48,14 +39,16 @@ def _write(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").parquet(path)
 
 
-def build_star(spark: SparkSession, stg: DataFrame, out_dir: str, timings: dict | None = None) -> Ledger:
-    """Write staging, dimensions, the keyed fact and the duplicate legs."""
+def build_star(spark: SparkSession, stg: DataFrame, build: str, timings: dict | None = None) -> Ledger:
+    """Write staging, check it, then write dimensions, the keyed fact and the
+    duplicate legs. Raises ``quality.ValidationError`` before the dimensions
+    are built if an assertion on staging fails."""
     timings = timings if timings is not None else {}
-    mark = key_tables_mark()
     t = time.time()
-    _write(stg, os.path.join(out_dir, "stg_transactions"))
+    _write(stg, os.path.join(build, "stg_transactions"))
+    ledger = Ledger.from_staging(spark, spark.read.parquet(os.path.join(build, "stg_transactions")))
+    quality.validate_staging(ledger)
     timings["staging"] = time.time() - t
-    ledger = Ledger.from_staging(spark, spark.read.parquet(os.path.join(out_dir, "stg_transactions")))
 
     t = time.time()
     dims = [
@@ -65,22 +58,22 @@ def build_star(spark: SparkSession, stg: DataFrame, out_dir: str, timings: dict
         (ledger.accounts, "dim_accounts", False),
     ]
     with ThreadPoolExecutor(max_workers=len(dims)) as pool:  # independent jobs
-        list(pool.map(lambda d: _write(d[0], os.path.join(out_dir, d[1]), single_file=d[2]), dims))
+        list(pool.map(lambda d: _write(d[0], os.path.join(build, d[1]), single_file=d[2]), dims))
     timings["dimensions"] = time.time() - t
 
     t = time.time()
-    _write(ledger.fact.sortWithinPartitions("date_key"), os.path.join(out_dir, "fact_transactions"))
+    written = {"accounts": spark.read.parquet(os.path.join(build, "dim_accounts"))}
+    keyed = Ledger(spark, ledger.stg, written)
+    _write(keyed.fact.sortWithinPartitions("date_key"), os.path.join(build, "fact_transactions"))
     timings["fact"] = time.time() - t
 
     t = time.time()
-    written = Ledger(spark, ledger.stg, {"fact": spark.read.parquet(os.path.join(out_dir, "fact_transactions"))})
-    _write(written.duplicate_legs, os.path.join(out_dir, "duplicate_cashout_legs"))
-    # the fraud subset (a fraction of a percent of rows) with its duplicate-leg
-    # flag: every fraud-only mart reads this instead of the fact
-    _write(ledger.fraud, os.path.join(out_dir, "fraud_transactions"))
+    written["fact"] = spark.read.parquet(os.path.join(build, "fact_transactions"))
+    _write(Ledger(spark, ledger.stg, written).duplicate_legs, os.path.join(build, "duplicate_cashout_legs"))
     timings["duplicate_legs"] = time.time() - t
-    release_key_tables(spark, mark)  # the keyed rows now live in the written fact
-    return Ledger.from_warehouse(spark, out_dir)
+    ledger.release()  # the keyed rows now live in the written tables
+    keyed.release()
+    return Ledger.from_warehouse(spark, build)
 
 
 def build_marts(
@@ -94,20 +87,15 @@ def build_marts(
     projections; several are submitted at once so the scheduler can overlap
     their small stages (on a large cluster each job still gets the cluster)."""
     timings = timings if timings is not None else {}
-    shared = [ledger.facts.persist(StorageLevel.MEMORY_AND_DISK), ledger.fraud.persist(StorageLevel.MEMORY_AND_DISK)]
 
     def one(name: str) -> tuple[str, float]:
         t = time.time()
         _write(normalise(MARTS[name](ledger)), os.path.join(out_dir, "marts", name), single_file=True)
         return name, time.time() - t
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-            for name, secs in pool.map(one, names or BI_MARTS):
-                timings[f"mart:{name}"] = secs
-    finally:
-        for df in shared:
-            df.unpersist()
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        for name, secs in pool.map(one, names or BI_MARTS):
+            timings[f"mart:{name}"] = secs
 
 
 MEASURES = [
@@ -130,16 +118,23 @@ def build_measures(spark: SparkSession, out_dir: str, timings: dict | None = Non
 
 
 def run(spark: SparkSession, stg: DataFrame, out_dir: str, marts: list[str] | None = None) -> BuildResult:
-    """Full rebuild. Raises ``quality.ValidationError`` (before any mart is
-    written) when a check fails."""
-    result = BuildResult(out_dir)
-    ledger = build_star(spark, stg, out_dir, result.stage_seconds)
-    t = time.time()
-    quality.validate(ledger)
-    result.stage_seconds["validate"] = time.time() - t
-    build_marts(ledger, out_dir, marts, result.stage_seconds)
-    if marts is None:
-        build_measures(spark, out_dir, result.stage_seconds)
-    kpi = spark.read.parquet(os.path.join(out_dir, "marts", "dashboard_kpi")).collect()
-    result.headline = kpi[0].asDict() if kpi else {}
+    """Full rebuild into a new folder under ``out_dir``, published at the end.
+    Raises ``quality.ValidationError`` (nothing is published) when a check
+    fails."""
+    build = warehouse.new_build(out_dir)
+    result = BuildResult(out_dir, build)
+    try:
+        ledger = build_star(spark, stg, build, result.stage_seconds)
+        t = time.time()
+        quality.validate(ledger)
+        result.stage_seconds["validate"] = time.time() - t
+        build_marts(ledger, build, marts, result.stage_seconds)
+        if marts is None:
+            build_measures(spark, build, result.stage_seconds)
+        kpi = spark.read.parquet(os.path.join(build, "marts", "dashboard_kpi")).collect()
+        result.headline = kpi[0].asDict() if kpi else {}
+        warehouse.publish(spark, out_dir, build)
+    except BaseException:
+        delete_path(spark, build)
+        raise
     return result

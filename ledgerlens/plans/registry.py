@@ -71,8 +71,8 @@ MARTS: dict[str, Mart] = {
     "dim_date": lambda L: L.dim_date,
     "dim_accounts": lambda L: L.accounts,
     "fact_transactions": lambda L: L.fact,
-    "balance_deltas": lambda L: L.fact.select("transaction_key", "orig_balance_delta", "dest_balance_delta"),
-    "ledger_residuals": lambda L: L.fact.select("transaction_key", "orig_balance_error", "dest_balance_error"),
+    "balance_deltas": lambda L: L.residuals.select("transaction_key", "orig_balance_delta", "dest_balance_delta"),
+    "ledger_residuals": lambda L: L.residuals.select("transaction_key", "orig_balance_error", "dest_balance_error"),
     "duplicate_cashout_legs": lambda L: L.duplicate_legs,
     # quality
     "assert_payment_dest_untracked": lambda L: quality.assert_payment_dest_untracked(L.stg),
@@ -90,7 +90,7 @@ MARTS: dict[str, Mart] = {
     "balance_error_by_type": lambda L: quality.balance_error_by_type(L.facts, L.dim_type),
     "fraud_by_type_star": lambda L: quality.fraud_by_type_star(L.fact, L.dim_type),
     "constraint_violations": lambda L: quality.constraint_violations(
-        L.stg, L.dim_date, L.dim_type, L.accounts, L.fee_model
+        L.stg, L.dim_date, L.dim_type, L.accounts, L.fee_model, L.fact, L.duplicate_legs
     ),
     # evidence
     "evidence_leg_pairs": evidence.evidence_leg_pairs,
@@ -118,6 +118,16 @@ MARTS: dict[str, Mart] = {
 }
 
 
+# The BI layer: the marts a report imports.
+BI_MARTS = [
+    "fraud_loss_attribution", "risk_fraud_by_type", "risk_fraud_by_amount_band", "risk_flagged_vs_actual",
+    "risk_balance_signature", "growth_daily_activity", "growth_daily_by_type", "growth_hourly_profile",
+    "growth_top_destinations", "growth_account_recurrence", "profitability_by_type",
+    "profitability_by_type_and_band", "profitability_daily", "profitability_summary", "dashboard_date",
+    "dashboard_kpi", "dashboard_daily", "dashboard_fraud_waterfall", "dashboard_data_caveats",
+]
+
+
 def run_mart(mart: Mart, spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise(mart(Ledger.from_sf_dir(spark, sf_dir)))
 

@@ -38,6 +38,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return bool(fs.delete(at, True))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only for local runs."""
     sc = spark.sparkContext

@@ -16,9 +16,10 @@ import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.schemas import CSV_HEADER, STAGING_COLUMNS, STAGING_SCHEMA
+from ledgerlens.schemas import CSV_HEADER, STAGING_SCHEMA
 
 # ---------------------------------------------------------------------------
 # Fixed values of the events -> staging mapping.
@@ -47,24 +48,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-partitioned input over the available cores.
-
-    A single large Parquet row group is one split, so all per-row work would
-    run in one task. Only inputs with fewer splits than the cluster's default
-    parallelism are spread; a large input already has thousands of splits
-    and is returned untouched (no extra shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def read_staging_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV -> staging DataFrame under the declared schema.
 
     Fails fast with a clear message when the source is missing (before any
-    expensive work) and on any malformed row."""
+    expensive work), on any malformed row and on any missing value: no staging
+    column may be NULL."""
     csv_schema = T.StructType(
         [T.StructField(h, f.dataType, True) for h, f in zip(CSV_HEADER, STAGING_SCHEMA.fields)]
     )
@@ -77,8 +66,14 @@ def read_staging_csv(spark: SparkSession, path: str) -> DataFrame:
             .csv(path)
         )
     except AnalysisException as exc:  # missing path is detected while planning
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"staging source not found: {path}") from exc
-    return raw.toDF(*STAGING_COLUMNS)
+    present = [
+        F.coalesce(F.col(h), F.raise_error(F.lit(f"staging column {f.name} is NULL")).cast(f.dataType)).alias(f.name)
+        for h, f in zip(CSV_HEADER, STAGING_SCHEMA.fields)
+    ]
+    return raw.select(*present)
 
 
 def _sql_case(expr: str, mapping: dict, quote: bool = True) -> str:
@@ -147,4 +142,4 @@ def staging_from_events(events: DataFrame) -> DataFrame:
 
 def staging_from_sf_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return staging_from_events(spread(events))
+    return staging_from_events(events)

@@ -1,40 +1,36 @@
 """Landing folder -> staging table, exactly once.
 
-The file source remembers which files it has read (in the checkpoint), the
-Parquet file sink commits each micro-batch atomically through its metadata
-log, so a restarted or re-run job neither skips nor duplicates a file, and a
-lost executor only re-runs its tasks. ``availableNow`` processes everything
+The file source remembers which files it has read (in the checkpoint) and the
+Parquet file sink commits each micro-batch through its metadata log, by batch
+number. Both belong together: a job that is run again must name the same
+checkpoint folder, which therefore has no default (a new one would restart at
+batch 0, which the sink takes for already committed). ``availableNow`` processes everything
 that has landed, in bounded micro-batches, then stops: the stream doubles as
 an incremental batch load.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.schemas import CSV_HEADER, STAGING_COLUMNS, STAGING_SCHEMA
-from ledgerlens.session import ensure_checkpoint_dir
 
 
 def land_staging(
     spark: SparkSession,
     landing_dir: str,
     staging_path: str,
-    checkpoint_path: str | None = None,
+    checkpoint_path: str,
     max_files_per_trigger: int = 1000,
     wait: bool = True,
 ) -> StreamingQuery:
     """Append every new CSV file of ``landing_dir`` to the staging table.
 
-    The checkpoint defaults to a folder under the cluster's shared
-    ``spark.checkpoint.dir``. Malformed rows fail the batch (FAILFAST), as
-    the bulk loader does."""
-    if checkpoint_path is None:
-        checkpoint_path = os.path.join(ensure_checkpoint_dir(spark), "landing-" + os.path.basename(staging_path))
+    ``checkpoint_path`` is a folder in shared storage that stays with this
+    staging table for good. Malformed rows fail the batch (FAILFAST), as the
+    bulk loader does."""
     csv_schema = T.StructType(
         [T.StructField(h, f.dataType, True) for h, f in zip(CSV_HEADER, STAGING_SCHEMA.fields)]
     )

