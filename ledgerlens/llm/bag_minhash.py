@@ -11,11 +11,14 @@ sum of maxima.
 
 Equal texts become one node. Nodes with an equal band (``ROWS`` registers) share
 a bucket. Links are verified on the bags themselves, sizes first, and classes
-are the connected components of verified links. As only classes are wanted, a
-bucket is first compared with one leader; where that leaves several classes in
-it, small buckets compare all their members of different classes, and large
-ones take a fresh leader in each round until a round over all of them finds no
-link. So a bucket's work is linear in its size, whatever its size.
+are the connected components of verified links. As only classes are wanted,
+each bucket is first compared with one leader, whatever its size. Where that
+leaves several classes in a bucket, a bucket of at most ``SMALL`` members
+compares those of different classes; the members of larger ones meet in an
+exact prefix join: shingles in order of rarity among them, the prefix that an
+overlap of 0.8 must reach, and the bounds that sizes and positions put on the
+overlap. Near copies with edits of their own have prefixes that nobody shares,
+so crowds of texts just under the threshold yield few pairs.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^4)^20,
 under 3 in 100,000.
@@ -199,7 +202,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             mask = pa.array(held, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    # always shuffled, alike at every size; a leader with many partners is split by AQE
+    side = lambda end: texts.select(F.col("node").alias(end), F.col("t").alias(f"t{end}")).hint("merge")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -230,27 +235,94 @@ def sizes_fit(x: str, y: str) -> Column:
     return SIMILAR[1] * F.least(x, y) >= SIMILAR[0] * F.greatest(x, y)
 
 
-def candidate_pairs(held: DataFrame, labels: DataFrame | None, round_: int) -> DataFrame:
-    """Pairs (a, b) of one round from rows (bucket, n, node, weight)."""
-    rows = with_class(held, labels)
-    if labels is not None:
-        rows = frozen(rows, "members")
-    leader = F.min_by(F.struct("node", "weight", "class"), F.xxhash64("node", F.lit(round_))).alias("lead")
-    mixed = frozen(
-        rows.groupBy("bucket").agg(leader, F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket", "lead.*").toDF("bucket", "a", "wa", "ca"),
-        "mixed",
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """Buckets of rows (bucket, n, node, weight, class) that hold several
+    classes, each with one leader."""
+    lead = F.min_by(F.struct("node", "weight", "class"), F.xxhash64("node")).alias("lead")
+    found = rows.groupBy("bucket").agg(lead, F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    return frozen(found.select("bucket", "lead.*").toDF("bucket", "a", "wa", "ca"), "mixed")
+
+
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    pairs = rows.join(mixed_buckets(rows), "bucket").where((F.col("class") != F.col("ca")) & sizes_fit("weight", "wa"))
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
+def small_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Pairs of different classes in mixed buckets of at most SMALL members."""
+    few = rows.where(F.col("n") <= SMALL).join(mixed.select("bucket"), "bucket").select("bucket", "node", "weight", "class")
+    pairs = few.join(few.toDF("bucket", "a", "wa", "ca"), "bucket").where((F.col("a") < F.col("node")) & (F.col("class") != F.col("ca")) & sizes_fit("weight", "wa"))
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """(node, class, n, tokens) of rows (node, class, t): a bag as the set of
+    its shingles numbered by occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = worker_shingles()
+        for batch in batches:
+            sets = []
+            for t in batch["t"].to_pylist():
+                h, c = shingles.bag(t)
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                sets.append(mix(np.repeat(h, c) + nth.astype(np.uint64) * _GOLDEN).view(np.int64))
+            columns = [batch["node"], batch["class"], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "class", "n", "tokens"])
+
+    return rows.select("node", "class", "t").mapInArrow(run, "node long, class long, n long, tokens array<long>")
+
+
+def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes among rows (node, class) that can
+    be similar, by prefix, size and position."""
+    tokens = frozen(shingle_sets(crowd.join(texts.hint("merge"), "node")).select("node", "class", "n", F.explode("tokens").alias("token")), "tokens")
+    # a token of one text only comes first in its order and meets nobody
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    ordered = tokens.join(shared.hint("merge"), "token").groupBy("node", "class", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("ts"))
+    alone = F.col("n") - F.size("ts")
+    prefix = F.expr(f"n - cast(ceil({SIMILAR[0]} * n / {SIMILAR[1]}) as long) + 1")
+    kept = frozen(
+        ordered.withColumn("alone", alone)
+        .withColumn("ts", F.slice("ts", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int")))
+        .select("node", "class", "n", "alone", F.posexplode("ts").alias("i", "t"))
+        .select("node", "class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("t.token").alias("token")),
+        "prefixes",
     )
-    joined = rows.join(mixed, "bucket")
-    pairs = joined.where((F.col("class") != F.col("ca")) & sizes_fit("weight", "wa"))
-    if round_:
-        pairs = pairs.where(F.col("n") > SMALL)
-    pairs = pairs.select("a", F.col("node").alias("b"))
-    if round_ == 1:
-        few = rows.where(F.col("n") <= SMALL).join(mixed.select("bucket"), "bucket").select("bucket", "node", "weight", "class")
-        other = few.toDF("bucket", "a", "wa", "ca")
-        every = few.join(other, "bucket").where((F.col("a") < F.col("node")) & (F.col("class") != F.col("ca")) & sizes_fit("weight", "wa"))
-        pairs = pairs.union(every.select("a", F.col("node").alias("b")))
-    return pairs.distinct()
+    other = kept.toDF("a", "ca", "na", "resta", "token")
+    # overlap of at least s / (1 + s) of both sizes, and at most what follows the first common token
+    enough = sum(SIMILAR) * F.least("rest", "resta") >= SIMILAR[0] * (F.col("n") + F.col("na"))
+    pairs = kept.join(other, "token").where((F.col("a") < F.col("node")) & (F.col("class") != F.col("ca")) & sizes_fit("n", "na") & enough)
+    return pairs.select("a", F.col("node").alias("b")).distinct()
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Classes after more links (a, b)."""
+    if links.isEmpty():
+        return labels
+    ends = with_class(links.select(F.col("a").alias("node"), "b"), labels).select(F.col("class").alias("a"), F.col("b").alias("node"))
+    joined = components(with_class(ends, labels).select("a", F.col("class").alias("b")))
+    if labels is None:
+        return joined
+    moved = labels.join(joined.toDF("class", "onto"), "class", "left").select("node", F.coalesce("onto", "class").alias("class"))
+    return frozen(moved.union(joined).distinct(), "labels")
+
+
+def link_classes(held: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(node, class) of linked nodes, from rows (bucket, n, node, weight)."""
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return frozen(verified(frozen(pairs, "pairs"), texts), "links")
+
+    labels = merged(None, checked(leader_pairs(with_class(held, None))))
+    rows = frozen(with_class(held, labels), "members")
+    mixed = mixed_buckets(rows)
+    labels = merged(labels, checked(small_pairs(rows, mixed)))
+    crowded = rows.where(F.col("n") > SMALL).join(mixed.select("bucket"), "bucket").select("node").distinct()
+    crowd = frozen(with_class(crowded, labels), "crowd")
+    if crowd.isEmpty():
+        return labels
+    return merged(labels, checked(prefix_pairs(crowd, texts)))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,28 +339,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = frozen(nodes.select("text_key", "node").join(held.select("node").distinct(), "node"), "wanted")
     texts = frozen(
         documents.select(F.col(text_col).cast("binary").alias("t"), text_key(F.col(text_col)).alias("text_key"))
-        .join(wanted, "text_key")
+        .join(wanted.hint("merge"), "text_key")
         .groupBy("node")
         .agg(F.first("t").alias("t")),
         "texts",
     )
-    labels, round_ = None, 0
-    while True:
-        links = frozen(verified(frozen(candidate_pairs(held, labels, round_), "pairs"), texts), "links")
-        found = not links.isEmpty()
-        if found:
-            ends = links.select(F.col("a").alias("node"), "b")
-            ends = with_class(ends, labels).select(F.col("class").alias("a"), F.col("b").alias("node"))
-            ends = with_class(ends, labels).select("a", F.col("class").alias("b"))
-            joined = components(ends)
-            if labels is not None:
-                onto = joined.toDF("class", "onto")
-                moved = labels.join(onto, "class", "left").select("node", F.coalesce("onto", "class").alias("class"))
-                joined = frozen(moved.union(joined).distinct(), "labels")
-            labels = joined
-        if round_ and not found:
-            break
-        round_ += 1
+    labels = link_classes(held, texts)
     named = signs.join(with_class(nodes.select("text_key", "node"), labels).select("text_key", "class"), "text_key", "left")
     # texts without shingles stand alone
     named = frozen(named.select("row", "doc_id", "text_key", F.coalesce("class", "row").alias("class")), "named")
