@@ -285,17 +285,35 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     kept = frozen(
         ordered.withColumn("alone", alone)
         .withColumn("ts", F.slice("ts", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int")))
-        .select("node", "class", "n", "alone", F.posexplode("ts").alias("i", "t"))
-        .select("node", "class", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("t.token").alias("token")),
+        .select(
+            "node", "class", "n", "alone", (F.col("n") - prefix).alias("after"), F.array(*[F.expr(marks(k)) for k in range(MARK_WORDS)]).alias("marks"),
+            F.size("ts").alias("size"), F.posexplode("ts").alias("i", "t"),
+        )
+        .withColumn("lost", F.col("size") - sum(F.bit_count(F.col("marks")[k]) for k in range(MARK_WORDS)))
+        .select("node", "class", "n", "after", "marks", "lost", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("t.token").alias("token")),
         "prefixes",
-    )
-    other = kept.toDF("a", "ca", "na", "resta", "token")
-    # overlap of at least s / (1 + s) of both sizes, and at most what follows the first common token
-    enough = sum(SIMILAR) * F.least("rest", "resta") >= SIMILAR[0] * (F.col("n") + F.col("na"))
+    )
+    other = kept.toDF("a", "ca", "na", "aftera", "marksa", "losta", "resta", "token")
+    # An overlap of at least s / (1 + s) of both sizes is needed. From the first
+    # common token on, it is at most what follows there; and it is at most the
+    # common tokens of both prefixes (bounded by their marks) and what follows a prefix.
+    need = SIMILAR[0] * (F.col("n") + F.col("na"))
+    common = sum(F.bit_count(F.col("marks")[k].bitwiseAND(F.col("marksa")[k])) for k in range(MARK_WORDS)) + F.least("lost", "losta")
+    enough = (sum(SIMILAR) * F.least("rest", "resta") >= need) & (sum(SIMILAR) * (common + F.greatest("after", "aftera")) >= need)
     pairs = kept.join(other, "token").where((F.col("a") < F.col("node")) & (F.col("class") != F.col("ca")) & sizes_fit("n", "na") & enough)
     return pairs.select("a", F.col("node").alias("b")).distinct()
 
 
+MARK_WORDS = 4  # 64-bit words that mark the tokens of a prefix
+
+
+def marks(k: int) -> str:
+    """SQL text: word ``k`` of the marks of ``ts``, one bit for each token (tokens
+    that share a bit are counted as ``lost``, so the bound stays one)."""
+    bit = "shiftleft(1L, cast(shiftrightunsigned(x.token, 8) & 63 as int))"
+    return f"aggregate(ts, 0L, (m, x) -> if(pmod(x.token, {MARK_WORDS}) = {k}, m | {bit}, m))"
+
+
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Classes after more links (a, b)."""
     if links.isEmpty():
