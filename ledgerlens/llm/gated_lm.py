@@ -38,7 +38,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import chunks, frozen, id_bucket, segments
@@ -46,7 +46,7 @@ from ledgerlens.llm.common import chunks, frozen, id_bucket, segments
 FOLDS, HELD_OUT = 7, 2
 WORDS, REST, LISTED = 2048, 32, 1 << 16
 HIDDEN, CLASSES, CLASS_SIZE = 16, 48, 64
-WINDOW, LANES = 32, 256  # of scoring
+WINDOW, LANES = 64, 256  # of scoring
 TRAIN_WINDOW, TRAIN_LANES = 16, 32  # tokens a step: the two multiplied
 ROUNDS, SHARE, RATE = 3, 6, 0.1
 BUFFER_TOKENS = 1 << 21  # tokens that a task holds before it runs the lanes
@@ -129,7 +129,7 @@ class Lexicon:
             away = np.flatnonzero(~here)
             if len(away):
                 odd = [words[i] for i in away.tolist()]
-                symbols[away] = self.rest_symbol[[rest_bucket(w) for w in odd]]
+                symbols[away] = self.rest_symbol[list(map(rest_bucket, odd))]
                 for w in odd:
                     rare[w] = rare.get(w, 0) + 1
             logs = self.log_count[at[here]]
@@ -147,7 +147,11 @@ def lexicon(counts: DataFrame, words: int = WORDS, listed: int = LISTED) -> Lexi
     """From the count table; the driver gets ``listed`` words and sums by bucket."""
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     end = counts.where(F.col("word") == F.lit(END)).agg(F.sum("c").alias("c")).first()["c"] or 0
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(listed).collect()
+    # the least count that at most ``listed`` words reach, from the few distinct counts
+    reached = counts.groupBy("c").agg(F.count(F.lit(1)).alias("words")).select("c", F.sum("words").over(Window.orderBy(F.desc("c"))).alias("reached"))
+    least = reached.where(F.col("reached") <= listed).agg(F.min("c").alias("c")).first()["c"]
+    chosen = counts.where((F.col("word") != F.lit(END)) & (F.col("c") >= (least if least is not None else sums["n"] or 0)))
+    top = sorted(chosen.collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     names = [bytes(r["word"]) for r in top]
     c = np.array([r["c"] for r in top], np.int64)
     whole = (
@@ -433,7 +437,6 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 def score_rows(documents: DataFrame, lex: Lexicon, weights: np.ndarray) -> DataFrame:
     """Rows (doc_id, held_out, t) with what needs no other word counts, and the
     words that need them."""
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
 
     def finish(net: Network, held: list[tuple]) -> pa.RecordBatch:
@@ -442,7 +445,13 @@ def score_rows(documents: DataFrame, lex: Lexicon, weights: np.ndarray) -> DataF
         columns = [
             pa.array(ids, pa.int64()), pa.array(folds, pa.bool_()), pa.array([len(e[0]) for e in encoded], pa.int64()),
             pa.array([e[3] for e in encoded], pa.int64()), pa.array([e[1] for e in encoded], pa.float64()), pa.array(scores, pa.float64()),
-            pa.array([[{"word": w, "n": n} for w, n in e[4].items()] for e in encoded], rare_type),
+            pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum([len(e[4]) for e in encoded]))), pa.int32()),
+                pa.StructArray.from_arrays(
+                    [pa.array(chain.from_iterable(e[4] for e in encoded), pa.binary()), pa.array(chain.from_iterable(e[4].values() for e in encoded), pa.int64())],
+                    ["word", "n"],
+                ),
+            ),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
