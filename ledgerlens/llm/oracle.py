@@ -66,7 +66,8 @@ def _tree(regions: str, least: str) -> str:
     join shards using (g, rack) group by k)"""
 
 
-_OP8 = f"""
+#: Placement without the text crc, which DuckDB has no function for; a test compares it.
+SHARD_PLACEMENT = f"""
 with rows_in as (select doc_id, coalesce(cast(doc_id as varchar), 'null') as k, coalesce(text, '') as t from documents),
 keys as (select distinct k from rows_in),
 shards as (select (s // 12) as g, (s // 4) % 3 as rack, s as shard from range(24) as x(s) union all select 2, 0, 24),

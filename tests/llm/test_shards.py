@@ -42,3 +42,18 @@ def test_hot_id_and_repeated_rows(spark):
     assert len(rows) == 504
     shard = next(r.shard for r in rows if r.doc_id == 1)
     assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
+def test_placement_equals_sql(spark):
+    import duckdb
+
+    from ledgerlens.llm.common import read_table
+    from ledgerlens.llm.oracle import SHARD_PLACEMENT
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet')")
+    want = con.execute(SHARD_PLACEMENT).df()
+    got = shard_tree.shard(read_table(spark, folder, "documents")).toPandas()[list(want.columns)]
+    order = ["doc_id", "slot"]
+    assert got.sort_values(order).reset_index(drop=True).equals(want.sort_values(order).reset_index(drop=True).astype(got.dtypes))
