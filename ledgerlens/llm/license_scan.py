@@ -148,10 +148,12 @@ class Model:
 
 
 def sample_lines(documents: DataFrame, lines: int) -> list[list[str]]:
-    rows = documents.select(F.explode("lines").alias("line")).where(F.size(words_column(F.col("line"))) > 0)
-    # equal lines count once, so that a line of many documents doesn't fill the sample
-    chosen = rows.select(F.xxhash64("line").alias("h"), F.left("line", F.lit(2000)).alias("line")).groupBy("h").agg(F.min("line").alias("line"))
-    return [words_of(r["line"]) for r in chosen.orderBy("h").limit(lines).collect()]
+    """The lines with the lowest hashes. Equal lines count once, so that a line
+    of many documents doesn't fill the sample; only hashes are shuffled."""
+    rows = documents.select(F.explode("lines").alias("line")).where(F.col("line").rlike("[A-Za-z0-9]")).select("line", F.xxhash64("line").alias("h"))
+    lowest = rows.select("h").distinct().orderBy("h").limit(lines)
+    chosen = rows.join(F.broadcast(lowest), "h").groupBy("h").agg(F.min(F.left("line", F.lit(2000))).alias("line"))
+    return [words_of(r["line"]) for r in sorted(chosen.collect(), key=lambda r: r["h"])]
 
 
 def features(spark: SparkSession, model: Model) -> DataFrame:
@@ -175,12 +177,12 @@ def licence_lines(documents: DataFrame, model: Model) -> DataFrame:
         words.withColumn("following", following)
         .join(F.broadcast(features(spark, model)), "word")
         .where("next = '' or next = following")
+        .groupBy("doc_id", "text_key", "line_no")
         # a gram counts once a line, as in training
-        .select("doc_id", "text_key", "line_no", "line", "word", "next", "w")
-        .dropDuplicates(["doc_id", "text_key", "line_no", "word", "next"])
+        .agg(F.min("line").alias("line"), F.collect_set(F.struct("word", "next", "w")).alias("grams"))
     )
-    sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))]
-    scored = hits.groupBy("doc_id", "text_key", "line_no").agg(F.min("line").alias("line"), *sums)
+    sums = [F.expr(f"aggregate(grams, 0D, (a, g) -> a + g.w[{k}])").alias(f"s{k}") for k in range(len(FAMILIES))]
+    scored = hits.select("doc_id", "text_key", "line_no", "line", *sums)
     logits = [F.col(f"s{k}") + float(b) for k, b in enumerate(model.bias)]
     top = F.greatest(*logits, F.lit(float(model.unknown)))
     total = sum((F.exp(z - top) for z in logits), F.exp(F.lit(float(model.unknown)) - top))
