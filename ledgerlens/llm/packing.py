@@ -15,10 +15,9 @@ text columns are read.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,66 +25,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import chunks, frozen, segments
-from ledgerlens.llm.tokenizing import CACHE_WORDS, vocabulary_path
+from ledgerlens.llm.common import frozen, segments
+from ledgerlens.llm.tokenizing import CACHE_WORDS, PreTokens, vocabulary_path, words_of
 
 END_ID = 1
-ENCODE_AT_ONCE = 20_000  # new words given to the library in one call
 
 
-class WordIds:
-    """Ids of words as bytes, kept by a worker. Two bytes an id where the
-    vocabulary allows it."""
+def id_type(library) -> str:
+    return "<u2" if library.get_vocab_size() < 1 << 16 else "<u4"
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
-        self.dtype = id_type(self.library)
+class WordIds(dict):
+    """Word -> its ids as bytes (two bytes an id where the vocabulary allows
+    it), made when first asked for: the library's model gives the ids of each
+    pre-token."""
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), ENCODE_AT_ONCE):
-            some = new[i : i + ENCODE_AT_ONCE]
-            got = self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, got))
+    def __init__(self, path: str):
+        super().__init__()
+        self.pre = PreTokens(path)
+        self.tokenize, self.dtype = self.pre.library.model.tokenize, id_type(self.pre.library)
+        self.as_bytes = [np.array([i], self.dtype).tobytes() for i in range(self.pre.library.get_vocab_size())]
 
-    def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+    def __missing__(self, word: bytes) -> bytes:
+        got = self[word] = b"".join(map(self.of_piece, self.pre(word.decode())))
+        return got
 
+    def of_piece(self, piece: str | int) -> bytes:
+        if isinstance(piece, int):
+            return self.as_bytes[piece]
+        # an ASCII piece of a word has the ids that it has as a word
+        known = self.get(piece.encode()) if piece.isascii() else None
+        return known or b"".join([self.as_bytes[t.id] for t in self.tokenize(piece)])
 
-def id_type(library) -> str:
-    return "<u2" if library.get_vocab_size() < 1 << 16 else "<u4"
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join([b"".join(map(self.__getitem__, words_of(part))) for part in segments(text)])
 
 
-def encode_texts(texts: list[bytes], kept: WordIds, end: bytes) -> Iterator[bytes]:
-    for some in chunks(texts):
-        if len(some) == 1:
-            parts = []
-            for part in segments(some[0]):
-                words = part.split()
-                kept.learn(set(words))
-                parts.append(kept.ids(words))
-            yield b"".join(parts) + end
-        else:
-            split = [t.split() for t in some]
-            kept.learn(set(chain.from_iterable(split)))
-            for words in split:
-                yield kept.ids(words) + end
+@cache
+def kept_ids(path: str) -> WordIds:
+    """One for each worker process and vocabulary."""
+    return WordIds(path)
 
 
 def encoded(documents: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """One row per document: its split, its offset there, its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, at, split = WordIds(path), 0, TaskContext.get().partitionId()
-        width = np.dtype(kept.dtype).itemsize
-        end = np.array([END_ID], kept.dtype).tobytes()
+        kept, at, split = kept_ids(path), 0, TaskContext.get().partitionId()
+        width, end = np.dtype(kept.dtype).itemsize, np.array([END_ID], kept.dtype).tobytes()
         for batch in batches:
-            ids = list(encode_texts(batch["t"].to_pylist(), kept, end))
+            ids = [kept.encode(t or b"") + end for t in batch["t"].to_pylist()]
             lengths = np.array([len(x) // width for x in ids], np.int64)
             starts = at + np.cumsum(lengths) - lengths
             at += int(lengths.sum())

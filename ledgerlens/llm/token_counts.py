@@ -17,8 +17,8 @@ empty result; only the id and text columns are read.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -27,29 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import chunks, segments
-from ledgerlens.llm.tokenizing import CACHE_WORDS, vocabulary_path
+from ledgerlens.llm.tokenizing import KeptWords, PreTokens, byte_symbols, vocabulary_path, words_of
 
 NO_RANK = np.int64(1 << 40)
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level BPE:
-    printable Latin-1 bytes stand for themselves, the others for the
-    characters from 256 on, in order."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class RaggedMerger:
     """Counts BPE symbols of many pre-tokens at once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+        self.pre_tokens = PreTokens(path)
+        model = self.pre_tokens.spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.width = len(vocab)
         # symbol ids by code point of the stand-in character: inside, and at the end of a pre-token
@@ -61,35 +49,21 @@ class RaggedMerger:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.by_rank = keys[order], order.astype(np.int64), made
-        library = Tokenizer.from_file(path)
-        self.normal, self.pre = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.special = [t["content"] for t in spec["added_tokens"]]
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where(self.keys[at] == wanted, self.ranks[at], NO_RANK)
 
-    def pre_tokens(self, word: str) -> tuple[int, list[str]]:
-        """Number of special tokens in a word, and its other pre-tokens."""
-        if word.isascii() and word.isalpha():
-            return 0, [word.lower()]
-        parts, specials = [word], 0
-        if any(s in word for s in self.special):
-            for s in self.special:
-                split = [p.split(s) for p in parts]
-                specials += sum(len(p) - 1 for p in split)
-                parts = list(chain.from_iterable(split))
-        return specials, [t for p in parts if p for t, _ in self.pre(self.normal(p))]
-
     def count_words(self, words: list[str]) -> list[int]:
-        """Tokens of each white-space word."""
-        split = [self.pre_tokens(w) for w in words]
-        tokens = list(chain.from_iterable(t for _, t in split))
-        survivors = self.survivors(tokens)
-        owner = np.repeat(np.arange(len(words)), [len(t) for _, t in split])
-        total = np.bincount(owner, weights=survivors, minlength=len(words)).astype(np.int64)
-        return (total + np.array([s for s, _ in split], np.int64)).tolist()
+        """Tokens of each white-space word; an added token is one."""
+        split = list(map(self.pre_tokens, words))
+        owner = np.repeat(np.arange(len(words)), list(map(len, split)))
+        pieces = list(chain.from_iterable(split))
+        plain = np.array([isinstance(p, str) for p in pieces], bool)
+        counts = np.ones(len(pieces), np.int64)
+        counts[plain] = self.survivors([p for p in pieces if isinstance(p, str)])
+        return np.bincount(owner, weights=counts, minlength=len(words)).astype(np.int64).tolist()
 
     def survivors(self, tokens: list[str]) -> np.ndarray:
         """Symbols left of each pre-token when no known pair remains."""
@@ -140,37 +114,26 @@ class RaggedMerger:
         return counts
 
 
-class WordCounts:
-    """Token counts of words, kept by a worker."""
-
-    def __init__(self, path: str):
-        self.merger, self.known = RaggedMerger(path), {}
-
-    def text(self, words: list[bytes]) -> int:
-        return sum(map(self.known.__getitem__, words))
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.merger.count_words([w.decode() for w in new])))
+@cache
+def kept_counts(path: str) -> KeptWords:
+    """One for each worker process and vocabulary."""
+    return KeptWords(RaggedMerger(path).count_words)
 
 
-def count_texts(texts: list[bytes], kept: WordCounts) -> list[int]:
-    out: list[int] = []
+def count_texts(texts: list[bytes], kept: KeptWords) -> Iterator[int]:
     for some in chunks(texts):
         if len(some) == 1:
             n = 0
             for part in segments(some[0]):
-                words = part.split()
+                words = words_of(part)
                 kept.learn(set(words))
-                n += kept.text(words)
-            out.append(n)
+                n += sum(map(kept.__getitem__, words))
+            yield n
         else:
-            split = [t.split() for t in some]
+            split = list(map(words_of, some))
             kept.learn(set(chain.from_iterable(split)))
-            out += map(kept.text, split)
-    return out
+            for words in split:
+                yield sum(map(kept.__getitem__, words))
 
 
 def token_counts(
@@ -180,9 +143,9 @@ def token_counts(
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = WordCounts(path)
+        kept = kept_counts(path)
         for batch in batches:
-            counts = count_texts(batch["t"].to_pylist(), kept)
+            counts = list(count_texts(batch["t"].to_pylist(), kept))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
