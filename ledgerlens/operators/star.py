@@ -97,10 +97,16 @@ def fee_model(spark: SparkSession, dim_type: DataFrame | None = None) -> DataFra
     )
 
 
+MAX_HOURS = 2_000_000  # over two centuries: a longer span is a corrupt step
+
+
 def dim_date(stg: DataFrame) -> DataFrame:
-    """Every hour between the observed min and max step (dense series)."""
+    """Every hour between the observed min and max step (dense series). A span
+    over ``MAX_HOURS`` is an error, not a dimension of that length."""
     bounds = stg.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
-    steps = bounds.select(F.explode(F.sequence("lo", "hi")).alias("date_key"))
+    too_long = F.raise_error(F.concat(F.lit("steps span too many hours: "), F.col("lo"), F.lit(" to "), F.col("hi"))).cast("int")
+    last = F.when(F.col("hi").cast("long") - F.col("lo") > MAX_HOURS, too_long).otherwise(F.col("hi"))
+    steps = bounds.select(F.explode(F.sequence("lo", last)).alias("date_key"))
     day = day_of(F.col("date_key"))
     return steps.select(
         F.col("date_key").cast("int").alias("date_key"),

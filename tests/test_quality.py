@@ -71,3 +71,9 @@ def test_fee_cap_below_floor_fails(micro):
         micro.stg, micro.dim_date, micro.dim_type, micro.accounts, bad_fees, micro.fact, micro.duplicate_legs).collect()}
     assert v["fee_cap_at_least_floor"] == 1
     assert sum(v.values()) == 1
+
+
+def test_corrupt_step_is_an_error_and_not_a_long_calendar(spark, micro_rows):
+    rows = micro_rows[:-1] + [(2_000_000_000, *micro_rows[-1][1:])]
+    with pytest.raises(Exception, match="steps span too many hours"):
+        Ledger.from_staging(spark, staging_df(spark, rows)).dim_date.count()
