@@ -12,11 +12,12 @@ a bucket has the bucket's probability times (c + 1) / (n + v + 1), n and v being
 the bucket's tokens and distinct words, so each unseen word has that of c = 0.
 
 Training. ``ROUNDS`` rounds over disjoint parts of the training documents, by a
-hash of the text: each task starts from the round's weights, runs truncated
-backpropagation through windows of ``TRAIN_WINDOW`` tokens with states carried on,
-and the tasks' weights are averaged by tokens, in blocks and in two steps, so
-that neither a group nor the driver grows with the number of documents. One
-text in ``SHARE`` trains the weights; counts use all.
+hash of id and text, so that copies under other ids spread over the rounds: each
+task starts from the round's weights, runs truncated backpropagation through
+windows of ``TRAIN_WINDOW`` tokens with states carried on, and the tasks' weights
+are averaged by tokens, in blocks and in two steps, so that neither a group nor
+the driver grows with the number of documents. Every training document trains
+the weights once (``SHARE`` 1), as it counts once.
 
 Scoring. Documents are dealt to lanes that run side by side; a lane's state is
 carried across windows and is zero at a document's start.
@@ -48,7 +49,7 @@ WORDS, REST, LISTED = 2048, 32, 1 << 16
 HIDDEN, CLASSES, CLASS_SIZE = 16, 48, 64
 WINDOW, LANES = 64, 256  # of scoring
 TRAIN_WINDOW, TRAIN_LANES = 16, 32  # tokens a step: the two multiplied
-ROUNDS, SHARE, RATE = 3, 6, 0.1
+ROUNDS, SHARE, RATE = 3, 1, 0.1
 BUFFER_TOKENS = 1 << 21  # tokens that a task holds before it runs the lanes
 FLUSH_WORDS = 300_000  # distinct words that a task counts before it hands them on
 BLOCK = 1 << 13  # parameters in a block when tasks' weights are averaged
@@ -239,6 +240,8 @@ class Network:
         h, n = state, self.hidden
         states = np.empty((*inputs.shape, n), np.float32)
         given = self.x[inputs]
+        if trace is not None:
+            trace.extend(np.empty((5, *inputs.shape, n), given.dtype))
         for t in range(len(inputs)):
             before = h * keep[t][:, None]
             hu = before @ self.u
@@ -248,66 +251,73 @@ class Network:
             h = new + z * (before - new)
             states[t] = h
             if trace is not None:
-                trace.append((before, hu[:, 2 * n :], z, r, new))
+                for kept, value in zip(trace, (before, hu[:, 2 * n :], z, r, new)):
+                    kept[t] = value
         return states
 
     def output(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of targets from rows of states, and the
         gradient of their negative sum by the states."""
         of = self.class_of[targets]
+        order = np.argsort(of, kind="stable")  # rows of a class side by side
+        h, targets, of = h[order], targets[order], of[order]
         at = np.arange(len(h))
-        logits = h @ self.c.T + self.cb
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        out = logits[at, of] - np.log(total[:, 0])
+        p = h @ self.c.T
+        p += self.cb
+        p -= p.max(1, keepdims=True)
+        out = p[at, of]
+        np.exp(p, out=p)
+        total = p.sum(1)
+        out -= np.log(total)
         dh = None
         if grads is not None:
-            p /= total
+            p /= total[:, None]
             p[at, of] -= 1
             grads["c"], grads["cb"] = p.T @ h, p.sum(0)
             dh = p @ self.c
             grads["w"], grads["wb"] = np.zeros_like(self.w), np.zeros_like(self.wb)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(len(self.bounds)))
-        for k in range(len(self.bounds) - 1):
+        edges = np.searchsorted(of, np.arange(len(self.bounds)))
+        for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.bounds) > 1)).tolist():
             lo, hi = self.bounds[k], self.bounds[k + 1]
-            rows = order[edges[k] : edges[k + 1]]
-            if hi - lo < 2 or not len(rows):
-                continue
-            hk, tk, ik = h[rows], targets[rows] - lo, np.arange(len(rows))
-            logits = hk @ self.w[lo:hi].T + self.wb[lo:hi]
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(1, keepdims=True)
-            out[rows] += logits[ik, tk] - np.log(total[:, 0])
+            rows = slice(edges[k], edges[k + 1])
+            hk, tk, ik = h[rows], targets[rows] - lo, at[: edges[k + 1] - edges[k]]
+            p = hk @ self.w[lo:hi].T
+            p += self.wb[lo:hi]
+            p -= p.max(1, keepdims=True)
+            out[rows] += p[ik, tk]
+            np.exp(p, out=p)
+            total = p.sum(1)
+            out[rows] -= np.log(total)
             if grads is not None:
-                p /= total
+                p /= total[:, None]
                 p[ik, tk] -= 1
                 grads["w"][lo:hi], grads["wb"][lo:hi] = p.T @ hk, p.sum(0)
                 dh[rows] += p @ self.w[lo:hi]
-        return out, dh
+        back = np.empty_like(order)
+        back[order] = at
+        return out[back], None if dh is None else dh[back]
 
     def backward(self, inputs: np.ndarray, keep: np.ndarray, trace: list, dstates: np.ndarray, grads: dict) -> None:
         n = self.hidden
-        du = np.zeros_like(self.u)
-        dx = np.empty((*inputs.shape, 3 * n), np.float32)
+        before, hun, z, r, new = trace
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), hun * r * (1 - r)
+        dg = np.empty((*inputs.shape, 3 * n), z.dtype)  # by the gates' sums with u
+        dnew = np.empty_like(z)
         dh = np.zeros_like(dstates[0])
         for t in range(len(inputs) - 1, -1, -1):
-            before, hun, z, r, new = trace[t]
             dh = dh + dstates[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * hun * r * (1 - r)
-            dx[t] = np.concatenate((dz, dr, dnew), 1)
-            dg = np.concatenate((dz, dr, dnew * r), 1)
-            du += before.T @ dg
-            dh = (dh * z + dg @ self.u.T) * keep[t][:, None]
-        grads["u"] = du
+            dnew[t] = dh * by_new[t]
+            dg[t, :, :n] = dh * by_z[t]
+            dg[t, :, n : 2 * n] = dnew[t] * by_r[t]
+            dg[t, :, 2 * n :] = dnew[t] * r[t]
+            dh = (dh * z[t] + dg[t] @ self.u.T) * keep[t][:, None]
+        grads["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        dg[:, :, 2 * n :] = dnew
         flat = inputs.ravel()
         order = np.argsort(flat, kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        grads["x"] = (used, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
+        given = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
+        grads["x"] = (given[first], np.add.reduceat(dg.reshape(-1, 3 * n)[order], first, axis=0))
 
     def step(self, grads: dict, seen: dict, rate: float) -> None:
         """Adagrad."""
@@ -315,8 +325,9 @@ class Network:
             value, past = getattr(self, name), seen[name]
             if name == "x":
                 rows, g = g
-                past[rows] += g * g
-                value[rows] -= rate * g / np.sqrt(past[rows])
+                new = past[rows] + g * g
+                past[rows] = new
+                value[rows] -= rate * g / np.sqrt(new)
             else:
                 past += g * g
                 value -= rate * g / np.sqrt(past)
@@ -342,42 +353,43 @@ def run_lanes(net: Network, documents: list[np.ndarray], end: int, train: tuple[
     """Natural log-probability of each document; trains on the way if asked to."""
     scores = np.zeros(len(documents))
     window, width = (TRAIN_WINDOW, TRAIN_LANES) if train else (WINDOW, LANES)
-    rows = []
-    for held in lanes(documents, width):
-        target = np.concatenate([documents[i] for i in held])
-        given = np.concatenate(([end], target[:-1])).astype(np.int32)
-        sizes = [len(documents[i]) for i in held]
-        keep = np.ones(len(target), np.float32)
-        starts = np.cumsum([0, *sizes[:-1]])
-        keep[starts] = 0
-        given[starts] = end
-        rows.append((target, given, keep, np.repeat(np.array(held), sizes)))
-    state = np.zeros((len(rows), net.hidden), np.float32)
-    at, longest = 0, len(rows[0][0]) if rows else 0
-    while at < longest:
-        live = sum(len(r[0]) > at for r in rows)  # lanes are sorted by length
-        rows, state = rows[:live], state[:live]
-        size = min(window, longest - at)
-        target, given, owner = (np.zeros((size, live), np.int32) for _ in range(3))
-        keep, real = np.ones((size, live), np.float32), np.zeros((size, live), bool)
-        for k, r in enumerate(rows):
-            m = min(size, len(r[0]) - at)
-            target[:m, k], given[:m, k], keep[:m, k], owner[:m, k] = (x[at : at + m] for x in r)
-            real[:m, k] = True
+    dealt = lanes(documents, width)
+    if not dealt:
+        return scores
+    # every lane's tokens one after the other, then by place in the lane: a
+    # window is a run of these, as lanes are sorted by length
+    doc = np.array(list(chain.from_iterable(dealt)))
+    sizes = np.array([len(documents[i]) for i in doc])
+    target = np.concatenate([documents[i] for i in doc])
+    given = np.concatenate(([end], target[:-1])).astype(np.int32)
+    keep, starts = np.ones(len(target), np.float32), np.cumsum(sizes) - sizes
+    given[starts], keep[starts] = end, 0
+    long = np.array([sum(len(documents[i]) for i in held) for held in dealt])
+    place = np.arange(len(target)) - np.repeat(np.cumsum(long) - long, long)
+    order = np.argsort(place, kind="stable")
+    target, given, keep, owner = (x[order] for x in (target, given, keep, np.repeat(doc, sizes)))
+    width_at = np.bincount(place)  # lanes that reach a place
+    upto = np.concatenate(([0], np.cumsum(width_at)))
+    state = np.zeros((len(dealt), net.hidden), np.float32)
+    for at in range(0, len(width_at), window):
+        size, live = min(window, len(width_at) - at), width_at[at]
+        state = state[:live]
+        run = slice(upto[at], upto[at + size])
+        real = np.arange(live) < width_at[at : at + size, None]
+        inputs, goes_on = np.zeros((size, live), np.int32), np.ones((size, live), np.float32)
+        inputs[real], goes_on[real] = given[run], keep[run]
         trace: list | None = [] if train else None
-        states = net.forward(given, keep, state, trace)
-        h, want = states[real], target[real]
+        states = net.forward(inputs, goes_on, state, trace)
         grads: dict | None = {} if train else None
-        logs, dh = net.output(h, want, grads)
-        scores += np.bincount(owner[real], logs, len(scores))
+        logs, dh = net.output(states[real], target[run], grads)
+        scores += np.bincount(owner[run], logs, len(scores))
         if train:
             dstates = np.zeros_like(states)
             dstates[real] = dh
-            net.backward(given, keep, trace, dstates, grads)
+            net.backward(inputs, goes_on, trace, dstates, grads)
             scale = np.float32(1 / live)
             net.step({n: (g[0], g[1] * scale) if n == "x" else g * scale for n, g in grads.items()}, *train)
         state = states[-1]
-        at += size
     return scores
 
 
@@ -422,10 +434,11 @@ def train_round(training: DataFrame, lex: Lexicon, weights: np.ndarray, rate: fl
 
 
 def train(training: DataFrame, lex: Lexicon, rounds: int = ROUNDS, share: int = SHARE, rate: float = RATE) -> np.ndarray:
+    """Rows (doc_id, t), each in one round."""
     weights = Network(lex.mass).flat()
-    part = F.pmod(F.xxhash64("t"), F.lit(rounds * share))
+    part = F.pmod(F.xxhash64("doc_id", "t"), F.lit(rounds * share))
     for k in range(rounds):
-        weights = train_round(training.where(part == k), lex, weights, rate / (1 + k))
+        weights = train_round(training.where(part == k).select("t"), lex, weights, rate / (1 + k))
     return weights
 
 
@@ -478,8 +491,8 @@ def score(documents: DataFrame, rounds: int = ROUNDS, share: int = SHARE, id_col
     """Base and model score of every row."""
     doc_id = F.col(id_col).cast("long")
     rows = documents.select(doc_id.alias("doc_id"), held_out_fold(doc_id).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    training = rows.where(~F.col("held_out")).select("t")
-    counts = frozen(count_words(training), "word-counts")
+    training = rows.where(~F.col("held_out")).select("doc_id", "t")
+    counts = frozen(count_words(training.select("t")), "word-counts")
     lex = lexicon(counts)
     weights = train(training, lex, rounds, share)
     scored = frozen(score_rows(rows, lex, weights).withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -187,3 +187,17 @@ def test_state_is_carried_and_lanes_do_not_matter(network, monkeypatch):
 def test_training_beats_counts_on_held_out_documents(spark):
     rows = gated_lm.score(read_table(spark, SF, "documents")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows["s"] > rows["b"]
+
+
+def test_every_training_row_trains_the_weights_once(spark, monkeypatch):
+    rows = [(i, f"{cases.ENGLISH} {i}") for i in range(60)] + [(i, cases.FRENCH) for i in range(60, 90)] + [(None, "no id")] * 2
+    seen, train_round = [], gated_lm.train_round
+
+    def kept(training, *rest):
+        seen.append(Counter(bytes(r.t).decode() for r in training.collect()))
+        return train_round(training, *rest)
+
+    monkeypatch.setattr(gated_lm, "train_round", kept)
+    gated_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert sum(seen, Counter()) == Counter(t for i, t in rows if i is None or fold(i, 7) != 2)
+    assert all(c[cases.FRENCH] for c in seen)  # copies under other ids are in every round
