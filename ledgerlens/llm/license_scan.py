@@ -9,11 +9,17 @@ unknown class has the logit 0; a part of the training paragraphs is kept back
 to fit one temperature and one offset of the unknown class, so that
 probabilities mean what they say.
 
-Scanning covers every line of every text: words meet the broadcast features
-(a few hundred rows), weights are summed by line and family, and a line whose
-best family is more probable than ``THRESHOLD`` is compared with that family's
-sentences by shared bigrams; only a line that holds most of a sentence, or lies
-mostly inside one, is confirmed.
+Scanning covers every line of every text, in overlapping windows of ``WINDOW``
+words, so that the n-grams of a long line do not add up and every sentence lies
+whole in some window: words meet the broadcast features (a few hundred rows) and
+weights are summed by window and family. A window whose best family is more
+probable than ``THRESHOLD`` is compared with that family's sentences by shared
+bigrams; one that holds most of a sentence, or lies mostly inside one, is
+confirmed. Where the families together are more probable than that, every
+family's sentences are compared place by place too: runs of words with most of
+a sentence's bigrams compete for their words, the larger share wins them, and a
+family whose run keeps most of its words is confirmed with its probability
+against the unknown class alone. A line can so have several families.
 
 Cases: null and empty texts have no paragraph and no licence; equal
 probabilities go to the family that sorts first; repeated rows repeat; a null
@@ -28,7 +34,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import frozen
@@ -42,6 +48,8 @@ LASSO, STEPS = 2e-4, 200
 THRESHOLD = 0.5
 CONFIRMED = 0.6
 SEED = 7
+LONGEST = max(len(re.findall("[a-z0-9]+", t.lower())) for texts in TEMPLATES.values() for t in texts)
+WINDOW = 2 * LONGEST  # words; windows start every LONGEST words
 
 
 def words_of(line: str) -> list[str]:
@@ -162,46 +170,91 @@ def features(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def sentences(spark: SparkSession) -> DataFrame:
-    rows = [(f, sorted(" ".join(g) for g in grams_of(words_of(t)) if g[1])) for f in FAMILIES for t in TEMPLATES[f]]
-    return spark.createDataFrame(rows, "family string, sentence array<string>")
+    rows = [(k, f, sorted(" ".join(g) for g in grams_of(words_of(t)) if g[1]), len(words_of(t)) - 1) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    return spark.createDataFrame(rows, "number int, of string, sentence array<string>, places int")
 
 
-def licence_lines(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text_key, line_no, family, probability, confirmed) of the lines
-    whose best family is more probable than the threshold."""
+LINE = ["doc_id", "text_key", "line_no"]
+
+
+def windows(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_key, line_no, at, ws): the words of each window, ``at``
+    words from the line's start."""
+    lines = documents.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line")).withColumn("all", words_column(F.col("line")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - LONGEST - 1, F.lit(0)), F.lit(LONGEST))
+    return lines.select(*LINE, "all", F.explode(starts).alias("at")).select(*LINE, "at", F.slice("all", F.col("at") + 1, WINDOW).alias("ws"))
+
+
+def likely_windows(documents: DataFrame, model: Model) -> DataFrame:
+    """Windows that are more probably of some family than unknown: best family
+    and its probability, each family's against the unknown class, bigrams."""
     spark = documents.sparkSession
-    lines = documents.select("doc_id", "text_key", F.posexplode("lines").alias("line_no", "line"))
-    words = lines.withColumn("ws", words_column(F.col("line"))).select("*", F.posexplode("ws").alias("pos", "word"))
+    words = windows(documents).select("*", F.posexplode("ws").alias("pos", "word"))
     following = F.coalesce(F.try_element_at("ws", F.col("pos") + 2), F.lit(""))
     hits = (
         words.withColumn("following", following)
         .join(F.broadcast(features(spark, model)), "word")
         .where("next = '' or next = following")
-        .groupBy("doc_id", "text_key", "line_no")
-        # a gram counts once a line, as in training
-        .agg(F.min("line").alias("line"), F.collect_set(F.struct("word", "next", "w")).alias("grams"))
+        .groupBy(*LINE, "at")
+        # a gram counts once a window, as in training
+        .agg(F.first("ws").alias("ws"), F.collect_set(F.struct("word", "next", "w")).alias("grams"))
     )
     sums = [F.expr(f"aggregate(grams, 0D, (a, g) -> a + g.w[{k}])").alias(f"s{k}") for k in range(len(FAMILIES))]
-    scored = hits.select("doc_id", "text_key", "line_no", "line", *sums)
+    scored = hits.select(*LINE, "at", "ws", *sums)
     logits = [F.col(f"s{k}") + float(b) for k, b in enumerate(model.bias)]
-    top = F.greatest(*logits, F.lit(float(model.unknown)))
-    total = sum((F.exp(z - top) for z in logits), F.exp(F.lit(float(model.unknown)) - top))
+    unknown = F.lit(float(model.unknown))
+    top = F.greatest(*logits, unknown)
+    total = sum((F.exp(z - top) for z in logits), F.exp(unknown - top))
     # the best family: highest logit, then the name
     best = F.array_max(F.array(*[F.struct(z.alias("z"), F.lit(-k).alias("k")) for k, z in enumerate(logits)]))
-    found = (
+    return (
         scored.withColumn("best", best)
-        .withColumn("probability", F.exp(F.col("best.z") - top) / total)
-        .where(F.col("probability") > THRESHOLD)
-        .withColumn("family", F.element_at(F.array(*map(F.lit, FAMILIES)), 1 - F.col("best.k")))
-        .withColumn("ws", words_column(F.col("line")))
-        .withColumn("pairs", F.when(F.size("ws") > 1, F.array_distinct(F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, F.size("ws")), lambda a, b: F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<string>")))
+        .where(1 - F.exp(unknown - top) / total > THRESHOLD)
+        .select(
+            *LINE,
+            "at",
+            F.element_at(F.array(*map(F.lit, FAMILIES)), 1 - F.col("best.k")).alias("family"),
+            (F.exp(F.col("best.z") - top) / total).alias("probability"),
+            F.array(*[1 / (1 + F.exp(unknown - z)) for z in logits]).alias("alone"),
+            F.when(F.size("ws") > 1, F.zip_with(F.slice("ws", 1, F.size("ws") - 1), F.slice("ws", 2, F.size("ws")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")).alias("pairs"),
+        )
+    )
+
+
+def licence_lines(documents: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text_key, line_no, family, probability, confirmed): the best
+    families of a line's windows and the other families confirmed in it."""
+    likely = frozen(likely_windows(documents, model), "licence-windows").withColumn("distinct", F.array_distinct("pairs"))
+    compared = likely.join(F.broadcast(sentences(documents.sparkSession))).withColumn("shared", F.size(F.array_intersect("pairs", "sentence")))
+    most = F.col("shared") >= CONFIRMED * F.size("sentence")
+    inside = (F.size("distinct") > 2) & (F.col("shared") >= CONFIRMED * F.size("distinct"))
+    best = compared.where((F.col("of") == F.col("family")) & (F.col("probability") > THRESHOLD)).select(*LINE, "family", "probability", (most | inside).alias("confirmed"))
+    # runs as long as the sentence that hold most of its bigrams
+    runs = F.expr(
+        """filter(transform(sequence(1, greatest(size(pairs) - places + 1, 1)), i -> struct(at + i as start,
+        size(array_intersect(slice(pairs, i, places), sentence)) / size(sentence) as share)), """
+        f"r -> r.share >= {CONFIRMED})"
+    )
+    run = [*LINE, "of", "places", "start"]
+    held = (
+        compared.where(most)
+        .select(*LINE, "of", "places", F.element_at("alone", F.col("number") + 1).alias("alone"), F.inline(runs))
+        .groupBy(*run)
+        .agg(F.max("share").alias("share"), F.max("alone").alias("alone"))
+    )
+    placed = held.withColumn("place", F.explode(F.expr("sequence(start, start + places - 1)")))
+    winner = F.max(F.struct("share", "places", "of")).over(Window.partitionBy(*LINE, "place"))
+    others = (
+        placed.withColumn("kept", winner["of"] == F.col("of"))
+        .groupBy(*run)
+        .agg(F.max("alone").alias("probability"), F.count_if("kept").alias("kept"))
+        .where(F.col("kept") >= CONFIRMED * F.col("places"))
+        .select(*LINE, F.col("of").alias("family"), "probability", F.lit(True).alias("confirmed"))
     )
-    shared = F.size(F.array_intersect("pairs", "sentence"))
-    inside = (F.size("pairs") > 2) & (shared >= CONFIRMED * F.size("pairs"))
-    fits = (shared >= CONFIRMED * F.size("sentence")) | inside
-    key = ["doc_id", "text_key", "line_no"]
-    return found.join(F.broadcast(sentences(spark)), "family").groupBy(*key).agg(
-        F.first("family").alias("family"), F.first("probability").alias("probability"), F.max(fits).alias("confirmed")
+    # the best family's probability stands where both find it
+    both = best.withColumn("first", F.lit(True)).unionByName(others.withColumn("first", F.lit(False)))
+    return both.groupBy(*LINE, "family").agg(
+        F.coalesce(F.max(F.when(F.col("first"), F.col("probability"))), F.max("probability")).alias("probability"), F.max("confirmed").alias("confirmed")
     )
 
 
@@ -215,7 +268,7 @@ def scan(documents: DataFrame, sample: int = SAMPLE_LINES, id_col: str = "doc_id
     model = Model(sample_lines(docs, sample))
     found = licence_lines(docs, model)
     per_doc = found.groupBy("doc_id", "text_key").agg(
-        F.count(F.lit(1)).alias("n_licence_lines"),
+        F.size(F.collect_set("line_no")).cast("long").alias("n_licence_lines"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
         F.max(F.when(F.col("confirmed"), F.struct("probability", "family"))).alias("best"),
         F.max("probability").alias("highest"),

@@ -60,3 +60,13 @@ def test_odd_documents(docs, empty):
     assert license_scan.scan(empty).count() == 0
     doubled = license_scan.scan(docs.selectExpr("7L as doc_id", "'All rights reserved.' as text")).collect()
     assert [(r.doc_id, r.families, r.n_licence_lines) for r in doubled] == [(7, "reserved", 1)] * len(rows)
+
+
+def test_two_licences_in_one_long_line(spark):
+    mit, apache = "Released under the MIT License", "licensed under the Apache License, Version 2.0"
+    rng = random.Random(3)
+    far = " ".join([*cases.words(rng, 300), mit, *cases.words(rng, 300), apache, *cases.words(rng, 300)])
+    texts = [f"{mit} and {apache}.", far, "Licensed under CC BY 4.0. Parts are licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0."]
+    got = scan(spark, texts)
+    assert [got[i].families for i in range(4)] == ["Apache-2.0,MIT", "Apache-2.0,MIT", "CC-BY,CC-BY-NC", "CC-BY-NC"]
+    assert {got[i].n_licence_lines for i in range(4)} == {1}
