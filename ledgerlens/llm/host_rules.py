@@ -5,7 +5,9 @@ counted by host, a beta prior is fitted to the hosts' failure rates by moments
 (mean over all documents, spread between hosts beyond binomial noise), each
 host's rate is shrunk to that prior, and the host's verdict is joined back to
 its documents. A document goes if it fails the base rule or if its host's
-shrunk failure rate is over ``HOST_LIMIT``.
+shrunk failure rate is over ``HOST_LIMIT``, that is, if its next document more
+likely fails than not. The limit is fixed: bad hosts do not stand out by being
+worse than others, and where no rate reaches it no host goes.
 
 Measures are taken in one pass over the texts and written once as a narrow
 table; only that table is aggregated and joined, so a host with a third of all
