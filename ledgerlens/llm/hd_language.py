@@ -183,7 +183,8 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_identified(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that take a language."""
+    """The rows of ``documents`` that take a language: all but those without a
+    letter, if anything was learned."""
     learned = learn(documents, text_col=text_col)
     rows = documents.withColumn("__llm_p", language_column(F.col(text_col), learned))
     return rows.where(F.col("__llm_p.lang_pred") != UNKNOWN).drop("__llm_p")
