@@ -4,7 +4,8 @@ Paragraphs are the lines of a text. Features are word unigrams and bigrams that
 occur in the families' texts; a lasso keeps few of them. Training paragraphs
 are cuts of the families' texts with words lost and added, other sentences with
 the same words, and, for the unknown class, ``SAMPLE_LINES`` lines of the
-documents themselves (those that hash lowest; the only bounded sample). The
+documents themselves (those that hash lowest; the only bounded sample), each
+read whole and reduced to the families' n-grams before it is collected. The
 unknown class has the logit 0; a part of the training paragraphs is kept back
 to fit one temperature and one offset of the unknown class, so that
 probabilities mean what they say.
@@ -95,13 +96,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 class Model:
     """Weights by n-gram and family, the unknown class at 0."""
 
-    def __init__(self, lines: list[list[str]]):
+    def __init__(self, lines: list[list[str] | set[Gram]]):
+        """From unknown lines, as words or as the families' n-grams in them."""
         rng = random.Random(SEED)
         known = [grams_of(words_of(t)) for texts in TEMPLATES.values() for t in texts]
         rows = training_cuts(rng)
         vocabulary = set().union(*known)
         # a sampled line that holds a family's sentence is no example of the unknown
-        plain = [g for g in map(grams_of, lines) if max(len(g & k) / len(k) for k in known) < 0.5]
+        plain = [g for g in (x if isinstance(x, set) else grams_of(x) for x in lines) if max(len(g & k) / len(k) for k in known) < 0.5]
         seen: dict[Gram, int] = {}
         for g in plain:
             for x in g & vocabulary:
@@ -155,13 +157,19 @@ class Model:
         return [(*self.grams[i], [float(v) for v in self.weights[i]]) for i in used]
 
 
-def sample_lines(documents: DataFrame, lines: int) -> list[list[str]]:
-    """The lines with the lowest hashes. Equal lines count once, so that a line
+def sample_lines(documents: DataFrame, lines: int) -> list[set[Gram]]:
+    """The families' n-grams in the lines with the lowest hashes. Equal lines count once, so that a line
     of many documents doesn't fill the sample; only hashes are shuffled."""
     rows = documents.select(F.explode("lines").alias("line")).where(F.col("line").rlike("[A-Za-z0-9]")).select("line", F.xxhash64("line").alias("h"))
     lowest = rows.select("h").distinct().orderBy("h").limit(lines)
-    chosen = rows.join(F.broadcast(lowest), "h").groupBy("h").agg(F.min(F.left("line", F.lit(2000))).alias("line"))
-    return [words_of(r["line"]) for r in sorted(chosen.collect(), key=lambda r: r["h"])]
+    known = sorted({" ".join(g).strip() for texts in TEMPLATES.values() for t in texts for g in grams_of(words_of(t))})
+    ws = words_column(F.col("line"))
+    chosen = rows.join(F.broadcast(lowest), "h").select("h", ws.alias("ws"))
+    # the word after the last is null and makes a null pair, which no family has
+    pairs = F.zip_with("ws", F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.array_sort(F.array_intersect(F.concat("ws", pairs), F.array(*map(F.lit, known))))
+    held = chosen.select("h", grams.alias("grams")).groupBy("h").agg(F.min("grams").alias("grams"))
+    return [{(g.partition(" ")[0], g.partition(" ")[2]) for g in r["grams"]} for r in sorted(held.collect(), key=lambda r: r["h"])]
 
 
 def features(spark: SparkSession, model: Model) -> DataFrame:

@@ -70,3 +70,11 @@ def test_two_licences_in_one_long_line(spark):
     got = scan(spark, texts)
     assert [got[i].families for i in range(4)] == ["Apache-2.0,MIT", "Apache-2.0,MIT", "CC-BY,CC-BY-NC", "CC-BY-NC"]
     assert {got[i].n_licence_lines for i in range(4)} == {1}
+
+
+def test_sampled_lines_are_read_whole(spark):
+    lines = ["the mit license", " ".join(["zzz"] * 1000 + ["Apache License"]), "zzz 1"]
+    got = license_scan.sample_lines(spark.createDataFrame([(lines,)], "lines array<string>"), 10)
+    known = set().union(*(license_scan.grams_of(license_scan.words_of(t)) for ts in TEMPLATES.values() for t in ts))
+    want = [license_scan.grams_of(license_scan.words_of(x)) & known for x in lines]
+    assert sorted(map(sorted, got)) == sorted(map(sorted, want)) and ("apache", "license") in set().union(*got)
