@@ -7,7 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import bag_minhash, decontaminate, gated_lm, hd_language, host_rules, license_scan, packing, rule_ensemble, shard_tree, token_counts
+from ledgerlens.llm import (
+    bag_minhash,
+    decontaminate,
+    gated_lm,
+    hd_language,
+    host_rules,
+    license_scan,
+    packing,
+    periodic_runs,
+    rule_ensemble,
+    shard_tree,
+    token_counts,
+    turn_repair,
+)
 from ledgerlens.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +66,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.structure(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(planted))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_decontaminate, op2_license_scan, op3_host_rules, op4_rule_ensemble, op5_gated_lm, op6_bag_minhash, op7_hd_language, op8_shard_tree, op9_packing, op10_token_counts]
+    found = [
+        op1_decontaminate,
+        op2_license_scan,
+        op3_host_rules,
+        op4_rule_ensemble,
+        op5_gated_lm,
+        op6_bag_minhash,
+        op7_hd_language,
+        op8_shard_tree,
+        op9_packing,
+        op10_token_counts,
+        op11_turn_repair,
+        op12_periodic_runs,
+    ]
     return {f.__name__: f for f in found}
 
 
