@@ -13,6 +13,7 @@ from ledgerlens.llm import (
     gated_lm,
     hd_language,
     host_rules,
+    html_extract,
     license_scan,
     packing,
     periodic_runs,
@@ -75,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(planted))
 
 
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_decontaminate,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         op10_token_counts,
         op11_turn_repair,
         op12_periodic_runs,
+        op13_html_extract,
     ]
     return {f.__name__: f for f in found}
 

@@ -12,9 +12,9 @@ from ledgerlens.llm.common import frozen, read_table
 SF = "/root/testdata/sf0.001"
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_queries_and_the_pipeline_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
