@@ -1,9 +1,9 @@
 """Growth marts: daily activity, daily mix by type, the hour-of-day profile,
 top destinations and account recurrence.
 
-Distinct accounts are counted by two plain aggregations (account x day, then
-day or account), one scan for each role, never by several COUNT(DISTINCT) in
-one aggregate, which would multiply every row. Hours seen are the bits of one
+Distinct accounts by day come from one scan of both roles: account ids are made
+distinct, account keys are gathered as bits of words (``keysets``); never by
+several COUNT(DISTINCT) in one aggregate, which would multiply every row. Hours seen are the bits of one
 OR. Each level is a hash aggregate with map-side combining, so a hot account or
 a hot day is collapsed before any shuffle.
 """
@@ -12,23 +12,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.numeric import ratio_half_up
+from ledgerlens.operators import keysets
 from ledgerlens.operators.common import cell_sums, hours_seen, millions, money, pct, sum_cents, with_type_names
 from ledgerlens.operators.star import party_type
 
 TOP_DESTINATIONS = 500
 
 
-def accounts_by_day(ledger, role: str, name: str) -> DataFrame:
-    """Distinct accounts of a role by day."""
-    return ledger.facts.select("day_number", role).distinct().groupBy("day_number").agg(F.count(F.lit(1)).alias(name))
+ROLES = {"name_orig": "active_originators", "name_dest": "active_destinations"}
+
+
+def accounts_by_day(ledger, roles: dict[str, str] = ROLES) -> DataFrame:
+    """Distinct accounts of the given roles by day, from one scan of both
+    columns: bits of account keys from a written fact, ids from staging."""
+    facts = ledger.facts
+    pairs = ", ".join(f"struct({i} AS role, {column} AS account)" for i, column in enumerate(roles))
+    rows = facts.selectExpr("day_number", f"inline(array({pairs}))")
+    if isinstance(facts.schema["name_orig"].dataType, T.StringType):
+        counts = rows.distinct().groupBy("day_number", "role").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = keysets.distinct_keys(rows, "account", ["day_number", "role"], "n")
+    each = [F.coalesce(F.sum(F.when(F.col("role") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(roles.values())]
+    return counts.groupBy("day_number").agg(*each)
 
 
 def with_accounts(daily: DataFrame, ledger) -> DataFrame:
     """Daily rows with the accounts active in each role."""
-    origins = accounts_by_day(ledger, "name_orig", "active_originators")
-    return daily.join(origins, "day_number").join(accounts_by_day(ledger, "name_dest", "active_destinations"), "day_number")
+    return daily.join(accounts_by_day(ledger), "day_number")
 
 
 def daily_activity_units(ledger) -> DataFrame:

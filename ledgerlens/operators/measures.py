@@ -168,7 +168,7 @@ def _ledger_card_parts(ledger) -> list[DataFrame]:
         *TYPE_CARDS,
         "net_profit_band_millions",
     )
-    origins = growth.accounts_by_day(ledger, "name_orig", "n").agg(F.sum("n").alias("active_originators"))
+    origins = growth.accounts_by_day(ledger, {"name_orig": "n"}).agg(F.sum("n").alias("active_originators"))
     return [cards, origins]
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import keysets
 from ledgerlens.operators.common import beside, money, pct, sum_cents, with_type_names
 from ledgerlens.schemas import RESIDUAL_TOLERANCE, STAGING_COLUMNS
 
@@ -155,23 +156,45 @@ def check_measures(stg: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def check_grain(fact: DataFrame) -> DataFrame:
-    g = fact.agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct("transaction_key").alias("distinct_keys"))
-    return g.select("total_rows", "distinct_keys", _verdict(F.col("total_rows") == F.col("distinct_keys")).alias("result"))
-
-
-def check_orphans(fact: DataFrame, dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Fact keys with no dimension row: one scan of the fact, left joins to the
-    dimensions (the account dimension shuffled once for each role)."""
-    links = [
-        ("date_key", dim_date, "date_key", "orphaned_date_keys"),
-        ("transaction_type_key", dim_type, "transaction_type_key", "orphaned_type_keys"),
-        ("orig_account_key", accounts, "account_key", "orphaned_orig_keys"),
-        ("dest_account_key", accounts, "account_key", "orphaned_dest_keys"),
-    ]
-    rows = fact.select(*[key for key, *_ in links])
-    for key, dim, dim_key, name in links:
-        rows = rows.join(dim.select(F.col(dim_key).alias(key), F.lit(True).alias(name)), key, "left")
-    return rows.agg(*[F.count_if(F.col(name).isNull()).alias(name) for *_, name in links])
+    g = keysets.key_counts(fact, "transaction_key").select("total_rows", "distinct_keys")
+    return g.withColumn("result", _verdict(F.col("total_rows") == F.col("distinct_keys")))
+
+
+# The fact's references: column, dimension, its key, name of the count.
+LINKS = [
+    ("date_key", "dim_date", "date_key", "orphaned_date_keys"),
+    ("transaction_type_key", "dim_type", "transaction_type_key", "orphaned_type_keys"),
+    ("orig_account_key", "accounts", "account_key", "orphaned_orig_keys"),
+    ("dest_account_key", "accounts", "account_key", "orphaned_dest_keys"),
+]
+
+
+def dimension_ranges(dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame) -> dict[str, tuple[int, int] | None]:
+    """The ranges that the dimensions' keys are proved to fill (one job)."""
+    return keysets.full_ranges(
+        {"dim_date": (dim_date, "date_key"), "dim_type": (dim_type, "transaction_type_key"), "accounts": (accounts, "account_key")}
+    )
+
+
+def orphan_counts(ranges: dict[str, tuple[int, int] | None]) -> list[Column]:
+    """Aggregates over the fact for the references to dimensions without gaps."""
+    return [F.count_if(keysets.outside(key, ranges[dim])).alias(name) for key, dim, _, name in LINKS if ranges[dim]]
+
+
+def check_orphans(fact: DataFrame, dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame,
+                  ranges: dict[str, tuple[int, int] | None] | None = None) -> DataFrame:
+    """Fact keys with no dimension row. Where a dimension's keys are proved to
+    fill a range, an orphan is a key outside it, counted in the scan of the
+    fact; only a dimension with a gap or a repeat is joined, by its distinct keys."""
+    dims = {"dim_date": dim_date, "dim_type": dim_type, "accounts": accounts}
+    ranges = ranges or dimension_ranges(dim_date, dim_type, accounts)
+    rows = fact.select(*[key for key, *_ in LINKS])
+    loose = [link for link in LINKS if not ranges[link[1]]]
+    for key, dim, dim_key, name in loose:
+        keys = dims[dim].select(F.col(dim_key).alias(key)).where(F.col(key).isNotNull()).distinct()
+        rows = rows.join(keys.withColumn(name, F.lit(True)), key, "left")
+    counts = [*orphan_counts(ranges), *[F.count_if(F.col(name).isNull()).alias(name) for *_, name in loose]]
+    return rows.agg(*counts).select(*[name for *_, name in LINKS])
 
 
 def dimension_row_counts(dim_date: DataFrame, dim_type: DataFrame, accounts: DataFrame, fact: DataFrame) -> DataFrame:
@@ -210,15 +233,17 @@ def check_date_dense(dim_date: DataFrame, stg: DataFrame) -> DataFrame:
 
 
 def account_coverage(fact: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Accounts by the roles they appear in: one scan, one row an account."""
+    """Accounts by the roles they appear in: one scan, one row for each word of
+    64 accounts and the bits of both roles."""
     roles = fact.select(F.inline(F.expr("array(struct(orig_account_key AS k, 1 AS role), struct(dest_account_key AS k, 2 AS role))")))
-    seen = roles.groupBy("k").agg(F.bit_or("role").alias("roles"))
+    in_role = lambda role: F.bit_or(F.when(F.col("role") == role, keysets.bit("k")))
+    words = roles.groupBy(keysets.word("k").alias("word")).agg(in_role(1).alias("o"), in_role(2).alias("d"))
     return beside(
         accounts.agg(F.count(F.lit(1)).alias("dim_account_rows")),
-        seen.agg(
-            F.count_if(F.col("roles").bitwiseAND(1) > 0).alias("distinct_originators"),
-            F.count_if(F.col("roles").bitwiseAND(2) > 0).alias("distinct_destinations"),
-            F.count_if(F.col("roles") == 3).alias("accounts_in_both_roles"),
+        words.agg(
+            keysets.bits_of(F.col("o")).alias("distinct_originators"),
+            keysets.bits_of(F.col("d")).alias("distinct_destinations"),
+            keysets.bits_of(F.col("o").bitwiseAND(F.col("d"))).alias("accounts_in_both_roles"),
         ),
     )
 
@@ -279,9 +304,20 @@ def fraud_by_type_star(fact: DataFrame, dim_type: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ constraints
 
-def repeats(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows beyond the first of each key, as a one-row aggregate."""
-    return df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias(name))
+def account_constraints(accounts: DataFrame) -> DataFrame:
+    """Party types and repeated ids and keys from one scan: each row counts for
+    its id and for the word of its key."""
+    sides = F.expr("array(struct(true AS by_id, account_id AS id, CAST(NULL AS BIGINT) AS k), struct(false AS by_id, CAST(NULL AS STRING) AS id, account_key AS k))")
+    wrong = F.col("by_id") & ~F.col("party_type").isin("CUSTOMER", "MERCHANT")
+    groups = accounts.select("party_type", F.inline(sides)).groupBy("by_id", "id", keysets.word("k").alias("word")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_or(keysets.bit("k")).alias("bits"), F.count_if(wrong).alias("wrong")
+    )
+    more = lambda side, n: F.coalesce(F.sum(F.when(side, n)), F.lit(0))
+    return groups.agg(
+        more(F.col("by_id"), F.col("wrong")).alias("account_party_type"),
+        more(F.col("by_id"), F.col("n") - 1).alias("account_id_unique"),
+        more(~F.col("by_id"), F.col("n") - F.coalesce(F.bit_count("bits"), F.lit(1))).alias("account_key_unique"),
+    )
 
 
 def nulls(df: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -311,15 +347,15 @@ def dimension_constraints(dim_date: DataFrame, dim_type: DataFrame, accounts: Da
             F.count_if(sign("orig_balance_sign") | F.coalesce(sign("dest_balance_sign"), F.lit(False))).alias("type_signs_plus_minus_one"),
             (F.count(F.lit(1)) - F.count_distinct("type_name")).alias("type_name_unique"),
         ),
-        accounts.agg(F.count_if(~F.col("party_type").isin("CUSTOMER", "MERCHANT")).alias("account_party_type")),
-        repeats(accounts, "account_id", "account_id_unique"),
-        repeats(accounts, "account_key", "account_key_unique"),
+        account_constraints(accounts),
         fee_model.agg(
             F.count_if(~F.col("fee_rate").between(F.lit(0), F.lit(0.10).cast("decimal(6,5)"))).alias("fee_rate_0_to_10pct"),
             F.count_if(F.col("fee_max") < F.col("fee_min")).alias("fee_cap_at_least_floor"),
             (F.count(F.lit(1)) - F.count_distinct("transaction_type_key")).alias("fee_model_key_unique"),
         ),
-        repeats(duplicate_legs, "transaction_key", "duplicate_leg_key_unique"),
+        keysets.key_counts(duplicate_legs, "transaction_key").select(
+            (F.col("total_rows") - F.col("distinct_keys")).alias("duplicate_leg_key_unique")
+        ),
     ]
 
 

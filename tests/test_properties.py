@@ -2,17 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import profitability, risk
+from ledgerlens.operators import risk
+from ledgerlens.operators.common import cell_sums
 from ledgerlens.plans.model import Ledger
 from tests.conftest import SMOKE_DIR
 
 
 def test_loss_and_fees_agree_across_grains(spark):
     L = Ledger.from_sf_dir(spark, SMOKE_DIR)
-    summary = profitability.summary_units(L).collect()[0]
-    daily = profitability.profitability_daily_units(L).agg(
-        F.sum("loss_cents").alias("loss"), F.sum("fee_u").alias("fee"), F.sum("txn_count").alias("n")
-    ).collect()[0]
+    summary = L.net_cells.agg(*cell_sums()).collect()[0]
+    days = L.net_cells.groupBy("day_number").agg(*cell_sums())
+    daily = days.agg(F.sum("true_cents").alias("loss"), F.sum("fee_u").alias("fee"), F.sum("txn_count").alias("n")).collect()[0]
     attribution = {r["attributed_to"]: r["loss_cents"] for r in risk.attribution_totals(L).collect()}
     assert daily["loss"] == summary["true_cents"] == attribution["TRANSFER"] + attribution["CASH_OUT"]
     assert summary["fraud_cents"] == sum(v for v in attribution.values() if v is not None)
