@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import keysets
 from ledgerlens.operators.common import beside, money, pct, sum_cents, with_type_names
-from ledgerlens.schemas import RESIDUAL_TOLERANCE, STAGING_COLUMNS
+from ledgerlens.schemas import RESIDUAL_TOLERANCE, STAGING_COLUMNS, TRANSACTION_TYPES
 
 
 class ValidationError(RuntimeError):
@@ -431,6 +431,79 @@ def staging_report(ledger) -> DataFrame:
     return rows.withColumn("result", _verdict(F.col("violations") == 0))
 
 
+# -------------------------------------------------------- checks of what is written
+# A build observes its own writes (``DataFrame.observe``): the tables' totals and
+# checks come with the job that writes them, without reading them again. The
+# observed frame is the last stage before the files, whose tasks count once even
+# if an executor is lost and they run again.
+
+def staging_metrics() -> list[Column]:
+    """Totals, checks, types and span of staging, as aggregates of its write."""
+    by_type = [F.count_if((F.col("type") == t[1]) & (F.col("is_fraud") > 0)).alias(f"fraud:{t[1]}") for t in TRANSACTION_TYPES]
+    seen = [F.count_if(F.col("type") == t[1]).alias(f"seen:{t[1]}") for t in TRANSACTION_TYPES]
+    known = F.coalesce(F.col("type").isin([t[1] for t in TRANSACTION_TYPES]), F.lit(False))
+    return [
+        *[e.alias(name) for name, e in staging_check_exprs().items()],
+        *_staging_totals(),
+        *by_type,
+        *seen,
+        F.count_if(~known).alias("rows_of_unknown_type"),
+        F.min("step").alias("first_step"),
+        F.max("step").alias("last_step"),
+    ]
+
+
+def fact_metrics(ranges: dict[str, tuple[int, int] | None]) -> list[Column]:
+    """Totals, missing values and orphans of the fact, as aggregates of its write."""
+    missing = sum((F.col(c).isNull().cast("int") for c in FACT_REQUIRED), F.lit(0))
+    return [*_fact_totals(), F.coalesce(F.sum(missing), F.lit(0)).alias("fact_nulls"), *orphan_counts(ranges)]
+
+
+def staging_violations(seen: dict) -> dict[str, int]:
+    """Violations of A1 to A3 and the constraints of staging, from its write."""
+    bearing = sum((seen[f"fraud:{t[1]}"] > 0) != bool(t[3]) for t in TRANSACTION_TYPES if seen[f"seen:{t[1]}"])
+    return {
+        **{name: seen[name] for name in staging_check_exprs()},
+        "fraud_bearing_flags": int(bearing),
+        "known_types": seen["rows_of_unknown_type"],
+    }
+
+
+def written_violations(staging: dict, fact: dict, ranges: dict[str, tuple[int, int] | None]) -> dict[str, int]:
+    """Violations of V1, V2, V4, V6 and of the fact's required columns, from the
+    writes of staging and fact and the proved ranges of the dimensions."""
+    same = all((a or 0) == (b or 0) for a, b in ((staging["s_c"], fact["f_c"]), (staging["staging_fraud_rows"], fact["fact_fraud_rows"])))
+    hours, empty = ranges["dim_date"], staging["first_step"] is None
+    covers = empty or hours is not None and hours[0] <= staging["first_step"] and hours[1] >= staging["last_step"]
+    return {
+        "row_count": abs(staging["staging_rows"] - fact["fact_rows"]),
+        "measures": int(not same),
+        "orphans": sum(fact.get(name, 0) for *_, name in LINKS),
+        **{f"full_range:{name}": int(found is None and not empty) for name, found in ranges.items()},
+        "date_dense_and_covering": int(not covers),
+        "constraint:fact_not_null": fact["fact_nulls"],
+    }
+
+
+def raise_violations(violations: dict[str, int]) -> None:
+    failed = {name: n for name, n in violations.items() if n}
+    if failed:
+        raise ValidationError("; ".join(f"{name}: {n} violation(s)" for name, n in failed.items()))
+
+
+def validate_written(ledger, staging: dict, fact: dict, ranges: dict[str, tuple[int, int] | None]) -> dict[str, int]:
+    """All checks of a written star. Only what no write can observe reads tables
+    again: the fact's keys (one column) and the constraints of the dimensions."""
+    found = {**staging_violations(staging), **written_violations(staging, fact, ranges)}
+    grain = check_grain(ledger.fact).select(F.lit("grain").alias("check"), (F.col("total_rows") - F.col("distinct_keys")).alias("violations"))
+    dims = dimension_constraints(ledger.dim_date, ledger.dim_type, ledger.accounts, ledger.fee_model, ledger.duplicate_legs)
+    for d in dims:
+        grain = grain.unionByName(_as_rows(d.toDF(*[f"constraint:{c}" for c in d.columns]), "check"))
+    found |= {r["check"]: r["violations"] for r in grain.collect()}
+    raise_violations(found)
+    return found
+
+
 def _raise_failures(report: DataFrame) -> DataFrame:
     """Collect the (small, fixed-size) report and raise on any FAIL."""
     failed = [r for r in report.collect() if r["result"] != "PASS"]

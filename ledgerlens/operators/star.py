@@ -106,7 +106,19 @@ def dim_date(stg: DataFrame) -> DataFrame:
     bounds = stg.agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
     too_long = F.raise_error(F.concat(F.lit("steps span too many hours: "), F.col("lo"), F.lit(" to "), F.col("hi"))).cast("int")
     last = F.when(F.col("hi").cast("long") - F.col("lo") > MAX_HOURS, too_long).otherwise(F.col("hi"))
-    steps = bounds.select(F.explode(F.sequence("lo", last)).alias("date_key"))
+    return _hours(bounds.select(F.explode(F.sequence("lo", last)).alias("date_key")))
+
+
+def dim_date_between(spark: SparkSession, first: int | None, last: int | None) -> DataFrame:
+    """The same from known bounds (None: no hour)."""
+    if first is None:
+        return _hours(spark.range(0).select(F.col("id").alias("date_key")))
+    if last - first > MAX_HOURS:
+        raise ValueError(f"steps span too many hours: {first} to {last}")
+    return _hours(spark.range(first, last + 1, numPartitions=1).select(F.col("id").alias("date_key")))
+
+
+def _hours(steps: DataFrame) -> DataFrame:
     day = day_of(F.col("date_key"))
     return steps.select(
         F.col("date_key").cast("int").alias("date_key"),

@@ -4,8 +4,10 @@
   and valid (``sources.warehouse``): a failed build leaves the good one as it
   was, and the duplicate legs always belong to the fact beside them.
 * The assertions that need staging alone run before any star table is built.
-* The keyed fact is clustered by hour (``sortWithinPartitions``) so Parquet
-  min/max statistics prune row groups for time filters.
+* Writes are observed: totals and checks of staging and fact come with the jobs
+  that write them; neither is read again to check it.
+* The keyed fact lies in files of consecutive keys, which follow the hours, so
+  time filters skip whole files by their statistics.
 * Marts read the written fact (pruned to their columns, grouped on account
   keys); account ids are joined to the few result rows.
 * Marts are tiny (at most a few hundred rows): each is written as one file
@@ -19,9 +21,10 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.operators import quality
+from ledgerlens.operators import quality, star
 from ledgerlens.plans.model import Ledger
 from ledgerlens.plans.registry import BI_MARTS, MARTS, normalise
 from ledgerlens.session import delete_path
@@ -39,20 +42,44 @@ def _write(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").parquet(path)
 
 
-def build_star(spark: SparkSession, stg: DataFrame, build: str, timings: dict | None = None) -> Ledger:
+def _write_observed(df: DataFrame, path: str, metrics: list[Column]) -> dict:
+    """Write and return the metrics of the rows written."""
+    seen = Observation()
+    _write(df.observe(seen, *metrics), path)
+    return seen.get
+
+
+FACT_FILE_ROWS = 1_000_000
+SMALL_FILE_ROWS = 20_000
+
+
+def in_key_order(fact: DataFrame, rows: int) -> DataFrame:
+    """The fact in files of consecutive transaction keys. Keys are 1..rows in
+    order of time, so the partition of a key is arithmetic (no sampling), files
+    hold a stretch of hours (time filters skip files, not just row groups) and the
+    aggregates by day or by words of keys shrink within each task."""
+    spark = fact.sparkSession
+    files = max(-(-rows // FACT_FILE_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // SMALL_FILE_ROWS)), 1)
+    at = F.expr(f"CAST(least({files - 1}, (transaction_key - 1) * {files} div {max(rows, 1)}) AS INT)")
+    return fact.repartitionById(files, at).sortWithinPartitions("transaction_key")
+
+
+def build_star(spark: SparkSession, stg: DataFrame, build: str, timings: dict | None = None, observed: dict | None = None) -> Ledger:
     """Write staging, check it, then write dimensions, the keyed fact and the
     duplicate legs. Raises ``quality.ValidationError`` before the dimensions
-    are built if an assertion on staging fails."""
+    are built if an assertion on staging fails. What the writes of staging and
+    fact observed, and the dimensions' ranges, are left in ``observed``."""
     timings = timings if timings is not None else {}
+    observed = observed if observed is not None else {}
     t = time.time()
-    _write(stg, os.path.join(build, "stg_transactions"))
+    staging = observed["staging"] = _write_observed(stg, os.path.join(build, "stg_transactions"), quality.staging_metrics())
+    quality.raise_violations(quality.staging_violations(staging))
     ledger = Ledger.from_staging(spark, spark.read.parquet(os.path.join(build, "stg_transactions")))
-    quality.validate_staging(ledger)
     timings["staging"] = time.time() - t
 
     t = time.time()
     dims = [
-        (ledger.dim_date, "dim_date", True),
+        (star.dim_date_between(spark, staging["first_step"], staging["last_step"]), "dim_date", True),
         (ledger.dim_type, "dim_transaction_type", True),
         (ledger.fee_model, "fee_model", True),
         (ledger.accounts, "dim_accounts", False),
@@ -62,13 +89,16 @@ def build_star(spark: SparkSession, stg: DataFrame, build: str, timings: dict |
     timings["dimensions"] = time.time() - t
 
     t = time.time()
-    written = {"accounts": spark.read.parquet(os.path.join(build, "dim_accounts"))}
+    read = lambda name: spark.read.parquet(os.path.join(build, name))
+    written = {"accounts": read("dim_accounts"), "dim_date": read("dim_date")}
     keyed = Ledger(spark, ledger.stg, written)
-    _write(keyed.fact.sortWithinPartitions("date_key"), os.path.join(build, "fact_transactions"))
+    ranges = observed["ranges"] = quality.dimension_ranges(written["dim_date"], ledger.dim_type, written["accounts"])
+    fact = in_key_order(keyed.fact, staging["staging_rows"])
+    observed["fact"] = _write_observed(fact, os.path.join(build, "fact_transactions"), quality.fact_metrics(ranges))
     timings["fact"] = time.time() - t
 
     t = time.time()
-    written["fact"] = spark.read.parquet(os.path.join(build, "fact_transactions"))
+    written["fact"] = read("fact_transactions")
     _write(Ledger(spark, ledger.stg, written).duplicate_legs, os.path.join(build, "duplicate_cashout_legs"))
     timings["duplicate_legs"] = time.time() - t
     ledger.release()  # the keyed rows now live in the written tables
@@ -124,9 +154,10 @@ def run(spark: SparkSession, stg: DataFrame, out_dir: str, marts: list[str] | No
     build = warehouse.new_build(out_dir)
     result = BuildResult(out_dir, build)
     try:
-        ledger = build_star(spark, stg, build, result.stage_seconds)
+        observed: dict = {}
+        ledger = build_star(spark, stg, build, result.stage_seconds, observed)
         t = time.time()
-        quality.validate(ledger)
+        quality.validate_written(ledger, **observed)
         result.stage_seconds["validate"] = time.time() - t
         build_marts(ledger, build, marts, result.stage_seconds)
         if marts is None:
