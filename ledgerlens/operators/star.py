@@ -193,8 +193,14 @@ def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame
     row whose type is not in the dimension is dropped; ``assert_fraud_bearing``
     reports such types). Day and hour are arithmetic on the step, equal to the
     dim_date join since dim_date is a dense series over the same steps."""
+    key, _ = _typed_exprs()
+    return stg.where(f"({key}) IS NOT NULL").selectExpr(*fact_columns())
+
+
+def fact_columns() -> list[str]:
+    """Staging columns as columns of the transaction grain (SQL text)."""
     key, residuals = _typed_exprs()
-    return stg.where(f"({key}) IS NOT NULL").selectExpr(
+    return [
         "step AS date_key",
         "CAST(floor((step - 1) / 24) AS INT) AS day_number",
         "CAST(pmod(step - 1, 24) AS INT) AS hour_of_day",
@@ -206,7 +212,7 @@ def ledger_facts(stg: DataFrame, dim_type: DataFrame | None = None) -> DataFrame
         *residuals,
         "is_fraud = 1 AS is_fraud",
         "is_flagged_fraud = 1 AS is_flagged_fraud",
-    )
+    ]
 
 
 def facts_of(fact: DataFrame) -> DataFrame:
@@ -284,6 +290,18 @@ def fraud_cells(fraud_rows: DataFrame) -> DataFrame:
     return cells.withColumn("is_duplicate_leg", (F.col("type_name") == SECOND_LEG_TYPE) & has_first)
 
 
+def fraud_cells_of(cells: DataFrame, dup_cells: DataFrame) -> DataFrame:
+    """Fraud sums by (type, day, band) with ``is_duplicate_leg``, from the sums of
+    all fraud and of the duplicate legs."""
+    keys = ["day_number", "transaction_type_key", "band_id"]
+    value = lambda cents: (cents * F.lit(0.01).cast("decimal(3,2)")).alias("value")
+    both = cells.where(F.col("fraud_txns") > 0).join(dup_cells, keys, "left").na.fill(0, ["dup_txns", "dup_cents"])
+    rest = both.select(*keys, (F.col("fraud_txns") - F.col("dup_txns")).alias("fraud_txns"), value(F.col("fraud_cents") - F.col("dup_cents")), F.lit(False).alias("is_duplicate_leg"))
+    legs = dup_cells.select(*keys, F.col("dup_txns").alias("fraud_txns"), value(F.col("dup_cents")), F.lit(True).alias("is_duplicate_leg"))
+    rows = rest.unionByName(legs).where(F.col("fraud_txns") > 0)
+    return rows.withColumn("type_name", type_attr_by_key(F.col("transaction_type_key"), "type_name"))
+
+
 def duplicate_cashout_legs(fact: DataFrame, dim_type: DataFrame | None = None) -> DataFrame:
     """Keys of the duplicate legs (the materialized set), from the keyed fact
     or from keyed staging rows (``type``, ``is_fraud`` as 0/1).

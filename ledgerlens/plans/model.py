@@ -25,6 +25,9 @@ from ledgerlens.operators.common import sum_cents
 from ledgerlens.operators.keys import KeyTables
 from ledgerlens.schemas import FIRST_LEG_TYPE, SECOND_LEG_TYPE, TRANSACTION_TYPES
 from ledgerlens.sources.staging import staging_from_sf_dir
+from ledgerlens.sources.warehouse import legs_path
+
+CELL_KEYS = ["day_number", "transaction_type_key", "band_id"]
 
 
 @dataclass
@@ -50,6 +53,11 @@ class Ledger:
     def from_staging(cls, spark: SparkSession, stg: DataFrame) -> "Ledger":
         return cls(spark, stg)
 
+    @classmethod
+    def from_facts(cls, spark: SparkSession, facts: DataFrame) -> "Ledger":
+        """Over rows that are at the transaction grain already."""
+        return cls(spark, None, {"facts": facts})
+
     @classmethod
     def from_warehouse(cls, spark: SparkSession, path: str) -> "Ledger":
         read = lambda name: spark.read.parquet(os.path.join(path, name))
@@ -57,7 +65,7 @@ class Ledger:
             "dim_date": read("dim_date"),
             "accounts": read("dim_accounts"),
             "fact": read("fact_transactions"),
-            "duplicate_legs": read("duplicate_cashout_legs"),
+            "duplicate_legs": spark.read.parquet(legs_path(spark, path)),
         }
         return cls(spark, read("stg_transactions"), prebuilt)
 
@@ -114,6 +122,8 @@ class Ledger:
         """Transaction grain that the marts read. ``name_orig`` and ``name_dest``
         stand for accounts: ids from staging, account keys from a written fact
         (keys follow the ids' order, so both sort alike)."""
+        if "facts" in self._prebuilt:
+            return self._prebuilt["facts"]
         if "fact" in self._prebuilt:
             return star.facts_of(self._prebuilt["fact"])
         return star.ledger_facts(self.stg)
@@ -132,7 +142,10 @@ class Ledger:
 
     @cached_property
     def fraud_cells(self) -> DataFrame:
-        """Fraud sums by (signature, type, day) with ``is_duplicate_leg``."""
+        """Fraud sums by (signature, type, day) with ``is_duplicate_leg``; by
+        (type, day, band) where a ledger holds cells instead of rows."""
+        if "cells" in self._prebuilt:
+            return star.fraud_cells_of(self.cells, self.dup_cells)
         return star.fraud_cells(self.fraud_rows)
 
     @cached_property
@@ -160,6 +173,8 @@ class Ledger:
     def cells(self) -> DataFrame:
         """Exact sums by (day, type, band), from one scan: the grain that every
         mart on these keys adds up."""
+        if "cells" in self._prebuilt:
+            return self._prebuilt["cells"]
         fraud, flagged = F.col("is_fraud"), F.col("is_flagged_fraud")
         return self.priced.groupBy("day_number", "transaction_type_key", "band_id").agg(
             F.count(F.lit(1)).alias("txn_count"),
@@ -176,16 +191,21 @@ class Ledger:
             F.expr("bit_or(shiftleft(1, hour_of_day)) AS hours"),
         )
 
+    @cached_property
+    def dup_cells(self) -> DataFrame:
+        """Duplicate legs by (day, type, band)."""
+        if "dup_cells" in self._prebuilt:
+            return self._prebuilt["dup_cells"]
+        legs = self.fraud_cells.where(F.col("is_duplicate_leg"))
+        return legs.groupBy("day_number", "transaction_type_key", F.expr(band_id_sql("amount")).alias("band_id")).agg(
+            F.sum("fraud_txns").alias("dup_txns"), sum_cents("value").alias("dup_cents")
+        )
+
     @cached_property
     def net_cells(self) -> DataFrame:
         """Cells with ``loss_cents`` (fraud value without duplicate legs) and
         ``true_cents`` (that of the types that attribution counts)."""
-        keys = ["day_number", "transaction_type_key", "band_id"]
-        dups = (
-            self.fraud_cells.where(F.col("is_duplicate_leg"))
-            .groupBy("day_number", "transaction_type_key", F.expr(band_id_sql("amount")).alias("band_id"))
-            .agg(sum_cents("value").alias("dup_cents"))
-        )
         loss = F.coalesce(F.col("fraud_cents"), F.lit(0)) - F.coalesce(F.col("dup_cents"), F.lit(0))
         counted = F.col("transaction_type_key").isin([t[0] for t in TRANSACTION_TYPES if t[1] in (FIRST_LEG_TYPE, SECOND_LEG_TYPE)])
-        return self.cells.join(dups, keys, "left").withColumn("loss_cents", loss).withColumn("true_cents", F.when(counted, F.col("loss_cents")).otherwise(F.lit(0)))
+        joined = self.cells.join(self.dup_cells.drop("dup_txns"), CELL_KEYS, "left")
+        return joined.withColumn("loss_cents", loss).withColumn("true_cents", F.when(counted, F.col("loss_cents")).otherwise(F.lit(0)))

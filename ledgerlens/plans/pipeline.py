@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import quality, star
+from ledgerlens.plans import views
 from ledgerlens.plans.model import Ledger
 from ledgerlens.plans.registry import BI_MARTS, MARTS, normalise
 from ledgerlens.session import delete_path
@@ -168,4 +169,6 @@ def run(spark: SparkSession, stg: DataFrame, out_dir: str, marts: list[str] | No
     except BaseException:
         delete_path(spark, build)
         raise
+    if marts is None:
+        views.after_publish(spark, out_dir)
     return result

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators import dashboard, evidence, growth, measures, profile, profitability, quality, risk
+from ledgerlens.plans import increments
 from ledgerlens.plans.model import Ledger
 
 Mart = Callable[[Ledger], DataFrame]
@@ -74,6 +75,13 @@ MARTS: dict[str, Mart] = {
     "balance_deltas": lambda L: L.residuals.select("transaction_key", "orig_balance_delta", "dest_balance_delta"),
     "ledger_residuals": lambda L: L.residuals.select("transaction_key", "orig_balance_error", "dest_balance_error"),
     "duplicate_cashout_legs": lambda L: L.duplicate_legs,
+    # batches: staging applied in three, then the state's legs and marts
+    "incremental_duplicate_legs": lambda L: increments.in_batches(L.spark, L.stg).duplicate_legs(),
+    "incremental_profitability_by_type_and_band": lambda L: profitability.profitability_by_type_and_band(
+        increments.in_batches(L.spark, L.stg).ledger()
+    ),
+    "incremental_profitability_daily": lambda L: profitability.profitability_daily(increments.in_batches(L.spark, L.stg).ledger()),
+    "incremental_fraud_loss_attribution": lambda L: risk.fraud_loss_attribution(increments.in_batches(L.spark, L.stg).ledger()),
     # quality
     "assert_payment_dest_untracked": lambda L: quality.assert_payment_dest_untracked(L.stg),
     "assert_fraud_bearing": lambda L: quality.assert_fraud_bearing(L.stg, L.dim_type),

@@ -52,16 +52,18 @@ def test_fraud_filter_is_pushed_to_the_written_fact(spark):
 SCANS = {
     "account_coverage": 8, "assert_fraud_bearing": 1, "assert_merchant_rule": 1, "assert_payment_dest_untracked": 1,
     "balance_deltas": 2, "balance_error_by_fraud": 1, "balance_error_by_type": 1, "check_date_dense": 3,
-    "check_grain": 6, "check_measures": 7, "check_orphans": 11, "check_row_count": 7, "constraint_violations": 18,
-    "dashboard_daily": 6, "dashboard_data_caveats": 5, "dashboard_date": 2, "dashboard_fraud_waterfall": 2,
+    "check_grain": 6, "check_measures": 7, "check_orphans": 6, "check_row_count": 7, "constraint_violations": 14,
+    "dashboard_daily": 5, "dashboard_data_caveats": 5, "dashboard_date": 2, "dashboard_fraud_waterfall": 2,
     "dashboard_kpi": 2, "dim_accounts": 2, "dim_date": 1, "dimension_row_counts": 9, "duplicate_cashout_legs": 4,
     "evidence_amount_stats": 1, "evidence_chain_trace": 3, "evidence_fraud_size_ratio": 1, "evidence_full_drain": 1,
     "evidence_leg_pairs": 4, "evidence_merchant_payment": 1, "evidence_naive_residual": 1,
     "evidence_round_amount_cluster": 1, "evidence_zero_amount": 1, "fact_transactions": 6, "fraud_by_type_star": 6,
-    "fraud_loss_attribution": 1, "growth_account_recurrence": 2, "growth_daily_activity": 3, "growth_daily_by_type": 1,
+    "fraud_loss_attribution": 1, "growth_account_recurrence": 2, "growth_daily_activity": 2, "growth_daily_by_type": 1,
+    "incremental_duplicate_legs": 1, "incremental_fraud_loss_attribution": 3,
+    "incremental_profitability_by_type_and_band": 2, "incremental_profitability_daily": 2,
     "growth_hourly_profile": 1, "growth_top_destinations": 1, "ledger_residuals": 2, "measure_cards": 3,
-    "measure_daily_value_complete": 5, "measure_fraud_pct_gross_profit": 2, "measure_fraud_rate": 1,
-    "measure_is_loss_making": 2, "measure_rule_recall": 1, "measure_take_rate": 2, "measure_value_7d_avg": 7,
+    "measure_daily_value_complete": 4, "measure_fraud_pct_gross_profit": 2, "measure_fraud_rate": 1,
+    "measure_is_loss_making": 2, "measure_rule_recall": 1, "measure_take_rate": 2, "measure_value_7d_avg": 6,
     "party_type_split": 2, "product_mix": 1, "profile_dest_prefix": 1, "profile_dest_recurrence": 1,
     "profile_fraud_rate": 2, "profile_orig_distribution": 1, "profile_orig_multi_day": 1, "profile_orig_recurrence": 1,
     "profile_row_count": 1, "profile_step_range": 1, "profile_type_distribution": 1, "profit_heatmap": 2,
