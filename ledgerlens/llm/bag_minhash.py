@@ -14,11 +14,11 @@ a bucket. Links are verified on the bags themselves, sizes first, and classes
 are the connected components of verified links. As only classes are wanted,
 each bucket is first compared with one leader, whatever its size. Where that
 leaves several classes in a bucket, a bucket of at most ``SMALL`` members
-compares those of different classes; the members of larger ones meet in an
-exact prefix join: shingles in order of rarity among them, the prefix that an
-overlap of 0.8 must reach, and the bounds that sizes and positions put on the
-overlap. Near copies with edits of their own have prefixes that nobody shares,
-so crowds of texts just under the threshold yield few pairs.
+compares those of different classes. Larger buckets, joined where they share a
+member, are crowds: each has a centre (its commonest shingles), and its members
+are compared by how they differ from it (``crowd_pairs``). Near copies with edits
+of their own differ in ways that nobody shares, so crowds of texts just under
+the threshold yield few pairs; no pair is left out.
 
 A pair of similarity 0.8 shares no bucket with probability (1 - 0.8^4)^20,
 under 3 in 100,000.
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import chunks, frozen
+from ledgerlens.llm.common import chunks, frozen, passing_tables
 
 SHINGLE = 5
 SIMILAR = (4, 5)  # similarity of at least 4 / 5
@@ -256,8 +256,8 @@ def small_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(node, class, n, tokens) of rows (node, class, t): a bag as the set of
-    its shingles numbered by occurrence."""
+    """(crowd, node, class, n, tokens) of rows (crowd, node, class, t): a bag as the
+    set of its shingles numbered by occurrence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = worker_shingles()
@@ -267,51 +267,152 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 h, c = shingles.bag(t)
                 nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                 sets.append(mix(np.repeat(h, c) + nth.astype(np.uint64) * _GOLDEN).view(np.int64))
-            columns = [batch["node"], batch["class"], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "class", "n", "tokens"])
-
-    return rows.select("node", "class", "t").mapInArrow(run, "node long, class long, n long, tokens array<long>")
-
-
-def prefix_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different classes among rows (node, class) that can
-    be similar, by prefix, size and position."""
-    tokens = frozen(shingle_sets(crowd.join(texts.hint("merge"), "node")).select("node", "class", "n", F.explode("tokens").alias("token")), "tokens")
-    # a token of one text only comes first in its order and meets nobody
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    ordered = tokens.join(shared.hint("merge"), "token").groupBy("node", "class", "n").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("ts"))
-    alone = F.col("n") - F.size("ts")
-    prefix = F.expr(f"n - cast(ceil({SIMILAR[0]} * n / {SIMILAR[1]}) as long) + 1")
-    kept = frozen(
-        ordered.withColumn("alone", alone)
-        .withColumn("ts", F.slice("ts", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int")))
-        .select(
-            "node", "class", "n", "alone", (F.col("n") - prefix).alias("after"), F.array(*[F.expr(marks(k)) for k in range(MARK_WORDS)]).alias("marks"),
-            F.size("ts").alias("size"), F.posexplode("ts").alias("i", "t"),
-        )
-        .withColumn("lost", F.col("size") - sum(F.bit_count(F.col("marks")[k]) for k in range(MARK_WORDS)))
-        .select("node", "class", "n", "after", "marks", "lost", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("t.token").alias("token")),
-        "prefixes",
-    )
-    other = kept.toDF("a", "ca", "na", "aftera", "marksa", "losta", "resta", "token")
-    # An overlap of at least s / (1 + s) of both sizes is needed. From the first
-    # common token on, it is at most what follows there; and it is at most the
-    # common tokens of both prefixes (bounded by their marks) and what follows a prefix.
-    need = SIMILAR[0] * (F.col("n") + F.col("na"))
-    common = sum(F.bit_count(F.col("marks")[k].bitwiseAND(F.col("marksa")[k])) for k in range(MARK_WORDS)) + F.least("lost", "losta")
-    enough = (sum(SIMILAR) * F.least("rest", "resta") >= need) & (sum(SIMILAR) * (common + F.greatest("after", "aftera")) >= need)
-    pairs = kept.join(other, "token").where((F.col("a") < F.col("node")) & (F.col("class") != F.col("ca")) & sizes_fit("n", "na") & enough)
-    return pairs.select("a", F.col("node").alias("b")).distinct()
+            columns = [batch["crowd"], batch["node"], batch["class"], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["crowd", "node", "class", "n", "tokens"])
+
+    return rows.select("crowd", "node", "class", "t").mapInArrow(run, "crowd long, node long, class long, n long, tokens array<long>")
+
+
+def crowds(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(node, crowd) of the members of large mixed buckets: members of one bucket,
+    and of buckets with a member in common, are one crowd."""
+    large = rows.where(F.col("n") > SMALL).join(mixed.select("bucket", "a"), "bucket").select("a", F.col("node").alias("b"))
+    return components(frozen(large.distinct(), "large")).withColumnRenamed("class", "crowd")
+
+
+def centres(sets: DataFrame) -> DataFrame:
+    """(crowd, centre, wide) for each crowd: the tokens that are used more than
+    half as often as the crowd's commonest, and the mean size of its sets. The
+    tokens of a centre are at most twice those of its mean set for each text that
+    the commonest token marks."""
+    uses = frozen(sets.select("crowd", F.explode("tokens").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "uses")
+    most = uses.groupBy("crowd").agg(F.max("uses").alias("most"))
+    common = uses.join(most, "crowd").where(2 * F.col("uses") > F.col("most")).groupBy("crowd").agg(F.sort_array(F.collect_list("token")).alias("centre"))
+    sizes = sets.groupBy("crowd").agg(F.avg("n").alias("wide"))
+    return frozen(sizes.join(common, "crowd", "left"), "centres")
+
+
+def differences(sets: DataFrame, centre: DataFrame) -> DataFrame:
+    """(crowd, node, class, n, wide, diff): the tokens by which a set differs from its centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            diff = [
+                np.setxor1d(np.asarray(t, np.int64), np.asarray(c or (), np.int64), assume_unique=True)
+                for t, c in zip(batch["tokens"].to_pylist(), batch["centre"].to_pylist())
+            ]
+            names = ["crowd", "node", "class", "n", "wide"]
+            yield pa.RecordBatch.from_arrays([*[batch[x] for x in names], pa.array(diff, pa.list_(pa.int64()))], [*names, "diff"])
+
+    return sets.join(centre, "crowd").mapInArrow(run, "crowd long, node long, class long, n long, wide double, diff array<long>")
+
+
+SLOT_BITS = 20  # counters: a table of bounded size at any input
+
 
+def within(crowd: int, tokens: np.ndarray) -> np.ndarray:
+    """Hashes of tokens of a crowd."""
+    return mix(tokens.view(np.uint64) + stride(crowd))
 
-MARK_WORDS = 4  # 64-bit words that mark the tokens of a prefix
 
+def slot(crowd: int, tokens: np.ndarray) -> np.ndarray:
+    """Counter of a token within its crowd."""
+    return (within(crowd, tokens) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-def marks(k: int) -> str:
-    """SQL text: word ``k`` of the marks of ``ts``, one bit for each token (tokens
-    that share a bit are counted as ``lost``, so the bound stays one)."""
-    bit = "shiftleft(1L, cast(shiftrightunsigned(x.token, 8) & 63 as int))"
-    return f"aggregate(ts, 0L, (m, x) -> if(pmod(x.token, {MARK_WORDS}) = {k}, m | {bit}, m))"
+
+def slot_counts(diffs: DataFrame) -> np.ndarray:
+    """How often the tokens of each slot occur: at most 2^SLOT_BITS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for crowd, tokens in zip(batch["crowd"].to_pylist(), batch["diff"].to_pylist()):
+                np.add.at(counts, slot(crowd, np.asarray(tokens, np.int64)), 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["slot", "c"])
+
+    partial = diffs.select("crowd", "diff").mapInArrow(run, "slot long, c long")
+    rows = partial.groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["c"].to_numpy()
+    return counts
+
+
+def crowd_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (node, class, crowd) whose links join the same
+    classes as all similar pairs of different classes in a crowd do.
+
+    Sets A and B of sizes a and b are similar if they differ in at most (a + b) / 9
+    tokens. A crowd of near copies has a centre; with d the tokens by which a
+    set differs from it and s = 9 d - size, A and B are similar if and only if
+    their differences from the centre have at least (s_A + s_B) / 18 tokens in
+    common. Sets that need none, counted with the set nearest to the centre, are
+    similar to that one: one pair each. For the rest, rare tokens of the
+    differences come first, and a pair must share one within the prefixes that
+    its common tokens leave; s is cut into levels, and each set has a prefix for
+    each level, so that sets far from the centre never meet by what all of them
+    lack. Any centre and any order give all pairs; they only decide how few."""
+    sets = frozen(shingle_sets(members.join(texts.hint("merge"), "node")), "sets")
+    diffs = frozen(differences(sets, centres(sets)), "differences")
+    score = 9 * F.size("diff") - F.col("n")
+    nearest = frozen(diffs.groupBy("crowd").agg(F.min_by(F.struct("node", "class", score.alias("s")), F.struct(score, "node")).alias("near")).select("crowd", "near.*"), "nearest")
+    with_near = diffs.join(nearest.toDF("crowd", "near", "near_class", "least"), "crowd").withColumn("s", score)
+    sure = with_near.where((F.col("s") + F.col("least") <= 0) & (F.col("class") != F.col("near_class"))).select(F.col("near").alias("a"), F.col("node").alias("b"))
+
+    counts = members.sparkSession.sparkContext.broadcast(slot_counts(diffs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = counts.value
+        for batch in batches:
+            out: list[tuple] = []
+            for crowd, node, cls, n, wide, least, tokens in zip(*(batch[c].to_pylist() for c in ("crowd", "node", "class", "n", "wide", "least", "diff"))):
+                out.append(prefix_rows(crowd, node, cls, n, wide, least, np.asarray(tokens, np.int64), uses))
+                if len(out) == 256:
+                    yield from as_batch(out)
+                    out = []
+            yield from as_batch(out)
+
+    names = ["key", "node", "class", "n", "s", "rest", "lost", *[f"m{k}" for k in range(MARK_WORDS)]]
+
+    def as_batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names)
+
+    kept = frozen(with_near.select("crowd", "node", "class", "n", "wide", "least", "diff").mapInArrow(run, ", ".join(f"{x} long" for x in names)), "prefixes")
+    other = kept.toDF("key", *[f"{x}a" for x in names[1:]]).withColumnsRenamed({"nodea": "a", "classa": "ca"})
+    # tokens in common: at most those from the first one on, and at most the shared marks
+    common = sum(F.bit_count(F.col(f"m{k}").bitwiseAND(F.col(f"m{k}a"))) for k in range(MARK_WORDS)) + F.least("lost", "losta")
+    enough = 18 * F.least("rest", "resta", common) >= F.col("s") + F.col("sa")
+    pairs = kept.join(other, "key").where((F.col("a") < F.col("node")) & (F.col("class") != F.col("ca")) & sizes_fit("n", "na") & enough)
+    return sure.union(pairs.select("a", F.col("node").alias("b"))).distinct()
+
+
+MARK_WORDS = 4  # 64-bit words that mark the tokens of a difference that others have, too
+LEVELS = 6  # levels of s for each mean size of a crowd's sets
+
+
+def prefix_rows(crowd: int, node: int, cls: int, n: int, wide: float, least: int, diff: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, node, class, n, s, rest, lost, marks) of a set's prefixes for all
+    levels. A key stands for crowd, token and the two levels that meet; ``rest``
+    is the number of tokens from that one on; the marks have one bit for each
+    token that others use, too, and ``lost`` counts those that share a bit."""
+    d, width = len(diff), max(9, int(wide) // LEVELS)
+    s = 9 * d - n
+    used = uses[slot(crowd, diff)]
+    order = np.lexsort((diff, used))
+    tokens, shared = diff[order], used[order] > 1  # a token used once meets nobody
+    own = (s - least) // width
+    # a partner needs (s + its s) / 18 <= d common tokens
+    levels = np.arange(0, max(0, (18 * d - s - least) // width) + 1)
+    common = np.maximum(1, -((-(s + least + levels * width)) // 18))
+    at = np.flatnonzero(shared)
+    row, column = np.nonzero(at[None, :] <= (d - common)[:, None])
+    low, high = np.minimum(levels[row], own).astype(np.uint64), np.maximum(levels[row], own).astype(np.uint64)
+    key = mix(within(crowd, tokens[at[column]]) + (low << np.uint64(32)) + high)
+    bits = np.unique((tokens[at].view(np.uint64) >> np.uint64(8)) % np.uint64(64 * MARK_WORDS)).astype(np.uint64)
+    marks = [np.bitwise_or.reduce(np.uint64(1) << (bits[bits // 64 == k] % 64), initial=np.uint64(0)).view(np.int64) for k in range(MARK_WORDS)]
+    full = lambda v: np.full(len(row), v, np.int64)
+    return key.view(np.int64), full(node), full(cls), full(n), full(s), (d - at[column]).astype(np.int64), full(len(at) - len(bits)), *map(full, marks)
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -336,16 +437,24 @@ def link_classes(held: DataFrame, texts: DataFrame) -> DataFrame | None:
     rows = frozen(with_class(held, labels), "members")
     mixed = mixed_buckets(rows)
     labels = merged(labels, checked(small_pairs(rows, mixed)))
-    crowded = rows.where(F.col("n") > SMALL).join(mixed.select("bucket"), "bucket").select("node").distinct()
-    crowd = frozen(with_class(crowded, labels), "crowd")
+    crowd = frozen(with_class(crowds(rows, mixed), labels), "crowd")
     if crowd.isEmpty():
         return labels
-    return merged(labels, checked(prefix_pairs(crowd, texts)))
+    return merged(labels, checked(crowd_pairs(crowd, texts)))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least id of the class), class_size, kept (one row of
     each class) and text_key for every row."""
+    with passing_tables(documents.sparkSession) as stay:
+        named, classes = stay(*_named_classes(documents, id_col, text_col))
+    return named.join(classes, "class").select(
+        "doc_id", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_key"
+    )
+
+
+def _named_classes(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their class, classes), both written."""
     signs = frozen(signed(documents, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signatures")
     nodes = frozen(
         signs.where("weight > 0").groupBy("text_key").agg(F.min("row").alias("node"), F.first("weight").alias("weight"), F.first("bands").alias("bands")),
@@ -372,9 +481,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         ),
         "classes",
     )
-    return named.join(classes, "class").select(
-        "doc_id", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_key"
-    )
+    return named, classes
 
 
 def distinct_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import delete_path, ensure_checkpoint_dir
 
 SEGMENT_BYTES = 1 << 22  # texts are worked on in pieces of about this size
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -23,24 +25,42 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def frozen(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it
     back: row numbers stay fixed if an executor is lost, and nothing above
-    computes it again. The table lives as long as the checkpoint folder."""
+    computes it again. The table lives as long as the checkpoint folder, or as
+    the ``passing_tables`` around it."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     schema = df.schema
+    if (tables := _passing.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_frozen(df: DataFrame) -> None:
-    """Delete a table that ``frozen`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[..., tuple[DataFrame, ...]]]:
+    """Drop the tables that ``frozen`` writes in this block when it ends, but for
+    those that the given function is told to let stay (frozen frames, unchanged)."""
+    tables: list[str] = []
+    kept: set[str] = set()
+
+    def stay(*frames: DataFrame) -> tuple[DataFrame, ...]:
+        kept.update(f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in frames for f in df.inputFiles())
+        return frames
+
+    token = _passing.set(tables)
+    try:
+        yield stay
+    finally:
+        _passing.reset(token)
+        for path in tables:
+            if path.rsplit("/", 1)[1] not in kept:
+                delete_path(spark, path)
 
 
 def id_bucket(doc_id: Column, n: int) -> Column:

@@ -85,6 +85,98 @@ def test_large_groups_keep_their_links(spark, crowd):
     assert partition(*zip(*sorted(mine.items()))) == partition(range(len(crowd)), want)
 
 
+def edited_crowd(n):
+    """Copies of one text of 120 words, each with 3 edits: just under 0.8."""
+    rng = random.Random(11)
+    base = cases.words(rng, 120)
+    rows = []
+    for i in range(n):
+        body = list(base)
+        for at in rng.sample(range(120), 3):
+            body[at] = f"edit{rng.random()}"
+        rows.append((i, " ".join(body)))
+    return rows
+
+
+def test_a_crowd_under_the_threshold_has_few_pairs(spark, monkeypatch):
+    made = []
+    crowd_pairs = bm.crowd_pairs
+
+    def counted(members, texts):
+        pairs = bm.frozen(crowd_pairs(members, texts), "t")
+        made[-1] += pairs.count()
+        return pairs
+
+    monkeypatch.setattr(bm, "crowd_pairs", counted)
+    classes = {}
+    for n in (600, 1200, 2400):
+        made.append(0)
+        got = bm.near_duplicates(spark.createDataFrame(edited_crowd(n), "doc_id long, text string")).collect()
+        classes[n] = partition([r.doc_id for r in got], [r.class_id for r in got])
+    assert all(pairs < n / 10 for pairs, n in zip(made, (600, 1200, 2400))), made
+    assert classes[600] == partition(range(600), brute_classes(edited_crowd(600)))
+
+
+def brute_links(sets):
+    return {(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_any_centre_gives_all_links(seed):
+    """Pairs by prefixes of differences and those sure to be alike have the same
+    components as all similar pairs, for good, bad and empty centres."""
+    rng = random.Random(seed)
+    base = list(range(100, 160))
+    sets = []
+    for i in range(90):
+        kind = rng.randrange(3)
+        s = set(base) if kind else set(rng.sample(range(100, 260), 60))
+        for x in rng.sample(sorted(s), rng.randrange(0, 12)):
+            s.discard(x)
+            if kind == 2:
+                s.add(1000 + rng.randrange(400))
+        sets.append(s)
+    want = components_of(len(sets), brute_links(sets))
+    for centre in (set(base), set(), set(range(130, 300)), sets[7]):
+        diffs = [np.array(sorted(s ^ centre), np.int64) for s in sets]
+        score = [9 * len(d) - len(s) for d, s in zip(diffs, sets)]
+        least = min(score)
+        uses = np.zeros(1 << bm.SLOT_BITS, np.int64)
+        for d in diffs:
+            np.add.at(uses, bm.slot(3, d), 1)
+        met, links = {}, {(i, score.index(least)) for i, s in enumerate(score) if s + least <= 0}
+        for i, d in enumerate(diffs):
+            for key in bm.prefix_rows(3, i, i, len(sets[i]), 60.0, least, d, uses)[0].tolist():
+                met.setdefault(key, []).append(i)
+        pairs = {(a, b) for some in met.values() for a in some for b in some if b < a}
+        links |= {(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+        assert components_of(len(sets), links) == want
+
+
+def components_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return partition(range(n), [find(i) for i in range(n)])
+
+
+def test_passing_tables_are_dropped(spark, docs):
+    import os
+
+    from ledgerlens.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = set(os.listdir(folder))
+    assert bm.near_duplicates(docs).count() == docs.count()
+    assert sorted(d.split("-")[0] for d in set(os.listdir(folder)) - before) == ["classes", "named"]
+
+
 def test_long_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["class"] for r in bm.components(chain).collect()}
