@@ -275,9 +275,14 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
 
 def crowds(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     """(node, crowd) of the members of large mixed buckets: members of one bucket,
-    and of buckets with a member in common, are one crowd."""
-    large = rows.where(F.col("n") > SMALL).join(mixed.select("bucket", "a"), "bucket").select("a", F.col("node").alias("b"))
-    return components(frozen(large.distinct(), "large")).withColumnRenamed("class", "crowd")
+    and of buckets with a member in common, are one crowd. Components are found
+    among the buckets, of which a crowd of any size has few."""
+    large = rows.where(F.col("n") > SMALL).join(mixed.select("bucket"), "bucket")
+    heads = frozen(large.groupBy("node").agg(F.array_sort(F.collect_set("bucket")).alias("buckets")), "large")
+    first = F.get("buckets", F.lit(0)).alias("first")
+    labels = components(heads.select(first.alias("a"), F.explode("buckets").alias("b")).distinct())
+    found = heads.select("node", first).join(labels.toDF("first", "crowd"), "first", "left")
+    return found.select("node", F.coalesce("crowd", "first").alias("crowd"))
 
 
 def centres(sets: DataFrame) -> DataFrame:
