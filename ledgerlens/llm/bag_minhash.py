@@ -393,7 +393,7 @@ def crowd_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 MARK_WORDS = 4  # 64-bit words that mark the tokens of a difference that others have, too
-LEVELS = 6  # levels of s for each mean size of a crowd's sets
+LEVEL_SIZES = 3  # a level of s is as wide as so many mean sizes of a crowd's sets
 
 
 def prefix_rows(crowd: int, node: int, cls: int, n: int, wide: float, least: int, diff: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -401,7 +401,7 @@ def prefix_rows(crowd: int, node: int, cls: int, n: int, wide: float, least: int
     levels. A key stands for crowd, token and the two levels that meet; ``rest``
     is the number of tokens from that one on; the marks have one bit for each
     token that others use, too, and ``lost`` counts those that share a bit."""
-    d, width = len(diff), max(9, int(wide) // LEVELS)
+    d, width = len(diff), max(9, int(LEVEL_SIZES * wide))
     s = 9 * d - n
     used = uses[slot(crowd, diff)]
     order = np.lexsort((diff, used))
