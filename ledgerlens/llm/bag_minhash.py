@@ -285,16 +285,20 @@ def crowds(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     return found.select("node", F.coalesce("crowd", "first").alias("crowd"))
 
 
+ASKED = 64  # members of a crowd, about, whose tokens decide its centre
+
+
 def centres(sets: DataFrame) -> DataFrame:
-    """(crowd, centre, wide) for each crowd: the tokens that are used more than
-    half as often as the crowd's commonest, and the mean size of its sets. The
-    tokens of a centre are at most twice those of its mean set for each text that
-    the commonest token marks."""
-    uses = frozen(sets.select("crowd", F.explode("tokens").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "uses")
+    """(crowd, centre, wide) for each crowd: the tokens that its members use more
+    than half as often as the commonest one, and the mean size of its sets. About
+    ``ASKED`` members by hash are asked, all of a smaller crowd: a centre decides
+    how many pairs are compared, and never which are found."""
+    sizes = frozen(sets.groupBy("crowd").agg(F.avg("n").alias("wide"), F.count(F.lit(1)).alias("members")), "sizes")
+    asked = sets.join(sizes, "crowd").where(F.pmod(F.xxhash64("node"), F.col("members")) < ASKED)
+    uses = frozen(asked.select("crowd", F.explode("tokens").alias("token")).groupBy("crowd", "token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "uses")
     most = uses.groupBy("crowd").agg(F.max("uses").alias("most"))
     common = uses.join(most, "crowd").where(2 * F.col("uses") > F.col("most")).groupBy("crowd").agg(F.sort_array(F.collect_list("token")).alias("centre"))
-    sizes = sets.groupBy("crowd").agg(F.avg("n").alias("wide"))
-    return frozen(sizes.join(common, "crowd", "left"), "centres")
+    return frozen(sizes.drop("members").join(common, "crowd", "left"), "centres")
 
 
 def differences(sets: DataFrame, centre: DataFrame) -> DataFrame:
