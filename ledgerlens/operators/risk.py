@@ -65,7 +65,7 @@ def fraud_loss_attribution(ledger) -> DataFrame:
 
 
 def risk_fraud_by_type(ledger) -> DataFrame:
-    agg = ledger.cells.groupBy("transaction_type_key").agg(*cell_sums(loss=False))
+    agg = ledger.sums("transaction_type_key")
     named = with_type_names(agg, ledger.dim_type, "is_fraud_bearing")
     fraud = "coalesce(fraud_cents, 0)"
     return named.select(
@@ -84,7 +84,7 @@ def risk_fraud_by_type(ledger) -> DataFrame:
 
 
 def risk_fraud_by_amount_band(ledger) -> DataFrame:
-    agg = ledger.cells.groupBy("band_id").agg(*cell_sums(loss=False))
+    agg = ledger.sums("band_id")
     # share of all fraud value: a window over at most six aggregated rows
     return agg.select(
         band_label_by_id(F.col("band_id")).alias("amount_band"),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.bands import band_id_sql
 from ledgerlens.functions.fees import FEE_SCALE, fee_sql, hits_cap_sql, hits_floor_sql
 from ledgerlens.operators import star
-from ledgerlens.operators.common import sum_cents
+from ledgerlens.operators.common import cell_sums, sum_cents
 from ledgerlens.operators.keys import KeyTables
 from ledgerlens.schemas import FIRST_LEG_TYPE, SECOND_LEG_TYPE, TRANSACTION_TYPES
 from ledgerlens.sources.staging import staging_from_sf_dir
@@ -175,8 +175,18 @@ class Ledger:
         mart on these keys adds up."""
         if "cells" in self._prebuilt:
             return self._prebuilt["cells"]
+        return self._summed(*CELL_KEYS)
+
+    def sums(self, *keys: str) -> DataFrame:
+        """The sums of ``cells`` by some of their keys: straight from the rows where
+        one mart asks (one aggregate), from the cells where only they are held."""
+        if "cells" in self._prebuilt:
+            return self.cells.groupBy(*keys).agg(*cell_sums(loss=False))
+        return self._summed(*keys)
+
+    def _summed(self, *keys: str) -> DataFrame:
         fraud, flagged = F.col("is_fraud"), F.col("is_flagged_fraud")
-        return self.priced.groupBy("day_number", "transaction_type_key", "band_id").agg(
+        return self.priced.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("txn_count"),
             F.count_if(fraud).alias("fraud_txns"),
             F.count_if(flagged).alias("flagged_txns"),
