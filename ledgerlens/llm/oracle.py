@@ -66,16 +66,18 @@ def _tree(regions: str, least: str) -> str:
     join shards using (g, rack) group by k)"""
 
 
-#: Placement without the text crc, which DuckDB has no function for; a test compares it.
+#: Whole result; DuckDB has no crc32, so the test that compares it registers one.
 SHARD_PLACEMENT = f"""
-with rows_in as (select doc_id, coalesce(cast(doc_id as varchar), 'null') as k, coalesce(text, '') as t from documents),
+with rows_in as (select doc_id, coalesce(cast(doc_id as varchar), 'null') as k, crc32(coalesce(text, '')) as crc,
+  octet_length(encode(coalesce(text, '')))::bigint + 8 as size from documents),
 keys as (select distinct k from rows_in),
 shards as (select (s // 12) as g, (s // 4) % 3 as rack, s as shard from range(24) as x(s) union all select 2, 0, 24),
 racks as (select distinct g, rack from shards),
 now as {_tree("(0, 12.0), (1, 12.0)", "shard")},
 grown as {_tree("(0, 12.0), (1, 12.0), (2, 1.0)", "grown_shard")}
-select doc_id, octet_length(encode(t))::bigint + 8 as size, 'key' as law, shard::int as shard,
-  row_number() over (partition by shard order by substr(md5(k), 1, 3), doc_id) - 1 as slot, grown_shard::int as grown_shard
+select doc_id, size, crc as text_crc32, 'key' as law, shard::int as shard,
+  row_number() over (partition by shard order by substr(md5(concat(k, ':', crc, ':', size)), 1, 3), doc_id nulls first, crc, size) - 1 as slot,
+  grown_shard::int as grown_shard
 from rows_in join now using (k) join grown using (k)
 """
 

@@ -8,11 +8,12 @@ whose weight changed. ``Tree.grow`` adds a shard as a region of its own, so
 each row either stays or moves into the new shard.
 
 Law: ``key`` - the integer id and the tree alone decide the shard. Slots
-number the rows of a shard from 0 without gaps, in the order (md5 block of the
-id, id, text crc, size); the block prefix splits a shard into thousands of
-sort groups, whose start offsets come from a prefix sum over block counts, and
-equal (id, crc, size) rows are counted before the shuffle and expanded after,
-so no shard, id or copy group has to fit a single task's sort.
+number the rows of a shard from 0 without gaps, in the order (block, id, text
+crc, size), the block being an md5 prefix of (id, crc, size). Blocks split a
+shard into thousands of sort groups, whose start offsets come from a prefix sum
+over block counts. Equal (id, crc, size) rows are counted before the shuffle and
+expanded after, and different texts under one id spread over all blocks of its
+shard, so no shard, id or copy group has to fit a single task's sort.
 
 Cases: a null id is hashed as the text ``null``; a null text has size 8 and
 crc 0 (that of no bytes); repeated rows are interchangeable and get
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 HASH_DIGITS = 13  # hex digits of the md5 used for a draw: 52 bits, exact in a double
 BLOCK_DIGITS = 3  # 4096 slot blocks a shard
+BLOCK = f"substr(md5(concat(_key, ':', text_crc32, ':', size)), 1, {BLOCK_DIGITS})"
+BROADCAST_BLOCKS = 1 << 18  # rows (shard, block, start) of under 100 bytes
 
 
 @dataclass(frozen=True)
@@ -109,7 +112,7 @@ def shard(documents: DataFrame, tree: Tree | None = None, id_col: str = "doc_id"
         .withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     )
     placed = place(place(rows, tree, "shard"), tree.grow(), "grown_shard").withColumn(
-        "_block", F.substring(F.md5(F.col("_key")), 1, BLOCK_DIGITS)
+        "_block", F.expr(BLOCK)
     )
     counts = placed.groupBy("shard", "_block").agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +124,8 @@ def shard(documents: DataFrame, tree: Tree | None = None, id_col: str = "doc_id"
     )
     numbered = placed.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
     # at most shards * 16^BLOCK_DIGITS small rows, however large the input
-    joined = numbered.join(F.broadcast(offsets), ["shard", "_block"])
+    bounded = tree.size() * 16**BLOCK_DIGITS <= BROADCAST_BLOCKS
+    joined = numbered.join(F.broadcast(offsets) if bounded else offsets, ["shard", "_block"])
     return joined.select(
         "doc_id",
         "size",

@@ -44,6 +44,15 @@ def test_hot_id_and_repeated_rows(spark):
     assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
 
 
+def test_many_texts_under_one_id_spread_over_blocks(spark):
+    rows = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "cast(id as string) as text")
+    placed = shard_tree.shard(rows).selectExpr("'null' as _key", "text_crc32", "size", "shard", "slot")
+    found = placed.selectExpr("shard", "slot", f"{shard_tree.BLOCK} as block")
+    assert found.select("shard").distinct().count() == 1
+    assert found.selectExpr("count(distinct slot)", "min(slot)", "max(slot)").first() == (100_000, 0, 99_999)
+    assert found.groupBy("block").count().selectExpr("max(count)").first()[0] < 80  # 24 on average
+
+
 def test_placement_equals_sql(spark):
     import duckdb
 
@@ -52,6 +61,7 @@ def test_placement_equals_sql(spark):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
+    con.create_function("crc32", lambda t: zlib.crc32(t.encode()), ["VARCHAR"], "BIGINT")
     con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet')")
     want = con.execute(SHARD_PLACEMENT).df()
     got = shard_tree.shard(read_table(spark, folder, "documents")).toPandas()[list(want.columns)]
