@@ -165,7 +165,8 @@ def language_column(text: Column, learned: dict[str, np.ndarray], dimensions: in
 
 
 def held_out_fold(doc_id: Column) -> Column:
-    return F.coalesce(id_bucket(doc_id, FOLDS) == HELD_OUT, F.lit(False))
+    """Of the integer id, so that learning and predicting agree on ids like '007'."""
+    return F.coalesce(id_bucket(doc_id.cast("long"), FOLDS) == HELD_OUT, F.lit(False))
 
 
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
@@ -177,8 +178,8 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row."""
     learned = learn(documents, id_col, text_col, lang_col)
-    doc_id = F.col(id_col).cast("long")
-    rows = documents.select(doc_id.alias("doc_id"), held_out_fold(doc_id).alias("held_out"), language_column(F.col(text_col), learned).alias("p"))
+    doc_id = F.col(id_col)
+    rows = documents.select(doc_id.cast("long").alias("doc_id"), held_out_fold(doc_id).alias("held_out"), language_column(F.col(text_col), learned).alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
