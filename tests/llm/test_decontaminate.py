@@ -65,6 +65,24 @@ def test_window_in_the_very_first_and_last_place(spark):
     assert rows_of(decontaminate.decontaminate(docs, items)) == brute(rows, [(1, " ".join(body))])
 
 
+def test_one_item_text_repeated_many_times_by_both_joins(spark):
+    body = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(body[:30])) for i in range(400)] + [(1000 + i, " ".join(body[i:])) for i in range(20)]
+    rows = [(i, f"x{i} " + " ".join(body[i : i + 20])) for i in range(25)] + [(None, " ".join(body)), (None, "other"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(rows, items)
+    assert rows_of(decontaminate.decontaminate(docs, table)) == want
+    assert rows_of(decontaminate.decontaminate(docs, table, broadcast_windows=0)) == want
+    assert "items" not in decontaminate.windows_of(table.selectExpr("cast(item_id as string) as item_id", "split(text, ' ') as words"), 13)[0].columns
+
+
+def test_keep_clean_of_empty_tables(spark, docs, empty):
+    items = spark.createDataFrame([(1, cases.ENGLISH)], "item_id long, text string")
+    assert decontaminate.keep_clean(empty, items).count() == 0
+    assert decontaminate.keep_clean(docs, items.limit(0)).count() == docs.count()
+
+
 def test_keep_clean_drops_only_the_contaminated(spark, docs):
     items = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string")
     dirty = [r[0] for r in brute([(r[0], r[1]) for r in cases.documents()], ITEMS) if r[5]]
