@@ -17,7 +17,12 @@ task starts from the round's weights, runs truncated backpropagation through
 windows of ``TRAIN_WINDOW`` tokens with states carried on, and the tasks' weights
 are averaged by tokens, in blocks and in two steps, so that neither a group nor
 the driver grows with the number of documents. Every training document trains
-the weights once (``SHARE`` 1), as it counts once.
+the weights once (``SHARE`` 1), as it counts once. Weights, and so ``score``,
+depend on how Spark splits the rows into tasks (other columns do not): a test
+holds the gain of one split against that of eight.
+
+Texts are turned into symbols once, after the counts, and written; rounds and
+scoring read these.
 
 Scoring. Documents are dealt to lanes that run side by side; a lane's state is
 carried across windows and is zero at a document's start.
@@ -46,15 +51,16 @@ from ledgerlens.llm.common import chunks, frozen, id_bucket, segments
 
 FOLDS, HELD_OUT = 7, 2
 WORDS, REST, LISTED = 2048, 32, 1 << 16
-HIDDEN, CLASSES, CLASS_SIZE = 16, 48, 64
+HIDDEN, CLASSES, CLASS_SIZE = 16, 16, 160
 WINDOW, LANES = 64, 256  # of scoring
-TRAIN_WINDOW, TRAIN_LANES = 16, 32  # tokens a step: the two multiplied
-ROUNDS, SHARE, RATE = 3, 1, 0.1
+TRAIN_WINDOW, TRAIN_LANES = 32, 128  # tokens a step: the two multiplied
+ROUNDS, SHARE, RATE = 3, 1, 0.25
 BUFFER_TOKENS = 1 << 21  # tokens that a task holds before it runs the lanes
 FLUSH_WORDS = 300_000  # distinct words that a task counts before it hands them on
 BLOCK = 1 << 13  # parameters in a block when tasks' weights are averaged
 GROUP_TASKS = 256  # tasks whose weights meet in the first step of averaging
 SEED = 11
+SYMBOL = np.uint16  # WORDS, REST and the end fit
 END = b""  # no word is empty
 
 
@@ -212,7 +218,7 @@ class Network:
 
     def __init__(self, mass: np.ndarray, hidden: int = HIDDEN):
         self.bounds = class_bounds(mass)
-        self.class_of = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        self.class_of = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int16), np.diff(self.bounds))
         rng, k, n = np.random.default_rng(SEED), len(mass), len(self.bounds) - 1
         share = (mass + 1) / (mass + 1).sum()
         of_class = np.add.reduceat(share, self.bounds[:-1])
@@ -262,37 +268,38 @@ class Network:
         order = np.argsort(of, kind="stable")  # rows of a class side by side
         h, targets, of = h[order], targets[order], of[order]
         at = np.arange(len(h))
-        p = h @ self.c.T
-        p += self.cb
-        p -= p.max(1, keepdims=True)
-        out = p[at, of]
+        # choices by rows: sums over choices run along whole vectors
+        p = self.c @ h.T
+        p += self.cb[:, None]
+        p -= p.max(0)
+        out = p[of, at]
         np.exp(p, out=p)
-        total = p.sum(1)
+        total = p.sum(0)
         out -= np.log(total)
         dh = None
         if grads is not None:
-            p /= total[:, None]
-            p[at, of] -= 1
-            grads["c"], grads["cb"] = p.T @ h, p.sum(0)
-            dh = p @ self.c
+            p /= total
+            p[of, at] -= 1
+            grads["c"], grads["cb"] = p @ h, p.sum(1)
+            dh = p.T @ self.c
             grads["w"], grads["wb"] = np.zeros_like(self.w), np.zeros_like(self.wb)
-        edges = np.searchsorted(of, np.arange(len(self.bounds)))
+        edges = np.searchsorted(of, np.arange(len(self.bounds), dtype=of.dtype))
         for k in np.flatnonzero((np.diff(edges) > 0) & (np.diff(self.bounds) > 1)).tolist():
             lo, hi = self.bounds[k], self.bounds[k + 1]
             rows = slice(edges[k], edges[k + 1])
             hk, tk, ik = h[rows], targets[rows] - lo, at[: edges[k + 1] - edges[k]]
-            p = hk @ self.w[lo:hi].T
-            p += self.wb[lo:hi]
-            p -= p.max(1, keepdims=True)
-            out[rows] += p[ik, tk]
+            p = self.w[lo:hi] @ hk.T
+            p += self.wb[lo:hi, None]
+            p -= p.max(0)
+            out[rows] += p[tk, ik]
             np.exp(p, out=p)
-            total = p.sum(1)
+            total = p.sum(0)
             out[rows] -= np.log(total)
             if grads is not None:
-                p /= total[:, None]
-                p[ik, tk] -= 1
-                grads["w"][lo:hi], grads["wb"][lo:hi] = p.T @ hk, p.sum(0)
-                dh[rows] += p @ self.w[lo:hi]
+                p /= total
+                p[tk, ik] -= 1
+                grads["w"][lo:hi], grads["wb"][lo:hi] = p @ hk, p.sum(1)
+                dh[rows] += p.T @ self.w[lo:hi]
         back = np.empty_like(order)
         back[order] = at
         return out[back], None if dh is None else dh[back]
@@ -314,7 +321,7 @@ class Network:
         grads["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         dg[:, :, 2 * n :] = dnew
         flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(SYMBOL), kind="stable")
         given = flat[order]
         first = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
         grads["x"] = (given[first], np.add.reduceat(dg.reshape(-1, 3 * n)[order], first, axis=0))
@@ -397,16 +404,16 @@ def run_lanes(net: Network, documents: list[np.ndarray], end: int, train: tuple[
 
 
 def train_round(training: DataFrame, lex: Lexicon, weights: np.ndarray, rate: float) -> np.ndarray:
-    """One round from ``weights`` over rows (t): the tasks' weights averaged."""
+    """One round from ``weights`` over rows (symbols): the tasks' weights averaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(lex.mass).load(weights)
         past = {n: np.full_like(getattr(net, n), 1e-2) for n in net.NAMES}
         held, size, seen = [], 0, 0
         for batch in batches:
-            for some in chunks(batch["t"].to_pylist()):
-                new = [lex.encode(t)[0] for t in some]
-                held, size = held + new, size + sum(map(len, new))
+            for document in map(unpacked, batch["symbols"].to_pylist()):
+                held.append(document)
+                size += len(document)
                 if size > BUFFER_TOKENS:
                     run_lanes(net, held, lex.end, (past, rate))
                     held, size, seen = [], 0, seen + size
@@ -434,83 +441,109 @@ def train_round(training: DataFrame, lex: Lexicon, weights: np.ndarray, rate: fl
 
 
 def train(training: DataFrame, lex: Lexicon, rounds: int = ROUNDS, share: int = SHARE, rate: float = RATE) -> np.ndarray:
-    """Rows (doc_id, t), each in one round."""
+    """Rows (part, symbols), each in one round."""
     weights = Network(lex.mass).flat()
-    part = F.pmod(F.xxhash64("doc_id", "t"), F.lit(rounds * share))
     for k in range(rounds):
-        weights = train_round(training.where(part == k).select("t"), lex, weights, rate / (1 + k))
+        weights = train_round(training.where(F.col("part") == k).select("symbols"), lex, weights, rate / (1 + k))
     return weights
 
 
-# ---------------------------------------------------------------- scoring
+# ---------------------------------------------------------------- symbols and scoring
+
+ENCODED = "doc_id long, held_out boolean, part int, symbols binary, n_known long, base double, extra double, rare array<struct<word: binary, n: long>>"
+
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, n: long>>"
+def packed(symbols: np.ndarray) -> bytes:
+    return symbols.astype(SYMBOL).tobytes()
 
 
-def score_rows(documents: DataFrame, lex: Lexicon, weights: np.ndarray) -> DataFrame:
-    """Rows (doc_id, held_out, t) with what needs no other word counts, and the
-    words that need them."""
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"]
+def unpacked(symbols: bytes) -> np.ndarray:
+    return np.frombuffer(symbols, SYMBOL).astype(np.int32)
 
-    def finish(net: Network, held: list[tuple]) -> pa.RecordBatch:
-        ids, folds, encoded = zip(*held)
-        scores = run_lanes(net, [e[0] for e in encoded], lex.end) / np.log(10) + np.array([e[2] for e in encoded])
-        columns = [
-            pa.array(ids, pa.int64()), pa.array(folds, pa.bool_()), pa.array([len(e[0]) for e in encoded], pa.int64()),
-            pa.array([e[3] for e in encoded], pa.int64()), pa.array([e[1] for e in encoded], pa.float64()), pa.array(scores, pa.float64()),
-            pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum([len(e[4]) for e in encoded]))), pa.int32()),
-                pa.StructArray.from_arrays(
-                    [pa.array(chain.from_iterable(e[4] for e in encoded), pa.binary()), pa.array(chain.from_iterable(e[4].values() for e in encoded), pa.int64())],
-                    ["word", "n"],
-                ),
-            ),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names)
+
+def encoded_rows(documents: DataFrame, lex: Lexicon) -> DataFrame:
+    """Rows (doc_id, held_out, part, t) as symbols, with the parts of both scores
+    that need no other words' counts, and the words that need them."""
+    names = [x.split()[0] for x in ENCODED.split(", ")[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(lex.mass).load(weights)
-        held, size = [], 0
         for batch in batches:
-            ids, folds, at = batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), 0
+            at = 0
             for some in chunks(batch["t"].to_pylist()):
-                encoded = list(map(lex.encode, some))
-                held += zip(ids[at : at + len(some)], folds[at : at + len(some)], encoded)
+                symbols, base, extra, known, rare = zip(*map(lex.encode, some))
+                columns = [batch[n].slice(at, len(some)) for n in ("doc_id", "held_out", "part")] + [
+                    pa.array(map(packed, symbols), pa.binary()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(extra, pa.float64()),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rare]))), pa.int32()),
+                        pa.StructArray.from_arrays(
+                            [pa.array(chain.from_iterable(rare), pa.binary()), pa.array(chain.from_iterable(r.values() for r in rare), pa.int64())],
+                            ["word", "n"],
+                        ),
+                    ),
+                ]
                 at += len(some)
-                size += sum(len(e[0]) for e in encoded)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return documents.mapInArrow(run, ENCODED)
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_known long, base double, extra double, n_tokens long, model double"
+
+
+def score_rows(encoded: DataFrame, lex: Lexicon, weights: np.ndarray) -> DataFrame:
+    """Encoded rows with their number of tokens and the log10 probability of
+    their symbols."""
+    names = [x.split()[0] for x in SCORED.split(", ")]
+
+    def finish(net: Network, rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
+        scores = run_lanes(net, held, lex.end) / np.log(10)
+        columns = [*zip(*rows), list(map(len, held)), scores]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(lex.mass).load(weights)
+        rows, held, size = [], [], 0
+        for batch in batches:
+            given = zip(*(batch[n].to_pylist() for n in names[:-2]))
+            for row, document in zip(given, map(unpacked, batch["symbols"].to_pylist())):
+                rows.append(row)
+                held.append(document)
+                size += len(document)
                 if size > BUFFER_TOKENS:
-                    yield finish(net, held)
-                    held, size = [], 0
+                    yield finish(net, rows, held)
+                    rows, held, size = [], [], 0
         if held:
-            yield finish(net, held)
+            yield finish(net, rows, held)
 
-    return documents.mapInArrow(run, SCORED)
+    return encoded.select(*names[:-2], "symbols").mapInArrow(run, SCORED)
 
 
 def score(documents: DataFrame, rounds: int = ROUNDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base and model score of every row."""
     doc_id = F.col(id_col).cast("long")
     rows = documents.select(doc_id.alias("doc_id"), held_out_fold(doc_id).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    training = rows.where(~F.col("held_out")).select("doc_id", "t")
-    counts = frozen(count_words(training.select("t")), "word-counts")
+    counts = frozen(count_words(rows.where(~F.col("held_out")).select("t")), "word-counts")
     lex = lexicon(counts)
-    weights = train(training, lex, rounds, share)
-    scored = frozen(score_rows(rows, lex, weights).withColumn("row", F.monotonically_increasing_id()), "scored")
+    part = F.when(~F.col("held_out"), F.pmod(F.xxhash64("doc_id", "t"), F.lit(rounds * share)).cast("int"))
+    encoded = frozen(encoded_rows(rows.withColumn("part", part), lex).withColumn("row", F.monotonically_increasing_id()), "symbols")
+    weights = train(encoded.where(~F.col("held_out")), lex, rounds, share)
+    scored = frozen(score_rows(encoded, lex, weights), "scored")
     # words outside the list are rare in training; those without a count add log10(1) to both scores
     sums = (
-        scored.select("row", F.explode("rare").alias("r"))
+        encoded.select("row", F.explode("rare").alias("r"))
         .select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
         .join(counts, "word")
         .groupBy("row")
         .agg(F.sum("n").alias("seen"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"))
     )
     seen, logs = F.coalesce("seen", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + seen).alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"),
-        (F.col("score") + logs).alias("score"),
+        (F.col("model") + F.col("extra") + logs).alias("score"),
     )

@@ -189,15 +189,67 @@ def test_training_beats_counts_on_held_out_documents(spark):
     assert rows["s"] > rows["b"]
 
 
+def plain_log10(net, lex, counts, text):
+    """log10 probability of a text, one token after the other, from the formulas."""
+    n, state, before, total = net.hidden, np.zeros(net.hidden), lex.end, 0.0
+    listed = {w: lex.symbol[i] for w, i in lex.listed.items()}
+    bucket_words = Counter()
+    bucket_tokens = Counter()
+    for w, c in counts.items():
+        s = lex.end if w == b"" else listed.get(w, lex.rest_symbol[gated_lm.rest_bucket(w)])
+        bucket_words[int(s)] += 1
+        bucket_tokens[int(s)] += c
+    for w in [*text.encode().lower().split(), b""]:
+        g, hu = net.x[before].astype(float), state @ net.u
+        z, r = (1 / (1 + np.exp(-(g[k * n : k * n + n] + hu[k * n : k * n + n]))) for k in (0, 1))
+        new = np.tanh(g[2 * n :] + r * hu[2 * n :])
+        state = z * state + (1 - z) * new
+        s = int(lex.end if w == b"" else listed.get(w, lex.rest_symbol[gated_lm.rest_bucket(w)]))
+        of = int(net.class_of[s])
+        classes = np.exp(net.c @ state + net.cb)
+        lo, hi = net.bounds[of], net.bounds[of + 1]
+        within = np.exp(net.w[lo:hi] @ state + net.wb[lo:hi])
+        total += math.log10(classes[of] / classes.sum()) + math.log10(within[s - lo] / within.sum())
+        if lex.is_rest[s]:
+            total += math.log10((counts.get(w, 0) + 1) / (bucket_tokens[s] + bucket_words[s] + 1))
+        before = s
+    return total
+
+
+def test_score_equals_a_step_by_step_reference(spark, docs, monkeypatch):
+    held, train, lexicon = {}, gated_lm.train, gated_lm.lexicon
+    monkeypatch.setattr(gated_lm, "lexicon", lambda counts: held.setdefault("lex", lexicon(counts, 20, 50)))
+    monkeypatch.setattr(gated_lm, "train", lambda *a: held.setdefault("weights", train(*a)))
+    given = [r for r in cases.documents() if r[1] != cases.LONG and r[0] is not None]
+    got = {r.doc_id: r.score for r in scored(spark, given)}
+    counts = Counter(w for r in given if fold(r[0], 7) != 2 for w in [*(r[1] or "").encode().lower().split(), b""])
+    lex, net = held["lex"], gated_lm.Network(held["lex"].mass).load(held["weights"])
+    assert set(lex.listed) < set(counts) and lex.is_rest[lex.rest_symbol].all()
+    for r in given:
+        assert got[r[0]] == pytest.approx(plain_log10(net, lex, counts, r[1] or ""), rel=1e-4)
+
+
+def test_number_of_splits_moves_the_gain_little(spark):
+    table = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    gains = []
+    for n in (1, 8):
+        r = gated_lm.score(table.repartition(n)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        gains.append((r["s"] - r["b"]) / r["n"])
+    assert min(gains) > 0 and abs(gains[0] - gains[1]) < 0.15, gains
+
+
 def test_every_training_row_trains_the_weights_once(spark, monkeypatch):
     rows = [(i, f"{cases.ENGLISH} {i}") for i in range(60)] + [(i, cases.FRENCH) for i in range(60, 90)] + [(None, "no id")] * 2
-    seen, train_round = [], gated_lm.train_round
+    seen, known, train_round = [], {}, gated_lm.train_round
+    learned = [t for i, t in rows if i is None or fold(i, 7) != 2]
 
-    def kept(training, *rest):
-        seen.append(Counter(bytes(r.t).decode() for r in training.collect()))
-        return train_round(training, *rest)
+    def kept(training, lex, *rest):
+        known.update({gated_lm.packed(lex.encode(t.encode())[0]): t for t in learned})
+        seen.append(Counter(known[bytes(r.symbols)] for r in training.collect()))
+        return train_round(training, lex, *rest)
 
     monkeypatch.setattr(gated_lm, "train_round", kept)
     gated_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).count()
-    assert sum(seen, Counter()) == Counter(t for i, t in rows if i is None or fold(i, 7) != 2)
+    assert len(known) == len(set(learned))
+    assert sum(seen, Counter()) == Counter(learned)
     assert all(c[cases.FRENCH] for c in seen)  # copies under other ids are in every round
