@@ -38,6 +38,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,22 +330,43 @@ def slot(crowd: int, tokens: np.ndarray) -> np.ndarray:
     return (within(crowd, tokens) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+BLOCK_BITS = 13  # slots of a block of the counter table
+GROUP_TASKS = 256  # tasks whose blocks meet in the first step of adding
+
+
 def slot_counts(diffs: DataFrame) -> np.ndarray:
-    """How often the tokens of each slot occur: at most 2^SLOT_BITS numbers."""
+    """How often the tokens of each slot occur: at most 2^SLOT_BITS numbers. Tasks
+    hand on the slots they met by blocks of the table, which are added in two
+    steps, so that what meets in one task is bounded by the table."""
+    size = 1 << BLOCK_BITS
+    schema = "grp long, block long, slots array<int>, counts array<long>"
+
+    def row(grp: int, block: int, counts: np.ndarray) -> pa.RecordBatch:
+        seen = np.flatnonzero(counts)
+        columns = [pa.array([grp]), pa.array([block]), pa.array([seen.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[seen]], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["grp", "block", "slots", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for crowd, tokens in zip(batch["crowd"].to_pylist(), batch["diff"].to_pylist()):
                 np.add.at(counts, slot(crowd, np.asarray(tokens, np.int64)), 1)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["slot", "c"])
-
-    partial = diffs.select("crowd", "diff").mapInArrow(run, "slot long, c long")
-    rows = partial.groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[rows["slot"].to_numpy()] = rows["c"].to_numpy()
-    return counts
+        by_block = counts.reshape(-1, size)
+        for k in np.flatnonzero(by_block.any(1)).tolist():
+            yield row(TaskContext.get().partitionId() // GROUP_TASKS, k, by_block[k])
+
+    def add(table: pa.Table) -> pa.Table:
+        counts = np.zeros(size, np.int64)
+        for part in table.to_batches():
+            np.add.at(counts, part["slots"].flatten().to_numpy(), part["counts"].flatten().to_numpy())
+        return pa.Table.from_batches([row(0, table["block"][0].as_py(), counts)])
+
+    parts = diffs.select("crowd", "diff").mapInArrow(run, schema).groupBy("grp", "block").applyInArrow(add, schema)
+    rows = parts.groupBy("block").applyInArrow(add, schema).toArrow()
+    counts = np.zeros((max(1, (1 << SLOT_BITS) // size), size), np.int64)
+    for block, slots, c in zip(rows["block"].to_pylist(), rows["slots"], rows["counts"]):
+        counts[block, slots.values.to_numpy()] = c.values.to_numpy()
+    return counts.ravel()
 
 
 def crowd_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:

@@ -188,3 +188,14 @@ def test_one_document_of_each_class_stays(docs):
     kept = bm.distinct_documents(docs)
     assert kept.columns == docs.columns and kept.schema == docs.schema
     assert kept.count() == len(set(brute_classes(want)))
+
+
+def test_counter_table_counts_every_token(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 5, rng.integers(-(2**62), 2**62, int(rng.integers(0, 40))).tolist() + [7]) for k in range(300)] + [(1, [])]
+    want = np.zeros(1 << bm.SLOT_BITS, np.int64)
+    for crowd, tokens in rows:
+        np.add.at(want, bm.slot(crowd, np.array(tokens, np.int64)), 1)
+    diffs = spark.createDataFrame(rows, "crowd long, diff array<long>").repartition(7)
+    assert (bm.slot_counts(diffs) == want).all()
+    assert not bm.slot_counts(diffs.limit(0)).any()
