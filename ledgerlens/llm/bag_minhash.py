@@ -70,7 +70,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Hashed shingles of a text; keeps the hashes of words."""
 
-    KEPT = 400_000
+    KEPT = 100_000
 
     def __init__(self):
         import xxhash
@@ -302,14 +302,19 @@ def centres(sets: DataFrame) -> DataFrame:
     return frozen(sizes.drop("members").join(common, "crowd", "left"), "centres")
 
 
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """A column of lists as views of its numbers; null as the empty list."""
+    edges, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 def differences(sets: DataFrame, centre: DataFrame) -> DataFrame:
     """(crowd, node, class, n, wide, diff): the tokens by which a set differs from its centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             diff = [
-                np.setxor1d(np.asarray(t, np.int64), np.asarray(c or (), np.int64), assume_unique=True)
-                for t, c in zip(batch["tokens"].to_pylist(), batch["centre"].to_pylist())
+                np.setxor1d(t, c, assume_unique=True) for t, c in zip(arrays(batch["tokens"]), arrays(batch["centre"]))
             ]
             names = ["crowd", "node", "class", "n", "wide"]
             yield pa.RecordBatch.from_arrays([*[batch[x] for x in names], pa.array(diff, pa.list_(pa.int64()))], [*names, "diff"])
@@ -349,8 +354,8 @@ def slot_counts(diffs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            for crowd, tokens in zip(batch["crowd"].to_pylist(), batch["diff"].to_pylist()):
-                np.add.at(counts, slot(crowd, np.asarray(tokens, np.int64)), 1)
+            for crowd, tokens in zip(batch["crowd"].to_pylist(), arrays(batch["diff"])):
+                np.add.at(counts, slot(crowd, tokens), 1)
         by_block = counts.reshape(-1, size)
         for k in np.flatnonzero(by_block.any(1)).tolist():
             yield row(TaskContext.get().partitionId() // GROUP_TASKS, k, by_block[k])
@@ -396,8 +401,8 @@ def crowd_pairs(members: DataFrame, texts: DataFrame) -> DataFrame:
         uses = counts.value
         for batch in batches:
             out: list[tuple] = []
-            for crowd, node, cls, n, wide, least, tokens in zip(*(batch[c].to_pylist() for c in ("crowd", "node", "class", "n", "wide", "least", "diff"))):
-                out.append(prefix_rows(crowd, node, cls, n, wide, least, np.asarray(tokens, np.int64), uses))
+            for *known, tokens in zip(*(batch[c].to_pylist() for c in ("crowd", "node", "class", "n", "wide", "least")), arrays(batch["diff"])):
+                out.append(prefix_rows(*known, tokens, uses))
                 if len(out) == 256:
                     yield from as_batch(out)
                     out = []
