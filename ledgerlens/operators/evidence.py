@@ -126,37 +126,84 @@ def evidence_naive_residual(ledger) -> DataFrame:
     ).orderBy("type_name")
 
 
-MEDIAN_BUCKETS = 4096
+FINE_BITS, STEP_BITS = 12, 4  # values under 2^12 have buckets of their own; buckets widen 2^4 times at a step
+MEDIAN_BUCKETS = 1 << 16  # parts of a bucket that are counted at once
+
+
+def bucket_width(size: int) -> int:
+    """Width of the histogram's buckets for values of this absolute size."""
+    width = 1
+    while size >= width << FINE_BITS:
+        width <<= STEP_BITS
+    return width
+
+
+def histogram(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, bucket, n): log-linear counts of integer ``value``. A bucket is named by
+    its number nearest to zero; a key has at most 3,840 buckets for each 4 bits
+    (both signs), whatever its values are, so tasks hand on bounded counts that
+    add up."""
+    size = f"abs({value})"
+    steps = [1 << k for k in range(0, 62 - FINE_BITS, STEP_BITS)]
+    cases = " ".join(f"WHEN {size} < {w << FINE_BITS}L THEN {w}L" for w in steps)
+    bucket = F.expr(f"{value} - {value} % (CASE {cases} ELSE {steps[-1] << STEP_BITS}L END)").alias("bucket")
+    return rows.where(F.col(value).isNotNull()).groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n"))
+
+
+def interval_of(bucket: int) -> tuple[int, int]:
+    """[lo, hi) of the values in a bucket."""
+    width = bucket_width(abs(bucket))
+    return (bucket - width + 1, bucket + 1) if bucket < 0 else (bucket, bucket + width)
+
+
+def place(rank: int, counts: list[tuple[int, int]]) -> tuple[int, int]:
+    """(bucket, rank inside it) of a rank among sorted (bucket, n)."""
+    for bucket, n in counts:
+        if rank < n:
+            return bucket, rank
+        rank -= n
+    raise ValueError("rank beyond the counted rows")
 
 
 def middle_values(rows: DataFrame, key: str, value: str) -> dict:
-    """key -> (lower, upper) middle value of integer ``value``, exact.
+    """key -> (lower, upper) middle value of integer ``value``, exact; null values
+    don't count, and a key without others is left out.
 
-    Selection by counting: each pass counts rows by bucket inside the interval
-    that holds a wanted rank, and the interval shrinks to that bucket, until it
-    holds one value. A pass is one aggregate with at most two intervals a key;
-    nothing is sorted or written. ``key`` has few values (it is a dimension)."""
+    Selection by counting: one histogram finds the buckets of the middle ranks,
+    and one more pass counts the values inside them (two passes from 2^28 on,
+    where a bucket holds over MEDIAN_BUCKETS numbers). Nothing is sorted or
+    written. ``key`` has few values (it is a dimension)."""
     spark = rows.sparkSession
-    bounds = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
-    # (key, rank among the interval's rows, interval [lo, hi))
-    wanted = [[r[key], rank, r["lo"], r["hi"] + 1] for r in bounds for rank in ((r["n"] - 1) // 2, r["n"] // 2)]
+    counts: dict = {}
+    for k, bucket, n in histogram(rows, key, value).collect():
+        counts.setdefault(k, []).append((bucket, n))
+    # [key, rank among the interval's rows, lo, hi): two a key
+    wanted = []
+    for k, found in counts.items():
+        found.sort()
+        total = sum(n for _, n in found)
+        for middle in ((total - 1) // 2, total // 2):
+            bucket, rank = place(middle, found)
+            wanted.append([k, rank, *interval_of(bucket)])
     while any(hi - lo > 1 for _, _, lo, hi in wanted):
-        open_ = [(i, k, lo, max(1, -(-(hi - lo) // MEDIAN_BUCKETS)), hi) for i, (k, _, lo, hi) in enumerate(wanted) if hi - lo > 1]
-        intervals = F.broadcast(spark.createDataFrame(open_, f"i int, {key} {dict(rows.dtypes)[key]}, lo long, width long, hi long"))
-        counted = (
+        open_ = [(k, lo, max(1, -(-(hi - lo) // MEDIAN_BUCKETS)), hi) for k, lo, hi in {(k, lo, hi) for k, _, lo, hi in wanted if hi - lo > 1}]
+        intervals = F.broadcast(spark.createDataFrame(open_, f"{key} {dict(rows.dtypes)[key]}, lo long, width long, hi long"))
+        parts: dict = {}
+        for k, lo, part, n in (
             rows.join(intervals, key)
             .where(f"{value} >= lo AND {value} < hi")
-            .groupBy("i", F.expr(f"({value} - lo) div width").alias("bucket"))
+            .groupBy(key, "lo", F.expr(f"({value} - lo) div width").alias("part"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
-        )
-        for i, _, lo, width, hi in open_:
-            for bucket, n in sorted((r["bucket"], r["n"]) for r in counted if r["i"] == i):
-                if wanted[i][1] < n:
-                    wanted[i][2:] = [lo + bucket * width, min(hi, lo + (bucket + 1) * width)]
-                    break
-                wanted[i][1] -= n
-    return {k: (wanted[i][2], wanted[i + 1][2]) for i, (k, *_) in enumerate(wanted) if i % 2 == 0}
+        ):
+            parts.setdefault((k, lo), []).append((part, n))
+        widths = {(k, lo): width for k, lo, width, _ in open_}
+        for w in wanted:
+            k, rank, lo, hi = w
+            if hi - lo > 1:
+                part, w[1] = place(rank, sorted(parts[k, lo]))
+                w[2:] = [lo + part * widths[k, lo], min(hi, lo + (part + 1) * widths[k, lo])]
+    return {k: (low[2], high[2]) for (k, *_), low, high in zip(wanted[::2], wanted[::2], wanted[1::2])}
 
 
 def evidence_amount_stats(ledger) -> DataFrame:
