@@ -22,7 +22,8 @@ depend on how Spark splits the rows into tasks (other columns do not): a test
 holds the gain of one split against that of eight.
 
 Texts are turned into symbols once, after the counts, and written; rounds and
-scoring read these.
+scoring read these. Arrow splits the texts of a batch together, so that each of
+their distinct words is looked up once.
 
 Scoring. Documents are dealt to lanes that run side by side; a lane's state is
 carried across windows and is zero at a document's start.
@@ -36,13 +37,13 @@ table gives an empty result; only id and text columns are read.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,13 +51,13 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import chunks, frozen, id_bucket, segments
 
 FOLDS, HELD_OUT = 7, 2
-WORDS, REST, LISTED = 2048, 32, 1 << 16
+WORDS, REST, LISTED = 2048, 32, 1 << 17
 HIDDEN, CLASSES, CLASS_SIZE = 16, 16, 160
 WINDOW, LANES = 64, 256  # of scoring
 TRAIN_WINDOW, TRAIN_LANES = 32, 128  # tokens a step: the two multiplied
 ROUNDS, SHARE, RATE = 3, 1, 0.25
 BUFFER_TOKENS = 1 << 21  # tokens that a task holds before it runs the lanes
-FLUSH_WORDS = 300_000  # distinct words that a task counts before it hands them on
+COUNT_BYTES = 1 << 23  # of text whose words a task counts together before it hands them on
 BLOCK = 1 << 13  # parameters in a block when tasks' weights are averaged
 GROUP_TASKS = 256  # tasks whose weights meet in the first step of averaging
 SEED = 11
@@ -64,10 +65,16 @@ SYMBOL = np.uint16  # WORDS, REST and the end fit
 END = b""  # no word is empty
 
 
-def tokens(text: bytes) -> Iterator[list[bytes]]:
-    """Lower-cased (A-Z) words of a text, by segments; the end not among them."""
-    for part in segments(text):
-        yield part.lower().split()
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts as they are, or one text by segments."""
+    return ([part] for part in segments(texts[0])) if len(texts) == 1 else iter([texts])
+
+
+def split_words(texts: list[bytes]) -> pa.ListArray:
+    """Lower-cased (A-Z) words of each text, the end not among them; empty ones
+    beside white space at a text's edge, or for a text without words, are to be
+    left out."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
 
 
 def rest_bucket(word: bytes) -> int:
@@ -85,21 +92,26 @@ def count_words(training: DataFrame) -> DataFrame:
     """(word, c) over all rows (t); the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
+        size = ends = 0
 
         def settled() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
+            counted = pa.chunked_array(held, pa.string()).value_counts()
+            word, c = counted.field("values").view(pa.binary()), counted.field("counts")
+            some = pc.not_equal(pc.binary_length(word), 0)
+            word, c = pa.concat_arrays([word.filter(some), pa.array([END])]), pa.concat_arrays([c.filter(some), pa.array([ends])])
+            return pa.RecordBatch.from_arrays([word, c], ["word", "c"])
 
         for batch in batches:
             for some in chunks(batch["t"].to_pylist()):
-                counts[END] += len(some)
-                for part in chain.from_iterable(map(tokens, some)):
-                    counts.update(part)
-                if len(counts) > FLUSH_WORDS:
-                    yield settled()
-        if counts:
+                ends += len(some)
+                for part in pieces(some):
+                    held.append(split_words(part).values)
+                    size += sum(map(len, part))
+                    if size > COUNT_BYTES:
+                        yield settled()
+                        held, size, ends = [], 0, 0
+        if ends or held:
             yield settled()
 
     return training.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -121,33 +133,54 @@ class Lexicon:
     total: int
     distinct: int
 
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """Symbols of all texts, each with its end, and how many are a text's;
+        by text, log10 parts of base and model score that need no other words'
+        counts, and known tokens; the words whose counts are not here, as rows
+        of text, word and count."""
+        n = len(texts)
+        sizes, known = np.ones(n, np.int64), np.full(n, 1 if self.end_count else 0)
+        base, extra = np.full(n, np.log10(self.end_count + 1)), np.zeros(n)
+        symbols, rare = [], ([], [], [])
+        for part in pieces(texts):
+            words = split_words(part)
+            distinct = words.values.dictionary_encode()
+            names, of = distinct.dictionary.view(pa.binary()), distinct.indices.to_numpy()
+            owner = np.repeat(np.arange(len(part)), np.diff(words.offsets.to_numpy()))
+            if (empty := names.index(b"").as_py()) >= 0:
+                owner, of = owner[of != empty], of[of != empty]
+            # what a word adds, then what its tokens add to their texts
+            at = np.fromiter(map(self.listed.get, names.to_numpy(zero_copy_only=False), repeat(-1)), np.int64, len(names))
+            here = at >= 0
+            symbol, log = np.empty(len(names), SYMBOL), np.zeros(len(names))
+            symbol[here], log[here] = self.symbol[at[here]], self.log_count[at[here]]
+            tails = pc.binary_slice(names.filter(pa.array(~here)), -2).dictionary_encode()
+            buckets = np.fromiter(map(rest_bucket, tails.dictionary.to_pylist()), np.int64, len(tails.dictionary))
+            symbol[~here] = self.rest_symbol[buckets[tails.indices.to_numpy()]]
+            sizes += np.bincount(owner, minlength=n)
+            known += np.bincount(owner[here[of]], minlength=n)
+            base += np.bincount(owner, log[of], n)
+            extra += np.bincount(owner, (np.where(self.is_rest[symbol], log, 0) - self.log_rest[symbol])[of], n)
+            symbols.append(symbol[of])
+            away = np.flatnonzero(~here[of])
+            pair, count = np.unique(owner[away] * len(names) + of[away], return_counts=True)
+            for kept, value in zip(rare, (pair // max(len(names), 1), names.take(pa.array(pair % max(len(names), 1))), count)):
+                kept.append(value)
+        base -= sizes * np.log10(self.total + self.distinct + 1)
+        ends = np.cumsum(sizes) - 1
+        out = np.empty(sizes.sum(), SYMBOL)
+        inner = np.ones(len(out), bool)
+        out[ends], inner[ends] = self.end, False
+        out[inner] = np.concatenate(symbols)
+        return out, sizes, base, extra, known, (np.concatenate(rare[0]), pa.concat_arrays(rare[1]), np.concatenate(rare[2]))
+
     def encode(self, text: bytes) -> tuple[np.ndarray, float, float, int, dict[bytes, int]]:
-        """Symbols with the end; log10 parts of base and model score that need
-        no other words' counts; known tokens; the words whose counts are not
-        here."""
+        """The same of one text."""
+        symbols, _, base, extra, known, (_, words, counts) = self.encode_all([text])
         rare: dict[bytes, int] = {}
-        parts, base, known = [], 0.0, 1 if self.end_count else 0
-        extra = 0.0
-        for words in tokens(text):
-            at = np.fromiter(map(self.listed.get, words, repeat(-1)), np.int64, len(words))
-            here = at >= 0
-            symbols = np.empty(len(words), np.int32)
-            symbols[here] = self.symbol[at[here]]
-            away = np.flatnonzero(~here)
-            if len(away):
-                odd = [words[i] for i in away.tolist()]
-                symbols[away] = self.rest_symbol[list(map(rest_bucket, odd))]
-                for w in odd:
-                    rare[w] = rare.get(w, 0) + 1
-            logs = self.log_count[at[here]]
-            base += float(logs.sum())
-            extra += float(logs[self.is_rest[symbols[here]]].sum()) - float(self.log_rest[symbols].sum())
-            known += int(here.sum())
-            parts.append(symbols)
-        parts.append(np.array([self.end], np.int32))
-        symbols = np.concatenate(parts)
-        base += float(np.log10(self.end_count + 1)) - len(symbols) * float(np.log10(self.total + self.distinct + 1))
-        return symbols, base, extra, known, rare
+        for w, c in zip(words.to_pylist(), counts.tolist()):
+            rare[w] = rare.get(w, 0) + c
+        return symbols.astype(np.int32), float(base[0]), float(extra[0]), int(known[0]), rare
 
 
 def lexicon(counts: DataFrame, words: int = WORDS, listed: int = LISTED) -> Lexicon:
@@ -207,10 +240,6 @@ def class_bounds(mass: np.ndarray) -> np.ndarray:
     return np.array([*bounds, len(mass)])
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """Gated recurrent network with a class-factored softmax."""
 
@@ -241,46 +270,75 @@ class Network:
             at += old.size
         return self
 
+    def by_gate(self, rows: np.ndarray) -> np.ndarray:
+        """(gate, row, hidden) of rows of the gates side by side; the first two
+        gates, which go through a sigmoid, negated."""
+        gates = np.ascontiguousarray(rows.reshape(len(rows), 3, -1).transpose(1, 0, 2))
+        np.negative(gates[:2], gates[:2])
+        return gates
+
     def forward(self, inputs: np.ndarray, keep: np.ndarray, state: np.ndarray, trace: list | None = None) -> np.ndarray:
         """States (T, lanes, hidden) after each input; keep 0 forgets the state."""
-        h, n = state, self.hidden
-        states = np.empty((*inputs.shape, n), np.float32)
-        given = self.x[inputs]
+        n, u = self.hidden, self.by_gate(self.u)
+        given = self.by_gate(self.x).take(inputs, 1)
+        states = np.empty((*inputs.shape, n), given.dtype)
+        lanes, size = states[0].shape, len(inputs) if trace is not None else 1
+        # each gate's values are contiguous, z and r replace what was given, and
+        # then its sum with u the new state's; without a trace steps share arrays
+        hu, before, news = np.empty((3, *lanes), given.dtype), np.empty((size, *lanes), given.dtype), np.empty((size, *lanes), given.dtype)
         if trace is not None:
-            trace.extend(np.empty((5, *inputs.shape, n), given.dtype))
+            trace.extend((before, *given, news))
+        forgets = (keep == 0).any(1)
         for t in range(len(inputs)):
-            before = h * keep[t][:, None]
-            hu = before @ self.u
-            gates = sigmoid(given[t, :, : 2 * n] + hu[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(given[t, :, 2 * n :] + r * hu[:, 2 * n :])
-            h = new + z * (before - new)
-            states[t] = h
+            old, zr, new, h = before[t % size], given[:2, t], news[t % size], states[t]
+            old[...] = state
+            if forgets[t]:
+                old[keep[t] == 0] = 0
+            np.matmul(old, u, hu)
+            zr += hu[:2]
+            np.exp(zr, zr)
+            zr += 1
+            np.reciprocal(zr, zr)
+            np.multiply(zr[1], hu[2], new)
+            new += given[2, t]
+            np.tanh(new, new)
             if trace is not None:
-                for kept, value in zip(trace, (before, hu[:, 2 * n :], z, r, new)):
-                    kept[t] = value
+                given[2, t] = hu[2]
+            np.subtract(old, new, h)
+            h *= zr[0]
+            h += new
+            state = h
         return states
 
-    def output(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of targets from rows of states, and the
-        gradient of their negative sum by the states."""
+    def output(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None, scale: float = 1) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Natural log-probabilities of targets from rows of states; or, with
+        ``grads``, the gradient of their negative sum by the states, times ``scale``."""
         of = self.class_of[targets]
         order = np.argsort(of, kind="stable")  # rows of a class side by side
         h, targets, of = h[order], targets[order], of[order]
-        at = np.arange(len(h))
-        # choices by rows: sums over choices run along whole vectors
-        p = self.c @ h.T
-        p += self.cb[:, None]
-        p -= p.max(0)
-        out = p[of, at]
-        np.exp(p, out=p)
-        total = p.sum(0)
-        out -= np.log(total)
-        dh = None
-        if grads is not None:
-            p /= total
-            p[of, at] -= 1
-            grads["c"], grads["cb"] = p @ h, p.sum(1)
+        at, ones = np.arange(len(h)), np.ones(len(h), h.dtype)
+        # sums this near zero need no shift by their greatest before exp
+        reach = max(1, np.abs(h).max(initial=0))
+        near = all(np.abs(v).sum(1).max() * reach + np.abs(b).max() < 40 for v, b in ((self.c, self.cb), (self.w, self.wb)))
+
+        def choices(v: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+            """By rows: sums over choices run along whole vectors."""
+            p = v @ h.T
+            p += b[:, None]
+            if not near:
+                p -= p.max(0)
+            return p
+
+        p = choices(self.c, self.cb, h)
+        if grads is None:
+            out = p[of, at]
+            np.exp(p, p)
+            totals = p.sum(0)
+        else:
+            np.exp(p, p)
+            p *= scale / p.sum(0)
+            p[of, at] -= scale
+            grads["c"], grads["cb"] = p @ h, p @ ones
             dh = p.T @ self.c
             grads["w"], grads["wb"] = np.zeros_like(self.w), np.zeros_like(self.wb)
         edges = np.searchsorted(of, np.arange(len(self.bounds), dtype=of.dtype))
@@ -288,43 +346,52 @@ class Network:
             lo, hi = self.bounds[k], self.bounds[k + 1]
             rows = slice(edges[k], edges[k + 1])
             hk, tk, ik = h[rows], targets[rows] - lo, at[: edges[k + 1] - edges[k]]
-            p = self.w[lo:hi] @ hk.T
-            p += self.wb[lo:hi, None]
-            p -= p.max(0)
-            out[rows] += p[tk, ik]
-            np.exp(p, out=p)
-            total = p.sum(0)
-            out[rows] -= np.log(total)
-            if grads is not None:
-                p /= total
-                p[tk, ik] -= 1
-                grads["w"][lo:hi], grads["wb"][lo:hi] = p @ hk, p.sum(1)
+            p = choices(self.w[lo:hi], self.wb[lo:hi], hk)
+            if grads is None:
+                out[rows] += p[tk, ik]
+                np.exp(p, p)
+                totals[rows] *= p.sum(0)
+            else:
+                np.exp(p, p)
+                p *= scale / p.sum(0)
+                p[tk, ik] -= scale
+                grads["w"][lo:hi], grads["wb"][lo:hi] = p @ hk, p @ ones[: len(hk)]
                 dh[rows] += p.T @ self.w[lo:hi]
-        back = np.empty_like(order)
-        back[order] = at
-        return out[back], None if dh is None else dh[back]
+        given = out - np.log(totals) if grads is None else dh
+        back = np.empty_like(given)
+        back[order] = given
+        return (back, None) if grads is None else (None, back)
 
     def backward(self, inputs: np.ndarray, keep: np.ndarray, trace: list, dstates: np.ndarray, grads: dict) -> None:
         n = self.hidden
-        before, hun, z, r, new = trace
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), hun * r * (1 - r)
-        dg = np.empty((*inputs.shape, 3 * n), z.dtype)  # by the gates' sums with u
-        dnew = np.empty_like(z)
-        dh = np.zeros_like(dstates[0])
+        before, z, r, hun, new = trace
+        u = np.ascontiguousarray(self.u.reshape(n, 3, n).transpose(1, 2, 0))
+        by_new = (1 - z) * (1 - new * new)
+        by = np.empty((3, *z.shape), z.dtype)  # a gate's sum with u by the state
+        np.multiply((before - new) * z, 1 - z, by[0])
+        np.multiply(by_new, r, by[2])
+        np.multiply(by[2], (1 - r) * hun, by[1])
+        forgets = (keep == 0).any(1)
+        dg, back = by, np.empty((3, *z[0].shape), z.dtype)  # each step's sums take the place of its factors
         for t in range(len(inputs) - 1, -1, -1):
-            dh = dh + dstates[t]
-            dnew[t] = dh * by_new[t]
-            dg[t, :, :n] = dh * by_z[t]
-            dg[t, :, n : 2 * n] = dnew[t] * by_r[t]
-            dg[t, :, 2 * n :] = dnew[t] * r[t]
-            dh = (dh * z[t] + dg[t] @ self.u.T) * keep[t][:, None]
-        grads["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        dg[:, :, 2 * n :] = dnew
+            dh, g = dstates[t], dg[:, t]
+            if t + 1 < len(inputs):
+                dh += back[0]
+            g *= dh
+            np.matmul(g, u, back)
+            back[0] += back[1]
+            back[0] += back[2]
+            back[0] += dh * z[t]
+            if forgets[t]:
+                back[0][keep[t] == 0] = 0
+        grads["u"] = np.hstack(list(before.reshape(-1, n).T @ dg.reshape(3, -1, n)))
+        np.multiply(dstates, by_new, dg[2])
         flat = inputs.ravel()
         order = np.argsort(flat.astype(SYMBOL), kind="stable")
         given = flat[order]
         first = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
-        grads["x"] = (given[first], np.add.reduceat(dg.reshape(-1, 3 * n)[order], first, axis=0))
+        rows = dg.reshape(3, -1, n).transpose(1, 0, 2).reshape(-1, 3 * n)
+        grads["x"] = (given[first], np.add.reduceat(rows[order], first, axis=0))
 
     def step(self, grads: dict, seen: dict, rate: float) -> None:
         """Adagrad."""
@@ -365,37 +432,43 @@ def run_lanes(net: Network, documents: list[np.ndarray], end: int, train: tuple[
         return scores
     # every lane's tokens one after the other, then by place in the lane: a
     # window is a run of these, as lanes are sorted by length
-    doc = np.array(list(chain.from_iterable(dealt)))
+    doc = np.fromiter(chain.from_iterable(dealt), np.int32, len(documents))
     sizes = np.array([len(documents[i]) for i in doc])
-    target = np.concatenate([documents[i] for i in doc])
-    given = np.concatenate(([end], target[:-1])).astype(np.int32)
-    keep, starts = np.ones(len(target), np.float32), np.cumsum(sizes) - sizes
-    given[starts], keep[starts] = end, 0
+    target, starts = np.concatenate([documents[i] for i in doc]), np.cumsum(sizes) - sizes
     long = np.array([sum(len(documents[i]) for i in held) for held in dealt])
-    place = np.arange(len(target)) - np.repeat(np.cumsum(long) - long, long)
-    order = np.argsort(place, kind="stable")
-    target, given, keep, owner = (x[order] for x in (target, given, keep, np.repeat(doc, sizes)))
-    width_at = np.bincount(place)  # lanes that reach a place
+    # lanes that reach a place, from how many end there
+    width_at = len(long) - np.cumsum(np.bincount(long))[: long[0]]
     upto = np.concatenate(([0], np.cumsum(width_at)))
+    # where each token goes
+    place = np.concatenate([upto[:n] + k for k, n in enumerate(long.tolist())])
+    given, keep = np.empty_like(target), np.ones(len(target), np.float32)
+    given[place[1:]], given[place[starts]], keep[place[starts]] = target[:-1], end, 0
+    target[place], owner = target.copy(), np.empty(len(target), np.int32)
+    owner[place] = np.repeat(doc, sizes)
+    del place
     state = np.zeros((len(dealt), net.hidden), np.float32)
     for at in range(0, len(width_at), window):
         size, live = min(window, len(width_at) - at), width_at[at]
         state = state[:live]
         run = slice(upto[at], upto[at + size])
-        real = np.arange(live) < width_at[at : at + size, None]
-        inputs, goes_on = np.zeros((size, live), np.int32), np.ones((size, live), np.float32)
-        inputs[real], goes_on[real] = given[run], keep[run]
-        trace: list | None = [] if train else None
-        states = net.forward(inputs, goes_on, state, trace)
-        grads: dict | None = {} if train else None
-        logs, dh = net.output(states[real], target[run], grads)
-        scores += np.bincount(owner[run], logs, len(scores))
-        if train:
-            dstates = np.zeros_like(states)
-            dstates[real] = dh
-            net.backward(inputs, goes_on, trace, dstates, grads)
-            scale = np.float32(1 / live)
-            net.step({n: (g[0], g[1] * scale) if n == "x" else g * scale for n, g in grads.items()}, *train)
+        inputs, goes_on = given[run], keep[run]
+        real = slice(None)
+        if len(inputs) < size * live:  # some lanes end here
+            real = (np.arange(live) < width_at[at : at + size, None]).ravel()
+            inputs, goes_on = np.zeros(size * live, given.dtype), np.ones(size * live, np.float32)
+            inputs[real], goes_on[real] = given[run], keep[run]
+        inputs, goes_on = inputs.reshape(size, live), goes_on.reshape(size, live)
+        if train is None:
+            states = net.forward(inputs, goes_on, state)
+            scores += np.bincount(owner[run], net.output(states.reshape(-1, net.hidden)[real], target[run])[0], len(scores))
+        else:
+            trace: list = []
+            grads: dict = {}
+            states = net.forward(inputs, goes_on, state, trace)
+            dstates = np.zeros((size * live, net.hidden), np.float32)
+            dstates[real] = net.output(states.reshape(-1, net.hidden)[real], target[run], grads, np.float32(1 / live))[1]
+            net.backward(inputs, goes_on, trace, dstates.reshape(states.shape), grads)
+            net.step(grads, *train)
         state = states[-1]
     return scores
 
@@ -405,9 +478,10 @@ def run_lanes(net: Network, documents: list[np.ndarray], end: int, train: tuple[
 
 def train_round(training: DataFrame, lex: Lexicon, weights: np.ndarray, rate: float) -> np.ndarray:
     """One round from ``weights`` over rows (symbols): the tasks' weights averaged."""
+    mass, end = lex.mass, lex.end  # tasks need no words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(lex.mass).load(weights)
+        net = Network(mass).load(weights)
         past = {n: np.full_like(getattr(net, n), 1e-2) for n in net.NAMES}
         held, size, seen = [], 0, 0
         for batch in batches:
@@ -415,10 +489,10 @@ def train_round(training: DataFrame, lex: Lexicon, weights: np.ndarray, rate: fl
                 held.append(document)
                 size += len(document)
                 if size > BUFFER_TOKENS:
-                    run_lanes(net, held, lex.end, (past, rate))
+                    run_lanes(net, held, end, (past, rate))
                     held, size, seen = [], 0, seen + size
         if held:
-            run_lanes(net, held, lex.end, (past, rate))
+            run_lanes(net, held, end, (past, rate))
             seen += size
         if seen:
             flat = net.flat().astype(np.float64) * seen
@@ -458,7 +532,7 @@ def packed(symbols: np.ndarray) -> bytes:
 
 
 def unpacked(symbols: bytes) -> np.ndarray:
-    return np.frombuffer(symbols, SYMBOL).astype(np.int32)
+    return np.frombuffer(symbols, SYMBOL)
 
 
 def encoded_rows(documents: DataFrame, lex: Lexicon) -> DataFrame:
@@ -470,17 +544,15 @@ def encoded_rows(documents: DataFrame, lex: Lexicon) -> DataFrame:
         for batch in batches:
             at = 0
             for some in chunks(batch["t"].to_pylist()):
-                symbols, base, extra, known, rare = zip(*map(lex.encode, some))
-                columns = [batch[n].slice(at, len(some)) for n in ("doc_id", "held_out", "part")] + [
-                    pa.array(map(packed, symbols), pa.binary()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(extra, pa.float64()),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rare]))), pa.int32()),
-                        pa.StructArray.from_arrays(
-                            [pa.array(chain.from_iterable(rare), pa.binary()), pa.array(chain.from_iterable(r.values() for r in rare), pa.int64())],
-                            ["word", "n"],
-                        ),
-                    ),
-                ]
+                symbols, sizes, base, extra, known, (owner, words, counts) = lex.encode_all(some)
+                starts = np.concatenate(([0], np.cumsum(sizes))) * symbols.itemsize
+                packs = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(symbols)])
+                rare = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(owner, np.arange(len(some) + 1)), pa.int32()),
+                    pa.StructArray.from_arrays([words, pa.array(counts, pa.int64())], ["word", "n"]),
+                )
+                columns = [batch[n].slice(at, len(some)) for n in ("doc_id", "held_out", "part")]
+                columns += [packs, pa.array(known, pa.int64()), pa.array(base), pa.array(extra), rare]
                 at += len(some)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -494,15 +566,16 @@ def score_rows(encoded: DataFrame, lex: Lexicon, weights: np.ndarray) -> DataFra
     """Encoded rows with their number of tokens and the log10 probability of
     their symbols."""
     names = [x.split()[0] for x in SCORED.split(", ")]
+    mass, end = lex.mass, lex.end  # tasks need no words
 
     def finish(net: Network, rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
-        scores = run_lanes(net, held, lex.end) / np.log(10)
+        scores = run_lanes(net, held, end) / np.log(10)
         columns = [*zip(*rows), list(map(len, held)), scores]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(lex.mass).load(weights)
+        net = Network(mass).load(weights)
         rows, held, size = [], [], 0
         for batch in batches:
             given = zip(*(batch[n].to_pylist() for n in names[:-2]))

@@ -253,3 +253,55 @@ def test_every_training_row_trains_the_weights_once(spark, monkeypatch):
     assert len(known) == len(set(learned))
     assert sum(seen, Counter()) == Counter(learned)
     assert all(c[cases.FRENCH] for c in seen)  # copies under other ids are in every round
+
+
+def small_lexicon(listed):
+    symbol = np.array([2, 0, 4], np.int32)  # the third is of the first bucket
+    mass = np.ones(6 + gated_lm.REST)
+    is_rest = np.arange(len(mass)) > 3
+    rest = np.flatnonzero(is_rest)[: gated_lm.REST].astype(np.int32)
+    return gated_lm.Lexicon(listed, symbol, np.log10([9.0, 5.0, 3.0]), is_rest, rest, np.where(is_rest, 0.5, 0.0), mass, 1, 7, 100, 40)
+
+
+class Asked(dict):
+    """Notes what is looked up."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.asked = []
+
+    def get(self, *given):
+        self.asked.append(given[0])
+        return super().get(*given)
+
+
+def test_a_word_is_looked_up_once_for_the_texts_of_a_batch():
+    words = Asked({b"a": 0, b"b": 1, b"c": 2})
+    small_lexicon(words).encode(b"a B x " * 500)
+    assert sorted(w for w in words.asked if w) == [b"a", b"b", b"x"]
+
+
+def test_texts_encoded_together_equal_texts_word_by_word(monkeypatch):
+    lex = small_lexicon({b"a": 0, b"b": 1, b"c": 2})
+    texts = [b"", b" \t\x0b ", b" A b\r\nzz a  C\x1cd c ", "É a é\x85 b\u00a0c".encode(), b"\xff\xfe a", b"zz zz y c", b"a"]
+    symbols, sizes, base, extra, known, (owner, words, counts) = lex.encode_all(texts)
+    rare = Counter(dict(zip(zip(owner.tolist(), words.to_pylist()), counts.tolist())))
+    at = 0
+    for i, text in enumerate(texts):
+        given = text.lower().split()
+        places = [lex.listed.get(w) for w in given]
+        want = [lex.rest_symbol[gated_lm.rest_bucket(w)] if p is None else lex.symbol[p] for w, p in zip(given, places)]
+        assert symbols[at : at + sizes[i]].tolist() == [*want, lex.end]
+        at += sizes[i]
+        logs = [0 if p is None else lex.log_count[p] for p in places]
+        assert base[i] == pytest.approx(sum(logs) + math.log10(8) - (len(given) + 1) * math.log10(141))
+        assert extra[i] == pytest.approx(sum(x * lex.is_rest[s] - lex.log_rest[s] for x, s in zip(logs, want)), abs=1e-9)
+        assert known[i] == 1 + sum(p is not None for p in places)
+        assert {w: n for (j, w), n in rare.items() if j == i} == Counter(w for w, p in zip(given, places) if p is None)
+    whole = b" ".join(texts)
+    one = lex.encode(whole)
+    assert whole[5:6].isspace()
+    monkeypatch.setattr(gated_lm, "segments", lambda text: iter([text[:5], text[5:]]))
+    parts = lex.encode(whole)
+    assert one[0].tolist() == parts[0].tolist() and one[3:] == parts[3:]
+    assert one[1:3] == pytest.approx(parts[1:3])
