@@ -310,35 +310,26 @@ class Network:
             state = h
         return states
 
-    def output(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None, scale: float = 1) -> tuple[np.ndarray | None, np.ndarray | None]:
+    def output(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Natural log-probabilities of targets from rows of states; or, with
-        ``grads``, the gradient of their negative sum by the states, times ``scale``."""
+        ``grads``, the gradient of their negative sum by the states."""
         of = self.class_of[targets]
         order = np.argsort(of, kind="stable")  # rows of a class side by side
         h, targets, of = h[order], targets[order], of[order]
-        at, ones = np.arange(len(h)), np.ones(len(h), h.dtype)
-        # sums this near zero need no shift by their greatest before exp
-        reach = max(1, np.abs(h).max(initial=0))
-        near = all(np.abs(v).sum(1).max() * reach + np.abs(b).max() < 40 for v, b in ((self.c, self.cb), (self.w, self.wb)))
-
-        def choices(v: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
-            """By rows: sums over choices run along whole vectors."""
-            p = v @ h.T
-            p += b[:, None]
-            if not near:
-                p -= p.max(0)
-            return p
-
-        p = choices(self.c, self.cb, h)
+        at = np.arange(len(h))
+        # choices by rows: sums over choices run along whole vectors
+        p = self.c @ h.T
+        p += self.cb[:, None]
+        p -= p.max(0)
+        out = p[of, at] if grads is None else None
+        np.exp(p, out=p)
+        total = p.sum(0)
         if grads is None:
-            out = p[of, at]
-            np.exp(p, p)
-            totals = p.sum(0)
+            out -= np.log(total)
         else:
-            np.exp(p, p)
-            p *= scale / p.sum(0)
-            p[of, at] -= scale
-            grads["c"], grads["cb"] = p @ h, p @ ones
+            p /= total
+            p[of, at] -= 1
+            grads["c"], grads["cb"] = p @ h, p.sum(1)
             dh = p.T @ self.c
             grads["w"], grads["wb"] = np.zeros_like(self.w), np.zeros_like(self.wb)
         edges = np.searchsorted(of, np.arange(len(self.bounds), dtype=of.dtype))
@@ -346,52 +337,45 @@ class Network:
             lo, hi = self.bounds[k], self.bounds[k + 1]
             rows = slice(edges[k], edges[k + 1])
             hk, tk, ik = h[rows], targets[rows] - lo, at[: edges[k + 1] - edges[k]]
-            p = choices(self.w[lo:hi], self.wb[lo:hi], hk)
+            p = self.w[lo:hi] @ hk.T
+            p += self.wb[lo:hi, None]
+            p -= p.max(0)
             if grads is None:
                 out[rows] += p[tk, ik]
-                np.exp(p, p)
-                totals[rows] *= p.sum(0)
+            np.exp(p, out=p)
+            total = p.sum(0)
+            if grads is None:
+                out[rows] -= np.log(total)
             else:
-                np.exp(p, p)
-                p *= scale / p.sum(0)
-                p[tk, ik] -= scale
-                grads["w"][lo:hi], grads["wb"][lo:hi] = p @ hk, p @ ones[: len(hk)]
+                p /= total
+                p[tk, ik] -= 1
+                grads["w"][lo:hi], grads["wb"][lo:hi] = p @ hk, p.sum(1)
                 dh[rows] += p.T @ self.w[lo:hi]
-        given = out - np.log(totals) if grads is None else dh
-        back = np.empty_like(given)
-        back[order] = given
-        return (back, None) if grads is None else (None, back)
+        back = np.empty_like(order)
+        back[order] = at
+        return (out[back], None) if grads is None else (None, dh[back])
 
     def backward(self, inputs: np.ndarray, keep: np.ndarray, trace: list, dstates: np.ndarray, grads: dict) -> None:
         n = self.hidden
         before, z, r, hun, new = trace
-        u = np.ascontiguousarray(self.u.reshape(n, 3, n).transpose(1, 2, 0))
-        by_new = (1 - z) * (1 - new * new)
-        by = np.empty((3, *z.shape), z.dtype)  # a gate's sum with u by the state
-        np.multiply((before - new) * z, 1 - z, by[0])
-        np.multiply(by_new, r, by[2])
-        np.multiply(by[2], (1 - r) * hun, by[1])
-        forgets = (keep == 0).any(1)
-        dg, back = by, np.empty((3, *z[0].shape), z.dtype)  # each step's sums take the place of its factors
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), hun * r * (1 - r)
+        dg = np.empty((*inputs.shape, 3 * n), z.dtype)  # by the gates' sums with u
+        dnew = np.empty_like(z)
+        dh = np.zeros_like(dstates[0])
         for t in range(len(inputs) - 1, -1, -1):
-            dh, g = dstates[t], dg[:, t]
-            if t + 1 < len(inputs):
-                dh += back[0]
-            g *= dh
-            np.matmul(g, u, back)
-            back[0] += back[1]
-            back[0] += back[2]
-            back[0] += dh * z[t]
-            if forgets[t]:
-                back[0][keep[t] == 0] = 0
-        grads["u"] = np.hstack(list(before.reshape(-1, n).T @ dg.reshape(3, -1, n)))
-        np.multiply(dstates, by_new, dg[2])
+            dh = dh + dstates[t]
+            dnew[t] = dh * by_new[t]
+            dg[t, :, :n] = dh * by_z[t]
+            dg[t, :, n : 2 * n] = dnew[t] * by_r[t]
+            dg[t, :, 2 * n :] = dnew[t] * r[t]
+            dh = (dh * z[t] + dg[t] @ self.u.T) * keep[t][:, None]
+        grads["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        dg[:, :, 2 * n :] = dnew
         flat = inputs.ravel()
         order = np.argsort(flat.astype(SYMBOL), kind="stable")
         given = flat[order]
         first = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
-        rows = dg.reshape(3, -1, n).transpose(1, 0, 2).reshape(-1, 3 * n)
-        grads["x"] = (given[first], np.add.reduceat(rows[order], first, axis=0))
+        grads["x"] = (given[first], np.add.reduceat(dg.reshape(-1, 3 * n)[order], first, axis=0))
 
     def step(self, grads: dict, seen: dict, rate: float) -> None:
         """Adagrad."""
@@ -466,9 +450,10 @@ def run_lanes(net: Network, documents: list[np.ndarray], end: int, train: tuple[
             grads: dict = {}
             states = net.forward(inputs, goes_on, state, trace)
             dstates = np.zeros((size * live, net.hidden), np.float32)
-            dstates[real] = net.output(states.reshape(-1, net.hidden)[real], target[run], grads, np.float32(1 / live))[1]
+            dstates[real] = net.output(states.reshape(-1, net.hidden)[real], target[run], grads)[1]
             net.backward(inputs, goes_on, trace, dstates.reshape(states.shape), grads)
-            net.step(grads, *train)
+            scale = np.float32(1 / live)
+            net.step({n: (g[0], g[1] * scale) if n == "x" else g * scale for n, g in grads.items()}, *train)
         state = states[-1]
     return scores
 
